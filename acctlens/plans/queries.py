@@ -13,8 +13,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from acctlens.operators import crossval as CV
+from acctlens.operators import features as FE
 from acctlens.operators import filters as FL
 from acctlens.operators import periods as PE
+from acctlens.operators import regress as RG
+from acctlens.settings import ModelSpec
 from acctlens.sources import loader as LD
 from acctlens.sources.sales import sales_view, sales_view_sql, table
 
@@ -237,4 +241,219 @@ SELECT count(*) AS total_periods, count(*) FILTER (WHERE Weeks >= {WEEKS * 0.95}
        arg_max(Weeks, Period) AS last_period_weeks, arg_max(Weeks, Period) < {WEEKS * 0.8} AS last_is_short FROM b""")
 def q_t6s(spark, d):
     return PE.calendar_summary(PE.calendar_boundaries(table(spark, d, "lineitem"), "l_shipdate", WEEKS), WEEKS)
-FLAGSHIP = "f7_apply_filters"
+
+
+# ---------------------------------------------------------------- R / K: model and cross-validation
+
+def rounded(df: DataFrame, nd: int = 6) -> DataFrame:
+    """Round every double column (same rounding as the oracle's ``round(x, 6)``)."""
+    return df.select(*[F.round(F.col(f.name), nd).alias(f.name) if f.dataType.typeName() == "double"
+                       else F.col(f.name) for f in df.schema.fields])
+
+
+# The saved run's model (target, one continuous, the account effect), k and weight.
+MODEL = ModelSpec("Auto_Base_Units", ("ACV_Weighted_Distribution",), ("Account",))
+MODEL2 = ModelSpec("Auto_Base_Units", ("ACV_Weighted_Distribution",), ("Account", "Price_Bucket_Quarter"))
+K = 5
+WEIGHT = "Auto_Base_Units"
+
+
+def model_frame(spark, d, spec: ModelSpec = MODEL, account_key: str = "supplier"):
+    sv = PE.create_equal_periods(sales_view(spark, d, account_key), "Date", WEEKS)
+    f = FL.apply_filters(sv, SPEC)
+    return FE.prepare(f, spec, "Account", "Time_Period", WEIGHT)
+
+
+def _mf_sql(src: str = SV) -> str:
+    return f"""(SELECT Account AS account, Time_Period AS period, coalesce(CAST({WEIGHT} AS DOUBLE), 1.0) AS weight,
+        ln(greatest(Auto_Base_Units, 1e-6)) AS y, ln(greatest(ACV_Weighted_Distribution, 1e-6)) AS x, Account AS a
+    FROM {_periods_sql(src)} WHERE {SPEC_SQL}
+      AND Auto_Base_Units IS NOT NULL AND ACV_Weighted_Distribution IS NOT NULL AND Account IS NOT NULL)"""
+
+
+MF = _mf_sql()
+
+
+def _folds_sql(ks: list[int], mf: str = MF) -> str:
+    return f"""
+pc AS (SELECT period per, count(*) c FROM {mf} GROUP BY period),
+ks AS (SELECT unnest({list(ks)}) k),
+gq AS (SELECT k, row_number() OVER (PARTITION BY k ORDER BY c DESC, per DESC) rn, per, c FROM pc, ks),
+rr AS (SELECT k, CAST(0 AS BIGINT) rn, list_transform(range(k), lambda i: CAST(0 AS BIGINT)) AS ld,
+              CAST(NULL AS INTEGER) per, CAST(0 AS BIGINT) f FROM ks
+       UNION ALL
+       SELECT rr.k, gq.rn,
+              list_transform(range(1, rr.k + 1), lambda i: rr.ld[i] + CASE WHEN i = list_position(rr.ld, list_min(rr.ld)) THEN gq.c ELSE 0 END),
+              gq.per, CAST(list_position(rr.ld, list_min(rr.ld)) AS BIGINT)
+       FROM rr JOIN gq ON gq.k = rr.k AND gq.rn = rr.rn + 1),
+folds AS (SELECT CAST(k AS INTEGER) k, per AS period, CAST(f AS INTEGER) fold FROM rr WHERE rn > 0)"""
+
+
+def _cv_sql(ks: list[int], mf: str = MF) -> str:
+    """Out-of-fold predictions for every (k, fold): within-group slope + group intercepts;
+    a level missing from training takes the fold's baseline (smallest training level)."""
+    return f"""WITH RECURSIVE {_folds_sql(ks, mf)},
+d AS (SELECT m.*, fo.k, fo.fold FROM {mf} m JOIN folds fo ON m.period = fo.period),
+kf AS (SELECT DISTINCT k, fold FROM folds),
+tr AS (SELECT kf.k, kf.fold, d.a, d.x, d.y FROM d JOIN kf ON d.k = kf.k AND d.fold <> kf.fold),
+gm AS (SELECT k, fold, a, avg(x) mx, avg(y) my FROM tr GROUP BY k, fold, a),
+sl AS (SELECT tr.k, tr.fold, sum((tr.x - gm.mx) * (tr.y - gm.my)) / sum((tr.x - gm.mx) * (tr.x - gm.mx)) b
+       FROM tr JOIN gm ON gm.k = tr.k AND gm.fold = tr.fold AND gm.a = tr.a GROUP BY tr.k, tr.fold),
+base AS (SELECT k, fold, min(a) a0 FROM gm GROUP BY k, fold),
+pred AS (SELECT d.*, coalesce(gm.my, mb.my) + sl.b * (d.x - coalesce(gm.mx, mb.mx)) AS predicted
+         FROM d JOIN sl ON sl.k = d.k AND sl.fold = d.fold
+         LEFT JOIN gm ON gm.k = d.k AND gm.fold = d.fold AND gm.a = d.a
+         JOIN base ON base.k = d.k AND base.fold = d.fold
+         JOIN gm mb ON mb.k = d.k AND mb.fold = d.fold AND mb.a = base.a0)"""
+
+
+@register("r1_negative_counts", f"""
+SELECT CAST(count(*) FILTER (WHERE Auto_Base_Units < 0) AS BIGINT) AS neg_target,
+       CAST(count(*) FILTER (WHERE ACV_Weighted_Distribution < 0) AS BIGINT) AS neg_predictors FROM {SV}""")
+def q_r1(spark, d):
+    sv = sales_view(spark, d)
+    return sv.agg(F.count_if(F.col("Auto_Base_Units") < 0).alias("neg_target"),
+                  F.count_if(F.col("ACV_Weighted_Distribution") < 0).alias("neg_predictors"))
+
+
+@register("r4_model_frame", f"SELECT account, period, round(weight, 6) AS weight, round(y, 6) AS y, "
+                            f"round(x, 6) AS x0, a AS g FROM {MF}")
+def q_r4(spark, d):
+    m, _ = model_frame(spark, d)
+    return rounded(m)
+
+
+@register("r4_dropped_rows", f"""
+SELECT count(*) AS n_rows, count(*) FILTER (WHERE Auto_Base_Units IS NULL OR ACV_Weighted_Distribution IS NULL
+   OR Account IS NULL) AS n_dropped FROM {SV}""")
+def q_r4d(spark, d):
+    return FE.dropped_rows(sales_view(spark, d), MODEL)
+
+
+@register("r6_dummy_levels", f"""
+SELECT 'Price_Bucket_Quarter' AS "column", Price_Bucket_Quarter AS level,
+       Price_Bucket_Quarter = min(Price_Bucket_Quarter) OVER () AS is_baseline
+FROM (SELECT DISTINCT Price_Bucket_Quarter FROM {_periods_sql(SV)} WHERE {SPEC_SQL})""")
+def q_r6(spark, d):
+    _, design = model_frame(spark, d, MODEL2)
+    rows = [(col, lv, i == 0) for col, levels in design.dummies for i, lv in enumerate(levels)]
+    return spark.createDataFrame(rows, "column string, level string, is_baseline boolean")
+
+
+_FIT_ALL_SQL = f"""WITH gm AS (SELECT a, avg(x) mx, avg(y) my FROM {MF} GROUP BY a),
+sl AS (SELECT sum((m.x - gm.mx) * (m.y - gm.my)) / sum((m.x - gm.mx) * (m.x - gm.mx)) b
+       FROM {MF} m JOIN gm ON gm.a = m.a)"""
+
+
+@register("r7_fit", f"""{_FIT_ALL_SQL}
+SELECT gm.a AS g, round(gm.my - sl.b * gm.mx, 6) AS alpha, round(sl.b, 6) AS slope FROM gm, sl""")
+def q_r7(spark, d):
+    m, design = model_frame(spark, d)
+    fit, _ = RG.fit_all(m, design)
+    return rounded(fit.alpha.select("g", "alpha", F.lit(float(fit.coef[(0, 0)][0])).alias("slope")))
+
+
+@register("r8_predict", f"""{_FIT_ALL_SQL}
+SELECT m.account, m.period, round(m.y, 6) AS actual, round(gm.my + sl.b * (m.x - gm.mx), 6) AS predicted,
+       round(m.y - (gm.my + sl.b * (m.x - gm.mx)), 6) AS residual
+FROM {MF} m JOIN gm ON gm.a = m.a, sl""")
+def q_r8(spark, d):
+    m, design = model_frame(spark, d)
+    fit, test = RG.fit_all(m, design)
+    s = RG.predict_rows(m, fit, test)
+    return rounded(s.select("account", "period", F.col("y").alias("actual"), "predicted", "residual"))
+
+
+@register("r9_in_sample_report", f"""{_FIT_ALL_SQL},
+p AS (SELECT m.y, m.y - (gm.my + sl.b * (m.x - gm.mx)) AS r FROM {MF} m JOIN gm ON gm.a = m.a, sl)
+SELECT count(*) AS n, round(avg(r * r), 6) AS mse, round(1 - sum(r * r) / (var_pop(y) * count(*)), 6) AS r2 FROM p""")
+def q_r9(spark, d):
+    m, design = model_frame(spark, d)
+    return rounded(RG.in_sample_report(m, design))
+
+
+@register("k1_fold_assignment", f"WITH RECURSIVE {_folds_sql([K])} SELECT * FROM folds")
+def q_k1(spark, d):
+    m, design = model_frame(spark, d)
+    counts = m.groupBy("period").agg(F.count(F.lit(1)).alias("c"))
+    return CV.fold_assignment(counts, [K])
+
+
+@register("k1_fold_assignment_all_k", f"WITH RECURSIVE {_folds_sql(list(range(2, 11)))} SELECT * FROM folds")
+def q_k1a(spark, d):
+    m, design = model_frame(spark, d)
+    counts = m.groupBy("period").agg(F.count(F.lit(1)).alias("c"))
+    return CV.fold_assignment(counts, list(range(2, 11)))
+
+
+@register("k2_group_count", f"SELECT count(DISTINCT period) AS n_groups, {K} <= count(DISTINCT period) AS feasible FROM {MF}")
+def q_k2(spark, d):
+    m, _ = model_frame(spark, d)
+    return m.agg(F.count_distinct("period").alias("n_groups")).select(
+        "n_groups", (F.lit(K) <= F.col("n_groups")).alias("feasible"))
+
+
+_CV5 = _cv_sql([K])
+
+
+@register("k3_cv_residuals", f"""{_CV5}
+SELECT fold, account, round(y, 6) AS actual, round(predicted, 6) AS predicted, round(y - predicted, 6) AS residual,
+       round(weight, 6) AS weight, period FROM pred""")
+def q_k3(spark, d):
+    m, design = model_frame(spark, d)
+    return rounded(CV.run_cv(m, design, K).residuals)
+
+
+_SUMMARY_SQL = f"""{_CV5},
+fs AS (SELECT fold, count(*) n_test, sum((y - predicted) ^ 2) sse, var_pop(y) vy, avg(y - predicted) mr,
+              stddev_pop(y - predicted) sr FROM pred GROUP BY fold),
+tot AS (SELECT count(*) n FROM {MF}),
+smry AS (SELECT fold, tot.n - n_test AS n_train, n_test, sse / n_test AS mse,
+                CASE WHEN n_test < 2 THEN NULL WHEN vy * n_test <= 0 THEN (CASE WHEN sse <= 0 THEN 1.0 ELSE 0.0 END)
+                     ELSE 1 - sse / (vy * n_test) END AS r2, mr AS mean_residual, sr AS std_residual FROM fs, tot)"""
+
+
+@register("k6_fold_summary", f"""{_SUMMARY_SQL}
+SELECT fold, n_train, n_test, round(mse, 6) AS mse, round(r2, 6) AS r2, round(mean_residual, 6) AS mean_residual,
+       round(std_residual, 6) AS std_residual FROM smry""")
+def q_k6(spark, d):
+    m, design = model_frame(spark, d)
+    return rounded(CV.fold_summary(CV.run_cv(m, design, K)))
+
+
+@register("k5_cv_scores", f"""{_SUMMARY_SQL}
+SELECT round(avg(mse), 6) AS mean_mse, round(stddev_pop(mse), 6) AS std_mse, round(avg(r2), 6) AS mean_r2,
+       round(stddev_pop(r2), 6) AS std_r2 FROM smry""")
+def q_k5(spark, d):
+    m, design = model_frame(spark, d)
+    return rounded(CV.cv_scores(CV.fold_summary(CV.run_cv(m, design, K))))
+
+
+@register("k9_fold_mse_vs_mean", f"""{_SUMMARY_SQL}
+SELECT fold, round(mse, 6) AS mse, round(avg(mse) OVER (), 6) AS mean_mse FROM smry""")
+def q_k9(spark, d):
+    m, design = model_frame(spark, d)
+    return rounded(CV.fold_mse_vs_mean(CV.fold_summary(CV.run_cv(m, design, K))))
+
+
+@register("k8_optimal_k", f"""{_cv_sql(list(range(2, 11)))},
+fm AS (SELECT k, fold, avg((y - predicted) ^ 2) mse,
+              CASE WHEN count(*) < 2 THEN NULL WHEN var_pop(y) * count(*) <= 0 THEN 0.0
+                   ELSE 1 - sum((y - predicted) ^ 2) / (var_pop(y) * count(*)) END r2 FROM pred GROUP BY k, fold),
+pk AS (SELECT k, avg(mse) mean_mse, stddev_pop(mse) std_mse, avg(r2) mean_r2, stddev_pop(r2) std_r2 FROM fm GROUP BY k)
+SELECT k, round(mean_mse, 6) AS mean_mse, round(std_mse, 6) AS std_mse, round(mean_r2, 6) AS mean_r2,
+       round(std_r2, 6) AS std_r2, k = arg_min(k, (mean_mse, k)) OVER () AS best FROM pk""")
+def q_k8(spark, d):
+    m, design = model_frame(spark, d)
+    return rounded(CV.find_optimal_k(m, design))
+
+
+@register("k3_cv_residuals_two_effects", None)
+def q_k3b(spark, d):
+    """Account absorbed + price-bucket dummies: no closed form in SQL; rows-only check here,
+    exactness is tested against a dense least-squares solve in tests/test_regression.py."""
+    m, design = model_frame(spark, d, MODEL2)
+    return rounded(CV.run_cv(m, design, K).residuals)
+
+
+FLAGSHIP = "k3_cv_residuals"
