@@ -18,6 +18,7 @@ from acctlens.operators import features as FE
 from acctlens.operators import filters as FL
 from acctlens.operators import periods as PE
 from acctlens.operators import regress as RG
+from acctlens.operators import residuals as RS
 from acctlens.settings import ModelSpec
 from acctlens.sources import loader as LD
 from acctlens.sources.sales import sales_view, sales_view_sql, table
@@ -456,4 +457,56 @@ def q_k3b(spark, d):
     return rounded(CV.run_cv(m, design, K).residuals)
 
 
+
+
+# ---------------------------------------------------------------- A: residual statistics per account
+
+def _stats_sql(cv_sql: str = _CV5) -> str:
+    return f"""{cv_sql},
+res AS (SELECT account, y - predicted AS r, weight AS w FROM pred WHERE account IS NOT NULL),
+m1 AS (SELECT account, sum(w) sw, sum(w * r) / sum(w) mu, count(*) cnt FROM res GROUP BY account),
+m2 AS (SELECT res.account, sum(w * (r - mu) ^ 2) s2, sum(w * (r - mu) ^ 3) s3 FROM res JOIN m1 USING (account)
+       GROUP BY res.account),
+md AS (SELECT account, median(r) med FROM res GROUP BY account),
+mad AS (SELECT res.account, median(abs(r - med)) mad FROM res JOIN md USING (account) GROUP BY res.account),
+st AS (SELECT m1.account, mu, CASE WHEN sqrt(s2 / sw) < 1e-12 * greatest(1, abs(mu)) THEN 0.0 ELSE sqrt(s2 / sw) END sd,
+              s3, sw, cnt, mad FROM m1 JOIN m2 USING (account) JOIN mad USING (account)),
+st2 AS (SELECT account AS Account, mu AS w_mean_residual, sd AS w_std_residual,
+               CASE WHEN sd > 0 THEN (s3 / sw) / (sd ^ 3) ELSE 0.0 END AS w_skew_residual, mad AS mad_residual,
+               cnt AS "count" FROM st),
+zz AS (SELECT avg(w_mean_residual) zm, stddev_pop(w_mean_residual) zs FROM st2),
+stats AS (SELECT st2.*, CASE WHEN zs > 0 THEN (w_mean_residual - zm) / zs ELSE 0.0 END AS z_mean_residual
+          FROM st2, zz)"""
+
+
+def _feat_sql(cv_sql: str = _CV5) -> str:
+    f = ["w_mean_residual", "z_mean_residual", "w_std_residual", "w_skew_residual"]
+    aggs = ", ".join(f"avg({c}) m{i}, stddev_pop({c}) s{i}" for i, c in enumerate(f))
+    cols = ", ".join(f"CASE WHEN s{i} > 0 THEN ({c} - m{i}) / s{i} ELSE {c} - m{i} END AS f{i}" for i, c in enumerate(f))
+    return f"""{_stats_sql(cv_sql)},
+mom AS (SELECT {aggs} FROM stats),
+feat AS (SELECT Account, {cols} FROM stats, mom)"""
+
+
+_STATS_COLS = ("Account, round(w_mean_residual, 6) AS w_mean_residual, round(w_std_residual, 6) AS w_std_residual, "
+               "round(w_skew_residual, 6) AS w_skew_residual, round(mad_residual, 6) AS mad_residual, \"count\", "
+               "round(z_mean_residual, 6) AS z_mean_residual")
+
+
+def cv_account_stats(spark, d, spec: ModelSpec = MODEL, account_key: str = "supplier"):
+    m, design = model_frame(spark, d, spec, account_key)
+    return RS.account_stats(CV.run_cv(m, design, K).residuals)
+
+
+@register("a1_a7_account_stats", f"{_stats_sql()} SELECT {_STATS_COLS} FROM stats")
+def q_a(spark, d):
+    return rounded(cv_account_stats(spark, d))
+
+
+@register("a8_feature_matrix", f"{_feat_sql()} SELECT Account, round(f0, 6) AS f0, round(f1, 6) AS f1, "
+                               f"round(f2, 6) AS f2, round(f3, 6) AS f3 FROM feat")
+def q_a8(spark, d):
+    return rounded(RS.feature_matrix(cv_account_stats(spark, d)))
+
+
 FLAGSHIP = "k3_cv_residuals"
