@@ -1,4 +1,4 @@
-"""Exact per-group median that never puts a huge group into one task.
+"""Exact per-group median / quantile that never puts a huge group into one task.
 
 Groups with at most ``cap`` rows use Spark's exact ``median`` aggregate (its buffer is
 bounded by the group size).  A group above ``cap`` — e.g. one account holding a third of all
@@ -24,18 +24,35 @@ MAX_ROUNDS = 6
 
 
 def group_median(df: DataFrame, key: str, value: str, out: str = "median",
-                 cap: int = DEFAULT_CAP) -> DataFrame:
-    """(key, out) for every key with at least one non-NULL value."""
+                 cap: int = DEFAULT_CAP, max_group_size: int | None = None) -> DataFrame:
+    """(key, out) for every key with at least one non-NULL value.  ``max_group_size``, when
+    the caller already knows it, skips the job that looks for groups above ``cap``."""
+    return group_quantile(df, key, value, 0.5, out, cap, max_group_size)
+
+
+def group_quantile(df: DataFrame, key: str, value: str, q: float, out: str = "quantile",
+                   cap: int = DEFAULT_CAP, max_group_size: int | None = None) -> DataFrame:
+    """Exact linearly interpolated quantile per key (NumPy's default): with pos = q·(n−1),
+    v[floor(pos)] + (pos − floor(pos))·(v[ceil(pos)] − v[floor(pos)])."""
     v = df.select(key, value).where(F.col(value).isNotNull())
+    if max_group_size is not None and max_group_size <= cap:
+        return v.groupBy(key).agg(F.percentile(value, q).alias(out))
     counts = v.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
     big = counts.where(F.col("__n") > cap)
     if big.isEmpty():
-        return v.groupBy(key).agg(F.median(value).alias(out))
+        return v.groupBy(key).agg(F.percentile(value, q).alias(out))
     from acctlens.session import cut_lineage
     big = cut_lineage(big)
     small_part = (v.join(big.select(key), key, "left_anti")
-                  .groupBy(key).agg(F.median(value).alias(out)))
-    return small_part.unionByName(_big_group_median(v, big, key, value, out, cap))
+                  .groupBy(key).agg(F.percentile(value, q).alias(out)))
+    return small_part.unionByName(_big_group_quantile(v, big, key, value, q, out, cap))
+
+
+def global_quantile(df: DataFrame, value: str, q: float, cap: int = DEFAULT_CAP) -> float | None:
+    """One exact quantile over the whole frame (same skew-safe path, one constant key)."""
+    one = df.select(F.lit(0).alias("__k"), value)
+    row = group_quantile(one, "__k", value, q, "__q", cap).first()
+    return None if row is None else row["__q"]
 
 
 def _inside(rows: DataFrame, st: DataFrame, key: str) -> DataFrame:
@@ -50,12 +67,14 @@ def _grid_at(idx: Column) -> Column:
         .otherwise(F.element_at(F.col("__g"), (idx + 1).cast("int")))
 
 
-def _big_group_median(v: DataFrame, big: DataFrame, key: str, value: str, out: str, cap: int) -> DataFrame:
+def _big_group_quantile(v: DataFrame, big: DataFrame, key: str, value: str, q: float, out: str,
+                        cap: int) -> DataFrame:
     from acctlens.session import cut_lineage
     st = big.select(key, F.lit(None).cast("double").alias("__lo"), F.lit(None).cast("double").alias("__hi"),
                     F.lit(0).cast("long").alias("__below"),
-                    (F.floor((F.col("__n") - 1) / 2) + 1).cast("long").alias("__t1"),
-                    (F.floor(F.col("__n") / 2) + 1).cast("long").alias("__t2"))
+                    (F.floor((F.col("__n") - 1) * q) + 1).cast("long").alias("__t1"),
+                    (F.ceil((F.col("__n") - 1) * q) + 1).cast("long").alias("__t2"),
+                    ((F.col("__n") - 1) * q - F.floor((F.col("__n") - 1) * q)).alias("__fr"))
     rows = v.join(big.select(key), key, "left_semi").select(key, F.col(value).cast("double").alias("__v"))
     eps = 1.0 / SKETCH_ACCURACY
     grid = F.array(*[F.lit(i / GRID) for i in range(GRID + 1)])
@@ -84,13 +103,15 @@ def _big_group_median(v: DataFrame, big: DataFrame, key: str, value: str, out: s
                         F.when(ok, F.col("__nlo")).otherwise(F.col("__lo")).alias("__lo"),
                         F.when(ok, F.col("__nhi")).otherwise(F.col("__hi")).alias("__hi"),
                         F.when(ok, F.col("__below") + F.col("__add")).otherwise(F.col("__below")).alias("__below"),
-                        "__t1", "__t2")
+                        "__t1", "__t2", "__fr")
     st = cut_lineage(st)
-    inside = rows.join(st.select(key, "__lo", "__hi", "__below", "__t1", "__t2"), key) \
+    inside = rows.join(st.select(key, "__lo", "__hi", "__below", "__t1", "__t2", "__fr"), key) \
         .where((F.col("__lo").isNull() | (F.col("__v") >= F.col("__lo")))
                & (F.col("__hi").isNull() | (F.col("__v") <= F.col("__hi"))))
     w = Window.partitionBy(key).orderBy("__v")
     ranked = inside.withColumn("__r", F.row_number().over(w) + F.col("__below"))
     return (ranked.where((F.col("__r") == F.col("__t1")) | (F.col("__r") == F.col("__t2")))
-            .groupBy(key).agg(((F.max_by("__v", (F.col("__r") == F.col("__t1")).cast("int")) +
-                                F.max_by("__v", (F.col("__r") == F.col("__t2")).cast("int"))) / 2).alias(out)))
+            .groupBy(key).agg(F.max_by("__v", (F.col("__r") == F.col("__t1")).cast("int")).alias("__a"),
+                              F.max_by("__v", (F.col("__r") == F.col("__t2")).cast("int")).alias("__b"),
+                              F.first("__fr").alias("__fr"))
+            .select(key, (F.col("__a") + F.col("__fr") * (F.col("__b") - F.col("__a"))).alias(out)))

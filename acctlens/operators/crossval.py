@@ -78,8 +78,9 @@ def run_cv(m: DataFrame, design: Design, k: int, T: DataFrame | None = None) ->
     slots = [(k, f) for f in range(1, k + 1)]
     fit = fit_slots(T, design, sl, sl, slots)
     scored = predict_rows(m, fit, sl)
-    res = scored.select(F.col("slot_f").alias("fold"), "account", F.col("y").alias("actual"), "predicted",
-                        "residual", "weight", "period")
+    # K7 is read by several jobs downstream (metrics, account statistics, export): write it once.
+    res = cut_lineage(scored.select(F.col("slot_f").alias("fold"), "account", F.col("y").alias("actual"),
+                                    "predicted", "residual", "weight", "period"))
     total = T.agg(F.sum("n")).first()[0]
     return CVResult(k, folds, res, T, int(total))
 

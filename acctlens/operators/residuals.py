@@ -15,7 +15,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from acctlens.functions.median import group_median
+from acctlens.functions.median import DEFAULT_CAP, group_median
+from acctlens.session import cut_lineage
 
 FEATURES = ["w_mean_residual", "z_mean_residual", "w_std_residual", "w_skew_residual"]
 # std below this fraction of max(1, |mean|) is floating-point noise of a constant account
@@ -31,9 +32,11 @@ def account_stats(res: DataFrame, account: str = "account", residual: str = "res
          .select(F.col(account).alias("Account"), F.col(residual).cast("double").alias("r"), w.alias("w")))
     m1 = r.groupBy("Account").agg(F.sum("w").alias("sw"), F.sum(F.col("w") * F.col("r")).alias("swr"),
                                   F.count(F.lit(1)).alias("count"))
-    m1 = m1.select("Account", "sw", "count",
-                   F.when(F.col("sw") == 0, F.raise_error(F.lit("Weights sum to zero, can't be normalized")))
-                   .otherwise(F.col("swr") / F.col("sw")).alias("w_mean_residual"))
+    # one row per account, read three times below: materialise it (cuts the row lineage too)
+    m1 = cut_lineage(m1.select("Account", "sw", "count",
+                               F.when(F.col("sw") == 0, F.raise_error(F.lit("Weights sum to zero, can't be normalized")))
+                               .otherwise(F.col("swr") / F.col("sw")).alias("w_mean_residual")))
+    max_n = m1.agg(F.max("count")).first()[0] or 0
     c = r.join(m1.select("Account", "w_mean_residual"), "Account")
     d = F.col("r") - F.col("w_mean_residual")
     m2 = c.groupBy("Account").agg(F.sum(F.col("w") * d * d).alias("s2"), F.sum(F.col("w") * d * d * d).alias("s3"))
@@ -46,14 +49,14 @@ def account_stats(res: DataFrame, account: str = "account", residual: str = "res
                    F.when(F.col("w_std_residual") > 0,
                           (F.col("s3") / F.col("sw")) / F.pow(F.col("w_std_residual"), 3)).otherwise(F.lit(0.0))
                    .alias("w_skew_residual"), "count")
-    mad = account_mad(r, median_cap)
+    mad = account_mad(r, median_cap, max_n)
     st = st.join(mad, "Account")
     return with_zscore(st)
 
 
-def account_mad(r: DataFrame, cap: int | None = None) -> DataFrame:
+def account_mad(r: DataFrame, cap: int | None = None, max_n: int | None = None) -> DataFrame:
     """A5: median(|r − median(r)|) per account, unweighted, unscaled."""
-    kw = {} if cap is None else {"cap": cap}
+    kw = {"cap": cap or DEFAULT_CAP, "max_group_size": max_n}
     med = group_median(r, "Account", "r", "__med", **kw)
     dev = r.join(med, "Account").select("Account", F.abs(F.col("r") - F.col("__med")).alias("__ad"))
     return group_median(dev, "Account", "__ad", "mad_residual", **kw)
