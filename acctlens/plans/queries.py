@@ -19,6 +19,13 @@ from acctlens.operators import filters as FL
 from acctlens.operators import periods as PE
 from acctlens.operators import regress as RG
 from acctlens.operators import residuals as RS
+from acctlens.operators import decide as DC
+from acctlens.operators import density as DN
+from acctlens.operators import forest as FO
+from acctlens.operators import results as RE
+from acctlens.operators import series as SE
+from acctlens.settings import DetectSpec
+from acctlens.session import cut_lineage
 from acctlens.settings import ModelSpec
 from acctlens.sources import loader as LD
 from acctlens.sources.sales import sales_view, sales_view_sql, table
@@ -509,4 +516,244 @@ def q_a8(spark, d):
     return rounded(RS.feature_matrix(cv_account_stats(spark, d)))
 
 
-FLAGSHIP = "k3_cv_residuals"
+
+
+# ---------------------------------------------------------------- D: detection over accounts
+
+_MEMO: dict = {}
+
+
+def memo(spark, d, key, build):
+    """Reuse an already materialised intermediate (checkpointed) within one session."""
+    k = (id(spark), d, key)
+    if k not in _MEMO:
+        _MEMO[k] = build()
+    return _MEMO[k]
+
+
+def stats_of(spark, d):
+    return memo(spark, d, "stats", lambda: cut_lineage(cv_account_stats(spark, d)))
+
+
+def features_of(spark, d):
+    return memo(spark, d, "feat", lambda: cut_lineage(RS.feature_matrix(stats_of(spark, d))))
+
+
+def dbscan_of(spark, d):
+    return memo(spark, d, "dbscan", lambda: DN.dbscan(features_of(spark, d), 5, 90, 5))
+
+
+def exact_flags(spark, d):
+    """Flags every engine can reproduce exactly: DBSCAN noise (D3) OR the D7 threshold
+    applied to −k-distance (more isolated = lower score)."""
+    def build():
+        db = dbscan_of(spark, d)
+        sc = db.flags.select("Account", (-F.col("kdist")).alias("score"))
+        thr = FO.contamination_threshold(sc, "score", 0.10)
+        acc = (stats_of(spark, d).join(db.flags.select("Account", "dbscan_outlier"), "Account")
+               .join(sc.select("Account", (F.col("score") < F.lit(thr)).cast("int").alias("kdist_outlier")), "Account"))
+        flag, typ = DC.combine(F.col("dbscan_outlier"), F.col("kdist_outlier"), "DBSCAN", "kdist")
+        return cut_lineage(acc.select("*", flag.alias("outlier_flag"), typ.alias("outlier_type")))
+    return memo(spark, d, "exact_flags", build)
+
+
+def detection_of(spark, d):
+    return memo(spark, d, "detect", lambda: DC.detect(stats_of(spark, d), DetectSpec()))
+
+
+_PAIRS_SQL = f"""{_feat_sql()},
+pr AS (SELECT a.Account p, b.Account q,
+              sqrt((a.f0 - b.f0) ^ 2 + (a.f1 - b.f1) ^ 2 + (a.f2 - b.f2) ^ 2 + (a.f3 - b.f3) ^ 2) d FROM feat a, feat b),
+rk AS (SELECT p, d, row_number() OVER (PARTITION BY p ORDER BY d, q) rn FROM pr),
+kd AS (SELECT p AS Account, d AS kdist FROM rk WHERE rn = 5),
+eps AS (SELECT quantile_cont(kdist, 0.9) e FROM kd),
+nb AS (SELECT p, count(*) n_within FROM pr, eps WHERE d <= e GROUP BY p),
+core AS (SELECT p FROM nb WHERE n_within >= 5),
+db AS (SELECT f.Account, CAST(nb.n_within AS BIGINT) AS n_within, f.Account IN (SELECT p FROM core) AS is_core,
+              CASE WHEN EXISTS (SELECT 1 FROM pr, eps WHERE pr.p = f.Account AND pr.d <= eps.e
+                                AND pr.q IN (SELECT p FROM core)) THEN 0 ELSE 1 END AS dbscan_outlier
+       FROM feat f JOIN nb ON nb.p = f.Account),
+thr AS (SELECT quantile_cont(-kdist, 0.1) t FROM kd),
+acc AS (SELECT s.*, db.dbscan_outlier, CASE WHEN -kd.kdist < thr.t THEN 1 ELSE 0 END AS kdist_outlier
+        FROM stats s JOIN db USING (Account) JOIN kd USING (Account), thr),
+flags AS (SELECT acc.*, CASE WHEN dbscan_outlier = 1 OR kdist_outlier = 1 THEN 1 ELSE 0 END AS outlier_flag,
+                 CASE WHEN dbscan_outlier = 1 AND kdist_outlier = 1 THEN 'both' WHEN dbscan_outlier = 1 THEN 'dbscan_only'
+                      WHEN kdist_outlier = 1 THEN 'kdist_only' ELSE 'normal' END AS outlier_type FROM acc)"""
+
+
+@register("d1_k_distance", f"{_PAIRS_SQL} SELECT Account, round(kdist, 6) AS kdist FROM kd")
+def q_d1(spark, d):
+    return rounded(dbscan_of(spark, d).flags.select("Account", "kdist"))
+
+
+@register("d2_eps", f"{_PAIRS_SQL} SELECT round(e, 6) AS eps FROM eps")
+def q_d2(spark, d):
+    db = dbscan_of(spark, d)
+    return rounded(spark.range(1).select(F.lit(float(db.eps)).alias("eps")))
+
+
+@register("d3_dbscan_noise", f"{_PAIRS_SQL} SELECT Account, n_within, is_core, dbscan_outlier FROM db")
+def q_d3(spark, d):
+    return dbscan_of(spark, d).flags.select("Account", "n_within", "is_core", "dbscan_outlier")
+
+
+@register("d4_cluster_labels", f"""{_PAIRS_SQL},
+ed AS (SELECT pr.p, pr.q FROM pr, eps WHERE pr.d <= eps.e AND pr.p <> pr.q AND pr.p IN (SELECT p FROM core)
+       AND pr.q IN (SELECT p FROM core)),
+cc(p, lab) AS (SELECT p, p FROM core UNION SELECT ed.q, cc.lab FROM cc JOIN ed ON ed.p = cc.p),
+cl AS (SELECT p, min(lab) lab FROM cc GROUP BY p),
+bl AS (SELECT pr.p, min(cl.lab) lab FROM pr, eps, cl WHERE pr.d <= eps.e AND pr.q = cl.p
+       AND pr.p NOT IN (SELECT p FROM core) GROUP BY pr.p)
+SELECT f.Account, coalesce(cl.lab, bl.lab) AS cluster FROM feat f LEFT JOIN cl ON cl.p = f.Account
+LEFT JOIN bl ON bl.p = f.Account""")
+def q_d4(spark, d):
+    return DN.cluster_labels(dbscan_of(spark, d))
+
+
+@register("d7_threshold_flags", f"{_PAIRS_SQL} SELECT Account, kdist_outlier FROM acc")
+def q_d7(spark, d):
+    return exact_flags(spark, d).select("Account", "kdist_outlier")
+
+
+@register("d10_combine", f"{_PAIRS_SQL} SELECT Account, outlier_flag, outlier_type FROM flags")
+def q_d10(spark, d):
+    return exact_flags(spark, d).select("Account", "outlier_flag", "outlier_type")
+
+
+@register("d6_iforest_scores", None)
+def q_d6(spark, d):
+    return rounded(detection_of(spark, d).accounts.select("Account", "if_score", "iforest_outlier"))
+
+
+@register("d12_detect", None)
+def q_d12(spark, d):
+    return rounded(detection_of(spark, d).accounts)
+
+
+@register("d11_metadata", None)
+def q_d11(spark, d):
+    return rounded(detection_of(spark, d).metadata)
+
+
+# ---------------------------------------------------------------- O: results (on the exactly reproducible flags)
+
+@register("o1_outlier_counts", f"""{_PAIRS_SQL}
+SELECT CAST(sum(outlier_flag) AS BIGINT) AS n_outliers, count(*) AS n_accounts,
+       coalesce(sum(outlier_flag) / count(*), 0.0) AS outlier_rate FROM flags""")
+def q_o1(spark, d):
+    return RE.outlier_counts(exact_flags(spark, d))
+
+
+@register("o2_outlier_accounts", f"{_PAIRS_SQL} SELECT Account FROM flags WHERE outlier_flag = 1")
+def q_o2(spark, d):
+    return RE.outlier_accounts(exact_flags(spark, d))
+
+
+@register("o3_outlier_summary", f"""{_PAIRS_SQL}
+SELECT Account, round(w_mean_residual, 6) AS w_mean_residual, outlier_type AS Outlier_Type FROM flags
+WHERE outlier_flag = 1""")
+def q_o3(spark, d):
+    return rounded(RE.outlier_summary(exact_flags(spark, d)).select("Account", "w_mean_residual", "Outlier_Type"))
+
+
+@register("o4_type_counts", f"{_PAIRS_SQL} SELECT outlier_type, count(*) AS n FROM flags GROUP BY outlier_type")
+def q_o4(spark, d):
+    return RE.type_counts(exact_flags(spark, d))
+
+
+@register("o5_top10", f"""{_PAIRS_SQL}
+SELECT Account, round(w_mean_residual, 6) AS w_mean_residual, outlier_type FROM flags
+ORDER BY abs(w_mean_residual) DESC, Account LIMIT 10""")
+def q_o5(spark, d):
+    return rounded(RE.top_by_mean(exact_flags(spark, d)).select("Account", "w_mean_residual", "outlier_type"))
+
+
+@register("o6_first_per_type", f"""{_PAIRS_SQL}
+SELECT outlier_type, Account, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT outlier_type, Account, row_number() OVER (PARTITION BY outlier_type ORDER BY Account) AS rank FROM flags)
+WHERE rank <= 5""")
+def q_o6(spark, d):
+    return RE.first_per_type(exact_flags(spark, d))
+
+
+# ---------------------------------------------------------------- V: account series and comparison
+
+# Prices are single IEEE divisions (bit-identical in both engines) and often exact decimal
+# ties at the 6th place, so they are compared unrounded.
+_V_SERIES = """Account, Date, Unit_Sales AS Units, Auto_Base_Units AS Base_Units,
+  CASE WHEN Unit_Sales > 0 THEN Dollar_Sales / Unit_Sales END AS Avg_Price,
+  CASE WHEN Auto_Base_Units > 0 THEN Auto_Base_Dollars / Auto_Base_Units END AS Avg_Base_Price"""
+
+
+@register("v2_v3_account_series", f"SELECT {_V_SERIES} FROM {SV}")
+def q_v2(spark, d):
+    return SE.account_series(sales_view(spark, d))
+
+
+@register("v2b_prices_divide_always", f"""
+SELECT Account, Date, Unit_Sales AS Units, Auto_Base_Units AS Base_Units,
+  CASE WHEN Unit_Sales <> 0 THEN Dollar_Sales / Unit_Sales END AS Avg_Price,
+  CASE WHEN Auto_Base_Units <> 0 THEN Auto_Base_Dollars / Auto_Base_Units END AS Avg_Base_Price FROM {SV}""")
+def q_v2b(spark, d):
+    return SE.account_series(sales_view(spark, d), divide_always=True)
+
+
+@register("v4_date_range", f"SELECT min(Date) AS min_date, max(Date) AS max_date FROM {SV}")
+def q_v4(spark, d):
+    return SE.date_range(sales_view(spark, d))
+
+
+@register("v5_semi_join", f"SELECT * FROM {SVC} WHERE Account IN (SELECT Account FROM {SVC} WHERE {SPEC_SQL})")
+def q_v5(spark, d):
+    sv = sales_view(spark, d, "customer")
+    return SE.rows_of_accounts(sv, FL.apply_filters(sv, SPEC))
+
+
+@register("v6_anti_join", f"{_PAIRS_SQL} SELECT Account FROM flags WHERE outlier_flag = 0")
+def q_v6(spark, d):
+    return SE.unflagged_accounts(exact_flags(spark, d))
+
+
+@register("v7_lookup_join", f"""{_PAIRS_SQL}
+SELECT a.Account, coalesce(f.outlier_type, 'normal') AS outlier_type
+FROM (SELECT DISTINCT Account FROM {SV}) a LEFT JOIN (SELECT * FROM flags WHERE outlier_flag = 1) f USING (Account)""")
+def q_v7(spark, d):
+    flagged = exact_flags(spark, d).where(F.col("outlier_flag") == 1)
+    return SE.with_badge(sales_view(spark, d), flagged)
+
+
+@register("v8_first_accounts_series", f"""SELECT {_V_SERIES} FROM {SVC}
+WHERE Account IN (SELECT DISTINCT Account FROM {SVC} ORDER BY Account LIMIT 20)""")
+def q_v8(spark, d):
+    return SE.first_accounts_series(sales_view(spark, d, "customer"), 20)
+
+
+@register("v9_units_vs_base", f"""
+SELECT Account, min(Unit_Sales) AS units_min, max(Unit_Sales) AS units_max, round(avg(Unit_Sales), 6) AS units_mean,
+       round(sum(Unit_Sales), 6) AS units_sum, round(min(Auto_Base_Units), 6) AS base_min,
+       round(max(Auto_Base_Units), 6) AS base_max, round(avg(Auto_Base_Units), 6) AS base_mean,
+       round(sum(Auto_Base_Units), 6) AS base_sum, bool_and(Unit_Sales IS NOT DISTINCT FROM Auto_Base_Units) AS identical,
+       round(abs(sum(Unit_Sales) - sum(Auto_Base_Units)) * 100.0 / nullif(sum(Unit_Sales), 0), 6) AS diff_pct
+FROM {SV} GROUP BY Account""")
+def q_v9(spark, d):
+    return rounded(SE.units_vs_base(sales_view(spark, d)))
+
+
+
+
+# ---------------------------------------------------------------- flagship
+
+@register("flagship_worst_explained", f"""{_stats_sql()}
+SELECT Account, round(w_mean_residual, 6) AS w_mean_residual, round(w_std_residual, 6) AS w_std_residual,
+       "count", round(z_mean_residual, 6) AS z_mean_residual FROM stats
+ORDER BY abs(w_mean_residual) DESC, Account LIMIT 10""")
+def q_flagship(spark, d):
+    """Which suppliers does the model explain worst?  Sales view → periods → filters → log
+    model with the account effect, cross-validated over whole periods → weighted residual
+    statistics per account → the ten largest |weighted mean residual|."""
+    st = cv_account_stats(spark, d)
+    return rounded(RE.top_by_mean(st).select("Account", "w_mean_residual", "w_std_residual", "count",
+                                             "z_mean_residual"))
+
+
+FLAGSHIP = "flagship_worst_explained"
