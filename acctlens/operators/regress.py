@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from acctlens.operators.features import Design
+from acctlens.session import cut_lineage
 
 SLOT = ["slot_k", "slot_f"]
 
@@ -104,9 +105,7 @@ def _phi_aggs(p: int, pairs, n: Column, sy: Column, sx: list[Column], prefix: st
     out = [F.sum(sy * sy * inv).alias(f"{prefix}yy")]
     for i in range(p):
         out.append(F.sum(sx[i] * sy * inv).alias(f"{prefix}xy_{i}"))
-    for i, j, kind in pairs:
-        if kind == "zero":
-            continue
+    for i, j, _ in pairs:     # every pair: sx_i·sx_j/n is non-zero even where x_i·x_j never is
         out.append(F.sum(sx[i] * sx[j] * inv).alias(f"{prefix}xx_{i}_{j}"))
     return out
 
@@ -119,18 +118,14 @@ def _phi_delta_aggs(p: int, pairs, tot, tr, prefix: str) -> list[Column]:
     out = [F.sum(sy1 * sy1 * i1 - sy0 * sy0 * i0).alias(f"{prefix}yy")]
     for i in range(p):
         out.append(F.sum(sx1[i] * sy1 * i1 - sx0[i] * sy0 * i0).alias(f"{prefix}xy_{i}"))
-    for i, j, kind in pairs:
-        if kind == "zero":
-            continue
+    for i, j, _ in pairs:
         out.append(F.sum(sx1[i] * sx1[j] * i1 - sx0[i] * sx0[j] * i0).alias(f"{prefix}xx_{i}_{j}"))
     return out
 
 
 def _sym(row, p: int, pairs, prefix: str) -> tuple[np.ndarray, np.ndarray, float]:
     A = np.zeros((p, p))
-    for i, j, kind in pairs:
-        if kind == "zero":
-            continue
+    for i, j, _ in pairs:
         v = row[f"{prefix}xx_{i}_{j}"] or 0.0
         A[i, j] = A[j, i] = v
     r = np.array([row[f"{prefix}xy_{i}"] or 0.0 for i in range(p)])
@@ -155,12 +150,12 @@ def fit_slots(T: DataFrame, design: Design, excl: DataFrame, test: DataFrame,
         ex.setdefault((r["slot_k"], r["slot_f"]), set()).add(r["period"])
 
     # (2) within corrections.
-    tot = T.groupBy("g").agg(F.sum("n").alias("n"), F.sum("sy").alias("sy"),
-                             *[F.sum(f"sx_{i}").alias(f"sx_{i}") for i in range(p)])
+    tot = cut_lineage(T.groupBy("g").agg(F.sum("n").alias("n"), F.sum("sy").alias("sy"),
+                                         *[F.sum(f"sx_{i}").alias(f"sx_{i}") for i in range(p)]))
     base = tot.agg(*_phi_aggs(p, pairs, F.col("n"), F.col("sy"), [F.col(f"sx_{i}") for i in range(p)], "c")).first()
-    exg = (T.join(F.broadcast(excl), "period")
-           .groupBy(*SLOT, "g").agg(F.sum("n").alias("en"), F.sum("sy").alias("esy"),
-                                    *[F.sum(f"sx_{i}").alias(f"esx_{i}") for i in range(p)]))
+    exg = cut_lineage(T.join(F.broadcast(excl), "period")
+                      .groupBy(*SLOT, "g").agg(F.sum("n").alias("en"), F.sum("sy").alias("esy"),
+                                               *[F.sum(f"sx_{i}").alias(f"esx_{i}") for i in range(p)]))
     t0 = (F.col("n"), F.col("sy"), [F.col(f"sx_{i}") for i in range(p)])
     t1 = (F.col("n") - F.col("en"), F.col("sy") - F.col("esy"),
           [F.col(f"sx_{i}") - F.col(f"esx_{i}") for i in range(p)])
@@ -224,9 +219,10 @@ def fit_slots(T: DataFrame, design: Design, excl: DataFrame, test: DataFrame,
                       for i in range(p)]))
     alpha_expr = (F.col("tsy") - sum((F.col(f"tsx_{i}") * F.col(f"b_{i}") for i in range(p)), F.lit(0.0))) / F.col("tn")
     alpha0 = bl_a.join(F.broadcast(coef_df), SLOT).select(*SLOT, alpha_expr.alias("alpha0"))
-    coef_df = coef_df.join(alpha0, SLOT, "left")
-    alpha = (a.join(F.broadcast(coef_df), SLOT)
-             .select(*SLOT, "g", F.when(F.col("tn") > 0, alpha_expr).otherwise(F.col("alpha0")).alias("alpha")))
+    # both are read by the scoring pass and by the metrics: materialise them once
+    coef_df = cut_lineage(coef_df.join(alpha0, SLOT, "left"))
+    alpha = cut_lineage(a.join(F.broadcast(coef_df), SLOT)
+                        .select(*SLOT, "g", F.when(F.col("tn") > 0, alpha_expr).otherwise(F.col("alpha0")).alias("alpha")))
     return FoldFit(design, slots, coef, baseline, coef_df, alpha)
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -59,6 +60,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared folder (survives executor loss; never local)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise ``df`` as a Parquet table in the shared checkpoint folder and read it back.
+
+    One computation (an RDD checkpoint computes its plan twice unless cached), columnar and
+    compressed, with file statistics for later scans; it lives on shared storage, so losing an
+    executor afterwards never forces a recomputation of the lineage.  Never machine-local."""
+    spark = df.sparkSession
+    path = checkpoint_dir(spark).rstrip("/") + f"/acctlens-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
