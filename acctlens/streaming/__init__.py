@@ -1 +1,7 @@
+"""Streaming: intentionally empty.
 
+The reference has no stream, watermark, window-over-time, state or late data; its pipeline is
+a batch analysis.  Every row-level operator here (filters, period assignment with an explicit
+``anchor``, feature preparation) is a plain projection/filter and therefore also valid on a
+``readStream`` DataFrame, but no streaming operator is added beyond what the reference does.
+"""
