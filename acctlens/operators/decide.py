@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from acctlens.operators import density as DN
 from acctlens.operators import forest as FO
+from acctlens.operators import hdbscan as HD
 from acctlens.operators import residuals as RS
 from acctlens.session import cut_lineage
 from acctlens.settings import DetectSpec
@@ -45,12 +46,15 @@ class Detection:
     threshold: float
 
 
-def detect(stats: DataFrame, spec: DetectSpec = DetectSpec(), hdbscan_flags: DataFrame | None = None) -> Detection:
-    """Account statistics (A1–A7) → standardised features → DBSCAN noise, Isolation
-    Forest → chosen density method → combined flag and type."""
+def detect(stats: DataFrame, spec: DetectSpec = DetectSpec(), hdbscan_flags: DataFrame | None = None,
+           run_hdbscan: bool = True) -> Detection:
+    """Account statistics (A1–A7) → standardised features → DBSCAN noise, HDBSCAN noise,
+    Isolation Forest → chosen density method (D9) → combined flag and type (D10)."""
     stats = cut_lineage(stats)
     feat = cut_lineage(RS.feature_matrix(stats))
     db = DN.dbscan(feat, spec.k_for_eps, spec.eps_percentile, spec.dbscan_min_samples)
+    if hdbscan_flags is None and run_hdbscan:
+        hdbscan_flags = HD.hdbscan(feat, spec.hdbscan_min_cluster_size, spec.hdbscan_min_samples)
     fo, thr = FO.isolation_forest(feat, spec.contamination, spec.n_trees, spec.max_samples, spec.random_state)
     acc = stats.join(db.flags.select("Account", "dbscan_outlier"), "Account").join(fo, "Account")
     if hdbscan_flags is not None:

@@ -4,13 +4,10 @@ D2: eps = linearly interpolated percentile of the k-distances (exact, skew-safe
 D3: DBSCAN noise without clustering: a point is core when at least ``min_samples`` points
     (itself and copies included) lie within eps, inclusive; noise = not core and no core
     point within eps.  Pair generation is the grid equi-join of ``neighbors``.
-D4: cluster labels = connected components of the core–core graph (iterated min-label
-    propagation with pointer jumping, checkpointed every round); a border point takes the
-    smallest label among its core neighbours.
+D4: cluster labels = connected components of the core–core graph (batched union-find); a
+    border point takes the smallest label among its core neighbours.
 
-HDBSCAN (D5) and the DBCV validity score (D8) are not built in this round: HDBSCAN's
-condensed tree is a sequential merge of all n−1 tree edges that cannot be split across
-tasks without a distributed hierarchy algorithm; see README.
+HDBSCAN (D5) lives in ``hdbscan.py``.
 """
 
 from __future__ import annotations
@@ -21,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from acctlens.functions.median import global_quantile
+from acctlens.functions.unionfind import merge_labels
 from acctlens.operators.neighbors import distinct_points, k_distance, pairs_within
 from acctlens.session import cut_lineage
 
@@ -62,25 +60,15 @@ def dbscan(feat: DataFrame, k: int = 5, eps_percentile: float = 90, min_samples:
     return DBSCANResult(eps, cut_lineage(flags), pts, pr)
 
 
-def cluster_labels(res: DBSCANResult, max_rounds: int = 64) -> DataFrame:
-    """Account, cluster (the smallest core pid of its component; NULL for noise)."""
-    core = res.flags.where("is_core").select("pid").distinct()
+def cluster_labels(res: DBSCANResult) -> DataFrame:
+    """Account, cluster (the smallest core pid of its component; NULL for noise).
+    Components of the core–core graph by batched union-find; a border point takes the smallest
+    label among its core neighbours."""
+    core = cut_lineage(res.flags.where("is_core").select("pid").distinct())
     edges = (res.pairs.join(core, "pid", "left_semi")
              .join(core.select(F.col("pid").alias("qid")), "qid", "left_semi")
-             .where(F.col("pid") != F.col("qid")).select("pid", "qid"))
-    edges = cut_lineage(edges)
-    lab = cut_lineage(core.select("pid", F.col("pid").alias("lab")))
-    for _ in range(max_rounds):
-        nl = (edges.join(lab.select(F.col("pid").alias("qid"), F.col("lab").alias("ql")), "qid")
-              .groupBy("pid").agg(F.min("ql").alias("m")))
-        new = lab.join(nl, "pid", "left").select("pid", F.least("lab", F.coalesce("m", "lab")).alias("lab"))
-        hop = (new.alias("a").join(new.alias("b"), F.col("a.lab") == F.col("b.pid"))
-               .select(F.col("a.pid").alias("pid"), F.least(F.col("a.lab"), F.col("b.lab")).alias("lab")))
-        hop = cut_lineage(hop)
-        changed = hop.join(lab.withColumnRenamed("lab", "old"), "pid").where(F.col("lab") != F.col("old")).count()
-        lab = hop
-        if changed == 0:
-            break
+             .where(F.col("pid") < F.col("qid")).select(F.col("pid").alias("a"), F.col("qid").alias("b")))
+    lab = cut_lineage(merge_labels(core.select("pid", F.col("pid").alias("lab")), "lab", edges))
     border = (res.pairs.join(core, "pid", "left_anti")
               .join(lab.select(F.col("pid").alias("qid"), F.col("lab").alias("ql")), "qid")
               .groupBy("pid").agg(F.min("ql").alias("lab")))

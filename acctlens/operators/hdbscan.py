@@ -3,9 +3,9 @@
 1. Core distance = distance to the ``min_samples``-th point counting itself (D1's grid search).
 2. Minimum spanning tree of the mutual-reachability graph, mrd(p, q) = max(core p, core q, d),
    by **Borůvka rounds**: every component finds its lightest outgoing edge with a grid join whose
-   radius doubles only for unresolved components, and cells that hold nothing but the probing
+   radius grows (×4) only for unresolved components, and cells that hold nothing but the probing
    component are pruned at cell level before any point pair is formed; components merge by
-   min-label propagation.  Ties break on (mrd, lower id, higher id), so the tree is well defined.
+   batched union-find.  Ties break on (mrd, lower id, higher id), so the tree is well defined.
    Identical accounts (one distinct point with a multiplicity) are attached to their
    representative by star edges of weight core(p) — the exact tree of the full graph.
 3. **Condensation** (single-linkage order, ``min_cluster_size``): edges are range-partitioned by
@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from acctlens.functions.median import global_quantile
+from acctlens.functions.unionfind import merge_labels
 from acctlens.operators.neighbors import FEATS, IDX, OFFSETS, distinct_points, k_distance, pairs_within
 from acctlens.session import cut_lineage
 
@@ -37,25 +38,6 @@ CID_STRIDE = 1_000_000_000
 
 # ------------------------------------------------------------------ 2. Borůvka MST
 
-def _components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 200) -> DataFrame:
-    """(node, lab): connected components (label = smallest node) of an undirected edge list
-    (a, b), by min-label propagation with pointer jumping."""
-    und = cut_lineage(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    lab = cut_lineage(nodes.select("node", F.col("node").alias("lab")))
-    for _ in range(max_rounds):
-        nl = und.join(lab.select(F.col("node").alias("b"), F.col("lab").alias("bl")), "b") \
-            .groupBy(F.col("a").alias("node")).agg(F.min("bl").alias("m"))
-        new = lab.join(nl, "node", "left").select("node", F.least("lab", F.coalesce("m", "lab")).alias("lab"))
-        hop = (new.alias("x").join(new.alias("y"), F.col("x.lab") == F.col("y.node"))
-               .select(F.col("x.node").alias("node"), F.least(F.col("x.lab"), F.col("y.lab")).alias("lab")))
-        hop = cut_lineage(hop)
-        changed = hop.join(lab.withColumnRenamed("lab", "old"), "node").where(F.col("lab") != F.col("old")).limit(1).count()
-        lab = hop
-        if changed == 0:
-            break
-    return lab
-
-
 def _cells(df: DataFrame, radius: float, prefix: str = "") -> list:
     return [F.floor(F.col(f"{prefix}{c}") / F.lit(radius)).cast("long").alias(f"k{i}") for i, c in enumerate(IDX)]
 
@@ -103,8 +85,8 @@ def boruvka_mst(P: DataFrame, comp: DataFrame | None = None, r0: float | None =
             todo = todo.join(b, "comp", "left_anti")
             if todo.isEmpty():
                 break
-            radius *= 2.0
-        radius = max(radius / 2.0, 1e-9)      # next round starts near this round's scale
+            radius *= 4.0
+        radius = max(radius / 4.0, 1e-9)      # next round starts near this round's scale
         chosen = found[0]
         for x in found[1:]:
             chosen = chosen.unionByName(x)
@@ -112,9 +94,7 @@ def boruvka_mst(P: DataFrame, comp: DataFrame | None = None, r0: float | None =
         mst = new_edges if mst is None else mst.unionByName(new_edges)
         ce = (new_edges.join(comp.select(F.col("pid").alias("lo"), F.col("comp").alias("a")), "lo")
               .join(comp.select(F.col("pid").alias("hi"), F.col("comp").alias("b")), "hi").select("a", "b"))
-        lab = _components(comp.select(F.col("comp").alias("node")).distinct(), ce)
-        comp = cut_lineage(comp.join(lab.select(F.col("node").alias("comp"), "lab"), "comp")
-                           .select("pid", F.col("lab").alias("comp")))
+        comp = cut_lineage(merge_labels(comp, "comp", ce))
     if mst is None:
         return P.sparkSession.createDataFrame([], "lo string, hi string, w double")
     return cut_lineage(mst)

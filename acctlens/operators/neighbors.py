@@ -54,7 +54,7 @@ def k_distance(points: DataFrame, k: int, n_total: int | None = None, side0: flo
                max_rounds: int = 60) -> DataFrame:
     """(pid, kdist) — distance to the k-th nearest point counting the point itself and
     copies.  Cells start small and double only for points not yet resolved, so dense regions
-    resolve with small neighbourhoods and sparse ones widen."""
+    resolve with small neighbourhoods and sparse ones widen (×4 per round)."""
     n = n_total if n_total is not None else points.agg(F.sum("mult")).first()[0]
     if n < k:
         raise ValueError(f"Expected n_neighbors <= n_samples, but n_samples = {n}, n_neighbors = {k}")
@@ -68,10 +68,11 @@ def k_distance(points: DataFrame, k: int, n_total: int | None = None, side0: flo
               .groupBy("pid").agg(F.min("d").alias("kdist")))
         kd = cut_lineage(kd)
         done.append(kd)
-        todo = cut_lineage(todo.join(kd, "pid", "left_anti"))
+        todo = todo.join(kd, "pid", "left_anti")
         if todo.isEmpty():
             break
-        side *= 2.0
+        todo = cut_lineage(todo)
+        side *= 4.0
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)

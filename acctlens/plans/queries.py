@@ -557,8 +557,14 @@ def exact_flags(spark, d):
     return memo(spark, d, "exact_flags", build)
 
 
+def hdbscan_of(spark, d):
+    from acctlens.operators import hdbscan as HD
+    return memo(spark, d, "hdbscan", lambda: cut_lineage(HD.hdbscan(features_of(spark, d), 5, 3)))
+
+
 def detection_of(spark, d):
-    return memo(spark, d, "detect", lambda: DC.detect(stats_of(spark, d), DetectSpec()))
+    return memo(spark, d, "detect",
+                lambda: DC.detect(stats_of(spark, d), DetectSpec(), hdbscan_flags=hdbscan_of(spark, d)))
 
 
 _PAIRS_SQL = f"""{_feat_sql()},
@@ -620,6 +626,13 @@ def q_d10(spark, d):
     return exact_flags(spark, d).select("Account", "outlier_flag", "outlier_type")
 
 
+@register("d5_hdbscan", None)
+def q_d5(spark, d):
+    """HDBSCAN (min_cluster_size 5, min_samples 3) over the account features; no SQL form —
+    tests compare it with a sequential reference implementation."""
+    return hdbscan_of(spark, d)
+
+
 @register("d6_iforest_scores", None)
 def q_d6(spark, d):
     return rounded(detection_of(spark, d).accounts.select("Account", "if_score", "iforest_outlier"))
