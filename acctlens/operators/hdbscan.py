@@ -14,8 +14,9 @@
    ``min_cluster_size`` carries its member list, so state stays bounded).  Output: the condensed
    tree rows — points falling out of a cluster at λ = 1/w, and child clusters born at a split.
 4. **Excess of mass**: stability per cluster from the condensed rows (a grouped aggregate), then
-   the bottom-up selection and the top-down "no selected ancestor" pass as rounds over the
-   cluster tree (one round per tree level).  The root is never selectable, so a single blob
+   the bottom-up selection and the top-down "nearest selected ancestor" pass.  The cluster tree
+   has at most 2·accounts/min_cluster_size nodes; up to TREE_CAP nodes one task runs both passes,
+   beyond it they run as per-level rounds and pointer jumping.  Points are labelled by one join.  The root is never selectable, so a single blob
    leaves every account as noise, as in the library the reference calls.
 """
 
@@ -240,20 +241,96 @@ def condense(edges: DataFrame, accounts: DataFrame, mcs: int, batch_edges: int =
 
 # ------------------------------------------------------------------ 4. excess of mass
 
-def select_clusters(points: DataFrame, clusters: DataFrame, root_cid, max_rounds: int = 10_000) -> DataFrame:
-    """(cid, selected) for every non-root cluster of the condensed tree."""
+TREE_CAP = 2_000_000      # cluster-tree nodes handled in one task (≤ 2·accounts / min_cluster_size)
+
+
+def _eom_single_task(root_cid: int):
+    """Bottom-up excess-of-mass selection and the nearest selected ancestor of every cluster,
+    over the whole (bounded) cluster tree in one task."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        cid = pdf["cid"].astype("int64").tolist()
+        par = {c: (None if pd.isna(p) else int(p)) for c, p in zip(cid, pdf["parent"])}
+        stab = dict(zip(cid, pdf["stab"].astype(float)))
+        kids: dict = {c: [] for c in cid}
+        for c, p in par.items():
+            if p is not None:
+                kids[p].append(c)
+        eff, sel = dict(stab), {}
+        for c in sorted(cid):                      # creation order: children before parents
+            if c == root_cid:
+                continue
+            sub = sum(eff[k] for k in kids[c])
+            if kids[c] and sub > stab[c]:
+                sel[c], eff[c] = False, sub
+            else:
+                sel[c] = True
+        target: dict = {root_cid: None}
+        final: dict = {}
+        for c in sorted(cid, reverse=True):        # parents before children
+            if c == root_cid:
+                continue
+            up = target.get(par[c]) if par[c] is not None else None
+            final[c] = sel[c] and up is None
+            target[c] = up if up is not None else (c if final[c] else None)
+        out = [c for c in cid if c != root_cid]
+        return pd.DataFrame({"cid": pd.array(out, dtype="Int64"),
+                             "selected": pd.Series([final[c] for c in out], dtype=bool),
+                             "target": pd.array([target[c] for c in out], dtype="Int64")})
+    return run
+
+
+def _stability_nodes(points: DataFrame, clusters: DataFrame, root_cid) -> DataFrame:
     spark = points.sparkSession
-    if root_cid is None:
-        return spark.createDataFrame([], "cid long, selected boolean")
     births = clusters.select("cid", F.col("lam").alias("birth")).unionByName(
         spark.createDataFrame([(int(root_cid), 0.0)], "cid long, birth double"))
     rows = points.select(F.col("cid").alias("parent"), "lam", F.lit(1).cast("long").alias("size")) \
         .unionByName(clusters.select("parent", "lam", "size"))
     stab = (rows.join(births.withColumnRenamed("cid", "parent"), "parent")
             .groupBy("parent").agg(F.sum((F.col("lam") - F.col("birth")) * F.col("size")).alias("stab")))
-    nodes = cut_lineage(births.select("cid").join(stab.withColumnRenamed("parent", "cid"), "cid", "left")
-                        .join(clusters.select("cid", "parent"), "cid", "left")
-                        .select("cid", "parent", F.coalesce("stab", F.lit(0.0)).alias("stab")))
+    return cut_lineage(births.select("cid").join(stab.withColumnRenamed("parent", "cid"), "cid", "left")
+                       .join(clusters.select("cid", "parent"), "cid", "left")
+                       .select("cid", "parent", F.coalesce("stab", F.lit(0.0)).alias("stab")))
+
+
+def select_and_target(points: DataFrame, clusters: DataFrame, root_cid) -> DataFrame:
+    """(cid, selected, target): EOM selection and, per cluster, the selected cluster on its
+    path to the root (NULL = its points are noise).  One bounded task up to TREE_CAP nodes,
+    per-level rounds beyond."""
+    spark = points.sparkSession
+    if root_cid is None:
+        return spark.createDataFrame([], "cid long, selected boolean, target long")
+    nodes = _stability_nodes(points, clusters, root_cid)
+    if nodes.count() <= TREE_CAP:
+        return cut_lineage(nodes.groupBy(F.lit(0).alias("__g"))
+                           .applyInPandas(_eom_single_task(int(root_cid)), "cid long, selected boolean, target long"))
+    sel = select_clusters(points, clusters, root_cid, nodes)
+    return sel.join(label_clusters(clusters, sel), "cid", "left")
+
+
+def label_clusters(clusters: DataFrame, selected: DataFrame, max_rounds: int = 64) -> DataFrame:
+    """(cid, target) by pointer jumping: O(log height) rounds."""
+    s = selected.select("cid", "selected")
+    st = cut_lineage(clusters.select("cid", "parent").join(s, "cid")
+                     .select("cid", F.when(F.col("selected"), F.col("cid")).alias("target"),
+                             F.when(F.col("selected"), F.lit(None).cast("long")).otherwise(F.col("parent")).alias("nxt")))
+    for _ in range(max_rounds):
+        if st.where(F.col("target").isNull() & F.col("nxt").isNotNull()).isEmpty():
+            break
+        j = st.alias("a").join(st.alias("b"), F.col("a.nxt") == F.col("b.cid"), "left")
+        st = cut_lineage(j.select(F.col("a.cid").alias("cid"),
+                                  F.coalesce(F.col("a.target"), F.col("b.target")).alias("target"),
+                                  F.when(F.col("a.target").isNull(), F.col("b.nxt")).alias("nxt")))
+    return st.select("cid", "target")
+
+
+def select_clusters(points: DataFrame, clusters: DataFrame, root_cid, nodes: DataFrame | None = None,
+                    max_rounds: int = 10_000) -> DataFrame:
+    """(cid, selected) for every non-root cluster, by per-level rounds (the path for trees
+    above TREE_CAP nodes)."""
+    spark = points.sparkSession
+    if root_cid is None:
+        return spark.createDataFrame([], "cid long, selected boolean")
+    nodes = _stability_nodes(points, clusters, root_cid) if nodes is None else nodes
     # bottom-up: a node is decided once all its children are decided
     done = spark.createDataFrame([], "cid long, eff double, sel boolean")
     for _ in range(max_rounds):
@@ -337,8 +414,8 @@ def hdbscan(feat: DataFrame, min_cluster_size: int = 5, min_samples: int = 3,
     cond.feed(longer.select(F.col("lo").alias("u"), F.col("hi").alias("v"), "w")
               .unionByName(star.where(F.col("w") > F.lit(R))))
     points, clusters, root_cid = cond.result()
-    selected = select_clusters(points, clusters, root_cid)
-    labels = label_points(points, clusters, selected, root_cid)
-    return (accts.join(labels, "acct", "left")
+    tgt = select_and_target(points, clusters, root_cid)
+    labels = points.join(tgt.select("cid", F.col("target").alias("cluster")), "cid").where(F.col("cluster").isNotNull())
+    return (accts.join(labels.select("acct", "cluster"), "acct", "left")
             .select(F.col("acct").alias("Account"), F.col("cluster").alias("hdbscan_cluster"),
                     F.col("cluster").isNull().cast("int").alias("hdbscan_outlier")))

@@ -635,7 +635,8 @@ def q_d5(spark, d):
 
 @register("d6_iforest_scores", None)
 def q_d6(spark, d):
-    return rounded(detection_of(spark, d).accounts.select("Account", "if_score", "iforest_outlier"))
+    sc, _ = FO.isolation_forest(features_of(spark, d), 0.10, 100, 256, 42)
+    return rounded(sc)
 
 
 @register("d12_detect", None)

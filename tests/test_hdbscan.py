@@ -40,3 +40,15 @@ def test_single_blob_is_all_noise(spark):
     got = hdbscan(df, 5, 3).toPandas()
     ref = hdbscan_ref(X, 5, 3)
     assert np.array_equal(got.set_index("Account").loc[pdf.Account].hdbscan_outlier.values == 1, ref == -1)
+
+
+def test_round_based_tree_path_agrees(spark, monkeypatch):
+    import acctlens.operators.hdbscan as H
+    rng = np.random.default_rng(3)
+    X = np.vstack([rng.normal(0, 1, (30, 4)), rng.normal(6, 0.4, (15, 4)), rng.normal(-6, 0.4, (12, 4))])
+    pdf, df = _frame(spark, X)
+    monkeypatch.setattr(H, "TREE_CAP", 0)
+    got = hdbscan(df, 5, 3).toPandas().set_index("Account").loc[pdf.Account]
+    ref = hdbscan_ref(X, 5, 3)
+    assert np.array_equal(got.hdbscan_outlier.values == 1, ref == -1)
+    assert _partition(list(got.hdbscan_cluster.values)) == _partition(list(ref))
