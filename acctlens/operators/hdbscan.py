@@ -2,12 +2,13 @@
 
 1. Core distance = distance to the ``min_samples``-th point counting itself (D1's grid search).
 2. Minimum spanning tree of the mutual-reachability graph, mrd(p, q) = max(core p, core q, d),
-   by **Borůvka rounds**: every component finds its lightest outgoing edge with a grid join whose
-   radius grows (×4) only for unresolved components, and cells that hold nothing but the probing
-   component are pruned at cell level before any point pair is formed; components merge by
-   batched union-find.  Ties break on (mrd, lower id, higher id), so the tree is well defined.
-   Identical accounts (one distinct point with a multiplicity) are attached to their
-   representative by star edges of weight core(p) — the exact tree of the full graph.
+   by **Kruskal in weight phases**: one grid join yields every edge up to R; each later phase
+   yields, with cells of side R·4^k, only the edges that join *different* current components
+   (cells that hold nothing but the probing component are pruned at cell level before any point
+   pair is formed).  The condenser's union-find keeps the tree edges and is itself the
+   component state; ties break on (w, u, v).  Identical accounts (one distinct point with a
+   multiplicity) hang off their representative by star edges of weight core(p) — the exact
+   tree of the full graph.
 3. **Condensation** (single-linkage order, ``min_cluster_size``): edges are range-partitioned by
    weight into batches of at most ``batch_edges``; batches run in order, each in one task with a
    union-find over only the components its edges touch (a component smaller than
@@ -29,7 +30,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from acctlens.functions.median import global_quantile
-from acctlens.functions.unionfind import merge_labels
 from acctlens.operators.neighbors import FEATS, IDX, OFFSETS, distinct_points, k_distance, pairs_within
 from acctlens.session import cut_lineage
 
@@ -37,68 +37,34 @@ BATCH_EDGES = 200_000
 CID_STRIDE = 1_000_000_000
 
 
-# ------------------------------------------------------------------ 2. Borůvka MST
+# ------------------------------------------------------------------ 2. spanning-tree edges by weight phase
 
 def _cells(df: DataFrame, radius: float, prefix: str = "") -> list:
     return [F.floor(F.col(f"{prefix}{c}") / F.lit(radius)).cast("long").alias(f"k{i}") for i, c in enumerate(IDX)]
 
 
-def _lightest_out_edges(P: DataFrame, comp: DataFrame, todo: DataFrame, radius: float) -> DataFrame:
-    """(comp, w, lo, hi) for components in ``todo`` that have an outgoing edge with mrd ≤ radius."""
+def _cross_pairs(P: DataFrame, comp: DataFrame, lo: float, hi: float) -> DataFrame:
+    """Mutual-reachability edges (u, v, w) with lo < w ≤ hi between points of different
+    components.  Grid join with cells of side ``hi``; a probe cell whose 27-neighbourhood cell
+    holds only the probe's own component is pruned at cell level, before point pairs exist."""
     pts = P.join(comp, "pid")
     build = pts.select(F.col("pid").alias("qid"), F.col("comp").alias("qcomp"), F.col("core").alias("qcore"),
-                       *[F.col(c).alias(f"q_{c}") for c in FEATS], *_cells(pts, radius))
+                       *[F.col(c).alias(f"q_{c}") for c in FEATS], *_cells(pts, hi))
     cellinfo = build.groupBy("k0", "k1", "k2").agg(F.min("qcomp").alias("cmin"), F.max("qcomp").alias("cmax"))
     off = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c"))
                               for a, b, c in OFFSETS])).alias("o")
-    probe = pts.join(todo, "comp", "left_semi").select(
+    probe = pts.where(F.col("core") <= F.lit(hi)).select(
         "pid", "comp", "core", *[F.col(c).alias(f"p_{c}") for c in FEATS], off)
-    probe = probe.select("*", *[(F.floor(F.col(f"p_{c}") / F.lit(radius)).cast("long") + F.col(f"o.{ax}")).alias(f"k{i}")
+    probe = probe.select("*", *[(F.floor(F.col(f"p_{c}") / F.lit(hi)).cast("long") + F.col(f"o.{ax}")).alias(f"k{i}")
                                 for i, (c, ax) in enumerate(zip(IDX, "abc"))]).drop("o")
-    # cell-level prune: a cell holding only the probe's own component cannot give an outgoing edge
     probe = probe.join(cellinfo, ["k0", "k1", "k2"]) \
         .where(~((F.col("cmin") == F.col("comp")) & (F.col("cmax") == F.col("comp")))).drop("cmin", "cmax")
-    j = probe.join(build, ["k0", "k1", "k2"]).where(F.col("qcomp") != F.col("comp"))
+    j = (probe.join(build.where(F.col("qcore") <= F.lit(hi)), ["k0", "k1", "k2"])
+         .where((F.col("qcomp") != F.col("comp")) & (F.col("pid") < F.col("qid"))))
     d = F.sqrt(sum(((F.col(f"p_{c}") - F.col(f"q_{c}")) ** 2 for c in FEATS), F.lit(0.0)))
-    mrd = F.greatest(F.col("core"), F.col("qcore"), d)
-    cand = j.select("comp", mrd.alias("w"), F.least("pid", "qid").alias("lo"), F.greatest("pid", "qid").alias("hi"),
-                    d.alias("d")).where((F.col("d") <= F.lit(radius)) & (F.col("w") <= F.lit(radius)))
-    best = cand.groupBy("comp").agg(F.min(F.struct("w", "lo", "hi")).alias("e"))
-    return best.select("comp", "e.w", "e.lo", "e.hi")
-
-
-def boruvka_mst(P: DataFrame, comp: DataFrame | None = None, r0: float | None = None,
-                max_rounds: int = 64) -> DataFrame:
-    """Spanning-tree edges (lo, hi, w) joining the components ``comp`` (pid, comp) of the
-    distinct points P(pid, f0..f3, mult, core) — the whole tree when every point starts alone."""
-    P = cut_lineage(P)
-    comp = cut_lineage(P.select("pid", F.col("pid").alias("comp")) if comp is None else comp)
-    mst = None
-    radius = r0 or max(float(global_quantile(P, "core", 0.5) or 0.0), 1e-9)
-    for _ in range(max_rounds):
-        todo = cut_lineage(comp.select("comp").distinct())
-        if todo.limit(2).count() <= 1:
-            break
-        found = []
-        for _ in range(200):
-            b = cut_lineage(_lightest_out_edges(P, comp, todo, radius))
-            found.append(b)
-            todo = todo.join(b, "comp", "left_anti")
-            if todo.isEmpty():
-                break
-            radius *= 4.0
-        radius = max(radius / 4.0, 1e-9)      # next round starts near this round's scale
-        chosen = found[0]
-        for x in found[1:]:
-            chosen = chosen.unionByName(x)
-        new_edges = cut_lineage(chosen.select("lo", "hi", "w").distinct())
-        mst = new_edges if mst is None else mst.unionByName(new_edges)
-        ce = (new_edges.join(comp.select(F.col("pid").alias("lo"), F.col("comp").alias("a")), "lo")
-              .join(comp.select(F.col("pid").alias("hi"), F.col("comp").alias("b")), "hi").select("a", "b"))
-        comp = cut_lineage(merge_labels(comp, "comp", ce))
-    if mst is None:
-        return P.sparkSession.createDataFrame([], "lo string, hi string, w double")
-    return cut_lineage(mst)
+    w = F.greatest(F.col("core"), F.col("qcore"), d)
+    return (j.select(F.col("pid").alias("u"), F.col("qid").alias("v"), w.alias("w"))
+            .where((F.col("w") > F.lit(lo)) & (F.col("w") <= F.lit(hi))))
 
 
 # ------------------------------------------------------------------ 3. condensation
@@ -188,6 +154,9 @@ class Condenser:
         if n_edges == 0:
             return
         n_batches = max(1, math.ceil(n_edges / self.batch_edges))
+        if n_batches == 1:                 # one bounded batch: the task sorts it itself
+            self._batch(edges)
+            return
         E = cut_lineage(edges.repartitionByRange(n_batches, "w", "u", "v").withColumn("batch", F.spark_partition_id()))
         for b in range(n_batches):
             self._batch(E.where(F.col("batch") == b))
@@ -201,7 +170,7 @@ class Condenser:
             return
         self.batch_no += 1
         b = self.batch_no
-        touched = cut_lineage(eb.select(F.col("ru").alias("root")).union(eb.select(F.col("rv").alias("root"))).distinct())
+        touched = eb.select(F.col("ru").alias("root")).union(eb.select(F.col("rv").alias("root"))).distinct()
         cstate = comp.join(touched, "root", "left_semi")
         both = (eb.select(F.lit("e").alias("kind"), "u", "v", "w", "ru", "rv", F.lit(None).cast("string").alias("root"),
                           F.lit(None).cast("long").alias("size"), F.lit(None).cast("long").alias("cid"),
@@ -386,21 +355,23 @@ def label_points(points: DataFrame, clusters: DataFrame, selected: DataFrame, ro
 # ------------------------------------------------------------------ D5
 
 def hdbscan(feat: DataFrame, min_cluster_size: int = 5, min_samples: int = 3,
-            batch_edges: int = BATCH_EDGES, short_quantile: float = 0.9) -> DataFrame:
+            batch_edges: int = BATCH_EDGES, short_quantile: float = 0.9, growth: float = 4.0,
+            max_phases: int = 200) -> DataFrame:
     """Account, hdbscan_cluster (NULL = noise), hdbscan_outlier.
 
-    Phase 1 feeds every mutual-reachability edge up to R = the ``short_quantile`` of the core
-    distances (one grid join) to the condenser in weight order — Kruskal keeps exactly the tree
-    edges.  Phase 2 joins the components left over with geometric Borůvka rounds; those edges
-    are all heavier than R, so condensation simply continues."""
+    Kruskal in weight phases: phase 1 feeds every mutual-reachability edge up to R (the
+    ``short_quantile`` of the core distances); phase k feeds the edges in (R·g^(k−2), R·g^(k−1)]
+    that join *different* current components (the condenser's union-find is the component
+    state), until one component remains.  Each phase's edges are heavier than all edges fed
+    before, so the condenser sees the spanning tree in exact weight order."""
     pts, mapping = distinct_points(feat)
     n = feat.count()
     core = cut_lineage(k_distance(pts, min_samples, n).withColumnRenamed("kdist", "core"))
     P = cut_lineage(pts.join(core, "pid"))
     mapping = cut_lineage(mapping)
     accts = mapping.select(F.col("Account").alias("acct"))
-    star = (mapping.where(F.col("Account") != F.col("pid")).join(core, "pid")
-            .select(F.col("pid").alias("u"), F.col("Account").alias("v"), F.col("core").alias("w")))
+    star = cut_lineage(mapping.where(F.col("Account") != F.col("pid")).join(core, "pid")
+                       .select(F.col("pid").alias("u"), F.col("Account").alias("v"), F.col("core").alias("w")))
     R = max(float(global_quantile(P, "core", short_quantile) or 0.0), 1e-9)
     pr = pairs_within(P, P, R).where(F.col("pid") < F.col("qid"))
     cand = (pr.join(core.select("pid", F.col("core").alias("cp")), "pid")
@@ -409,10 +380,15 @@ def hdbscan(feat: DataFrame, min_cluster_size: int = 5, min_samples: int = 3,
             .where(F.col("w") <= F.lit(R)))
     cond = Condenser(accts, min_cluster_size, batch_edges)
     cond.feed(cand.unionByName(star.where(F.col("w") <= F.lit(R))))
-    comp = P.select("pid").join(cond.root.select(F.col("acct").alias("pid"), F.col("root").alias("comp")), "pid")
-    longer = boruvka_mst(P, comp, 2.0 * R)
-    cond.feed(longer.select(F.col("lo").alias("u"), F.col("hi").alias("v"), "w")
-              .unionByName(star.where(F.col("w") > F.lit(R))))
+    lo = R
+    for _ in range(max_phases):
+        if cond.root.select("root").distinct().limit(2).count() <= 1:
+            break
+        hi = lo * growth
+        comp = P.select("pid").join(cond.root.select(F.col("acct").alias("pid"), F.col("root").alias("comp")), "pid")
+        cond.feed(_cross_pairs(P, comp, lo, hi)
+                  .unionByName(star.where((F.col("w") > F.lit(lo)) & (F.col("w") <= F.lit(hi)))))
+        lo = hi
     points, clusters, root_cid = cond.result()
     tgt = select_and_target(points, clusters, root_cid)
     labels = points.join(tgt.select("cid", F.col("target").alias("cluster")), "cid").where(F.col("cluster").isNotNull())
