@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from acctlens.operators.features import Design
-from acctlens.session import cut_lineage
+from acctlens.session import cut_lineage, sized_broadcast
 
 SLOT = ["slot_k", "slot_f"]
 
@@ -267,7 +267,7 @@ def predict_rows(m: DataFrame, fit: FoldFit, test: DataFrame) -> DataFrame:
     X = design_exprs(fit.design)
     lin = sum((X[i] * F.col(f"b_{i}") for i in range(p)), F.lit(0.0))
     scored = (m.join(F.broadcast(test), "period")
-              .join(fit.alpha, SLOT + ["g"], "left")
+              .join(sized_broadcast(fit.alpha), SLOT + ["g"], "left")
               .join(F.broadcast(fit.coef_df), SLOT))
     pred = F.coalesce(F.col("alpha"), F.col("alpha0")) + lin
     return scored.select("*", pred.alias("predicted")).withColumn("residual", F.col("y") - F.col("predicted"))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from acctlens.functions.median import DEFAULT_CAP, group_median
-from acctlens.session import cut_lineage
+from acctlens.session import cut_lineage, sized_broadcast
 
 FEATURES = ["w_mean_residual", "z_mean_residual", "w_std_residual", "w_skew_residual"]
 # std below this fraction of max(1, |mean|) is floating-point noise of a constant account
@@ -37,7 +37,7 @@ def account_stats(res: DataFrame, account: str = "account", residual: str = "res
                                F.when(F.col("sw") == 0, F.raise_error(F.lit("Weights sum to zero, can't be normalized")))
                                .otherwise(F.col("swr") / F.col("sw")).alias("w_mean_residual")))
     max_n = m1.agg(F.max("count")).first()[0] or 0
-    c = r.join(m1.select("Account", "w_mean_residual"), "Account")
+    c = r.join(sized_broadcast(m1.select("Account", "w_mean_residual")), "Account")
     d = F.col("r") - F.col("w_mean_residual")
     m2 = c.groupBy("Account").agg(F.sum(F.col("w") * d * d).alias("s2"), F.sum(F.col("w") * d * d * d).alias("s3"))
     st = m1.join(m2, "Account")
@@ -57,8 +57,8 @@ def account_stats(res: DataFrame, account: str = "account", residual: str = "res
 def account_mad(r: DataFrame, cap: int | None = None, max_n: int | None = None) -> DataFrame:
     """A5: median(|r − median(r)|) per account, unweighted, unscaled."""
     kw = {"cap": cap or DEFAULT_CAP, "max_group_size": max_n}
-    med = group_median(r, "Account", "r", "__med", **kw)
-    dev = r.join(med, "Account").select("Account", F.abs(F.col("r") - F.col("__med")).alias("__ad"))
+    med = cut_lineage(group_median(r, "Account", "r", "__med", **kw))
+    dev = r.join(sized_broadcast(med), "Account").select("Account", F.abs(F.col("r") - F.col("__med")).alias("__ad"))
     return group_median(dev, "Account", "__ad", "mad_residual", **kw)
 
 

@@ -12,6 +12,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
@@ -71,3 +72,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = checkpoint_dir(spark).rstrip("/") + f"/acctlens-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)   # known schema: no footer-reading job
+
+
+# Per-key side tables (per account, per fold × account) are broadcast only below this many rows
+# (~tens of MB); above it the join stays a shuffle join that AQE can split when a key is hot.
+BROADCAST_MAX_ROWS = 1_000_000
+
+
+def sized_broadcast(small: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Broadcast hint behind a proven size bound: the row count of an already materialised
+    table (a cheap job); beyond the bound the plain DataFrame is returned."""
+    n = small.limit(max_rows + 1).count()
+    return F.broadcast(small) if n <= max_rows else small
