@@ -58,16 +58,18 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     return df.select(*exprs)
 
 
-def column_info(df: DataFrame) -> DataFrame:
+def column_info(df: DataFrame, exact_unique: bool = True, rsd: float = 0.01) -> DataFrame:
     """S3: per column dtype, null_count, null_pct (rounded 2) and unique_count (nulls excluded).
 
     One pass: a single global aggregate with two expressions per column, then an unpivot.
-    """
+    Exact distinct counts over many columns make Spark expand every row once per column;
+    ``exact_unique=False`` uses mergeable HyperLogLog++ sketches instead (relative error ``rsd``)
+    for wide or very large tables."""
     aggs = [F.count(F.lit(1)).alias("__n")]
     for i, f in enumerate(df.schema.fields):
         c = qcol(f.name)
         aggs.append(F.count_if(c.isNull()).alias(f"__nul{i}"))
-        aggs.append(F.count_distinct(c).alias(f"__unq{i}"))
+        aggs.append((F.count_distinct(c) if exact_unique else F.approx_count_distinct(c, rsd)).alias(f"__unq{i}"))
     one = df.agg(*aggs)
     rows = [F.struct(F.lit(i).alias("ordinal"), F.lit(f.name).alias("column"),
                      F.lit(f.dataType.simpleString()).alias("dtype"),
