@@ -266,9 +266,9 @@ K = 5
 WEIGHT = "Auto_Base_Units"
 
 
-def model_frame(spark, d, spec: ModelSpec = MODEL, account_key: str = "supplier"):
+def model_frame(spark, d, spec: ModelSpec = MODEL, account_key: str = "supplier", filters=None):
     sv = PE.create_equal_periods(sales_view(spark, d, account_key), "Date", WEEKS)
-    f = FL.apply_filters(sv, SPEC)
+    f = FL.apply_filters(sv, SPEC if filters is None else filters)
     return FE.prepare(f, spec, "Account", "Time_Period", WEIGHT)
 
 
@@ -755,6 +755,59 @@ def q_v9(spark, d):
 
 
 
+# ---------------------------------------------------------------- customers as accounts
+# 1,500 accounts at sf0.01 with a few rows each: many accounts are missing from some training
+# folds, so the fold-baseline branch for unseen levels is exercised against the SQL recipe.
+
+_MFC = _mf_sql(SVC)
+_CV5C = _cv_sql([K], _MFC)
+
+
+@register("k3_cv_residuals_customers", f"""{_CV5C}
+SELECT fold, account, round(y, 6) AS actual, round(predicted, 6) AS predicted, round(y - predicted, 6) AS residual,
+       round(weight, 6) AS weight, period FROM pred""")
+def q_k3c(spark, d):
+    m, design = model_frame(spark, d, MODEL, "customer")
+    return rounded(CV.run_cv(m, design, K).residuals)
+
+
+@register("a1_a7_account_stats_customers", f"{_stats_sql(_CV5C)} SELECT {_STATS_COLS} FROM stats")
+def q_ac(spark, d):
+    return rounded(cv_account_stats(spark, d, MODEL, "customer"))
+
+
+@register("d3_dbscan_noise_customers", f"""{_feat_sql(_CV5C)},
+pr AS (SELECT a.Account p, b.Account q,
+              sqrt((a.f0 - b.f0) ^ 2 + (a.f1 - b.f1) ^ 2 + (a.f2 - b.f2) ^ 2 + (a.f3 - b.f3) ^ 2) d FROM feat a, feat b),
+rk AS (SELECT p, d, row_number() OVER (PARTITION BY p ORDER BY d, q) rn FROM pr),
+kd AS (SELECT p AS Account, d AS kdist FROM rk WHERE rn = 5),
+eps AS (SELECT quantile_cont(kdist, 0.9) e FROM kd),
+nb AS (SELECT p, count(*) n_within FROM pr, eps WHERE d <= e GROUP BY p),
+core AS (SELECT p FROM nb WHERE n_within >= 5)
+SELECT f.Account, round(kd.kdist, 6) AS kdist, CAST(nb.n_within AS BIGINT) AS n_within,
+       CASE WHEN EXISTS (SELECT 1 FROM pr, eps WHERE pr.p = f.Account AND pr.d <= eps.e
+                         AND pr.q IN (SELECT p FROM core)) THEN 0 ELSE 1 END AS dbscan_outlier
+FROM feat f JOIN nb ON nb.p = f.Account JOIN kd ON kd.Account = f.Account""")
+def q_d3c(spark, d):
+    feat = cut_lineage(RS.feature_matrix(cut_lineage(cv_account_stats(spark, d, MODEL, "customer"))))
+    db = DN.dbscan(feat, 5, 90, 5)
+    return rounded(db.flags.select("Account", "kdist", "n_within", "dbscan_outlier"))
+
+
+# promo code 1 thins the panel so that some customers occur in one fold only: their held-out
+# rows must take the fold's baseline level (30 of 285 accounts at sf0.01).
+SPEC_PROMO1 = FL.FilterSpec(lower=1, cot="HOUSEHOLD", acv_threshold=10, auto_promo_code=1, exclude_zero_sales=True)
+_CVU = _cv_sql([K], _MFC.replace("Auto_Promo_Code = 0", "Auto_Promo_Code = 1"))
+
+
+@register("k3_cv_residuals_unseen_levels", f"""{_CVU}
+SELECT fold, account, round(y, 6) AS actual, round(predicted, 6) AS predicted, round(y - predicted, 6) AS residual,
+       round(weight, 6) AS weight, period FROM pred""")
+def q_k3u(spark, d):
+    m, design = model_frame(spark, d, MODEL, "customer", SPEC_PROMO1)
+    return rounded(CV.run_cv(m, design, K).residuals)
+
+
 # ---------------------------------------------------------------- flagship
 
 @register("flagship_worst_explained", f"""{_stats_sql()}
