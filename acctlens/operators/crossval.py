@@ -44,6 +44,14 @@ def fold_assignment(counts: DataFrame, ks: list[int]) -> DataFrame:
     return arr.select("k", F.inline(F.expr(greedy))).select(F.col("k").cast("int"), "period", "fold")
 
 
+def local_folds(T: DataFrame, ks: list[int]) -> tuple[DataFrame, int]:
+    """The period → fold map (#periods × #k rows — the calendar, not the data) as a local
+    relation (read by several small jobs, needs no write) and the number of periods (K2)."""
+    f = fold_assignment(period_counts(T), ks)
+    rows = f.collect()
+    return T.sparkSession.createDataFrame(rows, f.schema), len({r["period"] for r in rows})
+
+
 def n_groups(T: DataFrame) -> int:
     """K2 on the moment table: distinct periods (tiny)."""
     return T.select("period").distinct().count()
@@ -70,10 +78,9 @@ def prepare_moments(m: DataFrame, design: Design) -> DataFrame:
 def run_cv(m: DataFrame, design: Design, k: int, T: DataFrame | None = None) -> CVResult:
     """K3: refit on all but one fold, predict the held-out periods; one row per observation."""
     T = prepare_moments(m, design) if T is None else T
-    ng = n_groups(T)
+    folds, ng = local_folds(T, [k])
     if ng < k:
         raise ValueError(f"Not enough groups for {k} splits. Found only {ng} unique values in 'period'")
-    folds = cut_lineage(fold_assignment(period_counts(T), [k]))
     sl = _slots(folds)
     slots = [(k, f) for f in range(1, k + 1)]
     fit = fit_slots(T, design, sl, sl, slots)
@@ -81,8 +88,7 @@ def run_cv(m: DataFrame, design: Design, k: int, T: DataFrame | None = None) ->
     # K7 is read by several jobs downstream (metrics, account statistics, export): write it once.
     res = cut_lineage(scored.select(F.col("slot_f").alias("fold"), "account", F.col("y").alias("actual"),
                                     "predicted", "residual", "weight", "period"))
-    total = T.agg(F.sum("n")).first()[0]
-    return CVResult(k, folds, res, T, int(total))
+    return CVResult(k, folds, res, T, fit.total_n)
 
 
 def fold_summary(cv: CVResult) -> DataFrame:
@@ -113,11 +119,11 @@ def find_optimal_k(m: DataFrame, design: Design, k_range=range(2, 11), T: DataFr
     """K8 + V11: for every feasible k the mean/std of fold MSE and R²; ``best`` marks the
     lowest mean MSE (first k on ties).  One moment table, no further pass over rows."""
     T = prepare_moments(m, design) if T is None else T
-    ng = n_groups(T)
+    folds, ng = local_folds(T, list(k_range))
     ks = [k for k in k_range if k <= ng]
     if not ks:
         raise ValueError(f"No k in {list(k_range)} fits {ng} groups")
-    folds = cut_lineage(fold_assignment(period_counts(T), ks))
+    folds = folds.where(F.col("k").isin(ks))
     sl = _slots(folds)
     slots = [(k, f) for k in ks for f in range(1, k + 1)]
     fit = fit_slots(T, design, sl, sl, slots)

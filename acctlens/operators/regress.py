@@ -97,6 +97,7 @@ class FoldFit:
     baseline: dict[tuple[int, int], object]
     coef_df: DataFrame          # slot_k, slot_f, b_0.., alpha0
     alpha: DataFrame            # slot_k, slot_f, g, alpha
+    total_n: int = 0            # rows in the moment table
 
 
 def _phi_aggs(p: int, pairs, n: Column, sy: Column, sx: list[Column], prefix: str) -> list[Column]:
@@ -197,33 +198,33 @@ def fit_slots(T: DataFrame, design: Design, excl: DataFrame, test: DataFrame,
     # (4) baseline level per slot (smallest g with training rows).
     baseline = _baselines(tot, joined, slots, delta)
 
-    # (5) coefficient table + per-(slot, g) intercepts for the groups to be predicted.
+    # (5) intercept of each slot's baseline level on the driver: one total row per baseline
+    #     group and at most one held-out row per slot (tiny, bounded by the number of slots).
+    g0s = sorted({baseline[s] for s in slots}, key=str)
+    tot0 = {r["g"]: r for r in tot.where(F.col("g").isin(g0s)).collect()}
+    ex0 = {(r["slot_k"], r["slot_f"], r["g"]): r for r in exg.where(F.col("g").isin(g0s)).collect()}
     rows = []
     for s in slots:
-        rows.append((int(s[0]), int(s[1]), *[float(v) for v in coef[s]]))
-    coef_df = spark.createDataFrame(rows, ", ".join(["slot_k int", "slot_f int"] + [f"b_{i} double" for i in range(p)]))
+        t0, e0 = tot0[baseline[s]], ex0.get((s[0], s[1], baseline[s]))
+        tn = t0["n"] - (e0["en"] if e0 else 0)
+        tsy = t0["sy"] - (e0["esy"] if e0 else 0.0)
+        tsx = np.array([t0[f"sx_{i}"] - (e0[f"esx_{i}"] if e0 else 0.0) for i in range(p)])
+        a0 = float((tsy - tsx @ coef[s]) / tn)
+        rows.append((int(s[0]), int(s[1]), *[float(v) for v in coef[s]], a0))
+    coef_df = spark.createDataFrame(
+        rows, ", ".join(["slot_k int", "slot_f int"] + [f"b_{i} double" for i in range(p)] + ["alpha0 double"]))
+    # per-(slot, g) intercepts for the groups to be predicted
     need = (T.join(F.broadcast(test), "period").select(*SLOT, "g").distinct())
     a = (need.join(exg, SLOT + ["g"], "left").join(tot, "g")
          .select(*SLOT, "g", (F.col("n") - F.coalesce(F.col("en"), F.lit(0))).alias("tn"),
                  (F.col("sy") - F.coalesce(F.col("esy"), F.lit(0.0))).alias("tsy"),
                  *[(F.col(f"sx_{i}") - F.coalesce(F.col(f"esx_{i}"), F.lit(0.0))).alias(f"tsx_{i}")
                    for i in range(p)]))
-    # alpha of the baseline level, per slot (tiny: one group per slot)
-    bl_rows = [(int(s[0]), int(s[1]), baseline[s]) for s in slots]
-    gtype = T.schema["g"].dataType.simpleString()
-    bl = spark.createDataFrame(bl_rows, f"slot_k int, slot_f int, g {gtype}")
-    bl_a = (bl.join(tot, "g").join(exg, SLOT + ["g"], "left")
-            .select(*SLOT, (F.col("n") - F.coalesce(F.col("en"), F.lit(0))).alias("tn"),
-                    (F.col("sy") - F.coalesce(F.col("esy"), F.lit(0.0))).alias("tsy"),
-                    *[(F.col(f"sx_{i}") - F.coalesce(F.col(f"esx_{i}"), F.lit(0.0))).alias(f"tsx_{i}")
-                      for i in range(p)]))
     alpha_expr = (F.col("tsy") - sum((F.col(f"tsx_{i}") * F.col(f"b_{i}") for i in range(p)), F.lit(0.0))) / F.col("tn")
-    alpha0 = bl_a.join(F.broadcast(coef_df), SLOT).select(*SLOT, alpha_expr.alias("alpha0"))
-    # both are read by the scoring pass and by the metrics: materialise them once
-    coef_df = cut_lineage(coef_df.join(alpha0, SLOT, "left"))
+    # read by the scoring pass and by the metrics: materialise once
     alpha = cut_lineage(a.join(F.broadcast(coef_df), SLOT)
                         .select(*SLOT, "g", F.when(F.col("tn") > 0, alpha_expr).otherwise(F.col("alpha0")).alias("alpha")))
-    return FoldFit(design, slots, coef, baseline, coef_df, alpha)
+    return FoldFit(design, slots, coef, baseline, coef_df, alpha, int(sum(r["n"] for r in per.values())))
 
 
 def _active_columns(design: Design, train_diag: np.ndarray) -> list[int]:
