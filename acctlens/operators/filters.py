@@ -65,8 +65,9 @@ def filter_predicate(df: DataFrame, spec: FilterSpec) -> Column:
     out = preds[0]
     for p in preds[1:]:
         out = out & p
-    # A NULL comparison means "drop" (pandas masks treat NaN comparisons as False).
-    return F.coalesce(out, F.lit(False))
+    # A plain conjunction, so Catalyst can split it and push each conjunct to its own scan.
+    # NULL means "drop" already: ``filter`` and ``count_if`` keep / count only true.
+    return out
 
 
 def apply_filters(df: DataFrame, spec: FilterSpec, check_empty: bool = False) -> DataFrame:

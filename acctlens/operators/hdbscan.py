@@ -17,8 +17,9 @@
 4. **Excess of mass**: stability per cluster from the condensed rows (a grouped aggregate), then
    the bottom-up selection and the top-down "nearest selected ancestor" pass.  The cluster tree
    has at most 2·accounts/min_cluster_size nodes; up to TREE_CAP nodes one task runs both passes,
-   beyond it they run as per-level rounds and pointer jumping.  Points are labelled by one join.  The root is never selectable, so a single blob
-   leaves every account as noise, as in the library the reference calls.
+   beyond it they run as per-level rounds and pointer jumping.  Points are labelled by one join.
+   The root is never selectable, so a single blob leaves every account as noise, as in the
+   library the reference calls.
 """
 
 from __future__ import annotations

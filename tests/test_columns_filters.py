@@ -68,3 +68,17 @@ def test_missing_values_semantics(spark):
     assert kept == {"a", "c", "d"}                       # missing sales survive the zero exclusion
     kept = {r.Account for r in apply_filters(df, FilterSpec(acv_threshold=10)).collect()}
     assert kept == {"a", "b", "d"}                       # missing ACV fails the threshold
+
+
+def test_filters_reach_the_parquet_scan(spark, tmp_path):
+    rows = [("A1", 1, "Food", 20.0, 0, 5.0), ("A2", 0, "Food", 30.0, 0, 0.0)]
+    path = str(tmp_path / "flat")
+    spark.createDataFrame(rows, "Account string, Lower int, COT string, ACV double, Auto_Promo_Code int, "
+                                "Unit_Sales double").write.parquet(path)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
+    df = spark.read.parquet(path)
+    spec = FilterSpec(lower=1, cot="Food", acv_threshold=10, auto_promo_code=0)
+    plan = apply_filters(df, spec)._jdf.queryExecution().executedPlan().toString()
+    for pushed in ("EqualTo(Lower,1)", "EqualTo(COT,Food)", "GreaterThanOrEqual(ACV,10.0)", "EqualTo(Auto_Promo_Code,0)"):
+        assert pushed in plan, plan
+    assert [r.Account for r in apply_filters(df, spec).collect()] == ["A1"]
