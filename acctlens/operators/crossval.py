@@ -75,8 +75,15 @@ def prepare_moments(m: DataFrame, design: Design) -> DataFrame:
     return cut_lineage(moment_table(m, design))
 
 
-def run_cv(m: DataFrame, design: Design, k: int, T: DataFrame | None = None) -> CVResult:
-    """K3: refit on all but one fold, predict the held-out periods; one row per observation."""
+def run_cv(m: DataFrame, design: Design, k: int, T: DataFrame | None = None,
+           materialize_rows: bool = True) -> CVResult:
+    """K3: refit on all but one fold, predict the held-out periods; one row per observation.
+
+    The model frame is read twice (moment table, scoring pass).  ``materialize_rows`` writes
+    its few narrow columns once, so a source that is itself a join (a sales view over fact and
+    dimension tables) is joined once, not once per pass."""
+    if materialize_rows and T is None:
+        m = cut_lineage(m)
     T = prepare_moments(m, design) if T is None else T
     folds, ng = local_folds(T, [k])
     if ng < k:
