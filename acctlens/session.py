@@ -55,7 +55,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not d:
         d = spark.sparkContext.getCheckpointDir()
     if not d:
-        d = tempfile.mkdtemp(prefix="acctlens-ckpt-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: lineage cuts need a folder on shared "
+                               "storage that every executor and the driver can reach")
+        d = tempfile.mkdtemp(prefix="acctlens-ckpt-")     # local mode only (tests, benchmarks)
         spark.conf.set("spark.checkpoint.dir", d)
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(d)
