@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from acctlens.operators.features import Design
-from acctlens.operators.regress import SLOT, fit_slots, moment_table, predict_rows, r2_expr, slot_metrics
+from acctlens.operators.regress import fit_slots, moment_table, predict_rows, r2_expr, slot_metrics
 from acctlens.session import cut_lineage
 
 

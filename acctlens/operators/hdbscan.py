@@ -332,27 +332,6 @@ def select_clusters(points: DataFrame, clusters: DataFrame, root_cid, nodes: Dat
             .select("cid", (F.col("sel") & ~F.col("anc")).alias("selected")))
 
 
-def label_points(points: DataFrame, clusters: DataFrame, selected: DataFrame, root_cid) -> DataFrame:
-    """(acct, cluster): the selected cluster on the path from the point's fall-out cluster to
-    the root, or NULL (noise).  Walks up the cluster tree one level per round."""
-    sel = selected.where("selected").select("cid")
-    cur = points.select("acct", F.col("cid").alias("at"), F.lit(None).cast("long").alias("cluster"))
-    up = clusters.select("cid", "parent")
-    done_parts = []
-    for _ in range(10_000):
-        hit = cur.join(sel.select(F.col("cid").alias("at")), "at", "left_semi").select("acct", F.col("at").alias("cluster"))
-        done_parts.append(cut_lineage(hit))
-        rest = cur.join(sel.select(F.col("cid").alias("at")), "at", "left_anti")
-        cur = cut_lineage(rest.join(up.select(F.col("cid").alias("at"), "parent"), "at")
-                          .select("acct", F.col("parent").alias("at"), "cluster"))
-        if cur.isEmpty():
-            break
-    out = done_parts[0]
-    for x in done_parts[1:]:
-        out = out.unionByName(x)
-    return out
-
-
 # ------------------------------------------------------------------ D5
 
 def hdbscan(feat: DataFrame, min_cluster_size: int = 5, min_samples: int = 3,

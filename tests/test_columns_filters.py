@@ -1,5 +1,3 @@
-import math
-
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,3 +80,22 @@ def test_filters_reach_the_parquet_scan(spark, tmp_path):
     for pushed in ("EqualTo(Lower,1)", "EqualTo(COT,Food)", "GreaterThanOrEqual(ACV,10.0)", "EqualTo(Auto_Promo_Code,0)"):
         assert pushed in plan, plan
     assert [r.Account for r in apply_filters(df, spec).collect()] == ["A1"]
+
+
+def test_export_and_sketch_profile(spark, tmp_path):
+    from acctlens.sources.loader import column_info, export_table, load_data
+    df = spark.createDataFrame([("A1", 1), ("A2", 2), (None, 2)], "Account string, Sales long")
+    out = str(tmp_path / "out.csv")
+    export_table(df, out, "csv")
+    back = load_data(spark, out)
+    assert back.count() == 3 and sorted(back.columns) == ["Account", "Sales"]
+    exact = {r.column: r for r in column_info(df).collect()}
+    assert exact["Account"].null_count == 1 and exact["Account"].unique_count == 2
+    assert exact["Account"].null_pct == pytest.approx(33.33)
+    sketch = {r.column: r.unique_count for r in column_info(df, exact_unique=False).collect()}
+    assert sketch == {"Account": 2, "Sales": 2}
+
+
+def test_k_bounds():
+    from acctlens.operators.crossval import k_bounds
+    assert k_bounds(28) == (10, 5) and k_bounds(3, best_k=7) == (3, 3) and k_bounds(6, saved=4) == (6, 4)

@@ -1,7 +1,6 @@
 import datetime as dt
 
 import pytest
-from pyspark.sql import functions as F
 
 from acctlens.operators import crossval as CV
 from acctlens.operators import periods as PE

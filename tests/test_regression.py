@@ -7,7 +7,6 @@ import pytest
 
 from acctlens.operators import crossval as CV
 from acctlens.operators import features as FE
-from acctlens.operators import regress as RG
 from acctlens.settings import ModelSpec
 
 

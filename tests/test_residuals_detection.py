@@ -2,11 +2,8 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from acctlens.functions.median import group_median
 from acctlens.operators import decide as DC
 from acctlens.operators import density as DN
-from acctlens.operators import forest as FO
-from acctlens.operators import neighbors as NB
 from acctlens.operators import residuals as RS
 from acctlens.settings import DetectSpec
 
