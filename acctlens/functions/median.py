@@ -48,10 +48,12 @@ def group_quantile(df: DataFrame, key: str, value: str, q: float, out: str = "qu
     return small_part.unionByName(_big_group_quantile(v, big, key, value, q, out, cap))
 
 
-def global_quantile(df: DataFrame, value: str, q: float, cap: int = DEFAULT_CAP) -> float | None:
-    """One exact quantile over the whole frame (same skew-safe path, one constant key)."""
+def global_quantile(df: DataFrame, value: str, q: float, cap: int = DEFAULT_CAP,
+                    n_rows: int | None = None) -> float | None:
+    """One exact quantile over the whole frame (same skew-safe path, one constant key).
+    ``n_rows``, when known, decides the path without a counting job."""
     one = df.select(F.lit(0).alias("__k"), value)
-    row = group_quantile(one, "__k", value, q, "__q", cap).first()
+    row = group_quantile(one, "__k", value, q, "__q", cap, n_rows).first()
     return None if row is None else row["__q"]
 
 

@@ -31,9 +31,9 @@ class DBSCANResult:
     pairs: DataFrame
 
 
-def eps_from_kdist(kd_accounts: DataFrame, percentile: float) -> float:
+def eps_from_kdist(kd_accounts: DataFrame, percentile: float, n: int | None = None) -> float:
     """D2 over accounts (each account carries its own k-distance)."""
-    return float(global_quantile(kd_accounts, "kdist", percentile / 100.0))
+    return float(global_quantile(kd_accounts, "kdist", percentile / 100.0, n_rows=n))
 
 
 def dbscan(feat: DataFrame, k: int = 5, eps_percentile: float = 90, min_samples: int = 5,
@@ -44,7 +44,7 @@ def dbscan(feat: DataFrame, k: int = 5, eps_percentile: float = 90, min_samples:
     kd = k_distance(pts, k, n)
     kd_acc = cut_lineage(mapping.join(kd, "pid").select("Account", "pid", "kdist"))
     if eps is None:
-        eps = eps_from_kdist(kd_acc, eps_percentile)
+        eps = eps_from_kdist(kd_acc, eps_percentile, n)
     if not eps or eps <= 0:
         raise ValueError(f"eps must be > 0 (got {eps}); too many identical accounts")
     pr = cut_lineage(pairs_within(pts, pts, eps))

@@ -84,9 +84,8 @@ def sample_trees(feat: DataFrame, n: int, n_trees: int, psi: int, seed: int) ->
     w = Window.partitionBy("tree").orderBy("u", "Account")
     pick = (ex.where(F.col("u") < F.lit(frac)) if frac < 1.0 else ex)
     s = cut_lineage(pick.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= psi).drop("rk"))
-    short = [r["tree"] for r in s.groupBy("tree").count().where(F.col("count") < psi).collect()]
-    have = s.select("tree").distinct().count()
-    if short or have < n_trees:
+    sizes = s.groupBy("tree").count().collect()          # n_trees rows
+    if len(sizes) < n_trees or any(r["count"] < psi for r in sizes):
         s = cut_lineage(ex.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= psi).drop("rk"))
     return s
 
@@ -140,10 +139,10 @@ def isolation_forest(feat: DataFrame, contamination: float = 0.10, n_trees: int
     psi = min(max_samples, n)
     nodes_pdf = grow_forest(sample_trees(feat, n, n_trees, psi, seed), psi, seed).toPandas()
     sc = cut_lineage(score(feat, nodes_pdf, psi))
-    thr = contamination_threshold(sc, "if_score", contamination)
+    thr = contamination_threshold(sc, "if_score", contamination, n)
     return sc.select("Account", "if_score", (F.col("if_score") < F.lit(thr)).cast("int").alias("iforest_outlier")), thr
 
 
-def contamination_threshold(scores: DataFrame, col: str, contamination: float) -> float:
+def contamination_threshold(scores: DataFrame, col: str, contamination: float, n: int | None = None) -> float:
     """The contamination percentile of the scores (exact, linear interpolation)."""
-    return float(global_quantile(scores, col, contamination))
+    return float(global_quantile(scores, col, contamination, n_rows=n))

@@ -352,7 +352,7 @@ def hdbscan(feat: DataFrame, min_cluster_size: int = 5, min_samples: int = 3,
     accts = mapping.select(F.col("Account").alias("acct"))
     star = cut_lineage(mapping.where(F.col("Account") != F.col("pid")).join(core, "pid")
                        .select(F.col("pid").alias("u"), F.col("Account").alias("v"), F.col("core").alias("w")))
-    R = max(float(global_quantile(P, "core", short_quantile) or 0.0), 1e-9)
+    R = max(float(global_quantile(P, "core", short_quantile, n_rows=n) or 0.0), 1e-9)
     pr = pairs_within(P, P, R).where(F.col("pid") < F.col("qid"))
     cand = (pr.join(core.select("pid", F.col("core").alias("cp")), "pid")
             .join(core.select(F.col("pid").alias("qid"), F.col("core").alias("cq")), "qid")

@@ -36,8 +36,9 @@ def account_stats(res: DataFrame, account: str = "account", residual: str = "res
     m1 = cut_lineage(m1.select("Account", "sw", "count",
                                F.when(F.col("sw") == 0, F.raise_error(F.lit("Weights sum to zero, can't be normalized")))
                                .otherwise(F.col("swr") / F.col("sw")).alias("w_mean_residual")))
-    max_n = m1.agg(F.max("count")).first()[0] or 0
-    c = r.join(sized_broadcast(m1.select("Account", "w_mean_residual")), "Account")
+    sizes = m1.agg(F.max("count").alias("mx"), F.count(F.lit(1)).alias("na")).first()
+    max_n, n_acc = sizes["mx"] or 0, sizes["na"]
+    c = r.join(sized_broadcast(m1.select("Account", "w_mean_residual"), n_rows=n_acc), "Account")
     d = F.col("r") - F.col("w_mean_residual")
     m2 = c.groupBy("Account").agg(F.sum(F.col("w") * d * d).alias("s2"), F.sum(F.col("w") * d * d * d).alias("s3"))
     st = m1.join(m2, "Account")
@@ -49,16 +50,17 @@ def account_stats(res: DataFrame, account: str = "account", residual: str = "res
                    F.when(F.col("w_std_residual") > 0,
                           (F.col("s3") / F.col("sw")) / F.pow(F.col("w_std_residual"), 3)).otherwise(F.lit(0.0))
                    .alias("w_skew_residual"), "count")
-    mad = account_mad(r, median_cap, max_n)
+    mad = account_mad(r, median_cap, max_n, n_acc)
     st = st.join(mad, "Account")
     return with_zscore(st)
 
 
-def account_mad(r: DataFrame, cap: int | None = None, max_n: int | None = None) -> DataFrame:
+def account_mad(r: DataFrame, cap: int | None = None, max_n: int | None = None,
+                n_accounts: int | None = None) -> DataFrame:
     """A5: median(|r − median(r)|) per account, unweighted, unscaled."""
     kw = {"cap": cap or DEFAULT_CAP, "max_group_size": max_n}
     med = cut_lineage(group_median(r, "Account", "r", "__med", **kw))
-    dev = r.join(sized_broadcast(med), "Account").select("Account", F.abs(F.col("r") - F.col("__med")).alias("__ad"))
+    dev = r.join(sized_broadcast(med, n_rows=n_accounts), "Account").select("Account", F.abs(F.col("r") - F.col("__med")).alias("__ad"))
     return group_median(dev, "Account", "__ad", "mad_residual", **kw)
 
 

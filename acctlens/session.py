@@ -82,8 +82,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 BROADCAST_MAX_ROWS = 1_000_000
 
 
-def sized_broadcast(small: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+def sized_broadcast(small: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, n_rows: int | None = None) -> DataFrame:
     """Broadcast hint behind a proven size bound: the row count of an already materialised
-    table (a cheap job); beyond the bound the plain DataFrame is returned."""
-    n = small.limit(max_rows + 1).count()
+    table (a cheap job, skipped when the caller knows it); beyond the bound the plain
+    DataFrame is returned."""
+    n = n_rows if n_rows is not None else small.limit(max_rows + 1).count()
     return F.broadcast(small) if n <= max_rows else small
