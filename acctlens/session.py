@@ -49,8 +49,34 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     return spark
 
 
+_SHIPPED: set = set()
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Make ``acctlens`` importable in the Python workers that run the pandas functions
+    (forest, HDBSCAN batches, union-find): zip the package once per application and hand it
+    to ``SparkContext.addPyFile``, which distributes it with the job."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    import zipfile
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg_dir)
+    zpath = os.path.join(tempfile.mkdtemp(prefix="acctlens-code-"), "acctlens.zip")
+    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
+        for dp, dn, fn in os.walk(pkg_dir):
+            dn[:] = [x for x in dn if x != "__pycache__"]
+            for f in fn:
+                if f.endswith(".py"):
+                    full = os.path.join(dp, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(zpath)
+    _SHIPPED.add(sc.applicationId)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder; set a scratch one only where the session has none."""
+    ship_code(spark)
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getCheckpointDir()
