@@ -46,8 +46,15 @@ def date_anchor(df: DataFrame, date: str = "Date", strict: bool = False):
     return mn
 
 
+def _anchor_lit(anchor) -> Column:
+    """The anchor as a wall-clock literal: an ISO string cast to timestamp_ntz, so neither the
+    Python process's nor the session's time zone can shift it."""
+    text = anchor.isoformat(sep=" ") if hasattr(anchor, "isoformat") else str(anchor)
+    return F.lit(text).cast("timestamp_ntz")
+
+
 def _period_expr(ts: Column, anchor, weeks: int) -> Column:
-    a = F.lit(anchor).cast("timestamp_ntz")
+    a = _anchor_lit(anchor)
     return F.floor(F.timestamp_diff("DAY", a, ts) / F.lit(7 * weeks)) + 1
 
 
