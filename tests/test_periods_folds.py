@@ -34,3 +34,15 @@ def test_greedy_fold_assignment(spark):
     counts = spark.createDataFrame([(1, 20), (2, 18), (3, 20), (4, 5), (5, 9)], "period int, c long")
     got = {r.period: r.fold for r in CV.fold_assignment(counts, [3]).collect()}
     assert got == {3: 1, 1: 2, 2: 3, 5: 3, 4: 1}
+
+
+def test_anchor_independent_of_session_time_zone(spark):
+    df = spark.createDataFrame([(dt.datetime(2024, 1, 1, 23),), (dt.datetime(2024, 4, 1, 22),),
+                                (dt.datetime(2024, 4, 1, 23),)], "Date timestamp_ntz")
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+        got = [r.Time_Period for r in PE.create_time_periods(df, "Date", 13).orderBy("Date").collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert got == [1, 1, 2]
