@@ -8,10 +8,10 @@ description; every other tokenizer encodes whole texts.
 * ``lead``: a space opens the pre-token after it: cut before each space that a non-space
   follows.  A text with a space before other white space or at its end is encoded whole.
 
-Pieces are looked up in a memo that lives as long as the Python worker and is emptied when it
-reaches its bound; only pieces not in it go to the library.  Pieces of ASCII and Latin-1 letters,
-whose pre-splitting needs no Unicode tables, are split here by the same pattern and only their
-distinct pre-tokens go to the library's model; all others go through the library whole.
+Of each batch only the distinct pieces are looked at.  Pieces of ASCII and Latin-1 letters, whose
+pre-splitting needs no Unicode tables, are split here by the same pattern, and their pre-tokens
+are encoded by the library's model; all others go through the library whole.  A memo of encoded
+pre-tokens lives as long as the Python worker and is emptied when it reaches its bound.
 """
 
 from __future__ import annotations
@@ -33,14 +33,13 @@ LEAD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s
 # a space at the end, or before white space in the widest sense (Unicode White_Space, FS..US)
 _UNSAFE_SPACE = (" ([\\x09-\\x0d\\x1c-\\x20\\x{85}\\x{a0}\\x{1680}\\x{180e}\\x{2000}-\\x{200b}\\x{2028}\\x{2029}"
                  "\\x{202f}\\x{205f}\\x{3000}\\x{feff}]|\\z)")
-_MAX_PIECES = 1_000_000
-_MAX_MEMO_IDS = 16_000_000
+_MAX_MEMO = 1_000_000
 
 # The same patterns over ASCII, the Latin-1 letters, LF as the only other white space, and SOH,
 # which closes each piece of a joined run.
 _LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
 _PUNCT = r"!-/:-@\[-`{-~"
-_PLAIN = re.compile(f"[ \n{_LATIN}0-9{_PUNCT}]*").fullmatch
+_PLAIN = f"^[\n{_LATIN}0-9{_PUNCT}]*\\z"
 _SPLIT = {
     "lead": re.compile(f"\x01|'s|'t|'re|'ve|'m|'ll|'d| ?[{_LATIN}]+| ?[0-9]+| ?[{_PUNCT}]+|[ \n]+(?![^ \n\x01])|[ \n]+"),
     "drop": re.compile(f"\x01|'s|'t|'re|'ve|'m|'ll|'d|[{_LATIN}]+|[0-9]|[{_PUNCT}]+"),
@@ -84,53 +83,48 @@ class PieceEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.memo: dict[str, int] = {}
-        self.flat, self.starts, self.lengths = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.memo: dict[str, int] = {"\x01": 0}
+        self.flat, self.starts, self.lengths = np.empty(0, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int64)
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _split_and_encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, lengths by piece) of plain pieces, through the distinct pre-tokens."""
-        joined = "\x01".join(pieces) + "\x01"
+    def _encode_plain(self, joined: str) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, their number by piece) of plain pieces, each closed by SOH."""
         split = _SPLIT[self.kind].findall(joined.lower() if self.kind == "drop" else joined)
-        at: dict[str, int] = {"\x01": 0}
-        place = np.fromiter((at.setdefault(p, len(at)) for p in split), np.int64, len(split))
+        new = set(split).difference(self.memo)
+        if len(self.memo) + len(new) > _MAX_MEMO:
+            self._forget()
+            new = set(split).difference(self.memo)
         tokenize = self.tokenizer.model.tokenize
-        rows = [[]] + [[t.id for t in tokenize(p.translate(_TO_CHARS))] for p in list(at)[1:]]
-        flat, offsets = _joined(rows)
-        lens = np.diff(offsets)[place]
-        ends = np.concatenate([[0], np.cumsum(lens)])[np.flatnonzero(place == 0)]
-        return flat[gather_runs(offsets[place], lens)], np.diff(ends, prepend=0)
-
-    def _add(self, pieces: list[str]) -> None:
-        plain = [p for p in pieces if _PLAIN(p)]
-        other = [p for p in pieces if not _PLAIN(p)]
-        parts = []
-        if plain:
-            parts.append(self._split_and_encode(plain))
-        if other:
-            ids, off = _joined(self._whole(other))
-            parts.append((ids, np.diff(off)))
-        n0, used = len(self.memo), len(self.flat)
-        lens = np.concatenate([p[1] for p in parts])
-        self.flat = np.concatenate([self.flat, *[p[0] for p in parts]])
-        self.starts = np.concatenate([self.starts, used + np.cumsum(lens) - lens])
-        self.lengths = np.concatenate([self.lengths, lens])
-        self.memo.update(zip(plain + other, range(n0, n0 + len(lens))))
-
-    def _index(self, pieces: list[str]) -> np.ndarray:
-        get = self.memo.get
-        found = [get(p, -1) for p in pieces]
-        missing = list(dict.fromkeys(p for p, i in zip(pieces, found) if i < 0))
-        if missing:
-            if len(self.memo) + len(missing) > _MAX_PIECES or len(self.flat) > _MAX_MEMO_IDS:
-                self._forget()
-                missing = list(dict.fromkeys(pieces))
-            self._add(missing)
-            get = self.memo.__getitem__
-            found = [get(p) for p in pieces]
-        return np.array(found, np.int64)
+        ids, offsets = _joined([[t.id for t in tokenize(
+            p.replace(" ", "\u0120").replace("\n", "\u010a") if p.isascii() else p.translate(_TO_CHARS))] for p in new])
+        self.memo.update(zip(new, range(len(self.memo), len(self.memo) + len(new))))
+        self.starts = np.concatenate([self.starts, len(self.flat) + offsets[:-1]])
+        self.lengths = np.concatenate([self.lengths, np.diff(offsets)])
+        self.flat = np.concatenate([self.flat, ids])
+        place = np.fromiter(map(self.memo.__getitem__, split), np.int64, len(split))
+        lens = self.lengths[place]
+        ends = np.cumsum(lens)[np.flatnonzero(place == 0)]
+        return self.flat[gather_runs(self.starts[place], lens)], np.diff(ends, prepend=0)
+
+    def _encode_pieces(self, distinct: pa.Array, lead: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, starts, lengths) of the distinct pieces, ``lead`` before each."""
+        n = len(distinct)
+        plain = pc.match_substring_regex(distinct, _PLAIN).to_numpy(zero_copy_only=False)
+        lens, parts = np.empty(n, np.int64), []
+        if plain.any():
+            pieces = (distinct if plain.all() else distinct.filter(pa.array(plain))).to_pylist()
+            ids, lens[plain] = self._encode_plain(lead + ("\x01" + lead).join(pieces) + "\x01")
+            parts.append(ids)
+        if not plain.all():
+            ids, offsets = _joined(self._whole([lead + p for p in distinct.filter(pa.array(~plain)).to_pylist()]))
+            lens[~plain] = np.diff(offsets)
+            parts.append(ids)
+        starts = np.empty(n, np.int64)
+        order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
+        starts[order] = np.cumsum(lens[order]) - lens[order]
+        return np.concatenate(parts) if parts else np.empty(0, np.uint32), starts, lens
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, offsets of the texts in them); null is empty."""
@@ -157,18 +151,20 @@ class PieceEncoder:
         cut = pc.split_pattern(texts, " ")
         rows = cut.offsets.to_numpy() - cut.offsets[0].as_py()
         coded = cut.flatten().dictionary_encode()
-        codes, distinct = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        piece, distinct = coded.indices.to_numpy().astype(np.int64), coded.dictionary
         if self.kind == "drop":
-            piece = self._index(distinct)[codes]
+            ids, starts, lens = self._encode_pieces(distinct, "")
         else:                                   # all but the first piece of a text begin with its space
             first = rows[:-1]
-            opening = np.unique(codes[first])
-            found = self._index([" " + p for p in distinct] + [distinct[i] for i in opening])
-            piece = found[codes]
-            piece[first] = found[len(distinct) + np.searchsorted(opening, codes[first])]
-        lens = self.lengths[piece]
-        ends = np.concatenate([[0], np.cumsum(lens)])
-        return self.flat[gather_runs(self.starts[piece], lens)], ends[rows]
+            opening, at = np.unique(piece[first], return_inverse=True)
+            ids, starts, lens = self._encode_pieces(distinct, " ")
+            more = self._encode_pieces(distinct.take(pa.array(opening)), "")
+            starts, lens = np.concatenate([starts, len(ids) + more[1]]), np.concatenate([lens, more[2]])
+            ids = np.concatenate([ids, more[0]])
+            piece[first] = len(distinct) + at
+        n = lens[piece]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        return ids[gather_runs(starts[piece], n)], ends[rows]
 
 
 _ENCODERS: dict = {}

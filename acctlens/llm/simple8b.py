@@ -39,17 +39,17 @@ COUNTS = np.array([60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1, 1, 1])
 BITS = np.array([1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60, 60, 60])
 ESCAPE, ONE = 15, 13
 _MAGIC = b"S8B1"
-SEGMENT_IDS = 1 << 20
+SEGMENT_IDS = 1 << 18
+_WIDTHS = np.maximum(1, np.ceil(np.log2(np.arange(1 << 16) + 1.0))).astype(np.uint8)
 
 
 def _bit_widths(ids: np.ndarray) -> np.ndarray:
-    table = np.maximum(1, np.ceil(np.log2(np.arange(1 << 16) + 1.0))).astype(np.uint8)
-    widths = table[(ids & np.uint64(0xFFFF)).astype(np.int64)]
+    widths = _WIDTHS[(ids & np.uint64(0xFFFF)).astype(np.intp)]
     for shift in (16, 32, 48):
         high = ids >> np.uint64(shift)
         if not high.any():
             break
-        widths = np.where(high > 0, table[(high & np.uint64(0xFFFF)).astype(np.int64)] + np.uint8(shift), widths)
+        widths = np.where(high > 0, _WIDTHS[(high & np.uint64(0xFFFF)).astype(np.intp)] + np.uint8(shift), widths)
     return widths
 
 
@@ -94,8 +94,8 @@ def encode_ids(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     out = sel.astype(np.uint64) << np.uint64(60)
     for s in np.unique(sel):
         rows = np.flatnonzero(sel == s)
-        for j in range(int(COUNTS[s])):
-            out[rows] |= ids[first[rows] + j] << np.uint64(j * int(BITS[s]) if s < ONE else 0)
+        shifts = np.arange(int(COUNTS[s]), dtype=np.uint64) * np.uint64(BITS[s])
+        out[rows] |= np.bitwise_or.reduce(ids[first[rows][:, None] + np.arange(int(COUNTS[s]))] << shifts, axis=1)
     return out, np.searchsorted(first, np.arange(0, n, BLOCK)), escapes
 
 
