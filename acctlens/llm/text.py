@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 
@@ -35,7 +36,7 @@ def slices(batches: Iterator[pa.RecordBatch], name: str, max_bytes: int = 16 <<
         if c.nbytes <= max_bytes:
             yield b
             continue
-        lens = np.asarray(pa.compute.fill_null(pa.compute.binary_length(c), 0).to_numpy(zero_copy_only=False),
+        lens = np.asarray(pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False),
                           dtype=np.int64)
         at = 0
         ends = np.cumsum(lens)
