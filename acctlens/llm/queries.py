@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from acctlens.llm import bottom_k, byte_bpe, packing, simhash_bk, simple8b
+from acctlens.llm import (bottom_k, byte_bpe, cross_polytope, lm_score, packing, secret_scan, simhash_bk, simple8b,
+                          toxicity, url_lm)
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -27,6 +29,34 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@register("op1_url_filter")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_lm.judge_urls(_table(spark, sf_dir, "pages"))
+
+
+def held_out(doc_id: Column) -> Column:
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
+@register("op2_toxicity")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    labels = _table(spark, sf_dir, "labels")
+    model = toxicity.fit(documents, labels.where(~held_out(F.col("doc_id"))))
+    return toxicity.score(documents, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+@register("op3_secret_scan")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
+@register("op4_nearest")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_polytope.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 @register("op5_token_files")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = simple8b.token_folder(spark)
@@ -54,3 +84,9 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op9_packing")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+@register("op10_lm_score")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    return lm_score.cross_entropy_difference(documents, labels.where(F.col("quality") == 1).select("doc_id"))
