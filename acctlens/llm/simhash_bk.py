@@ -194,3 +194,21 @@ def components_of(docs: DataFrame, radius: int = 3) -> DataFrame:
     named = cut_lineage(rooted.join(lows, "root").select("fp", "component_id"))
     return (docs.join(named, "fp")
             .select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"))
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, radius: int = 3) -> DataFrame:
+    """One row of each component with all columns of ``df``: the row with the smallest id (null ids
+    last); of equal ids, the first as the rows are stored."""
+    names = []
+    for i in range(len(df.columns) + 2):
+        if (name := f"__near_{i}") not in {c.lower() for c in df.columns} and len(names) < 2:
+            names.append(name)
+    row, fp = names
+    # rows get numbers that last: the table is written with them before they are used
+    stored = cut_lineage(with_fingerprint(df.withColumn(row, F.monotonically_increasing_id()), text_col, k, fp))
+    docs = stored.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(row).alias("row"), F.col(fp).alias("fp"))
+    distinct = cut_lineage(docs.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first")))
+    roots = component_roots(link(distinct.select("fp"), distinct.count(), radius))
+    kept = (distinct.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root"))
+            .agg(F.min("first").alias("first")).select(F.col("first.row").alias(row)))
+    return stored.join(kept, row, "left_semi").select(*(F.col(f"`{c}`") for c in df.columns))
