@@ -3,8 +3,8 @@
 A text's features are its distinct lower-cased character n-grams (3 to 6 characters) hashed to
 ``2**BITS`` buckets.  The ratio of a bucket compares the share of toxic and of other training
 texts that contain it, both smoothed towards its overall share, so rare n-grams stay near 0.
-Features enter a logistic regression scaled by their ratios; buckets in fewer than ``min_texts``
-training texts or with a ratio below ``min_ratio`` are left out.
+Features enter a logistic regression scaled by their ratios; only the ``max_features`` buckets that
+tell the two kinds apart most surely (likelihood-ratio statistic, ``min_evidence`` at least) do.
 
 The fit uses at most ``max_rows`` labelled texts, those with the smallest id hash (the documented
 bound of the training sample); scoring covers every row and whole texts.
@@ -75,6 +75,16 @@ def log_ratios(with_toxic: np.ndarray, with_other: np.ndarray, toxic: int, other
     return np.log((with_toxic + prior * share) / (toxic + prior)) - np.log((with_other + prior * share) / (other + prior))
 
 
+def evidence(with_toxic: np.ndarray, with_other: np.ndarray, toxic: int, other: int) -> np.ndarray:
+    """The likelihood-ratio statistic of each bucket's two-by-two table."""
+    both = with_toxic + with_other
+    total = 0.0
+    for seen, rows in ((with_toxic, toxic), (with_other, other)):
+        for got, expected in ((seen, both * rows / (toxic + other)), (rows - seen, (toxic + other - both) * rows / (toxic + other))):
+            total = total + np.where(got > 0, got * np.log(np.maximum(got, 1e-9) / np.maximum(expected, 1e-9)), 0.0)
+    return 2 * total
+
+
 def fit_logistic(rows: np.ndarray, cols: np.ndarray, x: np.ndarray, y: np.ndarray, n_cols: int,
                  l2: float, steps: int) -> tuple[np.ndarray, float]:
     """Weights and intercept of L2-penalised logistic regression on sparse rows, by accelerated
@@ -104,8 +114,8 @@ def fit_logistic(rows: np.ndarray, cols: np.ndarray, x: np.ndarray, y: np.ndarra
 
 
 def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-        max_rows: int = 8_000, prior: float = 10.0, min_texts: int = 8, min_ratio: float = 2.5,
-        l2: float = 1e-4, steps: int = 60) -> Model:
+        max_rows: int = 20_000, prior: float = 2.0, min_texts: int = 4, min_evidence: float = 10.0,
+        max_features: int = 4_000, l2: float = 1e-6, steps: int = 150) -> Model:
     """Fit on the texts of ``df`` whose id is in ``labels`` (id, 0/1)."""
     known = (labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label"))
              .dropna().groupBy("id").agg(F.max("label").alias("label")))
@@ -131,10 +141,12 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
                .agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
                .where(F.col("toxic") + F.col("other") >= min_texts).toPandas())    # 2**BITS rows at most
     at = counted["bucket"].to_numpy(np.int32)
-    ratio = log_ratios(counted["toxic"].to_numpy(float), counted["other"].to_numpy(float), toxic, other, prior)
-    keep = np.abs(ratio) >= min_ratio
-    order = np.argsort(at[keep])
-    kept, ratio = at[keep][order], ratio[keep][order]
+    have = counted["toxic"].to_numpy(float), counted["other"].to_numpy(float)
+    sure = evidence(*have, toxic, other)
+    best = np.lexsort((at, -sure))[:max_features]
+    best = best[sure[best] >= min_evidence]
+    best = best[np.argsort(at[best])]
+    kept, ratio = at[best], log_ratios(*have, toxic, other, prior)[best]
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scratch = np.empty(1 << BITS, np.int32)
@@ -147,6 +159,8 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
 
     rows = sample.select("id", "label", "text").orderBy("id").mapInArrow(project, "label int, cols binary").toPandas()
     cols = [np.frombuffer(c, np.int32) for c in rows["cols"]]
+    if len(kept) == 0:
+        return Model(kept, np.empty(0, np.float32), float(np.log(toxic / other)))
     w, b = fit_logistic(np.repeat(np.arange(len(cols)), [len(c) for c in cols]), np.concatenate(cols), ratio,
                         rows["label"].to_numpy(float), len(kept), l2, steps)
     return Model(kept, (w * ratio).astype(np.float32), b)
