@@ -98,9 +98,9 @@ def merge_by(sketched: DataFrame, key: str, k: int = K) -> DataFrame:
     part = F.row_number().over(Window.partitionBy(key, "__salt").orderBy("__h"))
     whole = F.row_number().over(Window.partitionBy(key).orderBy("__h"))
     low = hashes.withColumn("__r", part).where(F.col("__r") <= k).withColumn("__r", whole).where(F.col("__r") <= k)
-    merged = low.groupBy(key).agg(F.array_join(F.array_sort(F.collect_list("__h")), "").alias("fingerprint"))
-    return (sketched.select(key).distinct().join(merged, F.col(key).eqNullSafe(merged[key]), "left").drop(merged[key])
-            .withColumn("fingerprint", F.coalesce("fingerprint", F.lit(""))))
+    merged = low.groupBy(F.col(key).alias("__key")).agg(F.array_join(F.array_sort(F.collect_list("__h")), "").alias("__fp"))
+    return (sketched.select(key).distinct().join(merged, F.col(key).eqNullSafe(F.col("__key")), "left")
+            .select(key, F.coalesce("__fp", F.lit("")).alias("fingerprint")))
 
 
 def _edited(text: str, following: str) -> str:

@@ -120,7 +120,7 @@ def grow_and_search(shard: np.ndarray, fps: np.ndarray, in_tree: np.ndarray, ask
             hit = (d <= radius) & ((members[n] < q) | ~in_tree[q])
             found_q.append(q[hit])
             found_t.append(members[n[hit]])
-            lows, highs = np.maximum(d - radius, 1), np.minimum(d + radius, 64)
+            lows, highs = np.maximum(d - radius, 0), np.minimum(d + radius, 64)
             next_q, next_n = [none], [none]
             for step in range(2 * radius + 1):
                 at = lows + step
