@@ -216,7 +216,7 @@ def test_nearest_neighbours(spark):
 
 
 def test_nearest_neighbours_of_odd_vectors(spark, monkeypatch):
-    monkeypatch.setattr(cross_polytope, "BLOCK", 8)           # buckets are dealt into many blocks
+    monkeypatch.setattr(cross_polytope, "BLOCK", 40)          # buckets are dealt into many blocks
     rnd = np.random.default_rng(4)
     rows = [(i, (rnd.normal(size=16) * rnd.uniform(0.1, 5)).tolist()) for i in range(300)]
     rows[40] = (40, (30 / 16 ** 0.5 * np.sign(rnd.normal(size=16))).tolist())       # the longest
@@ -224,10 +224,10 @@ def test_nearest_neighbours_of_odd_vectors(spark, monkeypatch):
     odd = [(2000, None), (2020, [0.0] * 16), (2040, [float("nan")] + [1.0] * 15), (2060, [float("inf")] * 16), (2080, [None] + [1.0] * 15),
            (2100, [1.0] * 3), (None, [1.0] * 16)]
     df = spark.createDataFrame([(i, v, 1.0, 2) for i, v in rows + odd], "vec_id long, embedding array<double>, score double, key int")
-    got, want = found(df, tables=24, probes=16), plain_nearest(rows, 20, lambda i: i % 20 == 0)
+    got, want = found(df, tables=12, probes=16), plain_nearest(rows, 20, lambda i: i % 20 == 0)
     assert got.keys() == want.keys()
     assert recall(got, want) >= 0.95
     assert [v for v, _ in got[40]] == list(range(1000, 1020))
     few = spark.createDataFrame(rows[:5], "vec_id long, embedding array<double>")
-    assert len(found(few, tables=24, probes=32)[0]) == 4
+    assert len(found(few, tables=8, probes=32)[0]) == 4
     assert cross_polytope.search(df.limit(0), "vec_id % 20 = 0").count() == 0
