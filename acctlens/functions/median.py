@@ -5,8 +5,8 @@ bounded by the group size).  A group above ``cap`` — e.g. one account holding
 rows — is narrowed instead: a mergeable ``percentile_approx`` sketch over a fixed grid of
 quantiles (bounded memory, partial aggregation, so skew-safe) brackets the two middle
 ranks; one pass counts the rows below the bracket; the loop repeats on the rows inside the
-bracket until they number at most ``cap``; the middle ranks are then selected exactly with
-a window over those rows.  Correctness never depends on the sketch: a bracket is accepted
+bracket until they number at most ``cap`` or the bracket is one value; the middle ranks are then
+selected exactly with a window over the bracket's distinct values and their counts.  Correctness never depends on the sketch: a bracket is accepted
 only after counting confirms it holds both target ranks.  The result is the exact median
 (mean of the two middle values for an even count), as NumPy's.
 """
@@ -84,7 +84,8 @@ def _big_group_quantile(v: DataFrame, big: DataFrame, key: str, value: str, q: f
         st = cut_lineage(st)
         inside = _inside(rows, st, key)
         sizes = cut_lineage(inside.groupBy(key).agg(F.count(F.lit(1)).alias("__m")))
-        todo = st.join(sizes, key).where(F.col("__m") > cap)
+        narrow = F.col("__lo").isNotNull() & (F.col("__lo") == F.col("__hi"))      # one value is left
+        todo = st.join(sizes, key).where((F.col("__m") > cap) & ~narrow)
         if todo.isEmpty():
             break
         sk = (inside.join(todo.select(key), key, "left_semi").groupBy(key)
@@ -110,10 +111,11 @@ def _big_group_quantile(v: DataFrame, big: DataFrame, key: str, value: str, q: f
     inside = rows.join(st.select(key, "__lo", "__hi", "__below", "__t1", "__t2", "__fr"), key) \
         .where((F.col("__lo").isNull() | (F.col("__v") >= F.col("__lo")))
                & (F.col("__hi").isNull() | (F.col("__v") <= F.col("__hi"))))
+    # equal values are one row with a count, so copies of the sought value never meet in a window
+    held = ["__below", "__t1", "__t2", "__fr"]
+    values = inside.groupBy(key, "__v", *held).agg(F.count(F.lit(1)).alias("__c"))
     w = Window.partitionBy(key).orderBy("__v")
-    ranked = inside.withColumn("__r", F.row_number().over(w) + F.col("__below"))
-    return (ranked.where((F.col("__r") == F.col("__t1")) | (F.col("__r") == F.col("__t2")))
-            .groupBy(key).agg(F.max_by("__v", (F.col("__r") == F.col("__t1")).cast("int")).alias("__a"),
-                              F.max_by("__v", (F.col("__r") == F.col("__t2")).cast("int")).alias("__b"),
-                              F.first("__fr").alias("__fr"))
+    ranked = values.withColumn("__to", F.sum("__c").over(w) + F.col("__below")).withColumn("__from", F.col("__to") - F.col("__c"))
+    at = lambda t: F.min(F.when((F.col("__from") < F.col(t)) & (F.col(t) <= F.col("__to")), F.col("__v")))
+    return (ranked.groupBy(key).agg(at("__t1").alias("__a"), at("__t2").alias("__b"), F.first("__fr").alias("__fr"))
             .select(key, (F.col("__a") + F.col("__fr") * (F.col("__b") - F.col("__a"))).alias(out)))

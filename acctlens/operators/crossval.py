@@ -52,11 +52,6 @@ def local_folds(T: DataFrame, ks: list[int]) -> tuple[DataFrame, int]:
     return T.sparkSession.createDataFrame(rows, f.schema), len({r["period"] for r in rows})
 
 
-def n_groups(T: DataFrame) -> int:
-    """K2 on the moment table: distinct periods (tiny)."""
-    return T.select("period").distinct().count()
-
-
 @dataclass
 class CVResult:
     k: int
@@ -75,15 +70,11 @@ def prepare_moments(m: DataFrame, design: Design) -> DataFrame:
     return cut_lineage(moment_table(m, design))
 
 
-def run_cv(m: DataFrame, design: Design, k: int, T: DataFrame | None = None,
-           materialize_rows: bool = True) -> CVResult:
+def run_cv(m: DataFrame, design: Design, k: int, T: DataFrame | None = None) -> CVResult:
     """K3: refit on all but one fold, predict the held-out periods; one row per observation.
 
-    The model frame is read twice (moment table, scoring pass).  ``materialize_rows`` writes
-    its few narrow columns once, so a source that is itself a join (a sales view over fact and
-    dimension tables) is joined once, not once per pass."""
-    if materialize_rows and T is None:
-        m = cut_lineage(m)
+    The model frame (``prepare`` has written its narrow columns) is read twice: for the moment
+    table and for the scoring pass."""
     T = prepare_moments(m, design) if T is None else T
     folds, ng = local_folds(T, [k])
     if ng < k:
@@ -147,6 +138,14 @@ def mark_best(per_k: DataFrame) -> DataFrame:
     return per_k.select("k", "mean_mse", "std_mse", "mean_r2", "std_r2", (F.col("k") == best).alias("best"))
 
 
+def k_bounds_table(df: DataFrame, date: str, weeks: int, saved: int | None = None) -> DataFrame:
+    """K10 from the data's own span: upper, chosen."""
+    n = F.floor(F.timestamp_diff("DAY", F.min(date), F.max(date)) / F.lit(7.0) / weeks)
+    upper = F.greatest(F.lit(2), F.least(F.lit(10), n)).cast("int")
+    return df.agg(upper.alias("upper")).select("upper", F.greatest(F.lit(2), F.least(F.lit(5 if saved is None else saved), F.col("upper")))
+                                               .cast("int").alias("chosen"))
+
+
 def k_bounds(complete_periods: int, best_k: int | None = None, saved: int | None = None) -> tuple[int, int]:
     """The k slider's upper bound (complete periods, at most 10) and its default."""
     upper = max(2, min(10, complete_periods))

@@ -11,20 +11,18 @@ from acctlens.operators import density as DN
 from acctlens.operators import forest as FO
 from acctlens.operators import hdbscan as HD
 from acctlens.operators import residuals as RS
+from acctlens.operators import validity as VA
 from acctlens.session import cut_lineage
 from acctlens.settings import DetectSpec
 
 
-def choose_density(dbscan_n: int, hdbscan_n: int | None, use_dbcv: bool = True,
-                   dbcv_dbscan: float | None = None, dbcv_hdbscan: float | None = None) -> str:
-    """D9.  With DBCV scores: both defined → HDBSCAN if ≥, only HDBSCAN's → HDBSCAN, else
-    DBSCAN.  Without them (the default: the score is optional): HDBSCAN if it flagged
-    anything, else DBSCAN.  ``hdbscan_n=None`` means HDBSCAN flags are not available."""
-    if use_dbcv and (dbcv_dbscan is not None or dbcv_hdbscan is not None):
-        if dbcv_dbscan is not None and dbcv_hdbscan is not None:
-            return "HDBSCAN" if dbcv_hdbscan >= dbcv_dbscan else "DBSCAN"
-        return "HDBSCAN" if dbcv_hdbscan is not None else "DBSCAN"
-    return "HDBSCAN" if (hdbscan_n or 0) > 0 else "DBSCAN"
+def choice(n_dbscan: Column, n_hdbscan: Column, available: Column, score_dbscan: Column, score_hdbscan: Column) -> Column:
+    """D9 as a column.  With validity scores available: HDBSCAN if its score is defined and DBSCAN's
+    isn't larger, else DBSCAN (also when neither is defined).  Without: HDBSCAN if it flagged
+    anything, else DBSCAN."""
+    by_score = score_hdbscan.isNotNull() & (score_dbscan.isNull() | (score_hdbscan >= score_dbscan))
+    by_flags = F.coalesce(n_hdbscan, F.lit(0)) > 0
+    return F.when(F.when(available, by_score).otherwise(by_flags), F.lit("HDBSCAN")).otherwise(F.lit("DBSCAN"))
 
 
 def combine(density_flag: Column, forest_flag: Column, method: str,
@@ -39,49 +37,50 @@ def combine(density_flag: Column, forest_flag: Column, method: str,
 
 @dataclass
 class Detection:
-    accounts: DataFrame     # statistics + dbscan/iforest flags + outlier_flag + outlier_type
+    accounts: DataFrame     # statistics + dbscan/hdbscan/iforest flags + outlier_flag + outlier_type
     metadata: DataFrame     # D11, one row
     method: str
     eps: float
     threshold: float
 
 
-def detect(stats: DataFrame, spec: DetectSpec = DetectSpec(), hdbscan_flags: DataFrame | None = None,
-           run_hdbscan: bool = True) -> Detection:
+def detect(stats: DataFrame, spec: DetectSpec = DetectSpec(), hdbscan_flags: DataFrame | None = None) -> Detection:
     """Account statistics (A1–A7) → standardised features → DBSCAN noise, HDBSCAN noise,
-    Isolation Forest → chosen density method (D9) → combined flag and type (D10)."""
+    Isolation Forest → chosen density method (D9) → combined flag and type (D10).
+    ``hdbscan_flags``: Account, hdbscan_cluster, hdbscan_outlier, where they are known already."""
     stats = cut_lineage(stats)
     feat = cut_lineage(RS.feature_matrix(stats))
     db = DN.dbscan(feat, spec.k_for_eps, spec.eps_percentile, spec.dbscan_min_samples)
-    if hdbscan_flags is None and run_hdbscan:
-        hdbscan_flags = HD.hdbscan(feat, spec.hdbscan_min_cluster_size, spec.hdbscan_min_samples)
+    db_labels = cut_lineage(DN.cluster_labels(db))
+    hd = cut_lineage(HD.hdbscan(feat, spec.hdbscan_min_cluster_size, spec.hdbscan_min_samples)
+                     if hdbscan_flags is None else hdbscan_flags)
     fo, thr = FO.isolation_forest(feat, spec.contamination, spec.n_trees, spec.max_samples, spec.random_state)
-    acc = stats.join(db.flags.select("Account", "dbscan_outlier"), "Account").join(fo, "Account")
-    if hdbscan_flags is not None:
-        acc = acc.join(hdbscan_flags.select("Account", "hdbscan_outlier"), "Account", "left")
-    else:
-        acc = acc.withColumn("hdbscan_outlier", F.lit(None).cast("int"))
-    acc = cut_lineage(acc)
-    sums = acc.agg(F.sum("dbscan_outlier").alias("d"), F.sum("hdbscan_outlier").alias("h")).first()
-    method = choose_density(int(sums["d"] or 0), None if hdbscan_flags is None else int(sums["h"] or 0),
-                            spec.use_dbcv)
+    acc = cut_lineage(stats.join(db.flags.select("Account", "dbscan_outlier"), "Account").join(fo, "Account")
+                      .join(hd.select("Account", "hdbscan_outlier"), "Account", "left"))
+    hd_labels = hd.select("Account", F.col("hdbscan_cluster").alias("cluster"))
+    scores = (None, None)
+    if spec.use_validity:
+        scores = VA.validity(feat, db_labels), VA.validity(feat, hd_labels)
+    known = [F.lit(v).cast("double") for v in scores]
+    method = acc.agg(choice(F.sum("dbscan_outlier"), F.sum("hdbscan_outlier"), F.lit(spec.use_validity), *known).alias("m")).first()["m"]
     dens = F.col("hdbscan_outlier") if method == "HDBSCAN" else F.col("dbscan_outlier")
     flag, typ = combine(dens, F.col("iforest_outlier"), method)
     acc = cut_lineage(acc.select("*", flag.alias("outlier_flag"), typ.alias("outlier_type")))
-    meta = metadata(acc, method, spec.contamination, db.eps, thr)
+    clusters = db_labels.agg(F.count_distinct("cluster").alias("dbscan_clusters")).crossJoin(
+        hd_labels.agg(F.count_distinct("cluster").alias("hdbscan_clusters")))          # one row each
+    meta = metadata(acc, method, spec.contamination, db.eps, thr, scores).crossJoin(clusters)
     return Detection(acc, meta, method, db.eps, thr)
 
 
-def metadata(acc: DataFrame, method: str, contamination: float, eps: float, thr: float) -> DataFrame:
-    """Chosen method, count per detector, combined count, settings — one aggregate."""
+def metadata(acc: DataFrame, method: str, contamination: float, eps: float, thr: float,
+             scores: tuple[float | None, float | None] = (None, None)) -> DataFrame:
+    """Chosen method, count per detector, combined count, settings, validity scores — one aggregate."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
     return acc.agg(
         F.lit(method).alias("density_method"),
-        F.sum("dbscan_outlier").cast("long").alias("dbscan_outliers"),
-        F.sum("hdbscan_outlier").cast("long").alias("hdbscan_outliers"),
-        F.sum("iforest_outlier").cast("long").alias("iforest_outliers"),
-        F.sum("outlier_flag").cast("long").alias("combined_outliers"),
+        total("dbscan_outlier").alias("dbscan_outliers"), total("hdbscan_outlier").alias("hdbscan_outliers"),
+        total("iforest_outlier").alias("iforest_outliers"), total("outlier_flag").alias("combined_outliers"),
         F.count(F.lit(1)).alias("n_accounts"),
-        F.lit(float(contamination)).alias("contamination"),
-        F.lit(float(eps)).alias("eps"),
-        F.lit(float(thr)).alias("iforest_threshold"),
-        F.lit(",".join(RS.FEATURES)).alias("feature_names"))
+        F.lit(float(contamination)).alias("contamination"), F.lit(float(eps)).alias("eps"),
+        F.lit(float(thr)).alias("iforest_threshold"), F.lit(",".join(RS.FEATURES)).alias("feature_names"),
+        F.lit(scores[0]).cast("double").alias("dbscan_validity"), F.lit(scores[1]).cast("double").alias("hdbscan_validity"))

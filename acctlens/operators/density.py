@@ -4,7 +4,7 @@ D2: eps = linearly interpolated percentile of the k-distances (exact, skew-safe
 D3: DBSCAN noise without clustering: a point is core when at least ``min_samples`` points
     (itself and copies included) lie within eps, inclusive; noise = not core and no core
     point within eps.  Pair generation is the grid equi-join of ``neighbors``.
-D4: cluster labels = connected components of the core–core graph (batched union-find); a
+D4: cluster labels = connected components of the core–core graph; a
     border point takes the smallest label among its core neighbours.
 
 HDBSCAN (D5) lives in ``hdbscan.py``.
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from acctlens.functions.median import global_quantile
-from acctlens.functions.unionfind import merge_labels
+from acctlens.functions.components import component_roots
 from acctlens.operators.neighbors import distinct_points, k_distance, pairs_within
 from acctlens.session import cut_lineage
 
@@ -62,13 +62,13 @@ def dbscan(feat: DataFrame, k: int = 5, eps_percentile: float = 90, min_samples:
 
 def cluster_labels(res: DBSCANResult) -> DataFrame:
     """Account, cluster (the smallest core pid of its component; NULL for noise).
-    Components of the core–core graph by batched union-find; a border point takes the smallest
-    label among its core neighbours."""
+    A border point takes the smallest label among its core neighbours."""
     core = cut_lineage(res.flags.where("is_core").select("pid").distinct())
     edges = (res.pairs.join(core, "pid", "left_semi")
              .join(core.select(F.col("pid").alias("qid")), "qid", "left_semi")
              .where(F.col("pid") < F.col("qid")).select(F.col("pid").alias("a"), F.col("qid").alias("b")))
-    lab = cut_lineage(merge_labels(core.select("pid", F.col("pid").alias("lab")), "lab", edges))
+    roots = component_roots(edges)
+    lab = cut_lineage(core.join(roots, F.col("pid") == F.col("node"), "left").select("pid", F.coalesce("root", "pid").alias("lab")))
     border = (res.pairs.join(core, "pid", "left_anti")
               .join(lab.select(F.col("pid").alias("qid"), F.col("lab").alias("ql")), "qid")
               .groupBy("pid").agg(F.min("ql").alias("lab")))

@@ -16,14 +16,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from acctlens.functions.columns import qcol
+from acctlens.session import cut_lineage
 from acctlens.settings import ModelSpec
 
-# Dummy columns above this count should be absorbed instead (the Gram is p×p on the driver).
-MAX_DUMMY_LEVELS = 512
+# Phrases that callers match on.
+NEGATIVE_TARGET = "Dependent variable contains negative values"
+NEGATIVE_PREDICTOR = "Cannot log-transform negative values"
 
 
 @dataclass(frozen=True)
@@ -33,6 +35,8 @@ class Design:
     dummies: tuple[tuple[str, tuple], ...]     # (source column, sorted levels)
     absorbed: str | None
     target: str
+    mean_y: float = 0.0                        # the moments are taken about these means
+    mean_x: tuple[float, ...] = ()
 
     @property
     def n_cont(self) -> int:
@@ -70,23 +74,23 @@ def log_expr(c: Column, handle_zeros: str = "clip", clip_value: float = 1e-6,
     return F.ln(c.cast("double") + F.lit(add_constant))
 
 
-def target_expr(spec: ModelSpec) -> Column:
-    y = qcol(spec.dependent_var).cast("double")
-    return log_expr(y, spec.handle_zeros, spec.clip_value) if spec.log_transform else y
+def negative_counts(df: DataFrame, spec: ModelSpec) -> DataFrame:
+    """One row: negative values of the target and, summed, of the continuous predictors."""
+    neg = lambda c: F.count_if(qcol(c) < 0)
+    return df.agg(neg(spec.dependent_var).alias("neg_target"),
+                  sum((neg(c) for c in spec.continuous_vars), F.lit(0)).cast("long").alias("neg_predictors"))
 
 
 def check_negatives(df: DataFrame, spec: ModelSpec) -> None:
-    """One aggregate for the target (when logged) and every continuous predictor."""
-    cols = ([spec.dependent_var] if spec.log_transform else []) + list(spec.continuous_vars)
-    if not cols:
-        return
-    row = df.agg(*[F.count_if(qcol(c) < 0).alias(f"n{i}") for i, c in enumerate(cols)]).first()
-    if spec.log_transform and row[0] > 0:
-        raise NegativeValueError(f"Dependent variable '{spec.dependent_var}' contains negative values. "
-                                 "Cannot log-transform.")
-    neg = sum(row[i] for i in range(1 if spec.log_transform else 0, len(cols)))
-    if neg > 0:
-        raise NegativeValueError(f"Cannot log-transform negative values. Found {neg} negative values.")
+    """Negative values have no logarithm."""
+    _refuse_negatives(negative_counts(df, spec).first(), spec)
+
+
+def _refuse_negatives(row, spec: ModelSpec) -> None:
+    if spec.log_transform and row["neg_target"]:
+        raise NegativeValueError(f"{NEGATIVE_TARGET}: '{spec.dependent_var}' has {row['neg_target']}")
+    if row["neg_predictors"]:
+        raise NegativeValueError(f"{NEGATIVE_PREDICTOR}: {row['neg_predictors']} among {', '.join(spec.continuous_vars)}")
 
 
 def choose_absorbed(spec: ModelSpec, account: str | None, absorb: str | None = "auto") -> str | None:
@@ -99,20 +103,15 @@ def choose_absorbed(spec: ModelSpec, account: str | None, absorb: str | None = "
     return spec.categorical_vars[0] if spec.categorical_vars else None
 
 
-def dummy_levels(df: DataFrame, cols: list[str]) -> dict[str, tuple]:
-    """Sorted distinct levels of the small categoricals in one job, with a size guard."""
-    if not cols:
-        return {}
-    pairs = F.explode(F.array(*[F.struct(F.lit(j).alias("j"), qcol(c).cast("string").alias("v"))
-                                for j, c in enumerate(cols)]))
-    rows = (df.select(pairs.alias("p")).select("p.j", "p.v").distinct()
-            .limit(MAX_DUMMY_LEVELS * len(cols) + 1).collect())
-    if len(rows) > MAX_DUMMY_LEVELS * len(cols):
-        raise ValueError(f"Categoricals {cols} have more than {MAX_DUMMY_LEVELS} levels; absorb the largest one")
-    out: dict[str, list] = {c: [] for c in cols}
-    for r in rows:
-        out[cols[r["j"]]].append(r["v"])
-    return {c: tuple(sorted(v, key=lambda s: (s is None, s))) for c, v in out.items()}
+def dummy_table(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Column, level, is_baseline of every level of ``cols`` (the first of a column's levels)."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), qcol(c).cast("string").alias("level")) for c in cols]))
+    levels = df.select(pairs.alias("p")).select("p.*").distinct()
+    return levels.withColumn("is_baseline", F.col("level").eqNullSafe(F.min("level").over(Window.partitionBy("column"))))
+
+
+def _missing(c: Column, kind: str) -> Column:
+    return c.isNull() | F.isnan(c) if kind in ("double", "float") else c.isNull()
 
 
 def prepare(df: DataFrame, spec: ModelSpec, account: str, period: str,
@@ -122,31 +121,48 @@ def prepare(df: DataFrame, spec: ModelSpec, account: str, period: str,
 
     With ``drop_na`` (default) rows missing the target or any predictor are dropped (R4);
     otherwise a missing log predictor is imputed with 0 after the log (R5).  Rows without a
-    target are always dropped (no least-squares fit can use them)."""
-    spec.validate_data(df)
-    if check:
-        check_negatives(df, spec)
+    target are always dropped (no least-squares fit can use them).  NaN counts as missing.
+
+    The source is read once: its few model columns are written as a narrow table, from which one
+    aggregate gives the negative counts (R1) and the means that centre the moments, and one more
+    the levels of the small categoricals."""
+    spec.check_columns(df)
+    kinds = dict(df.dtypes)
     g = choose_absorbed(spec, account, absorb)
     small = [c for c in spec.categorical_vars if c != g]
-    levels = dummy_levels(df.dropna(subset=spec.all_vars) if spec.drop_na else df, small)
+    number = lambda c: F.when(~_missing(qcol(c), kinds[c]), qcol(c).cast("double"))
     cols = [qcol(account).alias("account"), qcol(period).alias("period"),
-            (F.coalesce(qcol(weight).cast("double"), F.lit(1.0)) if weight else F.lit(1.0)).alias("weight"),
-            target_expr(spec).alias("y")]
-    for i, c in enumerate(spec.continuous_vars):
-        e = log_expr(qcol(c), spec.handle_zeros, spec.clip_value)
-        cols.append((e if spec.drop_na else F.coalesce(e, F.lit(0.0))).alias(f"x{i}"))
-    for j, c in enumerate(small):
-        cols.append(qcol(c).cast("string").alias(f"c{j}"))
-    cols.append((qcol(g) if g else F.lit("")).alias("g"))
-    base = df.dropna(subset=spec.all_vars) if spec.drop_na else df
-    out = base.select(*cols).where(F.col("y").isNotNull())
-    design = Design(tuple(spec.continuous_vars), tuple((c, levels[c]) for c in small), g, spec.dependent_var)
+            (F.coalesce(number(weight), F.lit(1.0)) if weight else F.lit(1.0)).alias("weight"),
+            number(spec.dependent_var).alias("raw_y"), (qcol(g) if g else F.lit("")).alias("g")]
+    cols += [number(c).alias(f"raw_x{i}") for i, c in enumerate(spec.continuous_vars)]
+    cols += [qcol(c).cast("string").alias(f"c{j}") for j, c in enumerate(small)]
+    narrow = cut_lineage(df.select(*cols))
+    xs = [f"raw_x{i}" for i in range(len(spec.continuous_vars))]
+    y = F.col("raw_y")
+    out = narrow.where(y.isNotNull()).select(
+        "account", "period", "weight", (log_expr(y, spec.handle_zeros, spec.clip_value) if spec.log_transform else y).alias("y"),
+        *[log_expr(F.col(x), spec.handle_zeros, spec.clip_value).alias(x[4:]) for x in xs], *[f"c{j}" for j in range(len(small))], "g")
+    logs = [x[4:] for x in xs]
+    needed = logs + [f"c{j}" for j in range(len(small))] + (["g"] if g else [])
+    out = out.dropna(subset=needed) if spec.drop_na and needed else out.fillna(0.0, subset=logs) if logs else out
+    if check:
+        _refuse_negatives(narrow.agg(F.count_if(y < 0).alias("neg_target"),
+                                     sum((F.count_if(F.col(x) < 0) for x in xs), F.lit(0)).alias("neg_predictors")).first(), spec)
+    means = out.agg(F.avg("y"), *[F.avg(x) for x in logs]).first()
+    levels: dict[str, list] = {f"c{j}": [] for j in range(len(small))}
+    if small:
+        for r in dummy_table(out, list(levels)).collect():
+            levels[r["column"]].append(r["level"])
+    design = Design(tuple(spec.continuous_vars),
+                    tuple((c, tuple(sorted(levels[f"c{j}"], key=lambda v: (v is None, v)))) for j, c in enumerate(small)),
+                    g, spec.dependent_var, float(means[0] or 0.0), tuple(float(v or 0.0) for v in means[1:]))
     return out, design
 
 
 def dropped_rows(df: DataFrame, spec: ModelSpec) -> DataFrame:
-    """R4 count: rows dropped for missing target or predictors, in one aggregate."""
+    """R4 count: rows dropped for missing target or predictors (NULL or NaN), in one aggregate."""
+    kinds = dict(df.dtypes)
     miss = F.lit(False)
-    for c in spec.all_vars:
-        miss = miss | qcol(c).isNull()
+    for c in spec.columns:
+        miss = miss | _missing(qcol(c), kinds[c])
     return df.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(miss).alias("n_dropped"))

@@ -1,17 +1,17 @@
 """HDBSCAN noise flags over accounts (D5), distributed end to end.
 
 1. Core distance = distance to the ``min_samples``-th point counting itself (D1's grid search).
-2. Minimum spanning tree of the mutual-reachability graph, mrd(p, q) = max(core p, core q, d),
-   by **Kruskal in weight phases**: one grid join yields every edge up to R; each later phase
-   yields, with cells of side R·4^k, only the edges that join *different* current components
-   (cells that hold nothing but the probing component are pruned at cell level before any point
-   pair is formed).  The condenser's union-find keeps the tree edges and is itself the
-   component state; ties break on (w, u, v).  Identical accounts (one distinct point with a
-   multiplicity) hang off their representative by star edges of weight core(p) — the exact
-   tree of the full graph.
-3. **Condensation** (single-linkage order, ``min_cluster_size``): edges are range-partitioned by
-   weight into batches of at most ``batch_edges``; batches run in order, each in one task with a
-   union-find over only the components its edges touch (a component smaller than
+2. Minimum spanning tree of the mutual-reachability graph, mrd(p, q) = max(core p, core q, d), **in
+   weight phases**: one grid join yields every edge up to R; each later phase yields, with cells of
+   side R·4^k, only the edges that join *different* current components (cells that hold nothing but
+   the probing component are pruned at cell level before any point pair is formed).  A phase's
+   spanning forest comes from Borůvka rounds: each component's least outgoing edge by a grouped
+   minimum, then the components merge.  Ties break on (w, u, v).  Identical accounts (one distinct
+   point with a multiplicity) hang off their representative by star edges of weight core(p) — the
+   exact tree of the full graph.
+3. **Condensation** (single-linkage order, ``min_cluster_size``) of the tree's n - 1 edges only: they
+   are range-partitioned by weight into batches of at most ``batch_edges``; batches run in order, each
+   in one task with a union-find over only the components its edges touch (a component smaller than
    ``min_cluster_size`` carries its member list, so state stays bounded).  Output: the condensed
    tree rows — points falling out of a cluster at λ = 1/w, and child clusters born at a split.
 4. **Excess of mass**: stability per cluster from the condensed rows (a grouped aggregate), then
@@ -25,11 +25,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from acctlens.functions.components import component_roots
 from acctlens.functions.median import global_quantile
 from acctlens.operators.neighbors import FEATS, IDX, OFFSETS, distinct_points, k_distance, pairs_within
 from acctlens.session import cut_lineage
@@ -38,7 +41,7 @@ BATCH_EDGES = 200_000
 CID_STRIDE = 1_000_000_000
 
 
-# ------------------------------------------------------------------ 2. spanning-tree edges by weight phase
+# ------------------------------------------------------------------ 2. spanning tree
 
 def _cells(df: DataFrame, radius: float, prefix: str = "") -> list:
     return [F.floor(F.col(f"{prefix}{c}") / F.lit(radius)).cast("long").alias(f"k{i}") for i, c in enumerate(IDX)]
@@ -68,6 +71,52 @@ def _cross_pairs(P: DataFrame, comp: DataFrame, lo: float, hi: float) -> DataFra
             .where((F.col("w") > F.lit(lo)) & (F.col("w") <= F.lit(hi))))
 
 
+ONE_TASK = 200_000                                        # edges that one task may sort and join
+
+
+def _kruskal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    e = pa.Table.from_batches(held).sort_by([("w", "ascending"), ("u", "ascending"), ("v", "ascending")])
+    root: dict = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    keep = []
+    for i, (a, b) in enumerate(zip(e["cu"].to_pylist(), e["cv"].to_pylist())):
+        a, b = find(a), find(b)
+        if a != b:
+            root[a] = b
+            keep.append(i)
+    yield from e.select(["u", "v", "w"]).take(pa.array(keep, pa.int64())).combine_chunks().to_batches()
+
+
+def spanning_forest(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+    """(u, v, w): the minimum spanning forest, between the components cu, cv, of ``edges`` (u, v, w, cu,
+    cv), ties broken on (w, u, v)."""
+    edges = cut_lineage(edges)
+    if edges.count() <= ONE_TASK:
+        return cut_lineage(edges.coalesce(1).mapInArrow(_kruskal, edges.select("u", "v", "w").schema))
+    tree = None
+    for _ in range(max_rounds):
+        if edges.isEmpty():
+            return tree
+        e = F.struct("w", "u", "v", "cu", "cv").alias("e")
+        ends = edges.select(F.col("cu").alias("c"), e).union(edges.select(F.col("cv").alias("c"), e))
+        least = cut_lineage(ends.groupBy("c").agg(F.min("e").alias("e")).select("e.*").distinct())
+        tree = least.select("u", "v", "w") if tree is None else tree.unionByName(least.select("u", "v", "w"))
+        roots = component_roots(least.select(F.col("cu").alias("a"), F.col("cv").alias("b")))
+        for c in ("cu", "cv"):
+            edges = (edges.join(roots.select(F.col("node").alias(c), F.col("root").alias("__r")), c, "left")
+                     .withColumn(c, F.coalesce("__r", c)).drop("__r"))
+        edges = cut_lineage(edges.where(F.col("cu") != F.col("cv")))
+    raise RuntimeError(f"no spanning forest within {max_rounds} rounds")
+
+
 # ------------------------------------------------------------------ 3. condensation
 
 _OUT_SCHEMA = ("kind string, acct string, cid long, parent long, lam double, size long, "
@@ -138,8 +187,7 @@ def _process_batch(mcs: int, batch: int):
 class Condenser:
     """Kruskal-order condensation with union-find state kept as two tables (account → root,
     root → size / cluster id / members of a small component).  ``feed`` takes edges (u, v, w)
-    that are all at least as heavy as every edge fed before; edges inside one component are
-    skipped, so candidate edges (not only tree edges) may be fed."""
+    that are all at least as heavy as every edge fed before."""
 
     def __init__(self, accounts: DataFrame, mcs: int, batch_edges: int = BATCH_EDGES):
         self.spark = accounts.sparkSession
@@ -290,6 +338,8 @@ def label_clusters(clusters: DataFrame, selected: DataFrame, max_rounds: int = 6
         st = cut_lineage(j.select(F.col("a.cid").alias("cid"),
                                   F.coalesce(F.col("a.target"), F.col("b.target")).alias("target"),
                                   F.when(F.col("a.target").isNull(), F.col("b.nxt")).alias("nxt")))
+    else:
+        raise RuntimeError("cluster targets did not settle")
     return st.select("cid", "target")
 
 
@@ -316,6 +366,8 @@ def select_clusters(points: DataFrame, clusters: DataFrame, root_cid, nodes: Dat
                            .when(F.col("sub") > F.col("stab"), F.col("sub")).otherwise(F.col("stab")).alias("eff"),
                            (F.col("nk").isNull() | (F.col("sub") <= F.col("stab"))).alias("sel"))
         done = cut_lineage(done.unionByName(dec))
+    else:
+        raise RuntimeError("the cluster tree is deeper than the rounds allowed")
     # top-down: keep a selected node only if no (non-root) ancestor is selected
     state = cut_lineage(nodes.join(done, "cid", "left").select("cid", "parent", F.coalesce("sel", F.lit(False)).alias("sel")))
     cover = cut_lineage(state.where(F.col("cid") == F.lit(int(root_cid))).select("cid", F.lit(False).alias("anc")))
@@ -328,48 +380,67 @@ def select_clusters(points: DataFrame, clusters: DataFrame, root_cid, nodes: Dat
         if nxt.isEmpty():
             break
         cover = cut_lineage(cover.unionByName(nxt))
+    else:
+        raise RuntimeError("the cluster tree is deeper than the rounds allowed")
     return (state.join(cover, "cid").where(F.col("cid") != F.lit(int(root_cid)))
             .select("cid", (F.col("sel") & ~F.col("anc")).alias("selected")))
 
 
 # ------------------------------------------------------------------ D5
 
-def hdbscan(feat: DataFrame, min_cluster_size: int = 5, min_samples: int = 3,
-            batch_edges: int = BATCH_EDGES, short_quantile: float = 0.9, growth: float = 4.0,
-            max_phases: int = 200) -> DataFrame:
-    """Account, hdbscan_cluster (NULL = noise), hdbscan_outlier.
-
-    Kruskal in weight phases: phase 1 feeds every mutual-reachability edge up to R (the
-    ``short_quantile`` of the core distances); phase k feeds the edges in (R·g^(k−2), R·g^(k−1)]
-    that join *different* current components (the condenser's union-find is the component
-    state), until one component remains.  Each phase's edges are heavier than all edges fed
-    before, so the condenser sees the spanning tree in exact weight order."""
-    pts, mapping = distinct_points(feat)
-    n = feat.count()
-    core = cut_lineage(k_distance(pts, min_samples, n).withColumnRenamed("kdist", "core"))
-    P = cut_lineage(pts.join(core, "pid"))
-    mapping = cut_lineage(mapping)
-    accts = mapping.select(F.col("Account").alias("acct"))
-    star = cut_lineage(mapping.where(F.col("Account") != F.col("pid")).join(core, "pid")
-                       .select(F.col("pid").alias("u"), F.col("Account").alias("v"), F.col("core").alias("w")))
-    R = max(float(global_quantile(P, "core", short_quantile, n_rows=n) or 0.0), 1e-9)
-    pr = pairs_within(P, P, R).where(F.col("pid") < F.col("qid"))
-    cand = (pr.join(core.select("pid", F.col("core").alias("cp")), "pid")
-            .join(core.select(F.col("pid").alias("qid"), F.col("core").alias("cq")), "qid")
-            .select(F.col("pid").alias("u"), F.col("qid").alias("v"), F.greatest("cp", "cq", "d").alias("w"))
-            .where(F.col("w") <= F.lit(R)))
-    cond = Condenser(accts, min_cluster_size, batch_edges)
-    cond.feed(cand.unionByName(star.where(F.col("w") <= F.lit(R))))
-    lo = R
+def spanning_tree(P: DataFrame, short_quantile: float = 0.9, growth: float = 4.0, max_phases: int = 200,
+                  n_points: int | None = None) -> DataFrame:
+    """(u, v, w): the minimum spanning tree of mutual reachability over distinct points (pid, core,
+    f0..f3).  Phase 1 takes every edge up to R (the ``short_quantile`` of the core distances); phase k
+    the edges in (R·g^(k−2), R·g^(k−1)] that join different current components, until one is left."""
+    R = max(float(global_quantile(P, "core", short_quantile, n_rows=n_points) or 0.0), 1e-9)
+    core = P.select("pid", "core")
+    near = pairs_within(P, P, R).where(F.col("pid") < F.col("qid"))
+    edges = (near.join(core.select("pid", F.col("core").alias("cp")), "pid")
+             .join(core.select(F.col("pid").alias("qid"), F.col("core").alias("cq")), "qid")
+             .select(F.col("pid").alias("u"), F.col("qid").alias("v"), F.greatest("cp", "cq", "d").alias("w"),
+                     F.col("pid").alias("cu"), F.col("qid").alias("cv")).where(F.col("w") <= F.lit(R)))
+    tree = spanning_forest(edges)
+    comp = P.select("pid", F.col("pid").alias("comp"))
+    grown, lo = tree, R
     for _ in range(max_phases):
-        if cond.root.select("root").distinct().limit(2).count() <= 1:
-            break
+        if not grown.isEmpty():
+            ends = grown.join(comp.select(F.col("pid").alias("u"), F.col("comp").alias("a")), "u") \
+                .join(comp.select(F.col("pid").alias("v"), F.col("comp").alias("b")), "v")
+            roots = component_roots(ends.select("a", "b"))
+            comp = cut_lineage(comp.join(roots, F.col("comp") == F.col("node"), "left").select("pid", F.coalesce("root", "comp").alias("comp")))
+        if comp.select("comp").distinct().limit(2).count() <= 1:
+            return tree
         hi = lo * growth
-        comp = P.select("pid").join(cond.root.select(F.col("acct").alias("pid"), F.col("root").alias("comp")), "pid")
-        cond.feed(_cross_pairs(P, comp, lo, hi)
-                  .unionByName(star.where((F.col("w") > F.lit(lo)) & (F.col("w") <= F.lit(hi)))))
+        cross = _cross_pairs(P, comp, lo, hi).join(comp.select(F.col("pid").alias("u"), F.col("comp").alias("cu")), "u") \
+            .join(comp.select(F.col("pid").alias("v"), F.col("comp").alias("cv")), "v")
+        grown = spanning_forest(cross.select("u", "v", "w", "cu", "cv"))
+        tree = cut_lineage(tree.unionByName(grown))
         lo = hi
-    points, clusters, root_cid = cond.result()
+    raise RuntimeError(f"no spanning tree within {max_phases} phases")
+
+
+def core_distances(feat: DataFrame, min_samples: int = 3) -> tuple[DataFrame, DataFrame, int]:
+    """(distinct points with core distances, Account → pid, accounts)."""
+    pts, mapping = distinct_points(feat)
+    n = feat.count()
+    core = k_distance(pts, min_samples, n).withColumnRenamed("kdist", "core")
+    return cut_lineage(pts.join(core, "pid")), cut_lineage(mapping), n
+
+
+def account_tree(feat: DataFrame, min_samples: int = 3) -> tuple[DataFrame, DataFrame]:
+    """(tree over accounts: u, v, w; accounts: acct): distinct points' tree and the copies' star edges."""
+    P, mapping, n = core_distances(feat, min_samples)
+    star = (mapping.where(F.col("Account") != F.col("pid")).join(P.select("pid", "core"), "pid")
+            .select(F.col("pid").alias("u"), F.col("Account").alias("v"), F.col("core").alias("w")))
+    return spanning_tree(P, n_points=n).unionByName(star), mapping.select(F.col("Account").alias("acct"))
+
+
+def hdbscan(feat: DataFrame, min_cluster_size: int = 5, min_samples: int = 3,
+            batch_edges: int = BATCH_EDGES) -> DataFrame:
+    """Account, hdbscan_cluster (NULL = noise), hdbscan_outlier."""
+    tree, accts = account_tree(feat, min_samples)
+    points, clusters, root_cid = condense(cut_lineage(tree), accts, min_cluster_size, batch_edges)
     tgt = select_and_target(points, clusters, root_cid)
     labels = points.join(tgt.select("cid", F.col("target").alias("cluster")), "cid").where(F.col("cluster").isNotNull())
     return (accts.join(labels.select("acct", "cluster"), "acct", "left")

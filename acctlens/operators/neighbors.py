@@ -73,6 +73,8 @@ def k_distance(points: DataFrame, k: int, n_total: int | None = None, side0: flo
             break
         todo = cut_lineage(todo)
         side *= 4.0
+    else:
+        raise RuntimeError(f"k-distances not found within {max_rounds} rounds")
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)

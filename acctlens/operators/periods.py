@@ -21,7 +21,6 @@ from acctlens.functions.columns import qcol
 # Candidate period lengths in weeks, and the minimum complete periods.
 CANDIDATE_WEEKS = [4, 8, 12, 13]
 MIN_PERIODS = 3
-MAX_CALENDAR_ROWS = 100
 
 
 class PeriodError(ValueError):
@@ -31,9 +30,10 @@ class PeriodError(ValueError):
 def _as_timestamp(df: DataFrame, date: str, strict: bool) -> Column:
     dt = df.schema[date].dataType
     c = qcol(date)
-    if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
+    if isinstance(dt, T.TimestampNTZType):
         return c
-    if isinstance(dt, T.DateType):
+    if isinstance(dt, (T.TimestampType, T.DateType)):
+        # a zoned timestamp counts by its wall clock in the session's zone, rows and anchor alike
         return c.cast("timestamp_ntz")
     return F.to_timestamp_ntz(c) if strict else F.try_to_timestamp(c).cast("timestamp_ntz")
 
@@ -121,15 +121,14 @@ def period_coverage_table(df: DataFrame, date: str = "Date", weeks: int = 13,
 
 def validate_period_coverage(df: DataFrame, date: str = "Date", weeks: int = 13,
                              min_periods: int = MIN_PERIODS):
-    """T4 as the reference returns it: (is_valid, message, table or None)."""
+    """T4 as a decision: (is_valid, message, table or None)."""
     s = _span(df, date).first()
     total_days = s["total_days"] or 0
     total_weeks = total_days / 7
     expected = int(total_weeks / weeks)
     if expected < min_periods:
-        return (False, f"Insufficient data for {weeks}-week periods. You have {total_weeks:.1f} weeks "
-                       f"({expected} periods), but need at least {min_periods} periods.", None)
-    return (True, f"Valid: {expected} periods of ~{weeks} weeks (Total: {total_weeks:.1f} weeks)",
+        return (False, f"{total_weeks:.1f} weeks hold {expected} periods of {weeks} weeks; {min_periods} are needed", None)
+    return (True, f"{total_weeks:.1f} weeks hold {expected} periods of {weeks} weeks",
             period_coverage_table(df, date, weeks, min_periods))
 
 
@@ -142,16 +141,16 @@ def recommended_period_lengths(df: DataFrame, date: str = "Date") -> DataFrame:
     return (cand.select(F.col("weeks").cast("int"), n.alias("num_periods"))
             .where(F.col("num_periods") >= MIN_PERIODS)
             .select("weeks", "num_periods", F.lit(True).alias("is_valid"),
-                    F.col("num_periods").between(4, 10).alias("recommended")))
+                    F.col("num_periods").between(4, 10).alias("recommended"),
+                    F.format_string("%d periods of %d weeks", "num_periods", "weeks").alias("message")))
 
 
 def calendar_boundaries(df: DataFrame, date: str = "Date", weeks: int = 13) -> DataFrame:
-    """Consecutive N-week ranges from the first to the last date (last one clipped),
-    at most 100 rows; dates as ``yyyy-MM-dd`` strings, Days inclusive, Weeks 1 dp."""
+    """Consecutive N-week ranges from the first to the last date (last one clipped), one row
+    per period; dates as ``yyyy-MM-dd`` strings, Days inclusive, Weeks 1 dp."""
     n_days = 7 * weeks
-    span = _span(df, date)
-    last = F.least(F.lit(MAX_CALENDAR_ROWS - 1),
-                   F.floor(F.timestamp_diff("SECOND", F.col("mn"), F.col("mx")) / F.lit(n_days * 86400)))
+    span = _span(df, date).where(F.col("mn").isNotNull())
+    last = F.floor(F.timestamp_diff("SECOND", F.col("mn"), F.col("mx")) / F.lit(n_days * 86400))
     p = span.select("mn", "mx", F.explode(F.sequence(F.lit(0), last.cast("int"))).alias("p"))
     start = F.expr(f"timestampadd(DAY, p * {n_days}, mn)")
     p = p.select(F.col("p"), start.alias("s"), "mx")

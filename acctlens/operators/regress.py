@@ -11,17 +11,22 @@ The absorbed categorical g (the account fixed effect) is swept out with the with
 transformation (Frisch–Waugh–Lovell): for a training set S,
 
     W  = Σ_S x xᵀ − Σ_g sx_g sx_gᵀ / n_g          r = Σ_S x y − Σ_g sx_g sy_g / n_g
-    b  = lstsq(W, r)                             α_g = (sy_g − sx_g·b) / n_g
+    W b = r                                      α_g = (sy_g − sx_g·b) / n_g
 
-which equals OLS with an intercept and one-hot(g) with the first level dropped.  A level of g
+which equals OLS with an intercept and one-hot(g) with the first level dropped.  Moments are taken
+about the columns' means, so they don't cancel.  Where W lacks rank (a predictor that is constant
+within each g, say), b is the part of the minimum-norm solution of the whole centred design —
+predictors and dummies of g together — not of W alone (``solve_slot``).  A level of g
 that is absent from training gets the fold's baseline level (the smallest training level),
 exactly like an unseen category encoded as all zeros.  For the small categoricals, columns
 with no training rows are dropped and then the first remaining level (the baseline).
 
 The per-fold correction Σ_g φ(train_g) is computed as Σ_g φ(total_g) plus a correction over
 only the groups that have held-out rows, so no (fold × group) product is ever formed.
-Driver state: per-period moment sums (#periods × p²), per-fold corrections (#folds × p²) and
-coefficient vectors.
+Driver state: per-period moment sums (#periods × p²), per-fold corrections (#folds × p²),
+coefficient vectors, and a page of at most ``PAGE`` levels while baselines are looked up.  p counts
+the continuous predictors and the levels of the categoricals that aren't absorbed; the Gram is
+p × p, so the categorical with many levels should be the absorbed one.
 """
 
 from __future__ import annotations
@@ -63,10 +68,17 @@ def _pairs(design: Design):
                 yield i, j, "sum"
 
 
+def _column_means(design: Design) -> list[float]:
+    """The means of the continuous columns; indicators stay 0/1."""
+    means = list(design.mean_x) or [0.0] * design.n_cont
+    return means + [0.0] * (design.p - design.n_cont)
+
+
 def moment_table(m: DataFrame, design: Design) -> DataFrame:
-    """Per (period, g): n, sy, syy, sx_i, sxy_i, sxx_i_j — one aggregation over the rows."""
-    X = design_exprs(design)
-    y = F.col("y")
+    """Per (period, g): n, sy, syy, sx_i, sxy_i, sxx_i_j about the design's means — one aggregation
+    over the rows."""
+    X = [x - F.lit(mean) for x, mean in zip(design_exprs(design), _column_means(design))]
+    y = F.col("y") - F.lit(design.mean_y)
     aggs = [F.count(F.lit(1)).alias("n"), F.sum(y).alias("sy"), F.sum(y * y).alias("syy")]
     for i, xi in enumerate(X):
         aggs += [F.sum(xi).alias(f"sx_{i}"), F.sum(xi * y).alias(f"sxy_{i}")]
@@ -157,17 +169,31 @@ def fit_slots(T: DataFrame, design: Design, excl: DataFrame, test: DataFrame,
     exg = cut_lineage(T.join(F.broadcast(excl), "period")
                       .groupBy(*SLOT, "g").agg(F.sum("n").alias("en"), F.sum("sy").alias("esy"),
                                                *[F.sum(f"sx_{i}").alias(f"esx_{i}") for i in range(p)]))
-    t0 = (F.col("n"), F.col("sy"), [F.col(f"sx_{i}") for i in range(p)])
-    t1 = (F.col("n") - F.col("en"), F.col("sy") - F.col("esy"),
+    t0_ = (F.col("n"), F.col("sy"), [F.col(f"sx_{i}") for i in range(p)])
+    t1_ = (F.col("n") - F.col("en"), F.col("sy") - F.col("esy"),
           [F.col(f"sx_{i}") - F.col(f"esx_{i}") for i in range(p)])
     joined = exg.join(tot, "g")
     delta = {(r["slot_k"], r["slot_f"]): r
-             for r in joined.groupBy(*SLOT).agg(*_phi_delta_aggs(p, pairs, t0, t1, "c"),
+             for r in joined.groupBy(*SLOT).agg(*_phi_delta_aggs(p, pairs, t0_, t1_, "c"),
                                                 F.count_if((F.col("n") - F.col("en")) == 0).alias("n_unseen"))
              .collect()}
 
-    # (3) solve on the driver, per slot.
+    # (3) each slot's baseline level (smallest g with training rows) and its moments: one total
+    #     row per baseline and at most one held-out row per slot.
+    baseline = _baselines(tot, joined, slots, delta)
+    g0s = sorted({baseline[s] for s in slots}, key=str)
+    tot0 = {r["g"]: r for r in tot.where(F.col("g").isin(g0s)).collect()}
+    ex0 = {(r["slot_k"], r["slot_f"], r["g"]): r for r in exg.where(F.col("g").isin(g0s)).collect()}
+    first: dict = {}
+    for s in slots:
+        t0, e0 = tot0[baseline[s]], ex0.get((s[0], s[1], baseline[s]))
+        n0 = t0["n"] - (e0["en"] if e0 else 0)
+        first[s] = ((t0["sy"] - (e0["esy"] if e0 else 0.0)) / n0,
+                    np.array([t0[f"sx_{i}"] - (e0[f"esx_{i}"] if e0 else 0.0) for i in range(p)]) / n0)
+
+    # (4) solve on the driver, per slot.
     Cb, cb, _ = _sym(base, p, pairs, "c")
+    grams: dict = {}
     coef: dict = {}
     for s in slots:
         train = [q for q in per if q not in ex.get(s, set())]
@@ -186,30 +212,22 @@ def fit_slots(T: DataFrame, design: Design, excl: DataFrame, test: DataFrame,
             Cd, cd, _ = _sym(delta[s], p, pairs, "c")
             C += Cd
             c += cd
-        W, rr = G - C, gy - c
-        active = _active_columns(design, np.diag(G))
+        grams[s] = (G - C, gy - c, np.diag(G), np.array(_active_columns(design, np.diag(G)), int))
+    lacking = [s for s in slots if _lacks_rank(*grams[s])]
+    groups = _group_means(tot, joined, pairs, p, t0=t0_, t1=t1_) if lacking else None
+    for s in slots:
         b = np.zeros(p)
-        if active:
-            idx = np.array(active)
-            sol, *_ = np.linalg.lstsq(W[np.ix_(idx, idx)], rr[idx], rcond=None)
-            b[idx] = sol
+        W, rr, diag, idx = grams[s]
+        if len(idx):
+            b[idx] = solve_slot(W[np.ix_(idx, idx)], rr[idx], diag[idx], _around(groups, s, first[s], idx) if s in lacking else None)
         coef[s] = b
 
-    # (4) baseline level per slot (smallest g with training rows).
-    baseline = _baselines(tot, joined, slots, delta)
-
-    # (5) intercept of each slot's baseline level on the driver: one total row per baseline
-    #     group and at most one held-out row per slot (tiny, bounded by the number of slots).
-    g0s = sorted({baseline[s] for s in slots}, key=str)
-    tot0 = {r["g"]: r for r in tot.where(F.col("g").isin(g0s)).collect()}
-    ex0 = {(r["slot_k"], r["slot_f"], r["g"]): r for r in exg.where(F.col("g").isin(g0s)).collect()}
+    # (5) intercepts, back in the columns' own units.
+    means = np.array(_column_means(design))
     rows = []
     for s in slots:
-        t0, e0 = tot0[baseline[s]], ex0.get((s[0], s[1], baseline[s]))
-        tn = t0["n"] - (e0["en"] if e0 else 0)
-        tsy = t0["sy"] - (e0["esy"] if e0 else 0.0)
-        tsx = np.array([t0[f"sx_{i}"] - (e0[f"esx_{i}"] if e0 else 0.0) for i in range(p)])
-        a0 = float((tsy - tsx @ coef[s]) / tn)
+        y0, x0 = first[s]
+        a0 = float(y0 - x0 @ coef[s] + design.mean_y - means @ coef[s])
         rows.append((int(s[0]), int(s[1]), *[float(v) for v in coef[s]], a0))
     coef_df = spark.createDataFrame(
         rows, ", ".join(["slot_k int", "slot_f int"] + [f"b_{i} double" for i in range(p)] + ["alpha0 double"]))
@@ -220,7 +238,8 @@ def fit_slots(T: DataFrame, design: Design, excl: DataFrame, test: DataFrame,
                  (F.col("sy") - F.coalesce(F.col("esy"), F.lit(0.0))).alias("tsy"),
                  *[(F.col(f"sx_{i}") - F.coalesce(F.col(f"esx_{i}"), F.lit(0.0))).alias(f"tsx_{i}")
                    for i in range(p)]))
-    alpha_expr = (F.col("tsy") - sum((F.col(f"tsx_{i}") * F.col(f"b_{i}") for i in range(p)), F.lit(0.0))) / F.col("tn")
+    alpha_expr = (F.col("tsy") - sum((F.col(f"tsx_{i}") * F.col(f"b_{i}") for i in range(p)), F.lit(0.0))) / F.col("tn") \
+        + F.lit(design.mean_y) - sum((F.lit(float(v)) * F.col(f"b_{i}") for i, v in enumerate(means)), F.lit(0.0))
     # read by the scoring pass and by the metrics: materialise once
     alpha = cut_lineage(a.join(F.broadcast(coef_df), SLOT)
                         .select(*SLOT, "g", F.when(F.col("tn") > 0, alpha_expr).otherwise(F.col("alpha0")).alias("alpha")))
@@ -242,22 +261,98 @@ def _active_columns(design: Design, train_diag: np.ndarray) -> list[int]:
     return active
 
 
+PAGE = 1000
+
+
 def _baselines(tot: DataFrame, joined: DataFrame, slots, delta) -> dict:
-    """Smallest g with training rows, per slot.  Usually the global minimum; when some groups
-    have no training rows in a slot, look through the smallest (#unseen + 1) groups."""
-    n_unseen = max([int(delta[s]["n_unseen"]) for s in delta] + [0])
-    cands = [r["g"] for r in tot.select("g").orderBy("g").limit(n_unseen + 1).collect()]
-    if n_unseen == 0:
-        return {s: cands[0] for s in slots}
-    zero = joined.where((F.col("n") - F.col("en")) == 0).where(F.col("g").isin(cands)) \
-        .select(*SLOT, "g").collect()
-    bad: dict = {}
-    for r in zero:
-        bad.setdefault((r["slot_k"], r["slot_f"]), set()).add(r["g"])
-    out = {}
-    for s in slots:
-        out[s] = next(g for g in cands if g not in bad.get(s, set()))
-    return out
+    """Smallest g with training rows, per slot.  Mostly the global minimum; when some groups have no
+    training rows in a slot, the levels are read in order, a page at a time, until every slot has
+    one with training rows."""
+    unseen = {s for s in delta if delta[s]["n_unseen"]}
+    out: dict = {}
+    levels = tot.select("g").orderBy("g")
+    page = [r["g"] for r in levels.limit(PAGE if unseen else 1).collect()]
+    while page:
+        zero: dict = {}
+        if unseen:
+            held = joined.where((F.col("n") - F.col("en")) == 0).where(F.col("g").between(page[0], page[-1]))
+            for r in held.select(*SLOT, "g").collect():          # at most slots × PAGE rows
+                zero.setdefault((r["slot_k"], r["slot_f"]), set()).add(r["g"])
+        for s in slots:
+            if s not in out:
+                found = next((g for g in page if g not in zero.get(s, ())), None)
+                if found is not None:
+                    out[s] = found
+        if len(out) == len(slots):
+            return out
+        page = [r["g"] for r in levels.where(F.col("g") > page[-1]).limit(PAGE).collect()]
+    raise ValueError("a fold has no training rows")
+
+
+# ------------------------------------------------------------------ solving
+
+RANK_TOLERANCE = 1e-10
+
+
+def _scaled(W: np.ndarray, diag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """W over the columns' own variation before sweeping, and the scale."""
+    scale = 1 / np.sqrt(np.where(diag > 0, diag, 1.0))
+    return W * scale[:, None] * scale[None, :], scale
+
+
+def _lacks_rank(W: np.ndarray, r: np.ndarray, diag: np.ndarray, idx: np.ndarray) -> bool:
+    if not len(idx):
+        return False
+    scaled, _ = _scaled(W[np.ix_(idx, idx)], diag[idx])
+    return bool(np.linalg.eigvalsh(scaled)[0] <= RANK_TOLERANCE * len(idx))
+
+
+def solve_slot(W: np.ndarray, r: np.ndarray, diag: np.ndarray, around: tuple | None) -> np.ndarray:
+    """Coefficients of the predictors.  Full rank: W b = r.  Else b = b0 + V t, V spanning the null
+    space of W, and t minimises |b|² + Σ_g (A_g − D_g·b)², the squared norm of the predictors' and
+    the dummies' coefficients together; ``around`` = (Σ D Dᵀ, Σ D A) with D_g, A_g the means of x and
+    y in group g less those in the baseline group."""
+    scaled, scale = _scaled(W, diag)
+    values, vectors = np.linalg.eigh(scaled)
+    live = values > RANK_TOLERANCE * len(values)
+    inverse = vectors[:, live] / values[live] @ vectors[:, live].T
+    b0 = scale * (inverse @ (scale * r))
+    if around is None or live.all():
+        return b0
+    V, _ = np.linalg.qr(scale[:, None] * vectors[:, ~live])
+    S, q = around
+    t = np.linalg.solve(V.T @ V + V.T @ S @ V, V.T @ (q - S @ b0) - V.T @ b0)
+    return b0 + V @ t
+
+
+def _mean_sums(n: Column, sy: Column, sx: list[Column], pairs) -> dict[str, Column]:
+    """Per group: 1, mean y, mean x_i, mean x_i · mean y, mean x_i · mean x_j (0 without rows)."""
+    mean = lambda c: F.when(n > 0, c / n).otherwise(F.lit(0.0))
+    out = {"g1": F.when(n > 0, 1.0).otherwise(0.0), "gy": mean(sy)}
+    for i, x in enumerate(sx):
+        out |= {f"gx_{i}": mean(x), f"gxy_{i}": mean(x) * mean(sy)}
+    return out | {f"gxx_{i}_{j}": mean(sx[i]) * mean(sx[j]) for i, j, _ in pairs}
+
+
+def _group_means(tot: DataFrame, joined: DataFrame, pairs, p: int, t0, t1) -> tuple[dict, dict, int]:
+    """Sums over groups of their training means: of all rows, and by slot what held-out rows change."""
+    every = _mean_sums(*t0, pairs)
+    base = tot.agg(*(F.sum(c).alias(k) for k, c in every.items())).first().asDict()
+    train = _mean_sums(*t1, pairs)
+    change = joined.groupBy(*SLOT).agg(*(F.sum(train[k] - every[k]).alias(k) for k in every)).collect()
+    return base, {(r["slot_k"], r["slot_f"]): r.asDict() for r in change}, p
+
+
+def _around(groups: tuple, slot, first: tuple, idx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    base, change, p = groups
+    at = lambda k: base[k] + change.get(slot, {}).get(k, 0.0)
+    y0, x0 = first
+    n, sy, sx = at("g1"), at("gy"), np.array([at(f"gx_{i}") for i in range(p)])
+    sxy = np.array([at(f"gxy_{i}") for i in range(p)])
+    sxx = np.array([[at(f"gxx_{min(i, j)}_{max(i, j)}") for j in range(p)] for i in range(p)])
+    S = sxx - np.outer(sx, x0) - np.outer(x0, sx) + n * np.outer(x0, x0)
+    q = sxy - x0 * sy - y0 * sx + n * x0 * y0
+    return S[np.ix_(idx, idx)], q[idx]
 
 
 # ------------------------------------------------------------------ scoring
@@ -281,6 +376,7 @@ def slot_metrics(T: DataFrame, fit: FoldFit, test: DataFrame) -> DataFrame:
     p = design.p
     kinds = {(i, j): k for i, j, k in _pairs(design)}
     b = [F.col(f"b_{i}") for i in range(p)]
+    centre = F.lit(design.mean_y) - sum((F.lit(v) * x for v, x in zip(_column_means(design), b)), F.lit(0.0))
     bsx = sum((b[i] * F.col(f"sx_{i}") for i in range(p)), F.lit(0.0))
     bsxy = sum((b[i] * F.col(f"sxy_{i}") for i in range(p)), F.lit(0.0))
     quad = F.lit(0.0)
@@ -290,7 +386,7 @@ def slot_metrics(T: DataFrame, fit: FoldFit, test: DataFrame) -> DataFrame:
                 continue
             term = b[i] * b[j] * _xx(i, j, kinds)
             quad = quad + (term if i == j else term * 2.0)
-    a = F.coalesce(F.col("alpha"), F.col("alpha0"))
+    a = F.coalesce(F.col("alpha"), F.col("alpha0")) - centre          # about the means, as the moments are
     sse = F.col("syy") - 2.0 * bsxy + quad - 2.0 * a * (F.col("sy") - bsx) + F.col("n") * a * a
     sres = F.col("sy") - bsx - F.col("n") * a
     cells = (T.join(F.broadcast(test), "period").join(fit.alpha, SLOT + ["g"], "left")
@@ -317,17 +413,13 @@ def r2_expr(sse: Column, sstot: Column, n: Column) -> Column:
 def fit_all(m: DataFrame, design: Design, T: DataFrame | None = None) -> tuple[FoldFit, DataFrame]:
     """One model on every row (slot (0, 0), nothing excluded)."""
     spark = m.sparkSession
-    T = moment_table(m, design) if T is None else T
+    T = cut_lineage(moment_table(m, design)) if T is None else T      # read four times
     periods = T.select("period").distinct()
     test = periods.select(F.lit(0).alias("slot_k"), F.lit(0).alias("slot_f"), "period")
     excl = spark.createDataFrame([], f"slot_k int, slot_f int, period {T.schema['period'].dataType.simpleString()}")
     return fit_slots(T, design, excl, test, [(0, 0)]), test
 
 
-def coefficients(fit: FoldFit, slot=(0, 0)) -> dict[str, float]:
-    return dict(zip(fit.design.names(), fit.coef[slot].tolist()))
-
-
 def in_sample_report(m: DataFrame, design: Design) -> DataFrame:
     """MSE and R² of the in-sample fit, from one scoring pass."""
     fit, test = fit_all(m, design)

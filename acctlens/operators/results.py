@@ -9,7 +9,7 @@ from pyspark.sql import Window
 
 def outlier_counts(acc: DataFrame) -> DataFrame:
     """O1: outliers, accounts, rate (0 when there are no accounts)."""
-    return acc.agg(F.sum("outlier_flag").cast("long").alias("n_outliers"), F.count(F.lit(1)).alias("n_accounts")) \
+    return acc.agg(F.coalesce(F.sum("outlier_flag"), F.lit(0)).cast("long").alias("n_outliers"), F.count(F.lit(1)).alias("n_accounts")) \
         .select("n_outliers", "n_accounts",
                 F.coalesce(F.try_divide(F.col("n_outliers").cast("double"), F.col("n_accounts")), F.lit(0.0))
                 .alias("outlier_rate"))

@@ -1,13 +1,13 @@
 """Account series and comparisons.
 
-The reference draws one chart per account by re-scanning the table for each account; here a
-single pass produces every account's series (filter by a semi join, one sort), and the
-comparison table (V9) is one grouped aggregate over all rows of every account.
+A single pass produces every account's series (a semi join picks the accounts), ordered by account
+and date where the order is asked for, and the comparison table (V9) is one grouped aggregate over
+all rows of every account.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from acctlens.functions.columns import metric_columns, qcol
@@ -23,9 +23,10 @@ def price_expr(dollars: Column, units: Column, divide_always: bool = False) -> C
 
 
 def account_series(df: DataFrame, accounts: DataFrame | None = None, account: str = "Account",
-                   date: str = "Date", divide_always: bool = False) -> DataFrame:
+                   date: str = "Date", divide_always: bool = False, ordered: bool = False) -> DataFrame:
     """V3: per account and date: units, base units, average price, average base price.
-    ``accounts`` (a one-column frame) restricts the output with a semi join."""
+    ``accounts`` (a one-column frame) restricts the output with a semi join; ``ordered`` sorts by
+    account and date, as a chart needs it."""
     cols = metric_columns(df.columns)
     out = df
     if accounts is not None:
@@ -38,9 +39,16 @@ def account_series(df: DataFrame, accounts: DataFrame | None = None, account: st
              else F.lit(None).cast("double"))
     bprice = (price_expr(c("base_dollars"), c("base_units"), divide_always) if cols["base_dollars"] and cols["base_units"]
               else F.lit(None).cast("double"))
-    return out.select(qcol(account).alias("Account"), qcol(date).alias("Date"),
+    out = out.select(qcol(account).alias("Account"), qcol(date).alias("Date"),
                       c("units").cast("double").alias("Units"), c("base_units").cast("double").alias("Base_Units"),
                       price.alias("Avg_Price"), bprice.alias("Avg_Base_Price"))
+    return out.orderBy("Account", "Date") if ordered else out
+
+
+def with_position(series: DataFrame, account: str = "Account", date: str = "Date") -> DataFrame:
+    """V3's order as a column: each row's place in its account's series."""
+    rest = [qcol(c) for c in series.columns if c not in (account, date)]
+    return series.withColumn("position", F.row_number().over(Window.partitionBy(qcol(account)).orderBy(qcol(date), *rest)))
 
 
 def date_range(df: DataFrame, date: str = "Date") -> DataFrame:

@@ -8,6 +8,7 @@ are rounded to 6 decimals on both sides so the value hashes are comparable.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,11 +23,13 @@ from acctlens.operators import residuals as RS
 from acctlens.operators import decide as DC
 from acctlens.operators import density as DN
 from acctlens.operators import forest as FO
+from acctlens.operators import hdbscan as HD
+from acctlens.operators import validity as VA
 from acctlens.operators import results as RE
 from acctlens.operators import series as SE
-from acctlens.settings import DetectSpec
-from acctlens.session import cut_lineage
-from acctlens.settings import ModelSpec
+from acctlens.functions.median import group_quantile
+from acctlens.session import checkpoint_dir, cut_lineage
+from acctlens.settings import DetectSpec, ModelSpec, group_count
 from acctlens.sources import loader as LD
 from acctlens.sources.sales import sales_view, sales_view_sql, table
 
@@ -202,11 +205,27 @@ def q_t4e(spark, d):
     return PE.period_coverage_table(table(spark, d, "events"), "ts", WEEKS)
 
 
+@register("t4_period_coverage_events_short", _coverage_sql("events", "ts", 1))
+def q_t4e1(spark, d):
+    return PE.period_coverage_table(table(spark, d, "events"), "ts", 1)
+
+
+@register("t2_equal_periods_zoned", f"""
+SELECT l_orderkey, l_linenumber, CAST(greatest(1, floor(date_sub('day', m.mn, l.l_shipdate) / {7 * WEEKS}) + 1) AS INTEGER) AS Time_Period
+FROM lineitem l, (SELECT min(l_shipdate) mn FROM lineitem) m""")
+def q_t2z(spark, d):
+    """Dates as instants: they count by their wall clock in the session's zone."""
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_shipdate").cast("timestamp").alias("Date"))
+    return PE.create_equal_periods(li, "Date", WEEKS).drop("Date")
+
+
 def _recommend_sql(tbl: str, date: str) -> str:
     return f"""
 SELECT CAST(w AS INTEGER) AS weeks, CAST(floor(date_sub('day', min({date}), max({date})) / 7.0 / w) AS INTEGER) AS num_periods,
        true AS is_valid,
-       floor(date_sub('day', min({date}), max({date})) / 7.0 / w) BETWEEN 4 AND 10 AS recommended
+       floor(date_sub('day', min({date}), max({date})) / 7.0 / w) BETWEEN 4 AND 10 AS recommended,
+       concat(CAST(CAST(floor(date_sub('day', min({date}), max({date})) / 7.0 / w) AS INTEGER) AS VARCHAR), ' periods of ',
+              CAST(w AS VARCHAR), ' weeks') AS message
 FROM {tbl}, (SELECT unnest([4, 8, 12, 13]) w) c GROUP BY w
 HAVING floor(date_sub('day', min({date}), max({date})) / 7.0 / w) >= 3"""
 
@@ -226,7 +245,7 @@ def _calendar_sql(tbl: str, date: str, weeks: int) -> str:
     return f"""
 WITH m AS (SELECT min({date}) mn, max({date}) mx FROM {tbl}),
 p AS (SELECT r.p, m.mn + to_days(CAST(r.p * {n} AS INTEGER)) AS s, m.mx FROM m,
-      LATERAL (SELECT unnest(range(0, CAST(least(99, floor(epoch(m.mx - m.mn) / {n * 86400})) AS BIGINT) + 1)) AS p) r),
+      LATERAL (SELECT unnest(range(0, CAST(floor(epoch(m.mx - m.mn) / {n * 86400}) AS BIGINT) + 1)) AS p) r),
 q AS (SELECT p, s, least(s + to_days({n - 1}), mx) AS e FROM p)
 SELECT CAST(p + 1 AS INTEGER) AS Period, strftime(s, '%Y-%m-%d') AS Start_Date, strftime(e, '%Y-%m-%d') AS End_Date,
        CAST(date_sub('day', s, e) + 1 AS BIGINT) AS Days, round((date_sub('day', s, e) + 1) / 7.0, 1) AS Weeks
@@ -266,16 +285,20 @@ K = 5
 WEIGHT = "Auto_Base_Units"
 
 
-def model_frame(spark, d, spec: ModelSpec = MODEL, account_key: str = "supplier", filters=None):
+def dated_sales(spark, d, account_key: str = "supplier", filters=None):
     sv = PE.create_equal_periods(sales_view(spark, d, account_key), "Date", WEEKS)
-    f = FL.apply_filters(sv, SPEC if filters is None else filters)
-    return FE.prepare(f, spec, "Account", "Time_Period", WEIGHT)
+    return sv if filters is None else FL.apply_filters(sv, filters)
+
+
+def model_frame(spark, d, spec: ModelSpec = MODEL, account_key: str = "supplier", filters=None):
+    """The model frame over every row; ``filters`` for the saved run's own chain."""
+    return FE.prepare(dated_sales(spark, d, account_key, filters), spec, "Account", "Time_Period", WEIGHT)
 
 
-def _mf_sql(src: str = SV) -> str:
+def _mf_sql(src: str = SV, where: str = "TRUE") -> str:
     return f"""(SELECT Account AS account, Time_Period AS period, coalesce(CAST({WEIGHT} AS DOUBLE), 1.0) AS weight,
         ln(greatest(Auto_Base_Units, 1e-6)) AS y, ln(greatest(ACV_Weighted_Distribution, 1e-6)) AS x, Account AS a
-    FROM {_periods_sql(src)} WHERE {SPEC_SQL}
+    FROM {_periods_sql(src)} WHERE {where}
       AND Auto_Base_Units IS NOT NULL AND ACV_Weighted_Distribution IS NOT NULL AND Account IS NOT NULL)"""
 
 
@@ -319,9 +342,7 @@ pred AS (SELECT d.*, coalesce(gm.my, mb.my) + sl.b * (d.x - coalesce(gm.mx, mb.m
 SELECT CAST(count(*) FILTER (WHERE Auto_Base_Units < 0) AS BIGINT) AS neg_target,
        CAST(count(*) FILTER (WHERE ACV_Weighted_Distribution < 0) AS BIGINT) AS neg_predictors FROM {SV}""")
 def q_r1(spark, d):
-    sv = sales_view(spark, d)
-    return sv.agg(F.count_if(F.col("Auto_Base_Units") < 0).alias("neg_target"),
-                  F.count_if(F.col("ACV_Weighted_Distribution") < 0).alias("neg_predictors"))
+    return FE.negative_counts(sales_view(spark, d), MODEL)
 
 
 @register("r4_model_frame", f"SELECT account, period, round(weight, 6) AS weight, round(y, 6) AS y, "
@@ -341,11 +362,29 @@ def q_r4d(spark, d):
 @register("r6_dummy_levels", f"""
 SELECT 'Price_Bucket_Quarter' AS "column", Price_Bucket_Quarter AS level,
        Price_Bucket_Quarter = min(Price_Bucket_Quarter) OVER () AS is_baseline
-FROM (SELECT DISTINCT Price_Bucket_Quarter FROM {_periods_sql(SV)} WHERE {SPEC_SQL})""")
+FROM (SELECT DISTINCT Price_Bucket_Quarter FROM {SV})""")
 def q_r6(spark, d):
-    _, design = model_frame(spark, d, MODEL2)
-    rows = [(col, lv, i == 0) for col, levels in design.dummies for i, lv in enumerate(levels)]
-    return spark.createDataFrame(rows, "column string, level string, is_baseline boolean")
+    return FE.dummy_table(sales_view(spark, d), ["Price_Bucket_Quarter"])
+
+
+def _variant(name: str, spec: ModelSpec, y: str, x: str, keep: str):
+    """A branch of the model frame: R3 (add a constant), an unlogged target, R5 (impute)."""
+    @register(name, f"""SELECT Account AS account, Time_Period AS period, round({y}, 6) AS y, round({x}, 6) AS x0
+        FROM {_periods_sql(SV)} WHERE {keep}""")
+    def query(spark, d):
+        sv = dated_sales(spark, d)
+        if not spec.drop_na:
+            sv = sv.withColumn("Unit_Sales", F.when(F.col("Unit_Sales") != 0, F.col("Unit_Sales")))
+        m, _ = FE.prepare(sv, spec, "Account", "Time_Period")
+        return rounded(m.select("account", "period", "y", "x0"))
+
+
+_variant("r3_add_constant", ModelSpec("Unit_Sales", ("ACV_Weighted_Distribution",), ("Account",), handle_zeros="add_constant"),
+         "ln(Unit_Sales + 1)", "ln(ACV_Weighted_Distribution + 1)", "TRUE")
+_variant("r2_unlogged_target", ModelSpec("Unit_Sales", ("ACV_Weighted_Distribution",), ("Account",), log_transform=False),
+         "Unit_Sales", "ln(greatest(ACV_Weighted_Distribution, 1e-6))", "TRUE")
+_variant("r5_imputed_predictor", ModelSpec("Auto_Base_Units", ("Unit_Sales",), ("Account",), drop_na=False),
+         "ln(greatest(Auto_Base_Units, 1e-6))", "coalesce(ln(greatest(nullif(Unit_Sales, 0), 1e-6)), 0.0)", "TRUE")
 
 
 _FIT_ALL_SQL = f"""WITH gm AS (SELECT a, avg(x) mx, avg(y) my FROM {MF} GROUP BY a),
@@ -396,9 +435,14 @@ def q_k1a(spark, d):
 
 @register("k2_group_count", f"SELECT count(DISTINCT period) AS n_groups, {K} <= count(DISTINCT period) AS feasible FROM {MF}")
 def q_k2(spark, d):
-    m, _ = model_frame(spark, d)
-    return m.agg(F.count_distinct("period").alias("n_groups")).select(
-        "n_groups", (F.lit(K) <= F.col("n_groups")).alias("feasible"))
+    return group_count(dated_sales(spark, d), "Time_Period", K)
+
+
+@register("k10_k_bounds", f"""
+SELECT CAST(greatest(2, least(10, n)) AS INTEGER) AS upper, CAST(greatest(2, least({K}, greatest(2, least(10, n)))) AS INTEGER) AS chosen
+FROM (SELECT floor(date_sub('day', min(l_shipdate), max(l_shipdate)) / 7.0 / {WEEKS}) n FROM lineitem)""")
+def q_k10(spark, d):
+    return CV.k_bounds_table(table(spark, d, "lineitem"), "l_shipdate", WEEKS, K)
 
 
 _CV5 = _cv_sql([K])
@@ -500,8 +544,8 @@ _STATS_COLS = ("Account, round(w_mean_residual, 6) AS w_mean_residual, round(w_s
                "round(z_mean_residual, 6) AS z_mean_residual")
 
 
-def cv_account_stats(spark, d, spec: ModelSpec = MODEL, account_key: str = "supplier"):
-    m, design = model_frame(spark, d, spec, account_key)
+def cv_account_stats(spark, d, spec: ModelSpec = MODEL, account_key: str = "supplier", filters=None):
+    m, design = model_frame(spark, d, spec, account_key, filters)
     return RS.account_stats(CV.run_cv(m, design, K).residuals)
 
 
@@ -558,7 +602,6 @@ def exact_flags(spark, d):
 
 
 def hdbscan_of(spark, d):
-    from acctlens.operators import hdbscan as HD
     return memo(spark, d, "hdbscan", lambda: cut_lineage(HD.hdbscan(features_of(spark, d), 5, 3)))
 
 
@@ -594,8 +637,8 @@ def q_d1(spark, d):
 
 @register("d2_eps", f"{_PAIRS_SQL} SELECT round(e, 6) AS eps FROM eps")
 def q_d2(spark, d):
-    db = dbscan_of(spark, d)
-    return rounded(spark.range(1).select(F.lit(float(db.eps)).alias("eps")))
+    kd = dbscan_of(spark, d).flags.select(F.lit(0).alias("all"), "kdist")
+    return rounded(group_quantile(kd, "all", "kdist", 0.9, "eps").select("eps"))
 
 
 @register("d3_dbscan_noise", f"{_PAIRS_SQL} SELECT Account, n_within, is_core, dbscan_outlier FROM db")
@@ -797,7 +840,8 @@ def q_d3c(spark, d):
 # promo code 1 thins the panel so that some customers occur in one fold only: their held-out
 # rows must take the fold's baseline level (30 of 285 accounts at sf0.01).
 SPEC_PROMO1 = FL.FilterSpec(lower=1, cot="HOUSEHOLD", acv_threshold=10, auto_promo_code=1, exclude_zero_sales=True)
-_CVU = _cv_sql([K], _MFC.replace("Auto_Promo_Code = 0", "Auto_Promo_Code = 1"))
+_PROMO1 = SPEC_SQL.replace("Auto_Promo_Code = 0", "Auto_Promo_Code = 1")
+_CVU = _cv_sql([K], _mf_sql(SVC, _PROMO1))
 
 
 @register("k3_cv_residuals_unseen_levels", f"""{_CVU}
@@ -808,9 +852,133 @@ def q_k3u(spark, d):
     return rounded(CV.run_cv(m, design, K).residuals)
 
 
+# A predictor that is constant within each account is collinear with the account effect: rows of
+# accounts unseen in training take the minimum-norm slope t of the whole centred design,
+# t = Σ a·d / (1 + Σ d²) with a, d the account's mean y and its value less the baseline account's.
+STORE_ACV = "CAST(10 + CAST(substr(Account, 2) AS INTEGER) % 90 AS DOUBLE)"
+MODEL_STORE = ModelSpec("Auto_Base_Units", ("Store_ACV",), ("Account",))
+_MFS = _mf_sql(SVC, _PROMO1).replace("ln(greatest(ACV_Weighted_Distribution, 1e-6)) AS x", f"ln({STORE_ACV}) AS x")
+
+
+@register("k3_cv_residuals_account_constant", f"""WITH RECURSIVE {_folds_sql([K], _MFS)},
+d AS (SELECT m.*, fo.fold FROM {_MFS} m JOIN folds fo ON m.period = fo.period),
+gm AS (SELECT f.fold, d.a, avg(d.y) my, min(d.x) c FROM d, (SELECT DISTINCT fold FROM folds) f WHERE d.fold <> f.fold GROUP BY f.fold, d.a),
+b AS (SELECT fold, arg_min(my, a) my0, arg_min(c, a) c0 FROM gm GROUP BY fold),
+t AS (SELECT gm.fold, sum((my - my0) * (c - c0)) / (1 + sum((c - c0) * (c - c0))) t FROM gm JOIN b USING (fold) GROUP BY gm.fold)
+SELECT d.fold, d.account, round(d.y, 6) AS actual, round(coalesce(gm.my, b.my0 + t.t * (d.x - b.c0)), 6) AS predicted, d.period
+FROM d JOIN b ON b.fold = d.fold JOIN t ON t.fold = d.fold LEFT JOIN gm ON gm.fold = d.fold AND gm.a = d.a""")
+def q_k3s(spark, d):
+    sv = dated_sales(spark, d, "customer", SPEC_PROMO1).withColumn("Store_ACV", F.expr(STORE_ACV))
+    m, design = FE.prepare(sv, MODEL_STORE, "Account", "Time_Period", WEIGHT)
+    return rounded(CV.run_cv(m, design, K).residuals.select("fold", "account", "actual", "predicted", "period"))
+
+
+# ---------------------------------------------------------------- D5 checked: core distances and the tree's weight
+
+_MRD_SQL = f"""{_feat_sql()},
+pr AS (SELECT a.Account p, b.Account q,
+              sqrt((a.f0 - b.f0) ^ 2 + (a.f1 - b.f1) ^ 2 + (a.f2 - b.f2) ^ 2 + (a.f3 - b.f3) ^ 2) d FROM feat a, feat b),
+co AS (SELECT p, d core FROM (SELECT p, d, row_number() OVER (PARTITION BY p ORDER BY d, q) rn FROM pr) WHERE rn = 3)"""
+
+
+@register("d5_core_distance", f"{_MRD_SQL} SELECT p AS Account, round(core, 6) AS core FROM co")
+def q_d5c(spark, d):
+    P, mapping, _ = HD.core_distances(features_of(spark, d), 3)
+    return rounded(mapping.join(P.select("pid", "core"), "pid").select("Account", "core"))
+
+
+@register("d5_mst_weight", f"""{_MRD_SQL},
+mr AS MATERIALIZED (SELECT pr.p, pr.q, greatest(a.core, b.core, pr.d) w FROM pr JOIN co a ON a.p = pr.p JOIN co b ON b.p = pr.q WHERE pr.p <> pr.q),
+prim AS (SELECT 0 AS n, [min(p)] AS seen, CAST(0 AS DOUBLE) AS w FROM co
+         UNION ALL
+         SELECT n, list_append(seen, q), w FROM (
+             SELECT prim.n + 1 AS n, any_value(prim.seen) AS seen, arg_min(mr.q, mr.w) AS q, min(mr.w) AS w
+             FROM prim JOIN mr ON list_contains(prim.seen, mr.p) AND NOT list_contains(prim.seen, mr.q) GROUP BY prim.n))
+SELECT round(sum(w), 6) AS weight, count(*) - 1 AS edges FROM prim""")
+def q_d5m(spark, d):
+    tree, _ = HD.account_tree(features_of(spark, d), 3)
+    return rounded(tree.agg(F.sum("w").alias("weight"), F.count("*").alias("edges")))
+
+
+@register("d8_cluster_validity", None)
+def q_d8(spark, d):
+    """Per DBSCAN cluster: size, sparseness, separation, validity; held against NumPy in tests."""
+    return rounded(VA.cluster_validity(features_of(spark, d), DN.cluster_labels(dbscan_of(spark, d))))
+
+
+_CHOICE_SQL = f"""{_PAIRS_SQL},
+cs AS (SELECT Account, dbscan_outlier AS n_db, kdist_outlier AS n_hd, "count" % 2 = 0 AS available,
+              CASE WHEN "count" % 3 = 0 THEN NULL ELSE w_mean_residual END AS s_db,
+              CASE WHEN "count" % 5 < 2 THEN NULL ELSE w_std_residual END AS s_hd FROM flags)"""
+
+
+@register("d9_density_choice", f"""{_CHOICE_SQL}
+SELECT Account, CASE WHEN available THEN CASE WHEN s_db IS NOT NULL AND s_hd IS NOT NULL THEN CASE WHEN s_hd >= s_db THEN 'HDBSCAN' ELSE 'DBSCAN' END
+                                              WHEN s_hd IS NOT NULL THEN 'HDBSCAN' ELSE 'DBSCAN' END
+                     WHEN n_hd > 0 THEN 'HDBSCAN' ELSE 'DBSCAN' END AS method FROM cs""")
+def q_d9(spark, d):
+    """The rule over one case an account: flags as counts, statistics as scores, some undefined."""
+    c = F.col("count")
+    return exact_flags(spark, d).select("Account", DC.choice(
+        F.col("dbscan_outlier"), F.col("kdist_outlier"), c % 2 == 0, F.when(c % 3 != 0, F.col("w_mean_residual")),
+        F.when(c % 5 >= 2, F.col("w_std_residual"))).alias("method"))
+
+
+# ---------------------------------------------------------------- the detector's own flags (rows only; tests hold them against one another)
+
+@register("d7_forest_flags", None)
+def q_d7f(spark, d):
+    return detection_of(spark, d).accounts.select("Account", "iforest_outlier")
+
+
+@register("d10_detect_types", None)
+def q_d10d(spark, d):
+    return detection_of(spark, d).accounts.select("Account", "outlier_flag", "outlier_type")
+
+
+@register("o1_detect_counts", None)
+def q_o1d(spark, d):
+    return RE.outlier_counts(detection_of(spark, d).accounts)
+
+
+@register("o3_detect_summary", None)
+def q_o3d(spark, d):
+    return rounded(RE.outlier_summary(detection_of(spark, d).accounts).select("Account", "w_mean_residual", "Outlier_Type"))
+
+
+# ---------------------------------------------------------------- S6, V3: export and order
+
+@register("s6_export_round_trip", "SELECT * FROM customer")
+def q_s6(spark, d):
+    path = f"{checkpoint_dir(spark).rstrip('/')}/export-{uuid.uuid4().hex}.parquet"
+    LD.export_table(table(spark, d, "customer"), path, "parquet")
+    return LD.load_data(spark, path)
+
+
+@register("v3_ordered_series", f"""
+SELECT Account, Date, Units, Base_Units, CAST(row_number() OVER (PARTITION BY Account ORDER BY Date, Units NULLS FIRST,
+       Base_Units NULLS FIRST, Avg_Price NULLS FIRST, Avg_Base_Price NULLS FIRST) AS INTEGER) AS position
+FROM (SELECT {_V_SERIES} FROM {SV})""")
+def q_v3(spark, d):
+    return SE.with_position(SE.account_series(sales_view(spark, d))).select("Account", "Date", "Units", "Base_Units", "position")
+
+
+# ---------------------------------------------------------------- the saved run: filtered chain
+
+_CV5F = _cv_sql([K], _mf_sql(SV, SPEC_SQL))
+
+
+@register("k3_cv_residuals_filtered", f"""{_CV5F}
+SELECT fold, account, round(y, 6) AS actual, round(predicted, 6) AS predicted, round(y - predicted, 6) AS residual,
+       round(weight, 6) AS weight, period FROM pred""")
+def q_k3f(spark, d):
+    m, design = model_frame(spark, d, filters=SPEC)
+    return rounded(CV.run_cv(m, design, K).residuals)
+
+
 # ---------------------------------------------------------------- flagship
 
-@register("flagship_worst_explained", f"""{_stats_sql()}
+@register("flagship_worst_explained", f"""{_stats_sql(_CV5F)}
 SELECT Account, round(w_mean_residual, 6) AS w_mean_residual, round(w_std_residual, 6) AS w_std_residual,
        "count", round(z_mean_residual, 6) AS z_mean_residual FROM stats
 ORDER BY abs(w_mean_residual) DESC, Account LIMIT 10""")
@@ -818,7 +986,7 @@ def q_flagship(spark, d):
     """Which suppliers does the model explain worst?  Sales view → periods → filters → log
     model with the account effect, cross-validated over whole periods → weighted residual
     statistics per account → the ten largest |weighted mean residual|."""
-    st = cv_account_stats(spark, d)
+    st = cv_account_stats(spark, d, filters=SPEC)
     return rounded(RE.top_by_mean(st).select("Account", "w_mean_residual", "w_std_residual", "count",
                                              "z_mean_residual"))
 

@@ -7,6 +7,7 @@ cluster names) and only sets one when it is unset, as in local tests.
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
@@ -22,8 +23,6 @@ _DEFAULTS = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # lineage cuts write many small tables to unique folders: commit task output directly
-    "spark.hadoop.mapreduce.fileoutputcommitter.algorithm.version": "2",
 }
 
 
@@ -99,10 +98,30 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     executor afterwards never forces a recomputation of the lineage.  Never machine-local."""
     spark = df.sparkSession
     path = checkpoint_dir(spark).rstrip("/") + f"/acctlens-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
+    # a folder nobody else reads: tasks may commit straight into it (exports keep Spark's default)
+    df.write.mode("overwrite").option("mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(path)
+    _CUTS.append(path)
     return spark.read.schema(df.schema).parquet(path)   # known schema: no footer-reading job
 
 
+_CUTS: list[str] = []
+
+
+@contextlib.contextmanager
+def scratch_scope(spark: SparkSession):
+    """Delete, at the end, every table that ``cut_lineage`` wrote inside the block; results that are
+    to outlive it must have been written elsewhere (or collected) by then."""
+    first = len(_CUTS)
+    try:
+        yield
+    finally:
+        jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for path in _CUTS[first:]:
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(conf).delete(p, True)
+        del _CUTS[first:]
+
+
 # Per-key side tables (per account, per fold × account) are broadcast only below this many rows
 # (~tens of MB); above it the join stays a shuffle join that AQE can split when a key is hot.
 BROADCAST_MAX_ROWS = 1_000_000

@@ -8,11 +8,12 @@ from __future__ import annotations
 
 import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from acctlens.functions.columns import qcol
+from acctlens.functions.columns import Names, qcol
 
 
 class DataLoadError(ValueError):
@@ -20,29 +21,35 @@ class DataLoadError(ValueError):
 
 
 def load_data(spark: SparkSession, path: str, schema: T.StructType | None = None,
-              check_empty: bool = True) -> DataFrame:
+              check_empty: bool = True, nan_as_null: bool = False, required: tuple = ()) -> DataFrame:
     """Read a table by file extension (case-insensitive).
 
-    CSV is read with a header (an explicit schema is preferred; otherwise it is inferred);
-    Parquet keeps its own schema.  NaN in floating columns is turned into NULL so that it
-    behaves as missing in every later predicate (in Spark ``NaN >= x`` is true).
+    Spark resolves the path, so globs, the default filesystem and any store it can read work.
+    CSV is read with a header (an explicit schema is preferred; otherwise it is inferred, at the
+    cost of reading the file twice); Parquet keeps its own schema.  ``nan_as_null`` turns floating
+    NaN into NULL so that it behaves as missing in every later predicate (in Spark ``NaN >= x`` is
+    true); the operators here treat NaN as missing by themselves, so it is off by default and
+    filters reach the scan.
     """
-    if not os.path.exists(path) and "://" not in path:
-        raise DataLoadError(f"File not found: {path}")
-    ext = os.path.splitext(path.rstrip("/"))[1].lower()
-    if ext == ".csv":
-        reader = spark.read.option("header", True)
-        reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
-        df = reader.csv(path)
-    elif ext in (".parquet", ".pq") or os.path.isdir(path):
-        df = spark.read.parquet(path)
-    else:
-        raise DataLoadError(f"Unsupported file type: {ext or '(none)'}")
+    ext = os.path.splitext(path.rstrip("/*"))[1].lower()
+    try:
+        if ext == ".csv":
+            reader = spark.read.option("header", True)
+            reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
+            df = reader.csv(path)
+        elif ext in (".parquet", ".pq", ""):             # a folder without an ending holds Parquet
+            df = spark.read.parquet(path)
+        else:
+            raise DataLoadError(f"Cannot read files of type {ext}: {path}")
+    except AnalysisException as e:
+        raise DataLoadError(f"Cannot read {path}: {e.getCondition() or e}") from e
     if len(df.columns) == 0:
-        raise DataLoadError(f"The file has no columns: {path}")
-    df = nan_to_null(df)
+        raise DataLoadError(f"No columns in {path}")
+    Names(df).require(required)
+    if nan_as_null:
+        df = nan_to_null(df)
     if check_empty and df.isEmpty():
-        raise DataLoadError(f"The file is empty: {path}")
+        raise DataLoadError(f"No rows in {path}")
     return df
 
 

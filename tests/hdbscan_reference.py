@@ -72,3 +72,52 @@ def hdbscan_ref(X, mcs=5, ms=3):
                 lab[m] = x; break
             x = par.get(x)
     return lab
+
+
+def hdbscan_topdown(X, mcs=5, ms=3):
+    """HDBSCAN from its definition, top down: at falling distance, a cluster loses points, splits into
+    components of at least ``mcs`` points, or ends."""
+    n = len(X)
+    D = np.sqrt(((X[:, None, :] - X[None, :, :]) ** 2).sum(-1))
+    core = np.sort(D, axis=1)[:, ms - 1]
+    M = np.maximum(np.maximum(core[:, None], core[None, :]), D)
+
+    def parts(S, w):
+        left, out = set(S), []
+        while left:
+            todo, part = [left.pop()], []
+            while todo:
+                p = todo.pop()
+                part.append(p)
+                near = {q for q in left if M[p, q] < w}
+                left -= near
+                todo += near
+            out.append(part)
+        return out
+
+    def grow(S, birth):
+        start, stability = list(S), 0.0
+        for w in sorted(set(M[np.ix_(S, S)][np.triu_indices(len(S), 1)]), reverse=True):
+            big = [p for p in parts(S, w) if len(p) >= mcs]
+            if len(big) == 1 and len(big[0]) == len(S):
+                continue
+            lam = math.inf if w <= 0 else 1 / w
+            if len(big) == 1:
+                stability += (len(S) - len(big[0])) * (lam - birth)
+                S = big[0]
+                continue
+            return start, stability + len(S) * (lam - birth), [grow(p, lam) for p in big]
+        return start, stability, []
+
+    def best(node):
+        """(value, chosen clusters) below and including a node."""
+        start, stability, kids = node
+        below = [best(k) for k in kids]
+        if kids and sum(v for v, _ in below) > stability:
+            return sum(v for v, _ in below), [c for _, cs in below for c in cs]
+        return stability, [start]
+
+    label = np.full(n, -1)
+    for i, c in enumerate(c for kid in grow(list(range(n)), 0.0)[2] for c in best(kid)[1]):
+        label[c] = i
+    return label

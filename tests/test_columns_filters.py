@@ -1,21 +1,21 @@
 import pytest
 from pyspark.sql import functions as F
 
-from acctlens.functions.columns import (ColumnNotFound, find_column, metric_columns, normalize_column_name)
+from acctlens.functions.columns import ColumnNotFound, Names, find_column, metric_columns
 from acctlens.operators.filters import FilterError, FilterSpec, apply_filters, filter_summary
 
 
 def test_normalize_names():
     for n in ["Unit Sales", "Unit_Sales", "Unit.Sales", "UNIT SALES"]:
-        assert normalize_column_name(n) == "unitsales"
-    assert normalize_column_name("ACV > 10") == "acv10"
+        assert Names.plain(n) == "unitsales"
+    assert Names.plain("ACV > 10") == "acv10"
 
 
 def test_find_column_first_alias_and_last_collision_wins():
     cols = ["Unit Sales", "unit_sales", "COT"]
     assert find_column(cols, "Unit_Sales") == "unit_sales"
     assert find_column(cols, "Channel of Trade", "COT") == "COT"
-    with pytest.raises(ColumnNotFound, match="Column not found"):
+    with pytest.raises(ColumnNotFound, match="none of Lower"):
         find_column(cols, "Lower")
 
 
@@ -45,7 +45,7 @@ def test_filters_reference_cases(a3):
 def test_filter_errors(a3):
     with pytest.raises(FilterError, match="No data remains"):
         apply_filters(a3, FilterSpec(lower=999), check_empty=True)
-    with pytest.raises(FilterError, match="Column not found"):
+    with pytest.raises(FilterError, match="none of COT"):
         apply_filters(a3.drop("COT"), FilterSpec(cot="Food"))
 
 

@@ -11,4 +11,4 @@ def test_entry_smoke(spark):
 def test_every_oracle_has_a_query():
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q)
-    assert len(q) >= 60
+    assert len(q) >= 80

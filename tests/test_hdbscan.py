@@ -4,7 +4,7 @@ from collections import defaultdict
 import numpy as np
 import pandas as pd
 
-from hdbscan_reference import hdbscan_ref
+from tests.hdbscan_reference import hdbscan_ref, hdbscan_topdown
 from acctlens.operators.hdbscan import hdbscan
 
 
@@ -52,3 +52,20 @@ def test_round_based_tree_path_agrees(spark, monkeypatch):
     ref = hdbscan_ref(X, 5, 3)
     assert np.array_equal(got.hdbscan_outlier.values == 1, ref == -1)
     assert _partition(list(got.hdbscan_cluster.values)) == _partition(list(ref))
+
+
+def test_matches_the_definition_taken_top_down(spark, monkeypatch):
+    """Against components of the full distance matrix at every threshold, with the distributed rounds
+    for the tree (no edge set fits one task)."""
+    import acctlens.functions.components as C
+    import acctlens.operators.hdbscan as H
+    monkeypatch.setattr(H, "ONE_TASK", 0)
+    monkeypatch.setattr(C, "ONE_TASK", 0)
+    rng = np.random.default_rng(21)
+    X = np.vstack([rng.normal(0, 1, (18, 4)), rng.normal(5, 0.5, (12, 4)), rng.normal((-6, 0, 6, 0), 0.7, (9, 4)), rng.uniform(-9, 9, (4, 4))])
+    pdf, df = _frame(spark, X)
+    got = hdbscan(df, 5, 3).toPandas().set_index("Account").loc[pdf.Account]
+    ref = hdbscan_topdown(X, 5, 3)
+    assert np.array_equal(got.hdbscan_outlier.values == 1, ref == -1)
+    assert _partition(list(got.hdbscan_cluster.values)) == _partition(list(ref))
+    assert _partition(list(hdbscan_ref(X, 5, 3))) == _partition(list(ref))

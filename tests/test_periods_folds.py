@@ -27,7 +27,22 @@ def test_coverage_invalid_and_calendar_cap(spark):
     assert not ok and table is None and "0 periods" in msg
     long = spark.createDataFrame([(dt.datetime(2000, 1, 1),), (dt.datetime(2000, 1, 1) + dt.timedelta(days=150 * 28),)],
                                  "Date timestamp_ntz")
-    assert PE.calendar_boundaries(long, "Date", 4).count() == 100
+    rows = PE.calendar_boundaries(long, "Date", 4).orderBy("Period").collect()
+    assert len(rows) == 151 and rows[-1].End_Date == "2011-07-02"       # every period, however many
+    assert PE.calendar_summary(PE.calendar_boundaries(long, "Date", 4), 4).first().total_periods == 151
+
+
+@pytest.mark.parametrize("zone", ["America/Los_Angeles", "Asia/Tokyo", "UTC"])
+def test_zoned_timestamps_count_by_the_sessions_wall_clock(spark, zone):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        df = spark.sql("SELECT explode(sequence(timestamp'2024-03-01 00:00:00', timestamp'2024-03-15 00:00:00', interval 1 day)) AS Date")
+        want = [i // 7 + 1 for i in range(15)]                           # a change to summer time lies between
+        for f in (PE.create_time_periods, PE.create_equal_periods):
+            assert [r.Time_Period for r in f(df, "Date", 1).orderBy("Date").collect()] == want
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
 
 
 def test_greedy_fold_assignment(spark):

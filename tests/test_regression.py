@@ -46,16 +46,13 @@ def test_cv_matches_dense_lstsq(spark, absorb):
     pdf["rid"] = np.arange(len(pdf))
     df = spark.createDataFrame(pdf)
     spec = ModelSpec("Sales", ("Units",), ("Account", "COT"))
-    m, design = FE.prepare(df.withColumn("Account", df.Account), spec, "Account", "Period", None, absorb=absorb)
-    m = m.join(df.select("Account", "Period", "Units", "rid").withColumnRenamed("Period", "period")
-               .withColumnRenamed("Account", "account"), ["account", "period"], "inner")
-    # keep one prediction per row: join back on the row id through the original values
-    cv = CV.run_cv(FE.prepare(df, spec, "Account", "Period", "rid", absorb=absorb)[0], design, 3)
+    m, design = FE.prepare(df, spec, "Account", "Period", "rid", absorb=absorb)     # the weight carries the row id
+    cv = CV.run_cv(m, design, 3)
     got = {int(r.weight): r.predicted for r in cv.residuals.collect()}
     folds = {r.period: r.fold for r in cv.folds.collect()}
     exp = _dense_oof(pdf, folds)
     assert len(got) == len(pdf)
-    assert max(abs(got[i] - exp[i]) for i in range(len(pdf)) if i > 0) < 1e-9
+    assert max(abs(got[i] - exp[i]) for i in range(len(pdf))) < 1e-9
 
 
 def test_unseen_level_uses_fold_baseline(spark):
@@ -68,7 +65,7 @@ def test_unseen_level_uses_fold_baseline(spark):
     cv = CV.run_cv(m, design, 3)
     got = {int(r.weight): r.predicted for r in cv.residuals.collect()}
     exp = _dense_oof(pdf, {r.period: r.fold for r in cv.folds.collect()})
-    assert max(abs(got[i] - exp[i]) for i in range(1, len(pdf))) < 1e-9
+    assert max(abs(got[i] - exp[i]) for i in range(len(pdf))) < 1e-9
 
 
 def test_best_k_from_moments_equals_refit(spark):
@@ -97,3 +94,61 @@ def test_log_transform_and_guards(spark):
         FE.prepare(neg, ModelSpec("A", ("B",)), "B", "B")
     with pytest.raises(ValueError, match="Duplicate"):
         ModelSpec("A", ("A",))
+
+
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_account_constant_predictor_takes_the_minimum_norm_solution(spark, seed):
+    """A predictor that is constant per account is collinear with the account effect; accounts unseen in
+    training show which of the equally good fits was taken."""
+    rng = np.random.RandomState(seed)
+    n = 600
+    pdf = pd.DataFrame({"Account": rng.choice([f"A{i:02d}" for i in range(30)], n), "Period": rng.randint(1, 7, n),
+                        "Units": rng.randint(1, 50, n).astype(float), "COT": rng.choice(["x", "y", "z"], n)})
+    pdf.loc[pdf.Account == "A03", "Period"] = 2                 # held out together: unseen in one fold
+    pdf.loc[pdf.Account == "A00", "Period"] = 5
+    store = {a: 10.0 + 7 * i % 90 for i, a in enumerate(sorted(pdf.Account.unique()))}
+    pdf["Store"] = pdf.Account.map(store)
+    pdf["Sales"] = np.exp(0.6 * np.log(pdf.Store) + 0.3 * np.log(pdf.Units) + rng.normal(0, 0.1, n))
+    pdf["rid"] = np.arange(n)
+    spec = ModelSpec("Sales", ("Store", "Units"), ("Account", "COT"))
+    m, design = FE.prepare(spark.createDataFrame(pdf), spec, "Account", "Period", "rid")
+    cv = CV.run_cv(m, design, 3)
+    got = {int(r.weight): r.predicted for r in cv.residuals.collect()}
+    folds = {r.period: r.fold for r in cv.folds.collect()}
+    fold = pdf.Period.map(folds)
+    for f in sorted(set(folds.values())):
+        train, test = pdf[fold != f], pdf[fold == f]
+
+        def matrix(part):
+            cols = [np.log(part.Store), np.log(part.Units)]
+            for c in ("Account", "COT"):
+                cols += [(part[c] == lv).astype(float) for lv in sorted(train[c].unique())[1:]]
+            return np.column_stack(cols)
+
+        x, y = matrix(train), np.log(train.Sales.values)
+        b = np.linalg.lstsq(x - x.mean(0), y - y.mean(), rcond=1e-10)[0]
+        want = y.mean() + (matrix(test) - x.mean(0)) @ b
+        assert np.abs(np.array([got[i] for i in test.rid]) - want).max() < 1e-7
+
+
+def test_large_offsets_do_not_cancel(spark):
+    rng = np.random.RandomState(4)
+    pdf = pd.DataFrame({"Account": rng.choice(["a", "b", "c"], 200), "Period": rng.randint(1, 5, 200), "X": 1e6 + rng.rand(200)})
+    pdf["Y"] = 1e7 + 3 * pdf.X + rng.normal(0, 1e-3, 200)
+    spec = ModelSpec("Y", ("X",), ("Account",), log_transform=False)
+    m, design = FE.prepare(spark.createDataFrame(pdf), spec, "Account", "Period")
+    s = FE.Design(design.continuous, design.dummies, design.absorbed, design.target, design.mean_y, design.mean_x)
+    best = CV.find_optimal_k(m, s, range(2, 4)).collect()
+    whole = {k: CV.cv_scores(CV.fold_summary(CV.run_cv(m, s, k))).first() for k in (2, 3)}
+    for r in best:
+        assert r.mean_mse == pytest.approx(whole[r.k].mean_mse, rel=1e-6)
+
+
+def test_nan_counts_as_missing(spark):
+    df = spark.createDataFrame([("a", 1, float("nan"), 2.0), ("a", 1, 3.0, float("nan")), ("b", 2, 3.0, 4.0), ("b", 2, None, 4.0)],
+                               "Account string, Period int, A double, B double")
+    spec = ModelSpec("A", ("B",), ("Account",))
+    assert FE.prepare(df, spec, "Account", "Period")[0].count() == 1
+    assert FE.dropped_rows(df, spec).first()["n_dropped"] == 3
+    imputed = FE.prepare(df, ModelSpec("A", ("B",), ("Account",), drop_na=False), "Account", "Period")[0].orderBy("x0").collect()
+    assert [r.x0 for r in imputed] == pytest.approx([0.0, math.log(4)])

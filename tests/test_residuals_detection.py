@@ -1,6 +1,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from acctlens.operators import decide as DC
 from acctlens.operators import density as DN
@@ -77,10 +78,11 @@ def test_dbscan_errors_and_boundary(spark):
 
 
 def test_density_choice_and_combination(spark):
-    assert DC.choose_density(3, None) == "DBSCAN"
-    assert DC.choose_density(3, 2) == "HDBSCAN" and DC.choose_density(3, 0) == "DBSCAN"
-    assert DC.choose_density(1, 1, True, None, None) == "HDBSCAN"
-    assert DC.choose_density(1, 1, True, 0.5, 0.5) == "HDBSCAN" and DC.choose_density(1, 1, True, 0.6, 0.5) == "DBSCAN"
+    cases = [((3, None, False, None, None), "DBSCAN"), ((3, 2, False, None, None), "HDBSCAN"), ((3, 0, False, 0.1, 0.9), "DBSCAN"),
+             ((1, 1, True, None, None), "DBSCAN"), ((1, 1, True, 0.5, 0.5), "HDBSCAN"), ((1, 1, True, 0.6, 0.5), "DBSCAN"),
+             ((1, 0, True, None, 0.2), "HDBSCAN"), ((1, 1, True, 0.2, None), "DBSCAN")]
+    df = spark.createDataFrame([c for c, _ in cases], "d long, h long, ok boolean, sd double, sh double")
+    assert [r.m for r in df.select(DC.choice(df.d, df.h, df.ok, df.sd, df.sh).alias("m")).collect()] == [m for _, m in cases]
     df = spark.createDataFrame([(1, 1), (1, 0), (0, 1), (0, 0)], "d int, f int")
     flag, typ = DC.combine(df.d, df.f, "DBSCAN")
     got = [(r.flag, r.t) for r in df.select(flag.alias("flag"), typ.alias("t")).collect()]
@@ -107,3 +109,71 @@ def test_isolation_forest_finds_planted_accounts_and_is_deterministic(spark):
     assert np.allclose(acc.sort_values("Account").if_score.values, again.sort_values("Account").if_score.values)
     meta = det.metadata.first()
     assert meta.combined_outliers == acc.outlier_flag.sum()
+
+
+def _dbcv(X, labels):
+    """The index from a full distance matrix."""
+    n, d = X.shape
+    D = np.sqrt(((X[:, None] - X[None]) ** 2).sum(-1))
+    names = sorted(set(labels) - {-1})
+    inner, sparse, core = {}, {}, np.zeros(n)
+    for c in names:
+        i = np.flatnonzero(labels == c)
+        for p in i:
+            o = i[i != p]
+            core[p] = ((1 / D[p, o]) ** d).mean() ** (-1 / d)
+        M = np.maximum(np.maximum(core[i][:, None], core[i][None]), D[np.ix_(i, i)])
+        part, edges = list(range(len(i))), []
+        for w, a, b in sorted((M[a, b], a, b) for b in range(len(i)) for a in range(b)):
+            if part[a] != part[b]:
+                edges.append((w, a, b))
+                part = [part[a] if x == part[b] else x for x in part]
+        degree = np.bincount([x for e in edges for x in e[1:]], minlength=len(i))
+        long = [w for w, a, b in edges if degree[a] > 1 and degree[b] > 1]
+        sparse[c] = max(long or [e[0] for e in edges])
+        inner[c] = i[degree > 1] if (degree > 1).any() else i
+    score = 0.0
+    for c in names:
+        sep = min(max(core[p], core[q], D[p, q]) for e in names if e != c for p in inner[c] for q in inner[e])
+        score += (labels == c).sum() / n * (sep - sparse[c]) / max(sep, sparse[c])
+    return score
+
+
+@pytest.mark.parametrize("tile", [1024, 7])
+def test_cluster_validity(spark, monkeypatch, tile):
+    from acctlens.operators import validity as VA
+    monkeypatch.setattr(VA, "TILE", tile)
+    rng = np.random.default_rng(8)
+    X = np.vstack([rng.normal(0, 1, (25, 4)), rng.normal(6, 0.5, (20, 4)), rng.normal((0, 9, 0, 3), 1.5, (15, 4)), rng.uniform(-9, 9, (5, 4))])
+    labels = np.repeat([0, 1, 2, -1], [25, 20, 15, 5])
+    names = [f"a{i:03d}" for i in range(len(X))]
+    feat = spark.createDataFrame(pd.DataFrame(X, columns=["f0", "f1", "f2", "f3"]).assign(Account=names))
+    lab = spark.createDataFrame([(a, None if c < 0 else f"c{c}") for a, c in zip(names, labels)], "Account string, cluster string")
+    assert VA.validity(feat, lab) == pytest.approx(_dbcv(X, labels), abs=1e-9)
+    assert VA.validity(feat, lab.withColumn("cluster", F.when(F.col("cluster") == "c0", "c0"))) is None
+
+
+def test_outlier_counts_of_no_accounts(spark):
+    from acctlens.operators import results as RE
+    none = spark.createDataFrame([], "Account string, outlier_flag int")
+    assert tuple(RE.outlier_counts(none).first()) == (0, 0, 0.0)
+
+
+def test_quantiles_of_ties(spark):
+    from acctlens.functions.median import global_quantile, group_median
+    values = [1.0] * 300 + [5.0] * 4000 + list(np.linspace(5, 9, 700))
+    df = spark.createDataFrame([("k", float(v)) for v in values] + [("s", 2.0)], "k string, v double")
+    got = {r.k: r["median"] for r in group_median(df, "k", "v", cap=200).collect()}
+    assert got == {"k": np.median(values), "s": 2.0}
+    for q in (0.05, 0.059, 0.86, 0.9, 0.999):
+        assert global_quantile(df.where("k = 'k'"), "v", q, cap=200) == pytest.approx(np.quantile(values, q), abs=1e-12)
+
+
+def test_scratch_tables_are_deleted(spark):
+    import os
+    from acctlens import session
+    with session.scratch_scope(spark):
+        t = session.cut_lineage(spark.range(5))
+        path = t.inputFiles()[0].removeprefix("file:")
+        assert os.path.exists(path) and t.count() == 5
+    assert not os.path.exists(os.path.dirname(path))
