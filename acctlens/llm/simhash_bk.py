@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from acctlens.llm.components import component_roots, contract
+from acctlens.functions.components import component_roots, contract
 from acctlens.llm.text import column, shingle_hashes, slices, texts_of, words
 from acctlens.session import cut_lineage
 
@@ -188,7 +188,7 @@ def components_of(docs: DataFrame, radius: int = 3) -> DataFrame:
     """The rows of ``docs`` (doc_id, fp) with fingerprint and component_id."""
     distinct = cut_lineage(docs.groupBy("fp").agg(F.min("doc_id").alias("low")))
     edges = link(distinct, distinct.count(), radius)
-    roots = component_roots(edges)                            # fp, root; only linked fingerprints
+    roots = component_roots(edges).withColumnRenamed("node", "fp")      # only linked fingerprints
     rooted = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     named = cut_lineage(rooted.join(lows, "root").select("fp", "component_id"))
@@ -208,7 +208,7 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
     stored = cut_lineage(with_fingerprint(df.withColumn(row, F.monotonically_increasing_id()), text_col, k, fp))
     docs = stored.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(row).alias("row"), F.col(fp).alias("fp"))
     distinct = cut_lineage(docs.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first")))
-    roots = component_roots(link(distinct.select("fp"), distinct.count(), radius))
+    roots = component_roots(link(distinct.select("fp"), distinct.count(), radius)).withColumnRenamed("node", "fp")
     kept = (distinct.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root"))
             .agg(F.min("first").alias("first")).select(F.col("first.row").alias(row)))
     return stored.join(kept, row, "left_semi").select(*(F.col(f"`{c}`") for c in df.columns))

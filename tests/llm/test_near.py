@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 import xxhash
 
-from acctlens.llm import bottom_k, components, cross_polytope, simhash_bk
+from acctlens.functions import components
+from acctlens.llm import bottom_k, cross_polytope, simhash_bk
 from tests.llm.fixtures import ODD, empty_documents, odd_documents
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -82,7 +83,7 @@ def test_linking_finds_every_component(spark, monkeypatch, shard):
     fps |= {ball ^ (1 << i) ^ (1 << j) for i in range(12) for j in range(12)}       # many in one shard
     fps = sorted(fps)
     df = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long")
-    roots = {r["fp"] % (1 << 64): r["root"] % (1 << 64) for r in components.component_roots(simhash_bk.link(df, len(fps))).collect()}
+    roots = {r["node"] % (1 << 64): r["root"] % (1 << 64) for r in components.component_roots(simhash_bk.link(df, len(fps))).collect()}
     label = plain_components(fps)
     groups = lambda key: {frozenset(f for f in fps if key(f) == k) for k in {key(f) for f in fps}}
     at = {f: i for i, f in enumerate(fps)}
@@ -111,11 +112,13 @@ def test_bk_tree_follows_radius():
         assert {(max(x, y), min(x, y)) for x, y in zip(a.tolist(), b.tolist())} == want
 
 
-def test_components_of_long_chains(spark):
+@pytest.mark.parametrize("one_task", [components.ONE_TASK, 0])
+def test_components_of_long_chains(spark, monkeypatch, one_task):
+    monkeypatch.setattr(components, "ONE_TASK", one_task)
     n = 400
     edges = [(i, i + 1) for i in range(n)] + [(1000 + (i * 7) % 50, 1000) for i in range(50)] + [(5, 5)]
     random.Random(1).shuffle(edges)
-    got = {r["fp"]: r["root"] for r in components.component_roots(spark.createDataFrame(edges, "a long, b long").repartition(9)).collect()}
+    got = {r["node"]: r["root"] for r in components.component_roots(spark.createDataFrame(edges, "a long, b long").repartition(9)).collect()}
     assert got == {i: 0 for i in range(n + 1)} | {1000 + (i * 7) % 50: 1000 for i in range(50)}
     assert components.component_roots(spark.createDataFrame([], "a long, b long")).count() == 0
 
