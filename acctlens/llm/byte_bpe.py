@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from acctlens.llm.piece_encoder import LEAD_PATTERN, PieceEncoder, byte_characters
+from acctlens.llm.piece_encoder import LEAD_PATTERN, SLICE_BYTES, PieceEncoder, byte_characters
 from acctlens.llm.text import column, gather_runs, slices
 
 
@@ -110,7 +110,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str = LEAD_PATTERN, id_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = byte_bpe(ranks_path, pattern)
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", SLICE_BYTES):
             ids, off = bpe.encode(column(b, "text"))
             spans = [bpe.char_spans(ids[a:z], t.as_py() or "") for a, z, t in zip(off, off[1:], column(b, "text"))]
             rows = pa.array(off, pa.int32())
@@ -147,7 +147,7 @@ def round_trip_digests(df: DataFrame, ranks_path: str, pattern: str = LEAD_PATTE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = byte_bpe(ranks_path, pattern)
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", SLICE_BYTES):
             ids, off = bpe.encode(column(b, "text"))
             raw, ends = bpe.decode(ids, off)
             packed = ids.astype("<u4")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from acctlens.llm.piece_encoder import encoder_for
+from acctlens.llm.piece_encoder import SLICE_BYTES, encoder_for
 from acctlens.llm.text import column, slices
 from acctlens.session import cut_lineage
 
@@ -36,7 +36,7 @@ def token_pieces(df: DataFrame, tokenizer_path: str, max_len: int = 2048, id_col
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_for(tokenizer_path)
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", SLICE_BYTES):
             ids, off = encoder.encode(column(b, "text"))
             lens = np.diff(off) + 1
             ends = np.cumsum(lens)

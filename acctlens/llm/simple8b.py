@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from acctlens.llm.piece_encoder import encoder_for
+from acctlens.llm.piece_encoder import SLICE_BYTES, encoder_for
 from acctlens.llm.text import column, gather_runs, slices
 from acctlens.session import checkpoint_dir
 
@@ -155,7 +155,7 @@ def write_token_files(df: DataFrame, tokenizer_path: str, folder: str, id_col: s
         from pyspark import TaskContext
         part, seen, k = TaskContext.get().partitionId(), 0, 0
         encoder = encoder_for(tokenizer_path)
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", SLICE_BYTES):
             ids, off = encoder.encode(column(b, "text"))
             lens = np.diff(off) + 1
             ends = np.cumsum(lens)

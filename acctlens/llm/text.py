@@ -45,6 +45,7 @@ def slices(batches: Iterator[pa.RecordBatch], name: str, max_bytes: int = 16 <<
             n = max(1, int(np.searchsorted(ends, done + max_bytes, side="right")) - at)
             yield b.slice(at, n)
             at += n
+    pa.default_memory_pool().release_unused()               # the worker lives on
 
 
 def words(text: str) -> list[bytes]:
