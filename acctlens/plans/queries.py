@@ -384,7 +384,7 @@ _variant("r3_add_constant", ModelSpec("Unit_Sales", ("ACV_Weighted_Distribution"
 _variant("r2_unlogged_target", ModelSpec("Unit_Sales", ("ACV_Weighted_Distribution",), ("Account",), log_transform=False),
          "Unit_Sales", "ln(greatest(ACV_Weighted_Distribution, 1e-6))", "TRUE")
 _variant("r5_imputed_predictor", ModelSpec("Auto_Base_Units", ("Unit_Sales",), ("Account",), drop_na=False),
-         "ln(greatest(Auto_Base_Units, 1e-6))", "coalesce(ln(greatest(nullif(Unit_Sales, 0), 1e-6)), 0.0)", "TRUE")
+         "ln(greatest(Auto_Base_Units, 1e-6))", "CASE WHEN coalesce(Unit_Sales, 0) = 0 THEN 0.0 ELSE ln(greatest(Unit_Sales, 1e-6)) END", "TRUE")
 
 
 _FIT_ALL_SQL = f"""WITH gm AS (SELECT a, avg(x) mx, avg(y) my FROM {MF} GROUP BY a),
