@@ -29,9 +29,61 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-@register("op1_url_filter")
+def _blend_sql(order: int, kind: str) -> str:
+    """Witten-Bell of one order and class over counts n{order}, contexts t{order} and the order below."""
+    lower = "1 / 32.0" if order == 1 else f"p{order - 1}{kind}"
+    return (f"CASE WHEN coalesce(t{order}.n{kind}, 0) > 0 THEN (coalesce(n{order}.n{kind}, 0) + t{order}.k{kind} * ({lower})) "
+            f"/ (t{order}.n{kind} + t{order}.k{kind}) ELSE {lower} END AS p{order}{kind}")
+
+
+def _order_sql(order: int) -> str:
+    gram = "abcd"[4 - order:]
+    context = gram[:-1]
+    keys = lambda g: ", ".join(g)
+    sums = "sum(na) AS na, sum(nb) AS nb"
+    on = lambda t, g: " AND ".join(f"{t}{order}.{x} = q.{x}" for x in g) or "TRUE"
+    return f"""n{order} AS (SELECT {keys(gram)}, {sums} FROM n GROUP BY {keys(gram)}),
+t{order} AS (SELECT {keys(context) + ", " if context else ""}{sums}, count(*) FILTER (WHERE na > 0) AS ka, count(*) FILTER (WHERE nb > 0) AS kb
+       FROM n{order}{" GROUP BY " + keys(context) if context else ""}),
+q{order} AS (SELECT q.*, {_blend_sql(order, "a")}, {_blend_sql(order, "b")} FROM q{order - 1} q
+       LEFT JOIN n{order} ON {on("n", gram)} LEFT JOIN t{order} ON {on("t", context)}),"""
+
+
+_OP1_SQL = """
+WITH u AS (SELECT page_id, row_number() OVER () AS r, coalesce(url, '') AS url,
+                  CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),
+h AS (SELECT *, coalesce(rest, url) AS txt, regexp_extract(coalesce(rest, ''), '^[^/?#]*') AS h0 FROM u),
+b AS (SELECT page_id, r, txt, translate(h0, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             regexp_extract(substr(coalesce(rest, ''), length(h0) + 1), '^[^?#]*') AS path FROM h),
+v AS (SELECT *, CASE
+        WHEN (host = 'www.example.com' OR ends_with(host, '.www.example.com')) AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+        WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/en/') THEN 'example.com/en/'
+        WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/es/') THEN 'net/es/'
+        WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/fr/') THEN 'net/fr/'
+        WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/') THEN 'com/' END AS rule FROM b),
+w AS (SELECT *, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS rv FROM v),
+ch AS (SELECT r, rv, i, CASE WHEN i > length(txt) THEN NULL ELSE unicode(substr(txt, i, 1)) END AS x
+       FROM w, LATERAL (SELECT unnest(range(1, length(txt) + 2)) AS i)),
+sy AS (SELECT r, rv, i, CASE WHEN x IS NULL THEN 0 WHEN x BETWEEN 97 AND 122 THEN x - 96 WHEN x BETWEEN 65 AND 90 THEN x - 64
+                             WHEN x BETWEEN 48 AND 57 THEN 27 WHEN x = 47 THEN 28 WHEN x = 46 THEN 29 WHEN x IN (45, 95) THEN 30 ELSE 31 END AS s FROM ch),
+g AS (SELECT r, rv, s AS d, coalesce(lag(s, 1) OVER o, 0) AS c, coalesce(lag(s, 2) OVER o, 0) AS b, coalesce(lag(s, 3) OVER o, 0) AS a
+      FROM sy WINDOW o AS (PARTITION BY r ORDER BY i)),
+n AS (SELECT a, b, c, d, count(*) FILTER (WHERE rv = 'allow') AS na, count(*) FILTER (WHERE rv = 'block') AS nb FROM g WHERE rv IS NOT NULL GROUP BY a, b, c, d),
+q0 AS (SELECT DISTINCT a, b, c, d FROM g),
+""" + "\n".join(_order_sql(k) for k in (1, 2, 3, 4)) + """
+sc AS (SELECT g.r, sum(CAST(round((ln(p4a) - ln(p4b)) * 1e6) AS BIGINT)) / count(*) / 1e6 AS score FROM g JOIN q4 USING (a, b, c, d) GROUP BY g.r),
+s AS (SELECT w.*, sc.score FROM w JOIN sc USING (r)),
+hb AS (SELECT floor(score / 0.005) AS bin, count(*) FILTER (WHERE rv = 'allow') AS al, count(*) FILTER (WHERE rv = 'block') AS bl
+       FROM s WHERE rv IS NOT NULL GROUP BY 1),
+k AS (SELECT bin, coalesce(lag(bin) OVER (ORDER BY bin) + 1, bin) AS low,
+             round(1 - (sum(al) OVER (ORDER BY bin) - al) / sum(al) OVER () + (sum(bl) OVER (ORDER BY bin) - bl) / sum(bl) OVER (), 12) AS kept FROM hb),
+th AS (SELECT (min(low) + max(bin)) / 2 * 0.005 AS t FROM k WHERE kept = (SELECT max(kept) FROM k))
+SELECT page_id, host, path, rule, coalesce(rv, CASE WHEN score >= t THEN 'allow' ELSE 'block' END) AS verdict FROM s, th"""
+
+
+@register("op1_url_filter", _OP1_SQL)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_lm.judge_urls(_table(spark, sf_dir, "pages"))
+    return url_lm.judge_urls(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
 def held_out(doc_id: Column) -> Column:
