@@ -56,12 +56,11 @@ def _contract_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def component_roots(edges: DataFrame) -> DataFrame:
     """(node, root): every node of ``edges`` (a, b) with the smallest node of its component."""
     kind = edges.schema["a"].dataType.simpleString()
-    pairs = edges.select("a", "b").where(F.col("a") != F.col("b")).mapInArrow(_contract_parts, f"a {kind}, b {kind}")
-    e = cut_lineage(pairs.distinct())                        # a > b
+    e = cut_lineage(edges.select("a", "b").where(F.col("a") != F.col("b")).distinct())
     if e.count() <= ONE_TASK:
         e = cut_lineage(e.coalesce(1).mapInArrow(_contract_all, f"a {kind}, b {kind}"))
     else:
-        e = _star_rounds(e)
+        e = _star_rounds(cut_lineage(e.mapInArrow(_contract_parts, f"a {kind}, b {kind}").distinct()))       # a > b
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(
         e.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
 

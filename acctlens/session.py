@@ -53,7 +53,7 @@ _SHIPPED: set = set()
 
 def ship_code(spark: SparkSession) -> None:
     """Make ``acctlens`` importable in the Python workers that run the pandas functions
-    (forest, HDBSCAN batches, union-find): zip the package once per application and hand it
+    (forest, HDBSCAN batches, corpus operators): zip the package once per application and hand it
     to ``SparkContext.addPyFile``, which distributes it with the job."""
     sc = spark.sparkContext
     if sc.applicationId in _SHIPPED:

@@ -30,6 +30,7 @@ HEADLINE = {
     "best_k_K8": ["k8_optimal_k"],
     "account_stats_A1_A8": ["a8_feature_matrix"],
     "dbscan_D1_D3": ["d3_dbscan_noise"],
+    "dbscan_customers_D1_D3": ["d3_dbscan_noise_customers"],      # 15 times the accounts
     "iforest_D6_D7": ["d6_iforest_scores"],
     "full_chain_D12": ["d12_detect"],
 }
