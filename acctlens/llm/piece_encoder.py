@@ -33,7 +33,7 @@ LEAD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s
 # a space at the end, or before white space in the widest sense (Unicode White_Space, FS..US)
 _UNSAFE_SPACE = (" ([\\x09-\\x0d\\x1c-\\x20\\x{85}\\x{a0}\\x{1680}\\x{180e}\\x{2000}-\\x{200b}\\x{2028}\\x{2029}"
                  "\\x{202f}\\x{205f}\\x{3000}\\x{feff}]|\\z)")
-_MAX_MEMO = 500_000
+_MAX_MEMO = 250_000
 SLICE_BYTES = 6 << 20                                     # text that is encoded at a time
 
 # The same patterns over ASCII, the Latin-1 letters, LF as the only other white space, and SOH,

@@ -56,13 +56,14 @@ def with_fingerprint(df: DataFrame, text_col: str = "text", k: int = 3, name: st
     cols = df.columns if keep is None else keep
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "__text"):
-            fp = np.array([fingerprint(t, k) for t in texts_of(b, "__text")], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fp, pa.int64())], names=[*b.schema.names[:-1], name])
-
-    narrow = df.select(*(F.col(f"`{c}`") for c in cols), F.col(text_col).cast("string").alias("__text"))
-    schema = type(df.schema)([f for f in narrow.schema if f.name != "__text"]).add(name, "long")
-    return narrow.mapInArrow(run, schema)
+        for b in slices(batches, text_col):
+            fp = np.array([fingerprint(t, k) for t in texts_of(b, text_col)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*(column(b, c) for c in cols), pa.array(fp, pa.int64())], names=[*cols, name])
+
+    text = F.col(f"`{text_col}`").cast("string").alias(text_col)
+    sent = df.select(*(text if c == text_col else F.col(f"`{c}`") for c in dict.fromkeys([*cols, text_col])))
+    schema = type(df.schema)([sent.schema[c] for c in cols]).add(name, "long")
+    return sent.mapInArrow(run, schema)
 
 
 def _blocks_for(n: int, radius: int) -> int:

@@ -27,7 +27,7 @@ def texts_of(batch: pa.RecordBatch, name: str) -> list[str]:
     return [t or "" for t in column(batch, name).to_pylist()]
 
 
-def slices(batches: Iterator[pa.RecordBatch], name: str, max_bytes: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], name: str, max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each holds at most ``max_bytes`` of column ``name`` (one row at least)."""
     for b in batches:
         if b.num_rows == 0:

@@ -22,7 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from acctlens.llm.text import column, slices, texts_of
@@ -75,13 +75,12 @@ def log_ratios(with_toxic: np.ndarray, with_other: np.ndarray, toxic: int, other
     return np.log((with_toxic + prior * share) / (toxic + prior)) - np.log((with_other + prior * share) / (other + prior))
 
 
-def evidence(with_toxic: np.ndarray, with_other: np.ndarray, toxic: int, other: int) -> np.ndarray:
-    """The likelihood-ratio statistic of each bucket's two-by-two table."""
-    both = with_toxic + with_other
-    total = 0.0
-    for seen, rows in ((with_toxic, toxic), (with_other, other)):
-        for got, expected in ((seen, both * rows / (toxic + other)), (rows - seen, (toxic + other - both) * rows / (toxic + other))):
-            total = total + np.where(got > 0, got * np.log(np.maximum(got, 1e-9) / np.maximum(expected, 1e-9)), 0.0)
+def evidence(toxic: int, other: int) -> Column:
+    """The likelihood-ratio statistic of each bucket's two-by-two table, over columns toxic, other."""
+    n, both, total = toxic + other, F.col("toxic") + F.col("other"), F.lit(0.0)
+    for seen, rows in ((F.col("toxic"), toxic), (F.col("other"), other)):
+        for got, expected in ((seen, both * rows / n), (rows - seen, (n - both) * rows / n)):
+            total = total + F.when(got > 0, got * F.log(got / expected)).otherwise(F.lit(0.0))
     return 2 * total
 
 
@@ -139,14 +138,11 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
 
     counted = (sample.mapInArrow(count, "bucket int, toxic int, other int").groupBy("bucket")
                .agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
-               .where(F.col("toxic") + F.col("other") >= min_texts).toPandas())    # 2**BITS rows at most
-    at = counted["bucket"].to_numpy(np.int32)
-    have = counted["toxic"].to_numpy(float), counted["other"].to_numpy(float)
-    sure = evidence(*have, toxic, other)
-    best = np.lexsort((at, -sure))[:max_features]
-    best = best[sure[best] >= min_evidence]
-    best = best[np.argsort(at[best])]
-    kept, ratio = at[best], log_ratios(*have, toxic, other, prior)[best]
+               .where(F.col("toxic") + F.col("other") >= min_texts).withColumn("sure", evidence(toxic, other))
+               .where(F.col("sure") >= min_evidence).orderBy(F.desc("sure"), "bucket").limit(max_features).toPandas())
+    counted = counted.sort_values("bucket")
+    kept = counted["bucket"].to_numpy(np.int32)
+    ratio = log_ratios(counted["toxic"].to_numpy(float), counted["other"].to_numpy(float), toxic, other, prior)
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scratch = np.empty(1 << BITS, np.int32)

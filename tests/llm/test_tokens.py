@@ -1,5 +1,6 @@
 """Token files, byte BPE and packing against the tokenizer libraries themselves."""
 import base64
+import functools
 import hashlib
 import random
 import zlib
@@ -22,10 +23,15 @@ WORD, BYTE, RANKS = P.path("word_bpe_49k.json"), P.path("byte_bpe_50k.json"), P.
 SF = "/root/testdata/sf0.01/documents.parquet"
 
 
-def whole(path, texts):
+@functools.cache
+def library(path):
     t = Tokenizer.from_file(path)
     t.encode_special_tokens = True
-    return [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+    return t
+
+
+def whole(path, texts):
+    return [e.ids for e in library(path).encode_batch(texts, add_special_tokens=False)]
 
 
 def le32(ids):
