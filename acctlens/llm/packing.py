@@ -5,7 +5,8 @@ A document longer than ``max_len`` is cut into full pieces and a rest; the rests
 the shortest open packing pattern, and patterns carry counts, so the packing works on at most
 ``max_len`` numbers whatever the number of documents.  Patterns are joined back to pieces by
 each piece's rank among the pieces of its length.  Ranks come from windows over (length, salt)
-with the salts' counts added up, so a length that a third of all pieces share is split.
+with the salts' counts added up; a length has as many salts as its count needs, so one that a third
+of all pieces share is split into parts of about ``ROWS_PER_SALT``.
 
 Null and empty texts are documents of the end id alone.  Equal rows are ranked in any order, as
 they are interchangeable; equal ids with different texts keep their own pieces.  An empty table
@@ -27,7 +28,7 @@ from acctlens.llm.piece_encoder import SLICE_BYTES, encoder_for
 from acctlens.llm.text import column, slices
 from acctlens.session import cut_lineage
 
-ROWS_PER_SALT = 50_000
+ROWS_PER_SALT = 1_000
 
 
 def token_pieces(df: DataFrame, tokenizer_path: str, max_len: int = 2048, id_col: str = "doc_id",
@@ -141,8 +142,9 @@ def pack(pieces: DataFrame, max_len: int = 2048) -> DataFrame:
                 [*(column(b, c) for c in cols), pa.array(firsts[slot] + rank - lows[slot]), pa.array(offsets[slot])],
                 names=[*cols, "sequence_id", "offset"])
 
-    salts = 1 + sum(histogram.values()) // ROWS_PER_SALT
-    salted = pieces.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(salts)))
+    salts = F.array(*(F.lit(1 + histogram.get(n, 0) // ROWS_PER_SALT) for n in range(1, max_len + 1)))
+    key = F.xxhash64("doc_id", "start", "ids_crc32")
+    salted = pieces.withColumn("__salt", F.pmod(key, F.element_at(salts, F.col("length").cast("int"))))
     counts = salted.groupBy("length", "__salt").agg(F.count("*").alias("__n"))
     order = Window.partitionBy("length").orderBy("__salt")
     before = counts.select("length", "__salt", (F.sum("__n").over(order) - F.col("__n")).alias("__before"))

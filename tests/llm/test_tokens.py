@@ -169,7 +169,7 @@ def check_packing(packed, rows, max_len):
     return sum(p["length"] for p in packed) / max(total, 1)
 
 
-@pytest.mark.parametrize("salt", [packing.ROWS_PER_SALT, 7])
+@pytest.mark.parametrize("salt", [packing.ROWS_PER_SALT, 3])
 def test_packing(spark, monkeypatch, salt):
     monkeypatch.setattr(packing, "ROWS_PER_SALT", salt)      # few rows a salt: a length is split over many
     df = spark.read.parquet(SF)
