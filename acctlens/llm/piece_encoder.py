@@ -11,7 +11,8 @@ description; every other tokenizer encodes whole texts.
 Of each batch only the distinct pieces are looked at.  Pieces of ASCII and Latin-1 letters, whose
 pre-splitting needs no Unicode tables, are split here by the same pattern, and their pre-tokens
 are encoded by the library's model; all others go through the library whole.  A memo of encoded
-pre-tokens lives as long as the Python worker and is emptied when it reaches its bound.
+pre-tokens lives as long as the Python worker; once it has reached its bound, further pre-tokens
+are encoded for their batch only.
 """
 
 from __future__ import annotations
@@ -33,8 +34,8 @@ LEAD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s
 # a space at the end, or before white space in the widest sense (Unicode White_Space, FS..US)
 _UNSAFE_SPACE = (" ([\\x09-\\x0d\\x1c-\\x20\\x{85}\\x{a0}\\x{1680}\\x{180e}\\x{2000}-\\x{200b}\\x{2028}\\x{2029}"
                  "\\x{202f}\\x{205f}\\x{3000}\\x{feff}]|\\z)")
-_MAX_MEMO = 250_000
-SLICE_BYTES = 6 << 20                                     # text that is encoded at a time
+_MAX_MEMO = 400_000
+SLICE_BYTES = 10 << 20                                    # text that is encoded at a time
 
 # The same patterns over ASCII, the Latin-1 letters, LF as the only other white space, and SOH,
 # which closes each piece of a joined run.
@@ -81,9 +82,6 @@ class PieceEncoder:
         tokenizer.encode_special_tokens = True          # their strings in a text are ordinary text
         self.tokenizer = tokenizer
         self.kind = kind or cut_kind(tokenizer.to_str())
-        self._forget()
-
-    def _forget(self) -> None:
         self.memo: dict[str, int] = {"\x01": 0}
         self.flat, self.starts, self.lengths = np.empty(0, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int64)
 
@@ -94,20 +92,23 @@ class PieceEncoder:
         """(ids, their number by piece) of plain pieces, each closed by SOH."""
         split = _SPLIT[self.kind].findall(joined.lower() if self.kind == "drop" else joined)
         new = set(split).difference(self.memo)
-        if len(self.memo) + len(new) > _MAX_MEMO:
-            self._forget()
-            new = set(split).difference(self.memo)
         tokenize = self.tokenizer.model.tokenize
         ids, offsets = _joined([[t.id for t in tokenize(
             p.replace(" ", "\u0120").replace("\n", "\u010a") if p.isascii() else p.translate(_TO_CHARS))] for p in new])
-        self.memo.update(zip(new, range(len(self.memo), len(self.memo) + len(new))))
-        self.starts = np.concatenate([self.starts, len(self.flat) + offsets[:-1]])
-        self.lengths = np.concatenate([self.lengths, np.diff(offsets)])
-        self.flat = np.concatenate([self.flat, ids])
-        place = np.fromiter(map(self.memo.__getitem__, split), np.int64, len(split))
-        lens = self.lengths[place]
+        here = dict(zip(new, range(len(self.memo), len(self.memo) + len(new))))
+        starts = np.concatenate([self.starts, len(self.flat) + offsets[:-1]])
+        lengths = np.concatenate([self.lengths, np.diff(offsets)])
+        flat = np.concatenate([self.flat, ids])
+        known = self.memo.get
+        place = np.fromiter([known(p, -1) for p in split], np.int64, len(split))
+        missing = np.flatnonzero(place < 0)
+        place[missing] = [here[split[i]] for i in missing.tolist()]
+        if len(starts) <= _MAX_MEMO:
+            self.memo.update(here)
+            self.starts, self.lengths, self.flat = starts, lengths, flat
+        lens = lengths[place]
         ends = np.cumsum(lens)[np.flatnonzero(place == 0)]
-        return self.flat[gather_runs(self.starts[place], lens)], np.diff(ends, prepend=0)
+        return flat[gather_runs(starts[place], lens)], np.diff(ends, prepend=0)
 
     def _encode_pieces(self, distinct: pa.Array, lead: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, starts, lengths) of the distinct pieces, ``lead`` before each."""
