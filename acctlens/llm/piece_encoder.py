@@ -34,8 +34,8 @@ LEAD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s
 # a space at the end, or before white space in the widest sense (Unicode White_Space, FS..US)
 _UNSAFE_SPACE = (" ([\\x09-\\x0d\\x1c-\\x20\\x{85}\\x{a0}\\x{1680}\\x{180e}\\x{2000}-\\x{200b}\\x{2028}\\x{2029}"
                  "\\x{202f}\\x{205f}\\x{3000}\\x{feff}]|\\z)")
-_MAX_MEMO = 400_000
-SLICE_BYTES = 10 << 20                                    # text that is encoded at a time
+_MAX_MEMO = 350_000
+SLICE_BYTES = 8 << 20                                     # text that is encoded at a time
 
 # The same patterns over ASCII, the Latin-1 letters, LF as the only other white space, and SOH,
 # which closes each piece of a joined run.
@@ -154,6 +154,7 @@ class PieceEncoder:
         rows = cut.offsets.to_numpy() - cut.offsets[0].as_py()
         coded = cut.flatten().dictionary_encode()
         piece, distinct = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+        del cut, coded, texts
         if self.kind == "drop":
             ids, starts, lens = self._encode_pieces(distinct, "")
         else:                                   # all but the first piece of a text begin with its space

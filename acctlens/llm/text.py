@@ -15,7 +15,9 @@ def gather_runs(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Indexes of the concatenated runs ``[start, start + length)``."""
     ends = np.cumsum(lengths)
     total = int(ends[-1]) if len(ends) else 0
-    return np.repeat(starts - (ends - lengths), lengths) + np.arange(total)
+    out = np.arange(total)
+    out += np.repeat(starts - (ends - lengths), lengths)
+    return out
 
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
