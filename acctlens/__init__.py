@@ -4,7 +4,7 @@ Every operator is a function from DataFrame (plus frozen settings) to DataFrame.
 work — scans, filters, period assignment, per-(period, account) moment sums, fold scoring,
 residual statistics, neighbour joins, forest scoring — runs as Spark SQL plans.  The driver
 only ever holds schema, one-row aggregates, the period→fold map and small coefficient
-vectors / Gram matrices whose size depends on the model, never on the data.
+vectors / Gram matrices whose size depends on the model, and bounded pages of levels.
 """
 
 from acctlens.session import get_spark, checkpoint_dir  # noqa: F401
