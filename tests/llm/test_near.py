@@ -234,3 +234,38 @@ def test_nearest_neighbours_of_odd_vectors(spark, monkeypatch):
     few = spark.createDataFrame(rows[:5], "vec_id long, embedding array<double>")
     assert len(found(few, tables=8, probes=32)[0]) == 4
     assert cross_polytope.search(df.limit(0), "vec_id % 20 = 0").count() == 0
+
+
+def uneven_lengths(kind):
+    """5,000 random vectors: unit ones with a long one, lognormal lengths, or both."""
+    rnd = np.random.default_rng(11)
+    x = rnd.normal(size=(5000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if kind != "outlier":
+        x *= rnd.lognormal(0, 0.5, (len(x), 1))
+    if kind != "lognormal":
+        x[7] *= 1000
+    return [(i, v) for i, v in enumerate(x.tolist())]
+
+
+@pytest.mark.parametrize("kind", ["outlier", "lognormal", "both"])
+def test_nearest_neighbours_of_uneven_lengths(spark, kind):
+    rows = uneven_lengths(kind)
+    got, want = found(spark.createDataFrame(rows, "vec_id long, embedding array<double>")), plain_nearest(rows, 20, lambda i: i % 20 == 0)
+    assert got.keys() == want.keys()
+    assert recall(got, want) >= 0.9
+
+
+def test_reference_length():
+    def axes(lengths):
+        bands = {}
+        for x in lengths:
+            bands.setdefault(int(np.floor(np.log2(x))), []).append(x)
+        ref = cross_polytope.reference_length([(b, len(x), float(np.mean([(y / 2.0 ** b) ** 2 for y in x]))) for b, x in bands.items()], 128)
+        return np.clip(np.round((np.array(lengths) / ref) ** 2), 1, 128)
+
+    assert (axes([3.0] * 10) == 1).all() and (axes([1e-200] * 10) == 1).all() and (axes([1e200] * 10) == 1).all()
+    got = axes([1.0] * 2000 + [1e9])
+    assert got[-1] == 128 and (got[:-1] == 1).all()
+    for lengths in (np.random.default_rng(0).lognormal(0, 2, 3000), [1.0] * 50 + [1e9] * 50):
+        assert axes(list(lengths)).sum() <= 2.5 * len(lengths)
