@@ -269,3 +269,25 @@ def test_reference_length():
     assert got[-1] == 128 and (got[:-1] == 1).all()
     for lengths in (np.random.default_rng(0).lognormal(0, 2, 3000), [1.0] * 50 + [1e9] * 50):
         assert axes(list(lengths)).sum() <= 2.5 * len(lengths)
+
+
+@pytest.mark.parametrize("n", [1, 15, 30, 50])
+def test_nearest_neighbours_of_small_tables(spark, n):
+    rnd = np.random.default_rng(n)
+    rows = [(i, v) for i, v in enumerate(rnd.normal(size=(n, 64)).tolist())]
+    got, want = found(spark.createDataFrame(rows, "vec_id long, embedding array<double>")), plain_nearest(rows, 20, lambda i: i % 20 == 0)
+    assert {q: [v for v, _ in g] for q, g in got.items()} == {q: [v for v, _ in w] for q, w in want.items() if w}
+
+
+def test_nearest_neighbours_of_isolated_queries(spark):
+    rnd = np.random.default_rng(5)
+    x = np.eye(64)[0] + rnd.normal(size=(4400, 64)) * 0.01      # one dense cluster, queries elsewhere
+    x[:200:20] = rnd.normal(size=(10, 64)) - 10 * np.eye(64)[0]
+    rows = [(i, v) for i, v in enumerate(x.tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in cross_polytope.search(df, "vec_id % 20 = 0 and vec_id < 200").orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    want = plain_nearest(rows, 20, lambda i: (i % 20 == 0) & (i < 200))
+    assert got.keys() == want.keys() and all(len(g) == 20 for g in got.values())
+    assert all(g == [v for v, _ in want[q]] for q, g in got.items())
