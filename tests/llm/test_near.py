@@ -291,3 +291,12 @@ def test_nearest_neighbours_of_isolated_queries(spark):
     want = plain_nearest(rows, 20, lambda i: (i % 20 == 0) & (i < 200))
     assert got.keys() == want.keys() and all(len(g) == 20 for g in got.values())
     assert all(g == [v for v, _ in want[q]] for q, g in got.items())
+
+
+def test_ids_of_a_hot_vector(spark, capsys):
+    rows = spark.range(3000).selectExpr("id as vec_id", "array(if(id % 3 = 0, 1.0, id), 2.0) as v")
+    got = cross_polytope.distinct_vectors(rows, 21)
+    assert {r["key"]: r["ids"] for r in got.collect()} == {0: [0, 1, *range(3, 60, 3)]} | {i: [i] for i in range(2, 3000) if i % 3}
+    got.explain()
+    plan = capsys.readouterr().out                            # read from the end: ids are cut to 21 before they are collected
+    assert "WindowGroupLimit" in plan and plan.index("collect_list") < plan.index("WindowGroupLimit")
