@@ -6,7 +6,8 @@ name, a separator and a value of 6 or more characters), ``access`` and ``hex``.
 ``WINDOW`` characters has a Shannon entropy above its character class's threshold.  The window
 slides by one character: the count of the entering character grows, that of the leaving one
 shrinks, and the sum of c*log2(c) follows from these two counts alone.  Classes: ``hex`` candidates (lower or upper case, at least one
-digit and one letter) and ``base64`` candidates (digits, upper and lower case all present).
+digit and one letter) and ``base64`` candidates (digits, upper and lower case all present).  Within
+any candidate a single window counts by its own class too: ``hex``, or ``base36``, digits with letters of one case.
 An allow-list suppresses candidates that are known not to be secrets: UUIDs, strings with a
 placeholder word, and strings inside an assign, access or hex span already reported.
 
@@ -31,7 +32,7 @@ ACCESS_CHARS, HEX_CHARS, VALUE_CHARS = 20, 24, 6
 
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 WINDOW = 20
-THRESHOLDS = {"hex": 3.0, "base64": 3.7}               # bits a character, of log2(20) = 4.32 at most
+THRESHOLDS = {"hex": 3.0, "base64": 3.7, "base36": 3.5}               # bits a character, of log2(20) = 4.32 at most
 SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 PLACEHOLDERS = ("example", "placeholder", "changeme", "your", "dummy", "sample", "xxxx", "0000000", "1234567", "abcdefg")
 UUID = r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"
@@ -61,13 +62,15 @@ def _spans(found: Column, kind: int) -> Column:
         m["at"].alias("start"), F.lit(kind).alias("kind"), (m["at"] + F.char_length(m["s"])).cast("int").alias("end")))
 
 
-def max_window_entropy(s: Column, window: int = WINDOW) -> Column:
+def max_window_entropy(s: Column, window: int = WINDOW, above=None) -> Column:
     """The largest Shannon entropy (bits a character) of any ``window`` characters of ``s``, by
-    incremental counts; 0 for shorter strings."""
+    incremental counts; 0 for shorter strings.  ``above``: a window's threshold from its counts by
+    symbol; the largest excess over it is returned then, -window for shorter strings."""
+    none = 0.0 if above is None else -float(window)
     chars = F.transform(F.regexp_extract_all(s, F.lit("(?s)."), F.lit(0)), lambda c: F.instr(F.lit(SYMBOLS), c))
     weight = lambda n: F.when(n > 1, n * F.log2(n)).otherwise(F.lit(0.0))
     bump = lambda counts, sym, by: F.transform(counts, lambda n, i: F.when(i == sym, n + by).otherwise(n))
-    start = F.struct(F.array_repeat(F.lit(0), len(SYMBOLS) + 1).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
+    start = F.struct(F.array_repeat(F.lit(0), len(SYMBOLS) + 1).alias("counts"), F.lit(0.0).alias("sum"), F.lit(none).alias("best"))
 
     def step(acc, x):
         gone = F.when(x["out"].isNull(), acc["counts"]).otherwise(bump(acc["counts"], x["out"], -1))
@@ -76,8 +79,10 @@ def max_window_entropy(s: Column, window: int = WINDOW) -> Column:
         now = F.get(gone, x["in"])
         total = acc["sum"] - less + weight(now + 1) - weight(now)
         full = F.lit(float(window))
-        entropy = F.when(x["i"] >= window - 1, F.log2(full) - total / full).otherwise(F.lit(0.0))
-        return F.struct(bump(gone, x["in"], 1).alias("counts"), total.alias("sum"), F.greatest(acc["best"], entropy).alias("best"))
+        counts = bump(gone, x["in"], 1)
+        entropy = F.log2(full) - total / full - (F.lit(0.0) if above is None else above(counts))
+        entropy = F.when(x["i"] >= window - 1, entropy).otherwise(F.lit(none))
+        return F.struct(counts.alias("counts"), total.alias("sum"), F.greatest(acc["best"], entropy).alias("best"))
 
     def moves(cs):
         return F.transform(cs, lambda c, i: F.struct(c.alias("in"), F.get(cs, i - window).alias("out"), i.alias("i")))
@@ -86,12 +91,23 @@ def max_window_entropy(s: Column, window: int = WINDOW) -> Column:
     return F.get(F.transform(F.array(chars), lambda cs: F.aggregate(moves(cs), start, step, lambda acc: acc["best"])), F.lit(0))
 
 
+def _window_threshold(counts: Column) -> Column:
+    """The threshold of a window's class, by its counts of ``SYMBOLS`` (from place 1 on)."""
+    held = lambda a, z: F.aggregate(F.slice(counts, SYMBOLS.index(a) + 2, SYMBOLS.index(z) - SYMBOLS.index(a) + 1), F.lit(0), lambda x, n: x + n)
+    digits = held("0", "9")
+    made_of = lambda a, z: (digits > 0) & (digits < WINDOW) & (digits + held(a, z) == WINDOW)
+    return (F.when(made_of("a", "f") | made_of("A", "F"), THRESHOLDS["hex"]).when(made_of("a", "z") | made_of("A", "Z"), THRESHOLDS["base36"])
+            .otherwise(float(WINDOW)))
+
+
 def _random_like(s: Column) -> Column:
     is_hex = s.rlike(r"^[0-9a-f]+$|^[0-9A-F]+$") & s.rlike("[0-9]") & s.rlike("[A-Fa-f]")
     is_base64 = s.rlike("[0-9]") & s.rlike("[a-z]") & s.rlike("[A-Z]")
     allowed = s.rlike(f"^{UUID}$") | F.lower(s).rlike("|".join(PLACEHOLDERS))
-    return F.when(allowed, F.lit(False)).when(is_hex, max_window_entropy(s) >= THRESHOLDS["hex"]).when(
-        is_base64, max_window_entropy(s) >= THRESHOLDS["base64"]).otherwise(F.lit(False))
+    one_case = s.rlike("[0-9]") & s.rlike("[a-z0-9]{%d}|[A-Z0-9]{%d}" % (WINDOW, WINDOW))
+    return (F.when(allowed, F.lit(False)).when(is_hex & (max_window_entropy(s) >= THRESHOLDS["hex"]), F.lit(True))
+            .when(is_base64 & (max_window_entropy(s) >= THRESHOLDS["base64"]), F.lit(True))
+            .when(one_case, max_window_entropy(s, above=_window_threshold) >= 0).otherwise(F.lit(False)))
 
 
 def with_spans(df: DataFrame, text_col: str, base: str, every: str) -> DataFrame:
