@@ -8,8 +8,8 @@ slides by one character: the count of the entering character grows, that of the
 shrinks, and the sum of c*log2(c) follows from these two counts alone.  Classes: ``hex`` candidates (lower or upper case, at least one
 digit and one letter) and ``base64`` candidates (digits, upper and lower case all present).  Within
 any candidate a single window counts by its own class too: ``hex``, or ``base36``, digits with letters of one case.
-An allow-list suppresses candidates that are known not to be secrets: UUIDs, strings with a
-placeholder word, and strings inside an assign, access or hex span already reported.
+Candidates are cut at assign, access and hex spans already reported and at placeholder words; each
+piece of 20 or more characters is tested by itself.  UUIDs are known not to be secrets.
 
 Spans are code points, end exclusive.  A match's place follows from the pieces between matches
 (``split``) and the matches (``regexp_extract_all``), both of one pattern.
@@ -103,13 +103,34 @@ def _window_threshold(counts: Column) -> Column:
 def _random_like(s: Column) -> Column:
     is_hex = s.rlike(r"^[0-9a-f]+$|^[0-9A-F]+$") & s.rlike("[0-9]") & s.rlike("[A-Fa-f]")
     is_base64 = s.rlike("[0-9]") & s.rlike("[a-z]") & s.rlike("[A-Z]")
-    allowed = s.rlike(f"^{UUID}$") | F.lower(s).rlike("|".join(PLACEHOLDERS))
     one_case = s.rlike("[0-9]") & s.rlike("[a-z0-9]{%d}|[A-Z0-9]{%d}" % (WINDOW, WINDOW))
-    return (F.when(allowed, F.lit(False)).when(is_hex & (max_window_entropy(s) >= THRESHOLDS["hex"]), F.lit(True))
+    return (F.when(s.rlike(f"^{UUID}$"), F.lit(False)).when(is_hex & (max_window_entropy(s) >= THRESHOLDS["hex"]), F.lit(True))
             .when(is_base64 & (max_window_entropy(s) >= THRESHOLDS["base64"]), F.lit(True))
             .when(one_case, max_window_entropy(s, above=_window_threshold) >= 0).otherwise(F.lit(False)))
 
 
+def _blanked(text: Column, spans: Column) -> Column:
+    """``text`` with the characters of ``spans`` (sorted by start) replaced by as many spaces."""
+    start = F.struct(F.lit(0).alias("pos"), F.array().cast("array<string>").alias("out"))
+
+    def step(acc, x):
+        at, end = F.greatest(acc["pos"], x["start"]), F.greatest(acc["pos"], x["end"])
+        more = F.array(F.substring(text, acc["pos"] + 1, at - acc["pos"]), F.repeat(F.lit(" "), end - at))
+        return F.struct(end.alias("pos"), F.when(end > at, F.concat(acc["out"], more)).otherwise(acc["out"]).alias("out"))
+
+    done = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["pos"] + 1, F.char_length(text)))
+    return F.when(F.size(spans) > 0, F.aggregate(spans, start, step, done)).otherwise(text)
+
+
+def _pieces(m: Column) -> Column:
+    """(at, s) of the pieces of a candidate between its placeholder words."""
+    clean = m["s"]
+    for word in PLACEHOLDERS:
+        clean = F.regexp_replace(clean, f"(?i){word}", " " * len(word))
+    cut = F.transform(_located(clean, CANDIDATE), lambda x: F.struct((m["at"] + x["at"]).alias("at"), x["s"].alias("s")))
+    return F.when(F.lower(m["s"]).rlike("|".join(PLACEHOLDERS)), cut).otherwise(F.array(F.struct(m["at"].alias("at"), m["s"].alias("s"))))
+
+
 def with_spans(df: DataFrame, text_col: str, base: str, every: str) -> DataFrame:
     """``df`` with the base spans and all spans as arrays of (start, kind, end), by start, then kind."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -119,8 +140,8 @@ def with_spans(df: DataFrame, text_col: str, base: str, every: str) -> DataFrame
     access = _spans(_located(text, ACCESS[:-1] + "{%d,}" % (ACCESS_CHARS - 4)), 1)
     hexes = _spans(_located(text, HEX[:-1] + "{%d,}" % HEX_CHARS), 2)
     df = df.withColumn(base, F.array_sort(F.concat(assign, access, hexes)))
-    outside = lambda m: ~F.exists(F.col(f"`{base}`"), lambda x: (x["start"] < m["at"] + F.char_length(m["s"])) & (x["end"] > m["at"]))
-    entropy = _spans(F.filter(_located(text, CANDIDATE), lambda m: F.when(outside(m), _random_like(m["s"])).otherwise(F.lit(False))), 3)
+    runs = _located(_blanked(text, F.col(f"`{base}`")), CANDIDATE)
+    entropy = _spans(F.filter(F.flatten(F.transform(runs, _pieces)), lambda m: _random_like(m["s"])), 3)
     return df.withColumn(every, F.array_sort(F.concat(F.col(f"`{base}`"), entropy)).cast(_SPAN))
 
 
