@@ -1,6 +1,12 @@
-"""Cross-entropy difference of two matched n-gram models.
+"""Cross-entropy difference of two matched n-gram models, over words or bytes.
 
-Tokens are the bytes of the UTF-8 text closed by an end token (byte 0; the start counts as two of
+Words (``word_difference``, the query): tokens are the A-Z-lower-cased words and an end token, which
+also comes before the first word.  Both models share the vocabulary of all texts and hold its word
+pairs (order 2), so they grow with the corpus; they are counted, smoothed and joined to the distinct
+pairs of each text by shuffles, and neither the driver nor a task holds a model.  Words and pairs go
+by 64-bit hashes.  What follows on smoothing, scale, score and odd rows holds for both.
+
+Bytes (``cross_entropy_difference``): tokens are the bytes of the UTF-8 text closed by an end token (byte 0; the start counts as two of
 them).  Both models share this one vocabulary of 256 tokens and the same order 3, smoothing
 (Witten-Bell, down to the uniform distribution) and counting pass; the target model counts the
 target texts, the background model every text.  Every token of every text is counted: nothing is
@@ -24,11 +30,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from acctlens.llm.text import column, slices
-from acctlens.session import sized_broadcast
+from acctlens.llm.text import column, slices, texts_of, words
+from acctlens.session import cut_lineage, sized_broadcast
 
 _GRAMS = 1 << 24
 
@@ -137,3 +144,79 @@ def score_against(df: DataFrame, counted: DataFrame, id_col: str = "doc_id", tex
 def cross_entropy_difference(df: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Score every text of ``df``; ``targets`` holds the ids of the target texts."""
     return score_against(df, count_trigrams(df, targets, id_col, text_col), id_col, text_col)
+
+
+def _pairs(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """(text, pair, first word, second word) of every token, all but the text as hashes."""
+    known, flat, lens = {b"": 0}, [], []
+    for text in texts_of(batch, "text"):
+        ws = words(text)
+        lens.append(len(ws) + 1)
+        flat += ws
+        flat.append(b"")                                  # the end token, no word
+    at = np.fromiter((known.setdefault(w, len(known)) for w in flat), np.int64, len(flat))
+    hashes = np.fromiter((xxhash.xxh64_intdigest(w) if w else 0 for w in known), np.uint64, len(known))
+    second = hashes[at]
+    first = np.concatenate([np.zeros(1, np.uint64), second[:-1]])
+    pair = first * np.uint64(0x9E3779B185EBCA87) + second * np.uint64(0xC2B2AE3D27D4EB4F)
+    return np.repeat(np.arange(len(lens)), lens), pair, first, second
+
+
+def _text_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in slices(batches, "text", 4 << 20):
+        doc, pair, _, _ = _pairs(b)
+        order = np.lexsort((pair, doc))
+        doc, pair = doc[order], pair[order]
+        new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (pair[1:] != pair[:-1])]))
+        n = np.diff(np.append(new, len(doc)))
+        of = pa.array(doc[new])
+        yield pa.RecordBatch.from_arrays([column(b, "id").take(of), column(b, "hash").take(of), pa.array(pair[new].view(np.int64)), pa.array(n)],
+                                         names=["id", "hash", "pair", "n"])
+
+
+def _counted_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in slices(batches, "text", 4 << 20):
+        doc, pair, first, second = _pairs(b)
+        _, at, of = np.unique(pair, return_index=True, return_inverse=True)
+        target = column(b, "target").to_numpy(zero_copy_only=False)[doc]
+        yield pa.RecordBatch.from_arrays(
+            [*(pa.array(x[at].view(np.int64)) for x in (pair, first, second)), pa.array(np.bincount(of, minlength=len(at))),
+             pa.array(np.bincount(of[target], minlength=len(at)))], names=["pair", "first", "second", "background", "target"])
+
+
+def word_difference(df: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_tokens, target_loss, background_loss, score of every text of ``df`` by word pairs."""
+    flags = sized_broadcast(targets.select(F.col(id_col).cast("long").alias("id")).distinct().withColumn("target", F.lit(True)))
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = rows.withColumn("hash", F.xxhash64("id", F.coalesce("text", F.lit(""))))
+    counts = cut_lineage(rows.join(flags, "id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
+                         .mapInArrow(_counted_pairs, "pair long, first long, second long, background long, target long")
+                         .groupBy("pair", "first", "second").agg(F.sum("background").alias("background"), F.sum("target").alias("target")))
+    kinds = lambda c: F.count_if(F.col(c) > 0)
+    word = counts.groupBy("second").agg(F.sum("background").alias("background_1"), F.sum("target").alias("target_1"))
+    after = counts.groupBy("first").agg(F.sum("background").alias("background_all"), F.sum("target").alias("target_all"),
+                                        kinds("background").alias("background_kinds"), kinds("target").alias("target_kinds"))
+    total = word.agg(F.count("*").alias("kinds"), F.sum("background_1").alias("background"), F.sum("target_1").alias("target"),
+                     kinds("target_1").alias("target_kinds")).first()
+
+    def loss(model: str, scale: float, n: float, n_kinds: int):
+        """Witten-Bell: pair, word, uniform over the vocabulary."""
+        one = F.lit(1 / total["kinds"]) if not n else (F.col(f"{model}_1") * scale + n_kinds / total["kinds"]) / (n * scale + n_kinds)
+        k, seen = F.col(f"{model}_kinds"), F.col(f"{model}_all")
+        return -F.log(F.when(seen > 0, (F.col(model) * scale + k * one) / (seen * scale + k)).otherwise(one))
+
+    if not total["kinds"]:
+        return df.sparkSession.createDataFrame([], "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+    scale = total["target"] / total["background"] if total["target"] else 1.0
+    losses_of = counts.join(word, "second").join(after, "first").select(
+        "pair", loss("target", 1.0, total["target"], total["target_kinds"]).alias("target_loss"),
+        loss("background", scale, total["background"], total["kinds"]).alias("background_loss"))
+    mean = lambda c: (F.sum(F.col("n") * F.col(c)) / F.sum("n")).alias(c)
+    # rows of the same id and text share one mean; each counts its tokens for itself
+    scored = (rows.select("id", "hash", "text").mapInArrow(_text_pairs, "id long, hash long, pair long, n long").join(losses_of, "pair")
+              .groupBy("id", "hash").agg(F.sum("n").alias("n"), mean("target_loss"), mean("background_loss")))
+    same = rows.groupBy("id", "hash").agg(F.count("*").alias("copies"))
+    scored = scored.withColumnRenamed("id", "of").withColumnRenamed("hash", "text_hash")
+    out = same.join(scored, F.col("id").eqNullSafe(F.col("of")) & (F.col("hash") == F.col("text_hash")))
+    return (out.withColumn("n_tokens", (F.col("n") / F.col("copies")).cast("long")).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+            .select(F.col("id").alias("doc_id"), "n_tokens", "target_loss", "background_loss", (F.col("target_loss") - F.col("background_loss")).alias("score")))

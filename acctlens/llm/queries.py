@@ -141,4 +141,4 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op10_lm_score")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
-    return lm_score.cross_entropy_difference(documents, labels.where(F.col("quality") == 1).select("doc_id"))
+    return lm_score.word_difference(documents, labels.where(F.col("quality") == 1).select("doc_id"))

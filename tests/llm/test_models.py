@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from acctlens.llm import lm_score, secret_scan, toxicity, url_lm
 from acctlens.llm.queries import held_out
 from tests.llm.fixtures import LONG, ODD, empty_documents, odd_documents
-from tests.llm.test_near import plain_components, plain_simhash
+from tests.llm.test_near import plain_components, plain_simhash, plain_words
 
 # ---- URL filter
 
@@ -307,6 +307,54 @@ def test_lm_scores(spark, targets):
     assert lm_score.cross_entropy_difference(empty_documents(spark), ids).count() == 0
 
 
+def plain_word_lm(texts, is_target):
+    tokens = [["", *plain_words(t), ""] for t in texts]
+    pairs = [list(zip(t, t[1:])) for t in tokens]
+    size = len({w for p in pairs for _, w in p})
+
+    def model(some, scale):
+        c, one, after = Counter(some), Counter(w for _, w in some), defaultdict(Counter)
+        for a, w in c.elements():
+            after[a][w] += 1
+        n = sum(one.values())
+
+        def p(a, w):
+            lower = (one[w] * scale + len(one) / size) / (n * scale + len(one)) if n else 1 / size
+            k = len(after[a]) if a in after else 0
+            return (after[a][w] * scale + k * lower) / (sum(after[a].values()) * scale + k) if k else lower
+        return p
+
+    every, target = [x for p in pairs for x in p], [x for p, y in zip(pairs, is_target) if y for x in p]
+    pt, pb = model(target, 1.0), model(every, len(target) / len(every) if target else 1.0)
+    means = [[sum(-math.log(p(*x)) for x in some) / len(some) for p in (pt, pb)] for some in pairs]
+    return [(len(some), a, b, a - b) for some, (a, b) in zip(pairs, means)]
+
+
+@pytest.mark.parametrize("targets", [[1, 3, 5, 7, 999], []])
+def test_word_lm_scores(spark, targets):
+    rows = [(d, t) for d, t in ODD if t is None or len(t) < 1000] + [(1, "the same"), (1, "the same"), (3, "The cat the same"), (None, "the cat")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit("x"))
+    ids = spark.createDataFrame([(i,) for i in targets], "doc_id long")
+    order = lambda r: (r[0] is None, r[0] or 0, r[1], round(r[2], 6), round(r[3], 6))
+    got = sorted(map(tuple, lm_score.word_difference(df, ids).collect()), key=order)
+    want = sorted(((d, *x) for (d, _), x in zip(rows, plain_word_lm([t for _, t in rows], [d in targets for d, _ in rows]))), key=order)
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert np.allclose([g[2:] for g in got], [w[2:] for w in want], atol=1e-9)
+    assert lm_score.word_difference(empty_documents(spark), ids).count() == 0
+
+
+def test_word_lm_query_tells_quality(spark):
+    from acctlens.llm.queries import REGISTRY
+    sf = "/root/testdata/sf0.01"
+    documents, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    rows = REGISTRY["op10_lm_score"][0](spark, sf).cache()
+    n = {r["doc_id"]: len(plain_words(r["text"])) + 1 for r in documents.collect()}
+    assert {r["doc_id"]: r["n_tokens"] for r in rows.collect()} == n          # words, not bytes
+    got = rows.join(labels, "doc_id").collect()
+    low, high = ([r["score"] for r in got if r["quality"] == q] for q in (0, 1))
+    assert np.mean([a > b for a in low for b in high]) > 0.85
+
+
 def test_lm_scores_tell_quality(spark):
     documents, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     got = lm_score.cross_entropy_difference(documents, labels.where("quality = 1").select("doc_id")).join(labels, "doc_id").collect()
