@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from acctlens.llm import (bottom_k, byte_bpe, cross_polytope, lm_score, packing, secret_scan, simhash_bk, simple8b,
-                          toxicity, url_lm)
+from acctlens.llm import (bottom_k, byte_bpe, cross_polytope, fill_middle, lm_score, packing, pivotal_grams, secret_scan,
+                          simhash_bk, simple8b, toxicity, url_lm, vertical_join)
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -142,3 +142,52 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     return lm_score.word_difference(documents, labels.where(F.col("quality") == 1).select("doc_id"))
+
+
+_OP11_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+t AS (SELECT *, regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]') AS tokens,
+             CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2,
+             CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM d),
+c AS (SELECT *, len(tokens) AS n, least(h1 % (len(tokens) + 1), h2 % (len(tokens) + 1)) AS lo, greatest(h1 % (len(tokens) + 1), h2 % (len(tokens) + 1)) AS hi,
+             CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+                  WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM t),
+p AS (SELECT *, array_to_string(list_slice(tokens, 1, lo), '') AS prefix, array_to_string(list_slice(tokens, lo + 1, hi), '') AS middle,
+             array_to_string(list_slice(tokens, hi + 1, n), '') AS suffix FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+              ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256 FROM p"""
+
+
+@register("op11_fill_middle", _OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.transform(_table(spark, sf_dir, "documents"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                       F.sha2(fill_middle.restore(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+@register("op12_spelling_variants")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pivotal_grams.variant_forms(pivotal_grams.words_of(_table(spark, sf_dir, "documents")))
+    return found.select("word", "form", "root", "n", "n_near", "form_n")
+
+
+_OP13_SQL = """
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id,
+       regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+             ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS g FROM d),
+c AS (SELECT min(r) AS c, list_sort(g) AS g FROM s GROUP BY list_sort(g)),
+m AS (SELECT s.r, s.doc_id, len(s.g) AS n, c.c FROM s JOIN c ON c.g = list_sort(s.g)),
+t AS (SELECT c, len(g) AS n, unnest(g) AS x FROM c),
+o AS (SELECT a.c AS a, b.c AS b, a.n AS na, b.n AS nb, count(*) AS k FROM t a JOIN t b ON a.x = b.x AND a.c <> b.c GROUP BY ALL),
+l AS (SELECT a, b FROM o WHERE 100 * k >= 80 * (na + nb - k)),
+reach AS (SELECT c AS a, c AS b FROM c WHERE len(g) > 0 UNION SELECT reach.a, l.b FROM reach JOIN l ON l.a = reach.b),
+low AS (SELECT reach.a AS c, min(m.doc_id) AS low FROM reach JOIN m ON m.c = reach.b GROUP BY reach.a)
+SELECT m.doc_id, m.n AS n_shingles, CASE WHEN m.n = 0 THEN m.doc_id ELSE low.low END AS component_id FROM m LEFT JOIN low ON low.c = m.c"""
+
+
+@register("op13_ngram_join", _OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vertical_join.link_documents(_table(spark, sf_dir, "documents"))
