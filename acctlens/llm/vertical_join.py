@@ -14,8 +14,8 @@ Equal sets are one *class*, so copies are never paired.
    overlap is counted in each fragment separately, and the partial counts are summed per pair.
 4. Links are wanted for components only, so a bucket is not expanded into pairs: each member meets the
    bucket's leader, linked classes are merged, and only buckets that still hold several
-   components go on.  When few pairs are left between components, these are checked one by one, so no link between
-   components is missed.
+   components go on.  When leaders merge no more, or few pairs are left between components, these pairs are checked one by
+   one (sizes and places in the order rule most of them out), so no link between components is missed.
 
 Null and empty texts, and texts without words, have the empty set, which links with nothing; their component
 is their own id.  Each row is a document of its own, also where ids repeat; equal rows are copies.  A component's name is its
@@ -30,7 +30,8 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from acctlens.functions.components import component_roots
@@ -38,7 +39,7 @@ from acctlens.llm.text import column, shingle_hashes, slices, texts_of, words
 from acctlens.session import cut_lineage, sized_broadcast
 
 WORDS, SHARE = 5, Fraction(4, 5)
-RANGE_BYTES = 16 << 20                                      # text whose n-grams make one range of step 1
+RANGE_BYTES = 32 << 20                                      # text whose n-grams make one range of step 1
 FRAGMENT = 500_000                                          # occurrences in one fragment of step 3
 PAIRS_A_ROW = 8                                             # pairs between components, a row of the buckets, that end the leader rounds
 ROUNDS = 8
@@ -53,82 +54,81 @@ def _digest(ngrams: np.ndarray) -> bytes:
     return blake2b(ngrams.tobytes(), digest_size=16).digest()
 
 
-_SENT = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("class", pa.binary()), ("grams", pa.binary())])
+_SENT = {"part": pa.int32(), "doc_id": pa.int64(), "n": pa.int64(), "class": pa.binary(), "classes": pa.binary(), "sizes": pa.binary(), "grams": pa.binary()}
+_COUNTED = {"doc_id": pa.int64(), "n": pa.int64(), "class": pa.binary(), "own": pa.int64()}
 
 
 def class_sketches(rows: DataFrame, k: int, parts: int) -> DataFrame:
-    """doc_id, n, class, part, own.  One row per document with ``own`` null, and one per class, range and sender with
-    ``own``, the number of the class's n-grams in that range that no other class holds (doc_id and n null)."""
+    """doc_id, n, class, own.  One row per document with ``own`` null, and one per class and range with ``own``, the number
+    of the class's n-grams in that range that no other class holds (doc_id and n null)."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", 4 << 20):
             sets = [ngram_set(t, k) for t in texts_of(b, "text")]
             classes = [_digest(s) if len(s) else None for s in sets]
-            out: dict[str, list] = {f.name: [] for f in _SENT}
-
-            def add(*row) -> None:
-                for c, v in zip(out.values(), row):
-                    c.append(v)
-
-            for doc, s, c in zip(column(b, "doc_id").to_pylist(), sets, classes):
-                add(int.from_bytes(c[:4], "little") % parts if c else 0, doc, len(s), c, None)
-            first = {c: i for i, c in reversed(list(enumerate(classes))) if c is not None}
-            every = np.concatenate([np.empty(0, np.uint64), *(sets[i] for i in first.values())])
+            # a document's row goes to any range, but always to the same for a class
+            yield _batch(_SENT, part=[int.from_bytes(c[:4], "little") % parts if c else 0 for c in classes],
+                         doc_id=column(b, "doc_id"), n=list(map(len, sets)), **{"class": classes})
+            first = {c: s for c, s in zip(classes, sets) if c is not None}
+            every = np.concatenate([np.empty(0, np.uint64), *first.values()])
             grams, of, held = np.unique(every, return_inverse=True, return_counts=True)
-            once = held[of] == 1
-            at = 0
-            for c, i in first.items():
-                own = sets[i][once[at: at + len(sets[i])]]
-                at += len(sets[i])
-                for part, low in _by_range(own, parts):
-                    add(part, None, None, c, low)
-            for part, low in _by_range(grams[held > 1], parts):
-                add(part, None, None, None, low)
-            yield pa.RecordBatch.from_pydict(out, schema=_SENT)
+            who = np.repeat(np.arange(len(first)), list(map(len, first.values())))
+            once = held[of] == 1                            # one class of this batch alone holds it
+            own, who, shared = every[once], who[once], grams[held > 1]
+            cuts = _ranges(own, parts)
+            order = np.lexsort((who, cuts))
+            own, who, cuts = own[order], who[order], cuts[order]
+            names = list(first)
+            shared_cuts = _ranges(shared, parts)
+            edges = np.arange(parts + 1)
+            at, shared_at = np.searchsorted(cuts, edges), np.searchsorted(shared_cuts, edges)
+            out: dict[str, list] = {"part": [], "classes": [], "sizes": [], "grams": []}
+            for part in np.flatnonzero((np.diff(at) > 0) | (np.diff(shared_at) > 0)).tolist():
+                here = slice(at[part], at[part + 1])
+                holders, sizes = np.unique(who[here], return_counts=True)
+                common = shared[shared_at[part]: shared_at[part + 1]]
+                out["part"].append(part)
+                out["classes"].append(b"".join(names[i] for i in holders.tolist()))
+                out["sizes"].append(sizes.astype(np.uint32).tobytes())
+                out["grams"].append(np.concatenate([own[here], common]).astype(np.uint32).tobytes())
+            yield _batch(_SENT, **out)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        senders, grams, ranges = [], [], []
+        code: dict[bytes, int] = {}
+        held = []                                           # n-gram and class in one number; class 0: sent as shared
         for b in batches:
-            for doc, n, c, low in zip(*(column(b, x).to_pylist() for x in ("doc_id", "n", "class", "grams"))):
-                if low is not None:
-                    senders.append(c)
-                    grams.append(np.frombuffer(low, np.uint32))
-            docs = b.filter(column(b, "grams").is_null())
-            yield _counted(*(column(docs, x) for x in ("doc_id", "n", "class", "part")), pa.nulls(docs.num_rows, pa.int64()))
-            parted = b.schema.get_field_index("part")
-            ranges += b.filter(column(b, "grams").is_valid()).column(parted).to_pylist()
-        if not grams:
-            return
-        code: dict = {None: 0}
-        cls = np.array([code.setdefault(c, len(code)) for c in senders], np.int64)
-        lens = np.fromiter(map(len, grams), np.int64, len(grams))
-        gram, who, row = np.concatenate(grams), np.repeat(cls, lens), np.repeat(np.arange(len(lens)), lens)
-        order = np.lexsort((who, gram))
-        g, w = gram[order], who[order]
-        new = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
-        last = np.append(new[1:], len(g)) - 1
-        single = (w[new] == w[last]) & (w[new] > 0)         # one class holds it, and no batch sent it as shared
-        own = np.bincount(row[order][np.repeat(single, last - new + 1)], minlength=len(lens))
-        sent = [i for i, c in enumerate(senders) if c is not None]
-        nothing = pa.nulls(len(sent), pa.int64())
-        yield _counted(nothing, nothing, pa.array([senders[i] for i in sent], pa.binary()), pa.array([ranges[i] for i in sent], pa.int32()), pa.array(own[sent]))
-
-    sent = rows.mapInArrow(send, "part int, doc_id long, n long, class binary, grams binary")
-    return sent.repartitionById(parts, F.col("part")).mapInArrow(count, "doc_id long, n long, class binary, part int, own long")
-
-
-def _counted(*columns: pa.Array) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(list(columns), names=["doc_id", "n", "class", "part", "own"])
-
-
-def _by_range(grams: np.ndarray, parts: int) -> Iterator[tuple[int, bytes]]:
-    """(range, low 32 bits of its n-grams): ranges cut the high 32 bits evenly, so the low ones tell
-    the n-grams of a range apart but for chance, and chance only makes an n-gram look shared."""
-    part = ((grams >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-    cuts = np.flatnonzero(np.diff(part)) + 1
-    if len(grams):
-        for i, piece in zip(part[np.append(0, cuts)].tolist(), np.split(grams, cuts)):
-            yield i, piece.astype(np.uint32).tobytes()
+            sent = column(b, "grams").is_valid()
+            docs, of = b.filter(pc.invert(sent)), b.filter(sent)
+            yield _batch(_COUNTED, **{c: column(docs, c) for c in ("doc_id", "n", "class")})
+            for names, sizes, grams in zip(*(column(of, c).to_pylist() for c in ("classes", "sizes", "grams"))):
+                grams = np.frombuffer(grams, np.uint32).astype(np.uint64) << np.uint64(32)
+                holders = np.array([code.setdefault(names[i: i + 16], len(code) + 1) for i in range(0, len(names), 16)], np.uint64)
+                who = np.repeat(holders, np.frombuffer(sizes, np.uint32))
+                grams[: len(who)] |= who
+                held.append(grams)
+        if held:
+            every = np.unique(np.concatenate(held))         # copies in other batches sent the same again
+            held.clear()
+            new = np.append(True, np.diff(every >> np.uint64(32)) > 0)
+            alone = every[new & np.append(new[1:], True)] & np.uint64(0xFFFFFFFF)
+            own = np.bincount(alone.astype(np.int64), minlength=len(code) + 1)[1:]
+            yield _batch(_COUNTED, **{"class": pa.array(list(code), pa.binary()), "own": own})
+
+    sent = rows.mapInArrow(send, "part int, doc_id long, n long, class binary, classes binary, sizes binary, grams binary")
+    return sent.repartitionById(parts, F.col("part")).mapInArrow(count, "doc_id long, n long, class binary, own long")
+
+
+def _batch(schema: dict, **given) -> pa.RecordBatch:
+    """A batch of ``schema``; columns not given are null."""
+    rows = len(next(iter(given.values())))
+    return pa.RecordBatch.from_arrays([given[c] if isinstance(given.get(c), pa.Array) else pa.array(given[c], t) if c in given else pa.nulls(rows, t)
+                                       for c, t in schema.items()], names=list(schema))
+
+
+def _ranges(grams: np.ndarray, parts: int) -> np.ndarray:
+    """Ranges cut the high 32 bits of the hash evenly, so the low ones tell the n-grams of a
+    range apart but for chance, and chance only makes an n-gram look shared."""
+    return ((grams >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
 def needed(share: Fraction, n: Column) -> Column:
@@ -143,11 +143,10 @@ def link_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     sketched = cut_lineage(class_sketches(rows, k, -(-size // RANGE_BYTES) or 1))
     docs = sketched.where("own is null").select("doc_id", "n", "class")
     classes = docs.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
-    # all senders of a class and range find the same number
-    own = sketched.where("own is not null").groupBy("class", "part").agg(F.max("own").alias("own")).groupBy("class").agg(F.sum("own").alias("own"))
+    own = sketched.where("own is not null").groupBy("class").agg(F.sum("own").alias("own"))
     left = classes.join(own, "class", "left").where(F.coalesce("own", F.lit(0)) <= F.col("n") - needed(share, F.col("n")))
     left = cut_lineage(left.select("class", "doc_id", "n", F.monotonically_increasing_id().alias("node")))
-    roots = component_roots(_links(_ordered(_sets_of(rows, left, k)), share))
+    roots = component_roots(_links(_ordered(_sets_of(rows, left, k), left), share))
     # docs -> class -> component
     of = left.join(roots, "node").select("class", "root")
     named = docs.join(of, "class", "left").withColumn("group", F.coalesce(F.col("root").cast("string"), F.hex("class")))
@@ -157,7 +156,7 @@ def link_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def _sets_of(rows: DataFrame, left: DataFrame, k: int) -> DataFrame:
-    """node, n, gram: the n-grams of the classes in ``left``, each from one of its texts."""
+    """node, gram: the n-grams of the classes in ``left``, each from one of its texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", 4 << 20):
@@ -167,13 +166,13 @@ def _sets_of(rows: DataFrame, left: DataFrame, k: int) -> DataFrame:
 
     ids = sized_broadcast(left.select(F.col("doc_id").alias("id")).distinct())
     texts = rows.join(ids, rows["doc_id"].eqNullSafe(ids["id"]), "left_semi")
-    sets = texts.select("text").mapInArrow(run, "class binary, grams array<long>").join(left.select("class", "node", "n"), "class")
-    return cut_lineage(sets.dropDuplicates(["class"]).select("node", "n", F.explode("grams").alias("gram")))
+    sets = texts.select("text").mapInArrow(run, "class binary, grams array<long>").join(left.select("class", "node"), "class")
+    return cut_lineage(sets.dropDuplicates(["class"]).select("node", F.explode("grams").alias("gram")))
 
 
-def _ordered(sets: DataFrame) -> DataFrame:
-    """node, n, gram, place, fragment of the n-grams that several classes hold; ``place`` is the n-gram's in its set by the global
-    order (from 1, those that one class holds being first), ``fragment`` the part of the global order it lies in."""
+def _ordered(sets: DataFrame, left: DataFrame) -> DataFrame:
+    """node, n, alone, grams, fragments: per class the n-grams that other classes hold too, by the global order, the
+    fragment of the order that each lies in, and the number of n-grams before them, which no other class holds."""
     held = sets.groupBy("gram").agg(F.count("*").alias("held")).where("held > 1")
     # rarity: exact up to 1023, above it in steps of about a hundredth, so the driver gets a few thousand rows at most
     held = cut_lineage(held.withColumn("rarity", F.when(F.col("held") < 1024, F.col("held")).otherwise(F.floor(F.log2("held") * 64) + 384)))
@@ -181,13 +180,23 @@ def _ordered(sets: DataFrame) -> DataFrame:
     for r in sorted(held.groupBy("rarity").agg(F.sum("held").alias("n")).collect()):
         before.append((r["rarity"], at, r["n"]))
         at += r["n"]
-    spark = sets.sparkSession
-    before = F.broadcast(spark.createDataFrame(before, "rarity long, before long, occurrences long"))
+    before = F.broadcast(sets.sparkSession.createDataFrame(before, "rarity long, before long, occurrences long"))
     within = F.col("gram") / F.lit(2.0 ** 64) + 0.5
-    held = held.join(before, "rarity").select("gram", "rarity", F.floor((F.col("before") + within * F.col("occurrences")) / FRAGMENT).alias("fragment"))
-    by = Window.partitionBy("node")
-    shared = sets.join(held, "gram").withColumn("place", F.col("n") - F.count("*").over(by) + F.row_number().over(by.orderBy("rarity", "gram")))
-    return cut_lineage(shared.select("node", "n", "gram", "place", "fragment"))
+    fragment = F.floor((F.col("before") + within * F.col("occurrences")) / FRAGMENT)
+    # fragments ascend in the order, so they may come first in its key
+    held = held.join(before, "rarity").select("gram", (F.shiftleft(fragment, 20) + F.col("rarity")).alias("rank"))
+    shared = (sets.join(held, "gram").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("rank", "gram"))).alias("o"))
+              .join(left.select("node", "n"), "node"))
+    return cut_lineage(shared.select("node", "n", (F.col("n") - F.size("o")).alias("alone"), F.col("o.gram").alias("grams"),
+                                     F.transform("o.rank", lambda r: F.shiftright(r, 20)).alias("fragments")))
+
+
+def segments_of(ordered: DataFrame) -> DataFrame:
+    """node, fragment, grams: a class's n-grams cut at the fragments' bounds."""
+    starts = F.filter(F.sequence(F.lit(1), F.size("grams")), lambda i: (i == 1) | (F.element_at("fragments", i) != F.element_at("fragments", F.greatest(i - 1, F.lit(1)))))
+    cut = F.transform("starts", lambda s, i: F.struct(
+        F.element_at("fragments", s).alias("fragment"), F.slice("grams", s, F.coalesce(F.get("starts", i + 1), F.size("grams") + 1) - s).alias("grams")))
+    return ordered.withColumn("starts", starts).select("node", F.explode(cut).alias("s")).select("node", "s.fragment", "s.grams")
 
 
 def overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
@@ -200,17 +209,20 @@ def overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
 
 def _links(ordered: DataFrame, share: Fraction) -> DataFrame:
     """a, b: links between classes, enough of them to have the components right."""
-    segments = cut_lineage(ordered.groupBy("node", "fragment").agg(F.collect_list("gram").alias("grams")))
-    first = ordered.where(F.col("place") <= F.col("n") - needed(share, F.col("n")) + 1)
-    members = cut_lineage(first.select("gram", "node", "n", "place"))
+    segments = segments_of(ordered)
+    tested = (F.col("n") - needed(share, F.col("n")) + 1 - F.col("alone")).cast("int")
+    first = ordered.where(tested > 0).select("node", "n", "alone", F.posexplode(F.slice("grams", 1, tested)).alias("i", "gram"))
+    members = cut_lineage(first.select("gram", "node", "n", (F.col("alone") + F.col("i") + 1).alias("place")))
     n_members = members.count()
-    links = None
+    links, merged = None, -1
     for turn in range(ROUNDS + 1):
         if links is None:
-            now = members.withColumn("root", F.col("node"))
+            now, settled = members.withColumn("root", F.col("node")), False
         else:
             roots = component_roots(links).withColumnRenamed("root", "r")
             now = members.join(roots, "node", "left").withColumn("root", F.coalesce("r", "node")).drop("r")
+            before, merged = merged, roots.where("node != r").count()
+            settled = merged == before                      # the leaders find no more
         now = cut_lineage(now)
         sizes = now.groupBy("gram", "root").agg(F.count("*").alias("m")).groupBy("gram").agg(
             F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("inside"), F.count("*").alias("roots")).where("roots > 1")
@@ -219,7 +231,7 @@ def _links(ordered: DataFrame, share: Fraction) -> DataFrame:
         if across == 0:
             break
         now = now.join(sizes.select("gram"), "gram")        # buckets that hold several components
-        whole = turn == ROUNDS or across <= 2 * PAIRS_A_ROW * n_members
+        whole = turn == ROUNDS or settled or across <= 2 * PAIRS_A_ROW * n_members
         new = overlaps(_candidates(now, share, None if whole else turn), segments).where(
             F.col("common") * (share.denominator + share.numerator) >= (F.col("nx") + F.col("ny")) * share.numerator)
         new = new.select(F.col("x").alias("a"), F.col("y").alias("b"))
