@@ -39,7 +39,7 @@ from acctlens.llm.text import column, shingle_hashes, slices, texts_of, words
 from acctlens.session import cut_lineage, sized_broadcast
 
 WORDS, SHARE = 5, Fraction(4, 5)
-RANGE_BYTES = 32 << 20                                      # text whose n-grams make one range of step 1
+RANGE_BYTES = 16 << 20                                      # text whose n-grams make one range of step 1
 FRAGMENT = 500_000                                          # occurrences in one fragment of step 3
 PAIRS_A_ROW = 8                                             # pairs between components, a row of the buckets, that end the leader rounds
 ROUNDS = 8
@@ -55,15 +55,16 @@ def _digest(ngrams: np.ndarray) -> bytes:
 
 
 _SENT = {"part": pa.int32(), "doc_id": pa.int64(), "n": pa.int64(), "class": pa.binary(), "classes": pa.binary(), "sizes": pa.binary(), "grams": pa.binary()}
-_COUNTED = {"doc_id": pa.int64(), "n": pa.int64(), "class": pa.binary(), "own": pa.int64()}
+_COUNTED = {"doc_id": pa.int64(), "n": pa.int64(), "class": pa.binary(), "short": pa.int64(), "own": pa.int64()}
 
 
 def class_sketches(rows: DataFrame, k: int, parts: int) -> DataFrame:
-    """doc_id, n, class, own.  One row per document with ``own`` null, and one per class and range with ``own``, the number
-    of the class's n-grams in that range that no other class holds (doc_id and n null)."""
+    """doc_id, n, class, short, own.  One row per document with ``own`` null, and one per class and range with ``own``, the
+    number of the class's n-grams in that range that no other class holds (doc_id, n and class null).  ``short`` is
+    the class by its first 8 bytes; ``own`` of classes that agree in them is of no use."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text", 4 << 20):
+        for b in slices(batches, "text", 2 << 20):
             sets = [ngram_set(t, k) for t in texts_of(b, "text")]
             classes = [_digest(s) if len(s) else None for s in sets]
             # a document's row goes to any range, but always to the same for a class
@@ -78,7 +79,7 @@ def class_sketches(rows: DataFrame, k: int, parts: int) -> DataFrame:
             cuts = _ranges(own, parts)
             order = np.lexsort((who, cuts))
             own, who, cuts = own[order], who[order], cuts[order]
-            names = list(first)
+            names = [c[:8] for c in first]
             shared_cuts = _ranges(shared, parts)
             edges = np.arange(parts + 1)
             at, shared_at = np.searchsorted(cuts, edges), np.searchsorted(shared_cuts, edges)
@@ -99,23 +100,30 @@ def class_sketches(rows: DataFrame, k: int, parts: int) -> DataFrame:
         for b in batches:
             sent = column(b, "grams").is_valid()
             docs, of = b.filter(pc.invert(sent)), b.filter(sent)
-            yield _batch(_COUNTED, **{c: column(docs, c) for c in ("doc_id", "n", "class")})
+            shorts = [c and _short(c) for c in column(docs, "class").to_pylist()]
+            yield _batch(_COUNTED, short=shorts, **{c: column(docs, c) for c in ("doc_id", "n", "class")})
             for names, sizes, grams in zip(*(column(of, c).to_pylist() for c in ("classes", "sizes", "grams"))):
                 grams = np.frombuffer(grams, np.uint32).astype(np.uint64) << np.uint64(32)
-                holders = np.array([code.setdefault(names[i: i + 16], len(code) + 1) for i in range(0, len(names), 16)], np.uint64)
+                holders = np.array([code.setdefault(names[i: i + 16], len(code) + 1) for i in range(0, len(names), 8)], np.uint64)
                 who = np.repeat(holders, np.frombuffer(sizes, np.uint32))
                 grams[: len(who)] |= who
                 held.append(grams)
         if held:
-            every = np.unique(np.concatenate(held))         # copies in other batches sent the same again
+            every = np.concatenate(held)
             held.clear()
+            every.sort()
+            every = every[np.append(True, every[1:] != every[:-1])]         # copies in other batches sent the same again
             new = np.append(True, np.diff(every >> np.uint64(32)) > 0)
             alone = every[new & np.append(new[1:], True)] & np.uint64(0xFFFFFFFF)
             own = np.bincount(alone.astype(np.int64), minlength=len(code) + 1)[1:]
-            yield _batch(_COUNTED, **{"class": pa.array(list(code), pa.binary()), "own": own})
+            yield _batch(_COUNTED, short=list(map(_short, code)), own=own)
 
     sent = rows.mapInArrow(send, "part int, doc_id long, n long, class binary, classes binary, sizes binary, grams binary")
-    return sent.repartitionById(parts, F.col("part")).mapInArrow(count, "doc_id long, n long, class binary, own long")
+    return sent.repartitionById(parts, F.col("part")).mapInArrow(count, "doc_id long, n long, class binary, short long, own long")
+
+
+def _short(digest: bytes) -> int:
+    return int.from_bytes(digest[:8], "little", signed=True)
 
 
 def _batch(schema: dict, **given) -> pa.RecordBatch:
@@ -141,10 +149,11 @@ def link_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     sketched = cut_lineage(class_sketches(rows, k, -(-size // RANGE_BYTES) or 1))
-    docs = sketched.where("own is null").select("doc_id", "n", "class")
-    classes = docs.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
-    own = sketched.where("own is not null").groupBy("class").agg(F.sum("own").alias("own"))
-    left = classes.join(own, "class", "left").where(F.coalesce("own", F.lit(0)) <= F.col("n") - needed(share, F.col("n")))
+    docs = sketched.where("own is null").select("doc_id", "n", "class", "short")
+    classes = docs.where("n > 0").groupBy("class", "short").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
+    alike = classes.groupBy("short").agg(F.count("*").alias("alike")).where("alike > 1")        # hardly ever any
+    own = sketched.where("own is not null").groupBy("short").agg(F.sum("own").alias("own")).join(alike, "short", "left_anti")
+    left = classes.join(own, "short", "left").where(F.coalesce("own", F.lit(0)) <= F.col("n") - needed(share, F.col("n")))
     left = cut_lineage(left.select("class", "doc_id", "n", F.monotonically_increasing_id().alias("node")))
     roots = component_roots(_links(_ordered(_sets_of(rows, left, k), left), share))
     # docs -> class -> component

@@ -231,9 +231,9 @@ def test_class_sketches_count_own_ngrams(spark):
     rows = planted()
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
     got = vertical_join.class_sketches(df, 5, 11)
-    own = got.where("own is not null").groupBy("class").agg(F.sum("own").alias("own"))
+    own = got.where("own is not null").groupBy("short").agg(F.sum("own").alias("own"))
     sets = {vertical_join._digest(s): s for s in (vertical_join.ngram_set(t or "") for _, t in rows) if len(s)}
     held = Counter(g for s in sets.values() for g in s.tolist())
-    found = {bytes(r["class"]): r["own"] for r in own.collect()}
+    found = {r["short"]: r["own"] for r in own.collect()}
     for c, s in sets.items():
-        assert found.get(c, 0) == sum(held[g] == 1 for g in s.tolist())
+        assert found.get(vertical_join._short(c), 0) == sum(held[g] == 1 for g in s.tolist())
