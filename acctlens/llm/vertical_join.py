@@ -95,28 +95,33 @@ def class_sketches(rows: DataFrame, k: int, parts: int) -> DataFrame:
             yield _batch(_SENT, **out)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code: dict[bytes, int] = {}
-        held = []                                           # n-gram and class in one number; class 0: sent as shared
+        rows: list[tuple[np.ndarray, ...]] = []
         for b in batches:
             sent = column(b, "grams").is_valid()
             docs, of = b.filter(pc.invert(sent)), b.filter(sent)
             shorts = [c and _short(c) for c in column(docs, "class").to_pylist()]
             yield _batch(_COUNTED, short=shorts, **{c: column(docs, c) for c in ("doc_id", "n", "class")})
-            for names, sizes, grams in zip(*(column(of, c).to_pylist() for c in ("classes", "sizes", "grams"))):
-                grams = np.frombuffer(grams, np.uint32).astype(np.uint64) << np.uint64(32)
-                holders = np.array([code.setdefault(names[i: i + 16], len(code) + 1) for i in range(0, len(names), 8)], np.uint64)
-                who = np.repeat(holders, np.frombuffer(sizes, np.uint32))
-                grams[: len(who)] |= who
-                held.append(grams)
-        if held:
-            every = np.concatenate(held)
-            held.clear()
-            every.sort()
-            every = every[np.append(True, every[1:] != every[:-1])]         # copies in other batches sent the same again
-            new = np.append(True, np.diff(every >> np.uint64(32)) > 0)
-            alone = every[new & np.append(new[1:], True)] & np.uint64(0xFFFFFFFF)
-            own = np.bincount(alone.astype(np.int64), minlength=len(code) + 1)[1:]
-            yield _batch(_COUNTED, short=list(map(_short, code)), own=own)
+            rows += [tuple(map(np.frombuffer, row, ("<i8", np.uint32, np.uint32)))
+                     for row in zip(*(column(of, c).to_pylist() for c in ("classes", "sizes", "grams")))]
+        if not rows:
+            return
+        shorts, code = np.unique(np.concatenate([r[0] for r in rows]), return_inverse=True)
+        # n-gram and class in one number; class 0: sent as shared
+        every, at, seen = np.zeros(sum(len(r[2]) for r in rows), np.uint64), 0, 0
+        for names, sizes, grams in rows:
+            here = every[at: at + len(grams)]
+            here[:] = grams
+            here <<= np.uint64(32)
+            who = np.repeat(code[seen: seen + len(names)].astype(np.uint64) + np.uint64(1), sizes)
+            here[: len(who)] |= who
+            at, seen = at + len(grams), seen + len(names)
+        rows.clear()
+        every.sort()
+        every = every[np.append(True, every[1:] != every[:-1])]             # copies in other batches sent the same again
+        new = np.append(True, np.diff(every >> np.uint64(32)) > 0)
+        alone = every[new & np.append(new[1:], True)] & np.uint64(0xFFFFFFFF)
+        own = np.bincount(alone.astype(np.int64), minlength=len(shorts) + 1)[1:]
+        yield _batch(_COUNTED, short=shorts, own=own)
 
     sent = rows.mapInArrow(send, "part int, doc_id long, n long, class binary, classes binary, sizes binary, grams binary")
     return sent.repartitionById(parts, F.col("part")).mapInArrow(count, "doc_id long, n long, class binary, short long, own long")
