@@ -40,7 +40,7 @@ from acctlens.session import cut_lineage, sized_broadcast
 
 WORDS, SHARE = 5, Fraction(4, 5)
 RANGE_BYTES = 16 << 20                                      # text whose n-grams make one range of step 1
-FRAGMENT = 500_000                                          # occurrences in one fragment of step 3
+FRAGMENTS = 8                                               # of step 3: as many at any size, so rows grow with the sets
 PAIRS_A_ROW = 8                                             # pairs between components, a row of the buckets, that end the leader rounds
 ROUNDS = 8
 
@@ -194,9 +194,10 @@ def _ordered(sets: DataFrame, left: DataFrame) -> DataFrame:
     for r in sorted(held.groupBy("rarity").agg(F.sum("held").alias("n")).collect()):
         before.append((r["rarity"], at, r["n"]))
         at += r["n"]
+    size = max(1, -(-at // FRAGMENTS))
     before = F.broadcast(sets.sparkSession.createDataFrame(before, "rarity long, before long, occurrences long"))
     within = F.col("gram") / F.lit(2.0 ** 64) + 0.5
-    fragment = F.floor((F.col("before") + within * F.col("occurrences")) / FRAGMENT)
+    fragment = F.floor((F.col("before") + within * F.col("occurrences")) / size)
     # fragments ascend in the order, so they may come first in its key
     held = held.join(before, "rarity").select("gram", (F.shiftleft(fragment, 20) + F.col("rarity")).alias("rank"))
     shared = (sets.join(held, "gram").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("rank", "gram"))).alias("o"))
