@@ -8,6 +8,7 @@ are rounded to 6 decimals on both sides so the value hashes are comparable.
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Callable
 
@@ -605,6 +606,19 @@ def hdbscan_of(spark, d):
     return memo(spark, d, "hdbscan", lambda: cut_lineage(HD.hdbscan(features_of(spark, d), 5, 3)))
 
 
+def forest_of(spark, d):
+    return memo(spark, d, "forest", lambda: FO.isolation_forest(features_of(spark, d), 0.10, 100, 256, 42)[0])
+
+
+def forest_types(spark, d):
+    """D10 on DBSCAN's noise and the forest's flags."""
+    def build():
+        acc = stats_of(spark, d).join(dbscan_of(spark, d).flags.select("Account", "dbscan_outlier"), "Account").join(forest_of(spark, d), "Account")
+        flag, typ = DC.combine(F.col("dbscan_outlier"), F.col("iforest_outlier"), "DBSCAN")
+        return cut_lineage(acc.select("*", flag.alias("outlier_flag"), typ.alias("outlier_type")))
+    return memo(spark, d, "forest_types", build)
+
+
 def detection_of(spark, d):
     return memo(spark, d, "detect",
                 lambda: DC.detect(stats_of(spark, d), DetectSpec(), hdbscan_flags=hdbscan_of(spark, d)))
@@ -630,6 +644,43 @@ flags AS (SELECT acc.*, CASE WHEN dbscan_outlier = 1 OR kdist_outlier = 1 THEN 1
                       WHEN kdist_outlier = 1 THEN 'kdist_only' ELSE 'normal' END AS outlier_type FROM acc)"""
 
 
+def _forest_sql(n_trees: int = 100, max_samples: int = 256, seed: int = 42, contamination: float = 0.10) -> str:
+    """The forest replayed over the table ``feat``: levels by windows, then every account down every tree."""
+    levels = math.ceil(math.log2(max_samples))
+    each = lambda s: ", ".join(s.replace("#", str(i)) for i in range(4))
+    draw = lambda key: f"CAST('0x' || substr(md5(concat_ws(':', {seed}, {key})), 1, 13) AS BIGINT)"
+    c = lambda n: f"CASE WHEN {n} > 2 THEN 2 * (ln({n} - 1.0::DOUBLE) + {FO.EULER_GAMMA}::DOUBLE) - 2 * ({n} - 1.0::DOUBLE) / {n} WHEN {n} = 2 THEN 1::DOUBLE ELSE 0::DOUBLE END"
+    sql = f"""
+fo_gr AS (SELECT Account, {each("CAST(floor(f# * 1e9 + 0.5) AS BIGINT) AS q#")} FROM feat),
+fo_ps AS (SELECT least({max_samples}, count(*)) AS psi FROM fo_gr),
+fo_tr AS (SELECT gr.*, t.tree, row_number() OVER (PARTITION BY t.tree ORDER BY {draw("t.tree, Account")}, Account) AS rk FROM fo_gr gr, range({n_trees}) t(tree)),
+fo_s0 AS (SELECT tree, CAST(1 AS BIGINT) AS node, {each("q#")} FROM fo_tr, fo_ps WHERE rk <= psi),
+fo_a0 AS (SELECT Account, tree, CAST(1 AS BIGINT) AS node, 0 AS depth, {each("q#")} FROM fo_tr),"""
+    for i in range(levels):
+        sql += f"""
+fo_w{i} AS (SELECT *, {each("min(q#) OVER w AS lo#")}, {each("max(q#) OVER w AS hi#")} FROM fo_s{i} WINDOW w AS (PARTITION BY tree, node)),
+fo_c{i} AS (SELECT *, list_filter([{each("CASE WHEN hi# > lo# THEN # END")}], lambda x: x IS NOT NULL) AS wide FROM fo_w{i}),
+fo_k{i} AS (SELECT *, CASE WHEN len(wide) > 0 AND {i} < ceil(log2(greatest(psi, 2))) THEN wide[1 + {draw("tree, node, 'f'")} % len(wide)] END AS k FROM fo_c{i}, fo_ps),
+fo_h{i} AS (SELECT *, [{each("lo#")}][k + 1] + CAST(floor({draw("tree, node, 't'")} / CAST({FO.DRAWS} AS DOUBLE) * ([{each("hi#")}][k + 1] - [{each("lo#")}][k + 1])) AS BIGINT) AS cut FROM fo_k{i}),
+fo_s{i + 1} AS (SELECT tree, CASE WHEN k IS NULL THEN node ELSE 2 * node + CAST([{each("q#")}][k + 1] > cut AS BIGINT) END AS node, {each("q#")} FROM fo_h{i}),
+fo_i{i} AS (SELECT DISTINCT tree, node, k, cut FROM fo_h{i} WHERE k IS NOT NULL),
+fo_a{i + 1} AS (SELECT Account, a.tree, CASE WHEN k IS NULL THEN a.node ELSE 2 * a.node + CAST([{each("q#")}][k + 1] > cut AS BIGINT) END AS node,
+             depth + CAST(k IS NOT NULL AS INTEGER) AS depth, {each("q#")} FROM fo_a{i} a LEFT JOIN fo_i{i} i ON i.tree = a.tree AND i.node = a.node),"""
+    return sql + f"""
+fo_lf AS (SELECT tree, node, count(*) AS size FROM fo_s{levels} GROUP BY tree, node),
+fs AS (SELECT Account, -pow(2, -(sum(depth * {FO.UNIT} + CAST(floor(({c("size")}) * {FO.UNIT} + 0.5) AS BIGINT)) / (any_value({c("psi")}) * {n_trees} * {FO.UNIT}))) AS if_score
+       FROM fo_a{levels} JOIN fo_lf USING (tree, node), fo_ps GROUP BY Account),
+fo AS (SELECT Account, if_score, CASE WHEN if_score < (SELECT quantile_cont(if_score, {contamination}) FROM fs) THEN 1 ELSE 0 END AS iforest_outlier FROM fs)"""
+
+
+_FOREST_SQL = f"{_PAIRS_SQL},{_forest_sql()}"
+# the two detectors that SQL can replay, combined: DBSCAN noise or forest
+_TYPES_SQL = f"""{_FOREST_SQL},
+ty AS (SELECT acc.*, fo.if_score, fo.iforest_outlier, greatest(dbscan_outlier, iforest_outlier) AS forest_flag,
+              CASE WHEN dbscan_outlier + iforest_outlier = 2 THEN 'both' WHEN dbscan_outlier = 1 THEN 'dbscan_only'
+                   WHEN iforest_outlier = 1 THEN 'iforest_only' ELSE 'normal' END AS forest_type FROM acc JOIN fo USING (Account))"""
+
+
 @register("d1_k_distance", f"{_PAIRS_SQL} SELECT Account, round(kdist, 6) AS kdist FROM kd")
 def q_d1(spark, d):
     return rounded(dbscan_of(spark, d).flags.select("Account", "kdist"))
@@ -676,10 +727,9 @@ def q_d5(spark, d):
     return hdbscan_of(spark, d)
 
 
-@register("d6_iforest_scores", None)
+@register("d6_iforest_scores", f"{_FOREST_SQL} SELECT Account, round(if_score, 6) AS if_score, iforest_outlier FROM fo")
 def q_d6(spark, d):
-    sc, _ = FO.isolation_forest(features_of(spark, d), 0.10, 100, 256, 42)
-    return rounded(sc)
+    return rounded(forest_of(spark, d))
 
 
 @register("d12_detect", None)
@@ -926,11 +976,27 @@ def q_d9(spark, d):
 
 # ---------------------------------------------------------------- the detector's own flags (rows only; tests hold them against one another)
 
-@register("d7_forest_flags", None)
+@register("d7_forest_flags", f"{_FOREST_SQL} SELECT Account, iforest_outlier FROM fo")
 def q_d7f(spark, d):
     return detection_of(spark, d).accounts.select("Account", "iforest_outlier")
 
 
+@register("d10_forest_types", f"{_TYPES_SQL} SELECT Account, round(if_score, 6) AS if_score, forest_flag AS outlier_flag, forest_type AS outlier_type FROM ty")
+def q_d10f(spark, d):
+    return rounded(forest_types(spark, d).select("Account", "if_score", "outlier_flag", "outlier_type"))
+
+
+@register("o1_forest_counts", f"""{_TYPES_SQL}
+SELECT CAST(sum(forest_flag) AS BIGINT) AS n_outliers, count(*) AS n_accounts, coalesce(sum(forest_flag) / count(*), 0.0) AS outlier_rate FROM ty""")
+def q_o1f(spark, d):
+    return RE.outlier_counts(forest_types(spark, d))
+
+
+@register("o4_forest_type_counts", f"{_TYPES_SQL} SELECT forest_type AS outlier_type, count(*) AS n FROM ty GROUP BY forest_type")
+def q_o4f(spark, d):
+    return RE.type_counts(forest_types(spark, d))
+
+
 @register("d10_detect_types", None)
 def q_d10d(spark, d):
     return detection_of(spark, d).accounts.select("Account", "outlier_flag", "outlier_type")
