@@ -54,27 +54,30 @@ def _digest(ngrams: np.ndarray) -> bytes:
     return blake2b(ngrams.tobytes(), digest_size=16).digest()
 
 
-_SENT = {"part": pa.int32(), "doc_id": pa.int64(), "n": pa.int64(), "class": pa.binary(), "classes": pa.binary(), "sizes": pa.binary(), "grams": pa.binary()}
-_COUNTED = {"doc_id": pa.int64(), "n": pa.int64(), "class": pa.binary(), "short": pa.int64(), "own": pa.int64()}
+_SENT = {"part": pa.int32(), "doc_id": pa.int64(), "n": pa.int64(), "class": pa.binary(), "sent": pa.int64(), "classes": pa.binary(), "sizes": pa.binary(), "grams": pa.binary()}
+_COUNTED = {"doc_id": pa.int64(), "n": pa.int64(), "class": pa.binary(), "sent": pa.int64(), "short": pa.int64(), "lost": pa.int64()}
 
 
 def class_sketches(rows: DataFrame, k: int, parts: int) -> DataFrame:
-    """doc_id, n, class, short, own.  One row per document with ``own`` null, and one per class and range with ``own``, the
-    number of the class's n-grams in that range that no other class holds (doc_id, n and class null).  ``short`` is
-    the class by its first 8 bytes; ``own`` of classes that agree in them is of no use."""
+    """doc_id, n, class, sent, short, lost.  One row per document with ``lost`` null and ``sent``, the number of its
+    n-grams that no other class of its batch holds.  One row per class and range with ``lost``, how many of the
+    n-grams that its senders sent there other classes hold, if any (doc_id, n, class and sent null).  So a class alone
+    holds the most that one sender sent less all that are lost, or more.  ``short`` is the class by its first 8 bytes;
+    ``lost`` of classes that agree in them is of no use."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", 2 << 20):
             sets = [ngram_set(t, k) for t in texts_of(b, "text")]
             classes = [_digest(s) if len(s) else None for s in sets]
-            # a document's row goes to any range, but always to the same for a class
-            yield _batch(_SENT, part=[int.from_bytes(c[:4], "little") % parts if c else 0 for c in classes],
-                         doc_id=column(b, "doc_id"), n=list(map(len, sets)), **{"class": classes})
             first = {c: s for c, s in zip(classes, sets) if c is not None}
             every = np.concatenate([np.empty(0, np.uint64), *first.values()])
             grams, of, held = np.unique(every, return_inverse=True, return_counts=True)
             who = np.repeat(np.arange(len(first)), list(map(len, first.values())))
             once = held[of] == 1                            # one class of this batch alone holds it
+            sent = dict(zip(first, np.bincount(who[once], minlength=len(first)).tolist()))
+            # a document's row goes to any range, but always to the same for a class
+            yield _batch(_SENT, part=[int.from_bytes(c[:4], "little") % parts if c else 0 for c in classes], doc_id=column(b, "doc_id"),
+                         n=list(map(len, sets)), sent=[sent.get(c, 0) for c in classes], **{"class": classes})
             own, who, shared = every[once], who[once], grams[held > 1]
             cuts = _ranges(own, parts)
             order = np.lexsort((who, cuts))
@@ -100,7 +103,7 @@ def class_sketches(rows: DataFrame, k: int, parts: int) -> DataFrame:
             sent = column(b, "grams").is_valid()
             docs, of = b.filter(pc.invert(sent)), b.filter(sent)
             shorts = [c and _short(c) for c in column(docs, "class").to_pylist()]
-            yield _batch(_COUNTED, short=shorts, **{c: column(docs, c) for c in ("doc_id", "n", "class")})
+            yield _batch(_COUNTED, short=shorts, **{c: column(docs, c) for c in ("doc_id", "n", "class", "sent")})
             rows += [tuple(map(np.frombuffer, row, ("<i8", np.uint32, np.uint32)))
                      for row in zip(*(column(of, c).to_pylist() for c in ("classes", "sizes", "grams")))]
         if not rows:
@@ -119,12 +122,12 @@ def class_sketches(rows: DataFrame, k: int, parts: int) -> DataFrame:
         every.sort()
         every = every[np.append(True, every[1:] != every[:-1])]             # copies in other batches sent the same again
         new = np.append(True, np.diff(every >> np.uint64(32)) > 0)
-        alone = every[new & np.append(new[1:], True)] & np.uint64(0xFFFFFFFF)
-        own = np.bincount(alone.astype(np.int64), minlength=len(shorts) + 1)[1:]
-        yield _batch(_COUNTED, short=shorts, own=own)
+        others = every[~(new & np.append(new[1:], True))] & np.uint64(0xFFFFFFFF)
+        lost = np.bincount(others.astype(np.int64), minlength=len(shorts) + 1)[1:]
+        yield _batch(_COUNTED, short=shorts[lost > 0], lost=lost[lost > 0])
 
-    sent = rows.mapInArrow(send, "part int, doc_id long, n long, class binary, classes binary, sizes binary, grams binary")
-    return sent.repartitionById(parts, F.col("part")).mapInArrow(count, "doc_id long, n long, class binary, short long, own long")
+    sent = rows.mapInArrow(send, "part int, doc_id long, n long, class binary, sent long, classes binary, sizes binary, grams binary")
+    return sent.repartitionById(parts, F.col("part")).mapInArrow(count, "doc_id long, n long, class binary, sent long, short long, lost long")
 
 
 def _short(digest: bytes) -> int:
@@ -154,11 +157,12 @@ def link_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     sketched = cut_lineage(class_sketches(rows, k, -(-size // RANGE_BYTES) or 1))
-    docs = sketched.where("own is null").select("doc_id", "n", "class", "short")
-    classes = docs.where("n > 0").groupBy("class", "short").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
+    docs = sketched.where("lost is null").select("doc_id", "n", "class", "short", "sent")
+    classes = docs.where("n > 0").groupBy("class", "short").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.max("sent").alias("sent"))
     alike = classes.groupBy("short").agg(F.count("*").alias("alike")).where("alike > 1")        # hardly ever any
-    own = sketched.where("own is not null").groupBy("short").agg(F.sum("own").alias("own")).join(alike, "short", "left_anti")
-    left = classes.join(own, "short", "left").where(F.coalesce("own", F.lit(0)) <= F.col("n") - needed(share, F.col("n")))
+    lost = sketched.where("lost is not null").groupBy("short").agg(F.sum("lost").alias("lost")).unionByName(
+        alike.select("short", F.lit(1 << 62).alias("lost"))).groupBy("short").agg(F.max("lost").alias("lost"))
+    left = classes.join(lost, "short", "left").where(F.col("sent") - F.coalesce("lost", F.lit(0)) <= F.col("n") - needed(share, F.col("n")))
     left = cut_lineage(left.select("class", "doc_id", "n", F.monotonically_increasing_id().alias("node")))
     roots = component_roots(_links(_ordered(_sets_of(rows, left, k), left), share))
     # docs -> class -> component

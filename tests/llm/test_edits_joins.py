@@ -227,13 +227,19 @@ def test_join_of_the_test_tables_and_odd_rows(spark):
 
 
 def test_class_sketches_count_own_ngrams(spark):
-    """Over several batches, ranges and copies: the n-grams that one class alone holds."""
+    """Over several batches, ranges and copies: a bound of the n-grams that one class alone holds."""
     rows = planted()
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
     got = vertical_join.class_sketches(df, 5, 11)
-    own = got.where("own is not null").groupBy("short").agg(F.sum("own").alias("own"))
+    lost = {r["short"]: r["lost"] for r in got.where("lost is not null").groupBy("short").agg(F.sum("lost").alias("lost")).collect()}
+    sent = {r["short"]: (r["most"], r["least"]) for r in got.where("sent is not null and n > 0").groupBy("short").agg(F.max("sent").alias("most"), F.min("sent").alias("least")).collect()}
     sets = {vertical_join._digest(s): s for s in (vertical_join.ngram_set(t or "") for _, t in rows) if len(s)}
     held = Counter(g for s in sets.values() for g in s.tolist())
-    found = {r["short"]: r["own"] for r in own.collect()}
+    exact = 0
     for c, s in sets.items():
-        assert found.get(vertical_join._short(c), 0) == sum(held[g] == 1 for g in s.tolist())
+        own = sum(held[g] == 1 for g in s.tolist())
+        most, _ = sent[vertical_join._short(c)]
+        bound = most - lost.get(vertical_join._short(c), 0)
+        assert bound <= own                                 # never more, and right for a class of one batch
+        exact += bound == own
+    assert exact > 0.9 * len(sets)
