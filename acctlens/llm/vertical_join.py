@@ -39,7 +39,7 @@ from acctlens.llm.text import column, shingle_hashes, slices, texts_of, words
 from acctlens.session import cut_lineage, sized_broadcast
 
 WORDS, SHARE = 5, Fraction(4, 5)
-RANGE_BYTES = 16 << 20                                      # text whose n-grams make one range of step 1
+RANGE_BYTES = 8 << 20                                       # text whose n-grams make one range of step 1
 FRAGMENTS = 8                                               # of step 3: as many at any size, so rows grow with the sets
 PAIRS_A_ROW = 8                                             # pairs between components, a row of the buckets, that end the leader rounds
 ROUNDS = 8
@@ -66,7 +66,7 @@ def class_sketches(rows: DataFrame, k: int, parts: int) -> DataFrame:
     ``lost`` of classes that agree in them is of no use."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text", 2 << 20):
+        for b in slices(batches, "text", 1 << 20):
             sets = [ngram_set(t, k) for t in texts_of(b, "text")]
             classes = [_digest(s) if len(s) else None for s in sets]
             first = {c: s for c, s in zip(classes, sets) if c is not None}
