@@ -36,18 +36,20 @@ def _cell(c: str, side: float):
     return F.floor(F.col(c) / F.lit(side)).cast("long")
 
 
-def pairs_within(probe: DataFrame, build: DataFrame, radius: float) -> DataFrame:
-    """All (pid, qid, d, qmult) with Euclidean distance d ≤ radius (self pairs included)."""
+def pairs_within(probe: DataFrame, build: DataFrame, radius: float, carry: tuple = ()) -> DataFrame:
+    """All (pid, qid, d, qmult) with Euclidean distance d ≤ radius (self pairs included), with the
+    ``carry`` columns of ``build``."""
     off = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c"))
                               for a, b, c in OFFSETS])).alias("o")
     p = probe.select("pid", *[F.col(c).alias(f"p_{c}") for c in FEATS], off)
     p = p.select("*", *[(F.floor(F.col(f"p_{c}") / F.lit(radius)).cast("long") + F.col(f"o.{ax}")).alias(f"k{i}")
                         for i, (c, ax) in enumerate(zip(IDX, "abc"))]).drop("o")
-    b = build.select(F.col("pid").alias("qid"), F.col("mult").alias("qmult"), *[F.col(c).alias(f"q_{c}") for c in FEATS],
+    b = build.select(F.col("pid").alias("qid"), F.col("mult").alias("qmult"), *carry, *[F.col(c).alias(f"q_{c}") for c in FEATS],
                      *[_cell(c, radius).alias(f"k{i}") for i, c in enumerate(IDX)])
     d2 = sum(((F.col(f"p_{c}") - F.col(f"q_{c}")) ** 2 for c in FEATS), F.lit(0.0))
-    j = p.join(b, ["k0", "k1", "k2"])
-    return j.select("pid", "qid", "qmult", F.sqrt(d2).alias("d")).where(F.col("d") <= F.lit(radius))
+    # the planner sizes the exploded side by its files, 27 times too small for a broadcast
+    j = p.join(b.hint("merge"), ["k0", "k1", "k2"])
+    return j.select("pid", "qid", "qmult", *carry, F.sqrt(d2).alias("d")).where(F.col("d") <= F.lit(radius))
 
 
 def k_distance(points: DataFrame, k: int, n_total: int | None = None, side0: float | None = None,

@@ -9,11 +9,11 @@ are rounded to 6 decimals on both sides so the value hashes are comparable.
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from acctlens.operators import crossval as CV
 from acctlens.operators import features as FE
@@ -29,7 +29,7 @@ from acctlens.operators import validity as VA
 from acctlens.operators import results as RE
 from acctlens.operators import series as SE
 from acctlens.functions.median import group_quantile
-from acctlens.session import checkpoint_dir, cut_lineage
+from acctlens.session import cut_lineage, scratch_path
 from acctlens.settings import DetectSpec, ModelSpec, group_count
 from acctlens.sources import loader as LD
 from acctlens.sources.sales import sales_view, sales_view_sql, table
@@ -692,9 +692,14 @@ def q_d2(spark, d):
     return rounded(group_quantile(kd, "all", "kdist", 0.9, "eps").select("eps"))
 
 
-@register("d3_dbscan_noise", f"{_PAIRS_SQL} SELECT Account, n_within, is_core, dbscan_outlier FROM db")
+@register("d3_dbscan_noise", f"{_PAIRS_SQL} SELECT Account, is_core, dbscan_outlier FROM db")
 def q_d3(spark, d):
-    return dbscan_of(spark, d).flags.select("Account", "n_within", "is_core", "dbscan_outlier")
+    return dbscan_of(spark, d).flags.select("Account", "is_core", "dbscan_outlier")
+
+
+@register("d3_within_counts", f"{_PAIRS_SQL} SELECT Account, n_within FROM db")
+def q_d3n(spark, d):
+    return DN.within_counts(dbscan_of(spark, d))
 
 
 @register("d4_cluster_labels", f"""{_PAIRS_SQL},
@@ -869,22 +874,33 @@ def q_ac(spark, d):
     return rounded(cv_account_stats(spark, d, MODEL, "customer"))
 
 
-@register("d3_dbscan_noise_customers", f"""{_feat_sql(_CV5C)},
+_PAIRS_C_SQL = f"""{_feat_sql(_CV5C)},
 pr AS (SELECT a.Account p, b.Account q,
               sqrt((a.f0 - b.f0) ^ 2 + (a.f1 - b.f1) ^ 2 + (a.f2 - b.f2) ^ 2 + (a.f3 - b.f3) ^ 2) d FROM feat a, feat b),
 rk AS (SELECT p, d, row_number() OVER (PARTITION BY p ORDER BY d, q) rn FROM pr),
 kd AS (SELECT p AS Account, d AS kdist FROM rk WHERE rn = 5),
 eps AS (SELECT quantile_cont(kdist, 0.9) e FROM kd),
 nb AS (SELECT p, count(*) n_within FROM pr, eps WHERE d <= e GROUP BY p),
-core AS (SELECT p FROM nb WHERE n_within >= 5)
-SELECT f.Account, round(kd.kdist, 6) AS kdist, CAST(nb.n_within AS BIGINT) AS n_within,
+core AS (SELECT p FROM nb WHERE n_within >= 5)"""
+
+
+def customers_dbscan_of(spark, d):
+    return memo(spark, d, "dbscan_customers", lambda: DN.dbscan(cut_lineage(RS.feature_matrix(cut_lineage(
+        cv_account_stats(spark, d, MODEL, "customer")))), 5, 90, 5))
+
+
+@register("d3_dbscan_noise_customers", f"""{_PAIRS_C_SQL}
+SELECT f.Account, round(kd.kdist, 6) AS kdist,
        CASE WHEN EXISTS (SELECT 1 FROM pr, eps WHERE pr.p = f.Account AND pr.d <= eps.e
                          AND pr.q IN (SELECT p FROM core)) THEN 0 ELSE 1 END AS dbscan_outlier
-FROM feat f JOIN nb ON nb.p = f.Account JOIN kd ON kd.Account = f.Account""")
+FROM feat f JOIN kd ON kd.Account = f.Account""")
 def q_d3c(spark, d):
-    feat = cut_lineage(RS.feature_matrix(cut_lineage(cv_account_stats(spark, d, MODEL, "customer"))))
-    db = DN.dbscan(feat, 5, 90, 5)
-    return rounded(db.flags.select("Account", "kdist", "n_within", "dbscan_outlier"))
+    return rounded(customers_dbscan_of(spark, d).flags.select("Account", "kdist", "dbscan_outlier"))
+
+
+@register("d3_within_counts_customers", f"{_PAIRS_C_SQL} SELECT p AS Account, CAST(n_within AS BIGINT) AS n_within FROM nb")
+def q_d3cn(spark, d):
+    return DN.within_counts(customers_dbscan_of(spark, d))
 
 
 # promo code 1 thins the panel so that some customers occur in one fold only: their held-out
@@ -1016,11 +1032,41 @@ def q_o3d(spark, d):
 
 @register("s6_export_round_trip", "SELECT * FROM customer")
 def q_s6(spark, d):
-    path = f"{checkpoint_dir(spark).rstrip('/')}/export-{uuid.uuid4().hex}.parquet"
+    path = scratch_path(spark, "export.parquet")
     LD.export_table(table(spark, d, "customer"), path, "parquet")
     return LD.load_data(spark, path)
 
 
+@register("s6_export_csv", "SELECT page_id, nullif(url, '') AS url, nullif(html, '') AS html FROM pages")
+def q_s6c(spark, d):
+    """Web pages through CSV and back: quotes, separators and line breaks inside fields."""
+    pages, path = table(spark, d, "pages").select("page_id", "url", "html"), scratch_path(spark, "pages.csv")
+    LD.export_table(pages, path, "csv")
+    return LD.load_csv(spark, path, pages.schema).rows
+
+
+@register("s1_load_csv", "SELECT * FROM lineitem")
+def q_s1c(spark, d):
+    lines, path = table(spark, d, "lineitem"), scratch_path(spark, "lineitem.csv")
+    LD.export_table(lines, path, "csv")
+    return LD.load_csv(spark, path, lines.schema, multi_line=False).rows
+
+
+@register("s1_load_csv_broken", """
+SELECT CAST(o_orderkey AS BIGINT) AS orderkey, CASE WHEN o_orderkey % 5 > 1 THEN o_orderstatus END AS status, CAST(CASE WHEN o_orderkey % 5 > 1 THEN o_custkey END AS BIGINT) AS custkey,
+       CASE o_orderkey % 5 WHEN 0 THEN concat(o_orderkey, ',', o_orderstatus, ',n/a') WHEN 1 THEN concat(o_orderkey, ',', o_orderstatus) END AS record
+FROM orders""")
+def q_s1b(spark, d):
+    """Every order as a CSV line; a fifth of them with a word for a number, a fifth one field short."""
+    path, key, status = scratch_path(spark, "orders.csv"), F.col("o_orderkey"), F.col("o_orderstatus")
+    last = F.when(key % 5 == 0, F.lit("n/a")).when(key % 5 != 1, F.col("o_custkey").cast("string"))
+    table(spark, d, "orders").select(F.concat_ws(",", key, status, last).alias("value")).write.text(path)
+    got = LD.load_csv(spark, path, T.StructType().add("orderkey", "long").add("status", "string").add("custkey", "long"), header=False)
+    return got.rows.withColumn("record", F.lit(None).cast("string")).unionByName(got.rejected.select(
+        F.split("record", ",")[0].cast("long").alias("orderkey"), F.lit(None).cast("string").alias("status"),
+        F.lit(None).cast("long").alias("custkey"), "record"))
+
+
 @register("v3_ordered_series", f"""
 SELECT Account, Date, Units, Base_Units, CAST(row_number() OVER (PARTITION BY Account ORDER BY Date, Units NULLS FIRST,
        Base_Units NULLS FIRST, Avg_Price NULLS FIRST, Avg_Base_Price NULLS FIRST) AS INTEGER) AS position

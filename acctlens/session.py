@@ -107,6 +107,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 _CUTS: list[str] = []
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared checkpoint folder, deleted with the tables of its ``scratch_scope``."""
+    path = checkpoint_dir(spark).rstrip("/") + f"/{uuid.uuid4().hex}-{name}"
+    _CUTS.append(path)
+    return path
+
+
 @contextlib.contextmanager
 def scratch_scope(spark: SparkSession):
     """Delete, at the end, every table that ``cut_lineage`` wrote inside the block; results that are

@@ -7,6 +7,7 @@ one job per column) followed by an unpivot of the one-row result into long form.
 from __future__ import annotations
 
 import os
+from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from acctlens.functions.columns import Names, qcol
+from acctlens.session import cut_lineage
+
+
+# Quotes are doubled inside quotes, line breaks may stand there, blanks stay, times keep microseconds.
+CSV_OPTIONS = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
+               "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 
 
 class DataLoadError(ValueError):
@@ -26,7 +33,7 @@ def load_data(spark: SparkSession, path: str, schema: T.StructType | None = None
 
     Spark resolves the path, so globs, the default filesystem and any store it can read work.
     CSV is read with a header (an explicit schema is preferred; otherwise it is inferred, at the
-    cost of reading the file twice); Parquet keeps its own schema.  ``nan_as_null`` turns floating
+    cost of reading the file twice; ``load_csv`` keeps broken records apart); Parquet keeps its own schema.  ``nan_as_null`` turns floating
     NaN into NULL so that it behaves as missing in every later predicate (in Spark ``NaN >= x`` is
     true); the operators here treat NaN as missing by themselves, so it is off by default and
     filters reach the scan.
@@ -34,7 +41,7 @@ def load_data(spark: SparkSession, path: str, schema: T.StructType | None = None
     ext = os.path.splitext(path.rstrip("/*"))[1].lower()
     try:
         if ext == ".csv":
-            reader = spark.read.option("header", True)
+            reader = spark.read.options(header=True, multiLine=True, **CSV_OPTIONS)
             reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
             df = reader.csv(path)
         elif ext in (".parquet", ".pq", ""):             # a folder without an ending holds Parquet
@@ -53,6 +60,30 @@ def load_data(spark: SparkSession, path: str, schema: T.StructType | None = None
     return df
 
 
+@dataclass
+class CsvLoad:
+    rows: DataFrame         # the rows that fit the schema, its columns
+    rejected: DataFrame     # record: the text of each row that does not
+
+
+def load_csv(spark: SparkSession, path: str, schema: T.StructType, header: bool = True, multi_line: bool = True) -> CsvLoad:
+    """S1 for CSV with a declared schema: one read, no inference.
+
+    A record with a value of another type, or with too few or too many fields, is kept apart with its text and
+    reaches no operator.  The header must name the schema's columns in order.  Quoted fields may hold
+    line breaks, separators and doubled quotes; then a file is one task (``multi_line=False`` splits
+    large files where no field holds a break).  An empty field is NULL, quoted or not.  The parsed
+    records are written once, since Spark may otherwise prune the columns that show a record broken."""
+    bad = "__record"
+    while bad in schema.fieldNames():
+        bad += "_"
+    options = CSV_OPTIONS | {"header": header, "enforceSchema": not header, "multiLine": multi_line,
+                             "mode": "PERMISSIVE", "columnNameOfCorruptRecord": bad}
+    nullable = [T.StructField(f.name, f.dataType, True) for f in schema.fields]
+    held = cut_lineage(spark.read.options(**options).schema(T.StructType([*nullable, T.StructField(bad, T.StringType())])).csv(path))
+    return CsvLoad(held.where(F.col(bad).isNull()).drop(bad), held.where(F.col(bad).isNotNull()).select(F.col(bad).alias("record")))
+
+
 def nan_to_null(df: DataFrame) -> DataFrame:
     """Floating NaN → NULL (pandas treats NaN as missing; Spark treats it as a value)."""
     exprs = []
@@ -110,10 +141,11 @@ def preview(df: DataFrame, order_by: list[str], n: int = 20) -> DataFrame:
 
 
 def export_table(df: DataFrame, path: str, fmt: str = "csv", mode: str = "overwrite") -> None:
-    """Write a result table (CSV with header, or Parquet) — a distributed write."""
+    """Write a result table (CSV with header, or Parquet) — a distributed write.  ``load_csv`` reads
+    the CSV back; only NULL and the empty string are one there."""
     w = df.write.mode(mode)
     if fmt == "csv":
-        w.option("header", True).csv(path)
+        w.options(header=True, **CSV_OPTIONS).csv(path)
     elif fmt == "parquet":
         w.parquet(path)
     else:
