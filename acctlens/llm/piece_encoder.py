@@ -8,6 +8,9 @@ description; every other tokenizer encodes whole texts.
 * ``lead``: a space opens the pre-token after it: cut before each space that a non-space
   follows.  A text with a space before other white space or at its end is encoded whole.
 
+Strings of the tokenizer's added tokens (``<|endoftext|>``) in a text become those tokens, as is the
+library's default; a text with one of them is encoded whole, since they are taken out before the pre-splitting.
+
 Of each batch only the distinct pieces are looked at.  Pieces of ASCII and Latin-1 letters, whose
 pre-splitting needs no Unicode tables, are split here by the same pattern, and their pre-tokens
 are encoded by the library's model; all others go through the library whole.  A memo of encoded
@@ -63,6 +66,8 @@ _TO_CHARS = {i: "".join(_CHARS[b] for b in chr(i).encode()) for i in [10, 32, *r
 def cut_kind(description: str) -> str:
     """``drop``, ``lead`` or ``whole`` for a tokenizer's JSON description."""
     d = json.loads(description)
+    if d.get("normalizer") and any(t["normalized"] for t in d["added_tokens"]):
+        return "whole"                          # found in normalised text only
     normal, pre = d.get("normalizer"), d.get("pre_tokenizer") or {}
     if normal is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space"):
         return "lead"
@@ -79,9 +84,12 @@ class PieceEncoder:
 
     def __init__(self, tokenizer, kind: str | None = None):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        tokenizer.encode_special_tokens = True          # their strings in a text are ordinary text
         self.tokenizer = tokenizer
-        self.kind = kind or cut_kind(tokenizer.to_str())
+        description = tokenizer.to_str()
+        self.kind = kind or cut_kind(description)
+        added = [re.escape(t["content"]) for t in json.loads(description)["added_tokens"]]
+        # texts that are not cut
+        self.odd = "|".join([_UNSAFE_SPACE] * (self.kind == "lead") + added)
         self.memo: dict[str, int] = {"\x01": 0}
         self.flat, self.starts, self.lengths = np.empty(0, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int64)
 
@@ -134,12 +142,12 @@ class PieceEncoder:
         n = len(texts)
         if self.kind == "whole":
             return _joined(self._whole(texts.to_pylist()))
-        if self.kind == "drop":
+        if not self.odd:
             return self._cut(texts)
-        odd = pc.match_substring_regex(texts, _UNSAFE_SPACE).to_numpy(zero_copy_only=False)
+        odd = pc.match_substring_regex(texts, self.odd).to_numpy(zero_copy_only=False)
         if not odd.any():
             return self._cut(texts)
-        # rows with an unsafe space are encoded whole and put back in their places
+        # rows with an unsafe space or an added token are encoded whole and put back in their places
         some_ids, some = self._cut(texts.filter(pa.array(~odd)))
         odd_ids, off = _joined(self._whole(texts.filter(pa.array(odd)).to_pylist()))
         lens, starts = np.empty(n, np.int64), np.empty(n, np.int64)

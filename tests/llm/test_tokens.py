@@ -25,9 +25,7 @@ SF = "/root/testdata/sf0.01/documents.parquet"
 
 @functools.cache
 def library(path):
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(path)
 
 
 def whole(path, texts):
@@ -47,6 +45,17 @@ def test_pieces_encode_as_whole_texts(path):
     assert [ids[a:z].tolist() for a, z in zip(off, off[1:])] == whole(path, [t or "" for t in texts])
 
 
+@pytest.mark.parametrize("path, end", [(WORD, 49407), (BYTE, 50256)])
+def test_strings_of_added_tokens(path, end):
+    rnd = random.Random(4)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endof", "text|>", " ", "  ", "\n", "a", "It's", "é", "<", "|"]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 12))) for _ in range(4000)] + ["<|endoftext|>", "x" * 100_000 + "<|endoftext|> y"]
+    for some in (texts, texts[::-1], ["plain words here"] + texts[:5]):
+        ids, off = encoder_for(path).encode(pa.array(some))
+        assert [ids[a:z].tolist() for a, z in zip(off, off[1:])] == whole(path, some)
+    assert end in encoder_for(path).encode(pa.array(["a<|endoftext|>b"]))[0].tolist()
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.one_of(st.integers(0, 1), st.integers(0, 70000), st.integers(0, 2 ** 64 - 1)), max_size=3000))
 def test_simple8b_round_trip(values):
