@@ -3,14 +3,15 @@
 A text's features are its distinct lower-cased character n-grams (3 to 6 characters) hashed to
 ``2**BITS`` buckets.  The ratio of a bucket compares the share of toxic and of other training
 texts that contain it, both smoothed towards its overall share, so rare n-grams stay near 0.
-Features enter a logistic regression scaled by their ratios; only the ``max_features`` buckets that
-tell the two kinds apart most surely (likelihood-ratio statistic, ``min_evidence`` at least) do.
+Features enter a logistic regression scaled by their ratios; all buckets do that ``min_texts`` texts hold
+and that tell the two kinds apart surely (likelihood-ratio statistic of ``min_evidence`` or more).
 
 The fit uses at most ``max_rows`` labelled texts, those with the smallest id hash (the documented
 bound of the training sample); scoring covers every row and whole texts.
 
 Null and empty texts have no features and score the intercept.  A repeated id takes the larger of
-its labels; null labels are ignored, repeated rows score alike.  Without labels of both kinds the
+its labels and, to learn from, the first of its texts in order; labels other than 0 and 1, null among
+them, are ignored, repeated rows score alike.  Without labels of both kinds the
 model scores every text 0.  An empty table gives no rows.  Columns other than those named are
 ignored, and ``drop_toxic`` passes all of them on unread.
 """
@@ -114,13 +115,14 @@ def fit_logistic(rows: np.ndarray, cols: np.ndarray, x: np.ndarray, y: np.ndarra
 
 def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
         max_rows: int = 20_000, prior: float = 2.0, min_texts: int = 4, min_evidence: float = 10.0,
-        max_features: int = 4_000, l2: float = 1e-6, steps: int = 150) -> Model:
+        l2: float = 1e-6, steps: int = 150) -> Model:
     """Fit on the texts of ``df`` whose id is in ``labels`` (id, 0/1)."""
     known = (labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label"))
-             .dropna().groupBy("id").agg(F.max("label").alias("label")))
+             .where(F.col("id").isNotNull() & F.col("label").isin(0, 1)).groupBy("id").agg(F.max("label").alias("label")))
     drawn = known.orderBy(F.xxhash64("id"), "id").limit(max_rows)                 # the bounded sample
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sample = cut_lineage(texts.join(F.broadcast(drawn), "id").dropDuplicates(["id"]).repartition(16, "id"))
+    sample = cut_lineage(texts.join(F.broadcast(drawn), "id").groupBy("id", "label").agg(F.min("text").alias("text"))
+                         .repartition(16, "id"))
     kinds = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     toxic, other = kinds.get(1, 0), kinds.get(0, 0)
     if not toxic or not other:
@@ -139,7 +141,7 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     counted = (sample.mapInArrow(count, "bucket int, toxic int, other int").groupBy("bucket")
                .agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
                .where(F.col("toxic") + F.col("other") >= min_texts).withColumn("sure", evidence(toxic, other))
-               .where(F.col("sure") >= min_evidence).orderBy(F.desc("sure"), "bucket").limit(max_features).toPandas())
+               .where(F.col("sure") >= min_evidence).toPandas())               # 2**BITS rows at most
     counted = counted.sort_values("bucket")
     kept = counted["bucket"].to_numpy(np.int32)
     ratio = log_ratios(counted["toxic"].to_numpy(float), counted["other"].to_numpy(float), toxic, other, prior)

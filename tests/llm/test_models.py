@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
@@ -128,6 +129,50 @@ def test_toxicity_on_held_out_documents(spark):
     assert sum(p for p, t in right if not t) / sum(1 for _, t in right if not t) < 0.005
 
 
+def plain_buckets(text):
+    c, out = [ord(x) for x in (text or "").lower()], set()
+    for n in toxicity.ORDERS:
+        for i in range(len(c) - n + 1):
+            h = 0
+            for x in c[i: i + n]:
+                h = (h * 0x01000193 + x + 1) % 2 ** 32
+            out.add(((h ^ (h >> 15)) * 0x9E3779B1 % 2 ** 32) >> (32 - toxicity.BITS))
+    return out
+
+
+def plain_score(model, text):
+    weight = dict(zip(model.kept.tolist(), model.weight.tolist()))
+    z = sum(weight.get(b, 0.0) for b in plain_buckets(text)) + model.intercept
+    return 1 / (1 + math.exp(-z)) if z >= 0 else math.exp(z) / (1 + math.exp(z))
+
+
+def test_toxicity_against_plain_counts_and_scores(spark):
+    sf = "/root/testdata/sf0.001"
+    documents, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    known = {r["doc_id"]: r["toxic"] for r in labels.where(~held_out(F.col("doc_id"))).collect()}
+    texts = {r["doc_id"]: r["text"] for r in documents.collect()}
+    # ids twice: the first text in order counts; labels beyond 0 and 1 do not
+    odd = documents.unionByName(documents.withColumn("text", F.concat(F.lit("\uffff"), "text")))
+    strange = spark.createDataFrame([(next(iter(texts)), 7), (None, 1)], "doc_id long, toxic int")
+    model = toxicity.fit(odd, labels.where(~held_out(F.col("doc_id"))).select("doc_id", "toxic").unionByName(strange))
+    n = {0: Counter(), 1: Counter()}
+    for d, y in known.items():
+        if d in texts:
+            n[y].update(plain_buckets(texts[d]))
+    rows = {y: sum(d in texts and v == y for d, v in known.items()) for y in (0, 1)}
+
+    def evidence(b):
+        both, every = n[0][b] + n[1][b], rows[0] + rows[1]
+        cells = [(g, e) for y in (0, 1) for g, e in ((n[y][b], both * rows[y] / every), (rows[y] - n[y][b], (every - both) * rows[y] / every))]
+        return 2 * sum(g * math.log(g / e) for g, e in cells if g)
+
+    want = sorted(b for b in {*n[0], *n[1]} if n[0][b] + n[1][b] >= 4 and evidence(b) >= 10)
+    assert model.kept.tolist() == want and len(want) > 50
+    got = {r["doc_id"]: (r["score"], r["predicted"]) for r in toxicity.score(documents, model).collect()}
+    plain = {d: plain_score(model, t) for d, t in texts.items()}
+    assert all(abs(got[d][0] - p) < 1e-6 and got[d][1] == (p >= 0.5) for d, p in plain.items())
+
+
 def test_buckets_are_distinct_and_scratch_changes_nothing():
     scratch = np.random.default_rng(0).integers(-5, 1 << 20, 1 << toxicity.BITS).astype(np.int32)
     for text in ["", "ab", "abc", "abcabcabc" * 50, LONG, "ÀÉ日本語\U0001F600" * 3]:
@@ -387,8 +432,35 @@ def test_pipeline_stages(spark, tmp_path):
     odd = odd_documents(spark)
     for f in (tox, near, secret, pack):
         assert f(spark, odd, sf).count() > 0 and f(spark, odd.limit(0), sf).count() == 0
-    whole = corpus_pipeline.run(spark, sf).collect()
-    assert {r["doc_id"] for r in whole} == {r["doc_id"] for r in one.collect()} - bad or bad
+
+
+def test_pipeline_against_plain_version(spark):
+    """Verdicts, components, redaction and whole-text ids, one after another in plain Python."""
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf}/labels.parquet").where(~held_out(F.col("doc_id"))))
+    rows = sorted((r["doc_id"], r["text"]) for r in docs.collect())
+    kept = [r for r in rows if plain_score(model, r[1]) < 0.5]
+    comp = plain_components([plain_simhash(t) for _, t in kept])
+    kept = [(d, plain_redacted(t)) for i, (d, t) in enumerate(kept) if comp[i] == i]
+    assert 0 < len(kept) < len(rows)
+    library, want = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), []
+    for d, t in kept:
+        ids = [*library.encode(t, add_special_tokens=False).ids, 1]
+        for at in range(0, len(ids), 2048):
+            part = ids[at: at + 2048]
+            want.append((d, at, len(part), zlib.crc32(np.array(part, "<u4").tobytes()), len(ids)))
+    got = corpus_pipeline.run(spark, sf).collect()
+    assert sorted((r["doc_id"], r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]) for r in got) == sorted(want)
+    packed = defaultdict(list)
+    for r in got:
+        packed[r["sequence_id"]].append((r["offset"], r["length"]))
+    for pieces in packed.values():
+        ends = np.cumsum([0] + [n for _, n in sorted(pieces)])
+        assert [at for at, _ in sorted(pieces)] == ends[:-1].tolist() and ends[-1] <= 2048
+    assert len(packed) <= 1.05 * -(-sum(w[2] for w in want) // 2048) + 1
 
 
 def test_sha_of_no_spans():
