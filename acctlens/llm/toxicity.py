@@ -90,10 +90,20 @@ def fit_logistic(rows: np.ndarray, cols: np.ndarray, x: np.ndarray, y: np.ndarra
     """Weights and intercept of L2-penalised logistic regression on sparse rows, by accelerated
     gradient steps of fixed length; ``x[col]`` is the value of a feature wherever it occurs."""
     n = len(y)
-    rows, cols = rows.astype(np.intp), cols.astype(np.intp)
-    value = x[cols]
-    forward = lambda w, b: np.bincount(rows, value * w[cols], n) + b
-    back = lambda g: (np.bincount(cols, value * g[rows], n_cols), float(g.sum()))
+    parts = [slice(a, a + (1 << 20)) for a in range(0, len(rows), 1 << 20)]        # bounds what a step holds
+
+    def forward(w: np.ndarray, b: float) -> np.ndarray:
+        value, z = x * w, np.full(n, float(b))
+        for p in parts:
+            z += np.bincount(rows[p], value[cols[p]], n)
+        return z
+
+    def back(g: np.ndarray) -> tuple[np.ndarray, float]:
+        total = np.zeros(n_cols)
+        for p in parts:
+            total += np.bincount(cols[p], g[rows[p]], n_cols)
+        return x * total, float(g.sum())
+
     vw, vb, size = np.full(n_cols, n_cols ** -0.5), 0.0, 1.0
     for _ in range(12):                                   # the largest curvature, by power iteration
         gw, gb = back(forward(vw, vb))
@@ -159,8 +169,9 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     cols = [np.frombuffer(c, np.int32) for c in rows["cols"]]
     if len(kept) == 0:
         return Model(kept, np.empty(0, np.float32), float(np.log(toxic / other)))
-    w, b = fit_logistic(np.repeat(np.arange(len(cols)), [len(c) for c in cols]), np.concatenate(cols), ratio,
-                        rows["label"].to_numpy(float), len(kept), l2, steps)
+    y, flat, lens = rows["label"].to_numpy(float), np.concatenate(cols), [len(c) for c in cols]
+    del rows, cols
+    w, b = fit_logistic(np.repeat(np.arange(len(y), dtype=np.int32), lens), flat, ratio, y, len(kept), l2, steps)
     return Model(kept, (w * ratio).astype(np.float32), b)
 
 
