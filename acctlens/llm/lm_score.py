@@ -2,9 +2,9 @@
 
 Words (``word_difference``, the query): tokens are the A-Z-lower-cased words and an end token, which
 also comes before the first word.  Both models share the vocabulary of all texts and hold its word
-pairs (order 2), so they grow with the corpus; they are counted, smoothed and joined to the distinct
-pairs of each text by shuffles, and neither the driver nor a task holds a model.  Words and pairs go
-by 64-bit hashes.  What follows on smoothing, scale, score and odd rows holds for both.
+pairs (order 2), so they grow with the corpus; counts travel between slices of texts and ranges of
+hashes, and neither the driver nor a task holds a model.  Words and pairs go by 64-bit hashes.  What
+follows on smoothing, scale, score and odd rows holds for both.
 
 Bytes (``cross_entropy_difference``): tokens are the bytes of the UTF-8 text closed by an end token (byte 0; the start counts as two of
 them).  Both models share this one vocabulary of 256 tokens and the same order 3, smoothing
@@ -146,77 +146,172 @@ def cross_entropy_difference(df: DataFrame, targets: DataFrame, id_col: str = "d
     return score_against(df, count_trigrams(df, targets, id_col, text_col), id_col, text_col)
 
 
-def _pairs(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
-    """(text, pair, first word, second word) of every token, all but the text as hashes."""
-    known, flat, lens = {b"": 0}, [], []
-    for text in texts_of(batch, "text"):
-        ws = words(text)
-        lens.append(len(ws) + 1)
-        flat += ws
-        flat.append(b"")                                  # the end token, no word
-    at = np.fromiter((known.setdefault(w, len(known)) for w in flat), np.int64, len(flat))
-    hashes = np.fromiter((xxhash.xxh64_intdigest(w) if w else 0 for w in known), np.uint64, len(known))
-    second = hashes[at]
-    first = np.concatenate([np.zeros(1, np.uint64), second[:-1]])
-    pair = first * np.uint64(0x9E3779B185EBCA87) + second * np.uint64(0xC2B2AE3D27D4EB4F)
-    return np.repeat(np.arange(len(lens)), lens), pair, first, second
-
-
-def _text_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in slices(batches, "text", 4 << 20):
-        doc, pair, _, _ = _pairs(b)
-        order = np.lexsort((pair, doc))
-        doc, pair = doc[order], pair[order]
-        new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (pair[1:] != pair[:-1])]))
-        n = np.diff(np.append(new, len(doc)))
-        of = pa.array(doc[new])
-        yield pa.RecordBatch.from_arrays([column(b, "id").take(of), column(b, "hash").take(of), pa.array(pair[new].view(np.int64)), pa.array(n)],
-                                         names=["id", "hash", "pair", "n"])
-
-
-def _counted_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in slices(batches, "text", 4 << 20):
-        doc, pair, first, second = _pairs(b)
-        _, at, of = np.unique(pair, return_index=True, return_inverse=True)
-        target = column(b, "target").to_numpy(zero_copy_only=False)[doc]
-        yield pa.RecordBatch.from_arrays(
-            [*(pa.array(x[at].view(np.int64)) for x in (pair, first, second)), pa.array(np.bincount(of, minlength=len(at))),
-             pa.array(np.bincount(of[target], minlength=len(at)))], names=["pair", "first", "second", "background", "target"])
+# ---- word pairs
+
+SLICE_BYTES = 4 << 20          # of text that is coded together
+BUCKET_TOKENS = 3_000_000      # tokens a bucket of keys may get, on average
+
+
+def _coded(a: np.ndarray) -> bytes:
+    """The bytes of ``a``, first bytes first: the upper ones, mostly 0, then compress well."""
+    return np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes()
+
+
+def _decoded(data: bytes, dtype) -> np.ndarray:
+    rows = np.frombuffer(data, np.uint8).reshape(np.dtype(dtype).itemsize, -1)
+    return np.ascontiguousarray(rows.T).view(dtype).ravel()
+
+
+_PART = "slice long, ids array<long>, n_tokens long, target binary, lens binary, tokens binary, words binary"
+
+
+def _coded_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row a slice: its tokens as places in the hashes of its distinct words."""
+    from pyspark import TaskContext
+    at = TaskContext.get().partitionId() << 32
+    for b in slices(batches, "text", SLICE_BYTES):
+        known, tokens, lens = {b"": 0}, [], []
+        for text in texts_of(b, "text"):
+            ws = words(text)
+            lens.append(len(ws) + 1)
+            tokens += [known.setdefault(w, len(known)) for w in ws]
+            tokens.append(0)                              # the end token, no word
+        hashes = np.fromiter((xxhash.xxh64_intdigest(w) if w else 0 for w in known), np.uint64, len(known))
+        target = column(b, "target").to_numpy(zero_copy_only=False).astype(np.uint8)
+        binary = [pa.array([_coded(x)], pa.binary()) for x in (target, np.array(lens, np.int64), np.array(tokens, np.uint32), hashes)]
+        yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([column(b, "id").to_pylist()], pa.list_(pa.int64())), pa.array([len(tokens)]), *binary],
+                                         names=["slice", "ids", "n_tokens", "target", "lens", "tokens", "words"])
+        at += 1
+
+
+class _Slice:
+    """The distinct words and word pairs of a slice, each sorted by hash, and their counts."""
+
+    def __init__(self, row: dict):
+        self.id, self.ids = row["slice"], row["ids"]
+        self.lens, tokens = _decoded(row["lens"], np.int64), _decoded(row["tokens"], np.uint32)
+        second = _decoded(row["words"], np.uint64)[tokens]
+        first = np.concatenate([np.zeros(1, np.uint64), second[:-1]])     # a text's first token follows an end token
+        target = np.repeat(_decoded(row["target"], np.uint8), self.lens)
+        mixed = first * np.uint64(0x9E3779B185EBCA87) + second * np.uint64(0xC2B2AE3D27D4EB4F)
+        self.words, self.word_of = np.unique(second, return_inverse=True)
+        self.pairs, at, self.pair_of = np.unique(mixed, return_index=True, return_inverse=True)
+        self.first, self.second = np.searchsorted(self.words, first[at]), self.word_of[at]
+        self.word_counts, self.pair_counts = (
+            [np.bincount(of, w, len(keys)).astype(np.uint32) for w in (None, target)]
+            for keys, of in ((self.words, self.word_of), (self.pairs, self.pair_of)))
+
+
+_ASK = "bucket int, slice long, keys binary, counts array<binary>"
+
+
+def _asked(slice_id: int, keys: np.ndarray, counts: list[np.ndarray], buckets: int) -> pa.RecordBatch:
+    """A row for each bucket (range of hashes) with keys of the slice: gaps between keys, and counts."""
+    ends = np.searchsorted(keys, _starts(buckets)).tolist() + [len(keys)]
+    some = [(k, a, z) for k, (a, z) in enumerate(zip(ends, ends[1:])) if z > a]
+    gaps = [np.diff(keys[a:z], prepend=np.uint64(0)) for _, a, z in some]
+    return pa.RecordBatch.from_arrays(
+        [pa.array([k for k, _, _ in some], pa.int32()), pa.array([slice_id] * len(some), pa.int64()), pa.array(map(_coded, gaps), pa.binary()),
+         pa.array([[_coded(c[a:z]) for c in counts] for _, a, z in some], pa.list_(pa.binary()))], names=["bucket", "slice", "keys", "counts"])
+
+
+def _starts(buckets: int) -> np.ndarray:
+    return np.arange(buckets, dtype=np.uint64) * np.uint64((1 << 64) // buckets if buckets > 1 else 0)
+
+
+_ANSWER = "slice long, bucket int, totals array<binary>, first binary, kinds array<long>, sums array<long>"
+
+
+def _answered(table: pa.Table) -> pa.Table:
+    """The totals of a bucket's keys for each slice that asked, in the order it asked; which slice
+    reported a key first (bit i: with a count i above 0); once a bucket, its kinds and sums."""
+    table = table.sort_by("slice")
+    asked = [np.cumsum(_decoded(k.as_py(), np.uint64), dtype=np.uint64) for k in table["keys"]]
+    ends = np.cumsum([0] + [len(a) for a in asked])
+    keys, of = np.unique(np.concatenate(asked), return_inverse=True)
+    n_counts = len(table["counts"][0])
+    totals, first, kinds, sums = [], np.zeros(len(of), np.uint8), [], []
+    for i in range(n_counts):
+        n = np.concatenate([_decoded(c[i].as_py(), np.uint32) for c in table["counts"]])
+        total = np.bincount(of, n, len(keys)).astype(np.uint64)          # sums below 2**53 are exact
+        has = np.flatnonzero(n)
+        _, at = np.unique(of[has], return_index=True)
+        first[has[at]] |= 1 << i
+        totals.append(total[of])
+        kinds.append(len(at))
+        sums.append(int(total.sum()))
+    rows = range(table.num_rows)
+    parts = [slice(a, z) for a, z in zip(ends, ends[1:])]
+    once = lambda x: pa.array([x if r == 0 else [0] * n_counts for r in rows], pa.list_(pa.int64()))
+    return pa.table([table["slice"], table["bucket"], pa.array([[_coded(t[p]) for t in totals] for p in parts], pa.list_(pa.binary())),
+                     pa.array([first[p].tobytes() for p in parts], pa.binary()), once(kinds), once(sums)],
+                    names=["slice", "bucket", "totals", "first", "kinds", "sums"])
+
+
+def _answer(asked: DataFrame) -> DataFrame:
+    """Written, so that every reader sees one and the same slice as the first to report a key."""
+    return cut_lineage(asked.groupBy("bucket").applyInArrow(_answered, _ANSWER))
+
+
+def _joined_answers(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray]:
+    rows = table.sort_by("bucket")
+    n = len(rows["totals"][0])
+    return ([np.concatenate([_decoded(t[i].as_py(), np.uint64) for t in rows["totals"]]) for i in range(n)],
+            np.frombuffer(b"".join(f.as_py() for f in rows["first"]), np.uint8))
+
+
+_SCORED = "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
 
 
 def word_difference(df: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, target_loss, background_loss, score of every text of ``df`` by word pairs."""
+    """doc_id, n_tokens, target_loss, background_loss, score of every text of ``df`` by word pairs.
+
+    Texts are coded once, in slices.  A slice asks each bucket (range of hashes) for the totals of
+    its distinct pairs by one binary row; the answer also says for which pairs the slice was the
+    first to ask, so that the kinds of words after a word add up over slices in a second round, on
+    words.  Keys are spread by hash and a slice sends each once, so no key is hot."""
     flags = sized_broadcast(targets.select(F.col(id_col).cast("long").alias("id")).distinct().withColumn("target", F.lit(True)))
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.withColumn("hash", F.xxhash64("id", F.coalesce("text", F.lit(""))))
-    counts = cut_lineage(rows.join(flags, "id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
-                         .mapInArrow(_counted_pairs, "pair long, first long, second long, background long, target long")
-                         .groupBy("pair", "first", "second").agg(F.sum("background").alias("background"), F.sum("target").alias("target")))
-    kinds = lambda c: F.count_if(F.col(c) > 0)
-    word = counts.groupBy("second").agg(F.sum("background").alias("background_1"), F.sum("target").alias("target_1"))
-    after = counts.groupBy("first").agg(F.sum("background").alias("background_all"), F.sum("target").alias("target_all"),
-                                        kinds("background").alias("background_kinds"), kinds("target").alias("target_kinds"))
-    total = word.agg(F.count("*").alias("kinds"), F.sum("background_1").alias("background"), F.sum("target_1").alias("target"),
-                     kinds("target_1").alias("target_kinds")).first()
-
-    def loss(model: str, scale: float, n: float, n_kinds: int):
-        """Witten-Bell: pair, word, uniform over the vocabulary."""
-        one = F.lit(1 / total["kinds"]) if not n else (F.col(f"{model}_1") * scale + n_kinds / total["kinds"]) / (n * scale + n_kinds)
-        k, seen = F.col(f"{model}_kinds"), F.col(f"{model}_all")
-        return -F.log(F.when(seen > 0, (F.col(model) * scale + k * one) / (seen * scale + k)).otherwise(one))
-
-    if not total["kinds"]:
-        return df.sparkSession.createDataFrame([], "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
-    scale = total["target"] / total["background"] if total["target"] else 1.0
-    losses_of = counts.join(word, "second").join(after, "first").select(
-        "pair", loss("target", 1.0, total["target"], total["target_kinds"]).alias("target_loss"),
-        loss("background", scale, total["background"], total["kinds"]).alias("background_loss"))
-    mean = lambda c: (F.sum(F.col("n") * F.col(c)) / F.sum("n")).alias(c)
-    # rows of the same id and text share one mean; each counts its tokens for itself
-    scored = (rows.select("id", "hash", "text").mapInArrow(_text_pairs, "id long, hash long, pair long, n long").join(losses_of, "pair")
-              .groupBy("id", "hash").agg(F.sum("n").alias("n"), mean("target_loss"), mean("background_loss")))
-    same = rows.groupBy("id", "hash").agg(F.count("*").alias("copies"))
-    scored = scored.withColumnRenamed("id", "of").withColumnRenamed("hash", "text_hash")
-    out = same.join(scored, F.col("id").eqNullSafe(F.col("of")) & (F.col("hash") == F.col("text_hash")))
-    return (out.withColumn("n_tokens", (F.col("n") / F.col("copies")).cast("long")).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-            .select(F.col("id").alias("doc_id"), "n_tokens", "target_loss", "background_loss", (F.col("target_loss") - F.col("background_loss")).alias("score")))
+    parts = cut_lineage(rows.join(flags, "id", "left").select("id", "text", F.coalesce("target", F.lit(False)).alias("target"))
+                        .mapInArrow(_coded_slices, _PART))
+    tokens = parts.agg(F.sum("n_tokens")).first()[0] or 0
+    if not tokens:
+        return df.sparkSession.createDataFrame([], _SCORED)
+    buckets = -(-tokens // BUCKET_TOKENS)
+
+    def ask_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                part = _Slice(b.slice(i, 1).to_pylist()[0])
+                yield _asked(part.id, part.pairs, part.pair_counts, buckets)
+
+    def ask_words(left: pa.Table, right: pa.Table) -> pa.Table:
+        part, (_, first) = _Slice(left.to_pylist()[0]), _joined_answers(right)
+        kinds = [np.bincount(part.first, first >> i & 1, len(part.words)).astype(np.uint32) for i in (0, 1)]
+        return pa.Table.from_batches([_asked(part.id, part.words, part.word_counts + kinds, buckets)])
+
+    by_slice = lambda d: d.groupBy("slice")
+    of_pairs = _answer(parts.mapInArrow(ask_pairs, _ASK))
+    of_words = _answer(by_slice(parts).cogroup(by_slice(of_pairs)).applyInArrow(ask_words, _ASK))
+    found = of_words.agg(*(F.sum(F.get(c, F.lit(i))).alias(f"{c}{i}") for c in ("kinds", "sums") for i in (0, 1))).first()
+    n_kinds, n = (found["kinds0"], found["kinds1"]), (found["sums0"], found["sums1"])
+    scales = n[1] / n[0] if n[1] else 1.0, 1.0
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        part = _Slice(left.to_pylist()[0])
+        pairs, _ = _joined_answers(right.filter(pc.field("round") == 0))
+        of_word, _ = _joined_answers(right.filter(pc.field("round") == 1))
+        means = []
+        for i in (1, 0):
+            # Witten-Bell: pair, word, uniform over the vocabulary.  A word precedes as many tokens as it is itself
+            total, kinds = of_word[i] * scales[i], of_word[2 + i].astype(np.float64)
+            lower = (total + n_kinds[i] / n_kinds[0]) / (n[i] * scales[i] + n_kinds[i]) if n[i] else np.full(len(total), 1 / n_kinds[0])
+            seen, one = total[part.first] > 0, lower[part.second]
+            k, every = kinds[part.first], (total + kinds)[part.first]
+            loss = -np.log(np.where(seen, (pairs[i] * scales[i] + k * one) / np.where(seen, every, 1), one))
+            means.append(np.add.reduceat(loss[part.pair_of], np.cumsum(part.lens) - part.lens) / part.lens)
+        return pa.table([pa.array(part.ids, pa.int64()), pa.array(part.lens), *map(pa.array, means), pa.array(means[0] - means[1])],
+                        names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
+
+    answers = [d.select("slice", "bucket", "totals", "first", F.lit(i).alias("round")) for i, d in enumerate((of_pairs, of_words))]
+    return by_slice(parts).cogroup(by_slice(answers[0].unionByName(answers[1]))).applyInArrow(score, _SCORED)

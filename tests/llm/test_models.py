@@ -375,10 +375,11 @@ def plain_word_lm(texts, is_target):
     return [(len(some), a, b, a - b) for some, (a, b) in zip(pairs, means)]
 
 
-@pytest.mark.parametrize("targets", [[1, 3, 5, 7, 999], []])
-def test_word_lm_scores(spark, targets):
-    rows = [(d, t) for d, t in ODD if t is None or len(t) < 1000] + [(1, "the same"), (1, "the same"), (3, "The cat the same"), (None, "the cat")]
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit("x"))
+@pytest.mark.parametrize("targets,bucket", [([1, 3, 5, 7, 999], 1 << 20), ([], 1 << 20), ([1, 3, 5, 7, 999], 37)])
+def test_word_lm_scores(spark, monkeypatch, targets, bucket):
+    monkeypatch.setattr(lm_score, "BUCKET_TOKENS", bucket)
+    rows = [*ODD, (1, "the same"), (1, "the same"), (3, "The cat the same"), (None, "the cat")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit("x")).repartition(5)
     ids = spark.createDataFrame([(i,) for i in targets], "doc_id long")
     order = lambda r: (r[0] is None, r[0] or 0, r[1], round(r[2], 6), round(r[3], 6))
     got = sorted(map(tuple, lm_score.word_difference(df, ids).collect()), key=order)
@@ -400,6 +401,17 @@ def test_word_lm_query_tells_quality(spark):
     assert np.mean([a > b for a in low for b in high]) > 0.85
 
 
+def test_word_lm_tells_quality_of_documents_not_counted_as_targets(spark):
+    sf = "/root/testdata/sf0.01"
+    documents, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    good = labels.where((F.col("quality") == 1) & ~held_out(F.col("doc_id"))).select("doc_id")
+    got = lm_score.word_difference(documents, good).join(labels.where(held_out(F.col("doc_id"))), "doc_id").collect()
+    low, high = ([r["score"] for r in got if r["quality"] == q] for q in (0, 1))
+    share = np.mean([a > b for a in low for b in high])
+    print(f"\nop10 held out: {len(low)} low, {len(high)} high, {share:.3f}")
+    assert share > 0.6
+
+
 def test_lm_scores_tell_quality(spark):
     documents, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     got = lm_score.cross_entropy_difference(documents, labels.where("quality = 1").select("doc_id")).join(labels, "doc_id").collect()
