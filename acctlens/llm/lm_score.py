@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -149,19 +150,30 @@ def cross_entropy_difference(df: DataFrame, targets: DataFrame, id_col: str = "d
 # ---- word pairs
 
 SLICE_BYTES = 4 << 20          # of text that is coded together
-BUCKET_TOKENS = 3_000_000      # tokens a bucket of keys may get, on average
+BUCKET_TOKENS = 2_000_000      # tokens a bucket of keys may get, on average
 
 
 def _coded(a: np.ndarray) -> bytes:
-    """The bytes of ``a``, first bytes first: the upper ones, mostly 0, then compress well."""
-    return np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes()
+    """``a`` compressed byte by byte of its items: the upper bytes are mostly 0."""
+    return zstandard.ZstdCompressor(1).compress(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).data)
 
 
 def _decoded(data: bytes, dtype) -> np.ndarray:
-    rows = np.frombuffer(data, np.uint8).reshape(np.dtype(dtype).itemsize, -1)
+    rows = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(np.dtype(dtype).itemsize, -1)
     return np.ascontiguousarray(rows.T).view(dtype).ravel()
 
 
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys in order, a place of each, and the number of each key's distinct one."""
+    order = np.argsort(keys)
+    ranked = keys[order]
+    new = np.ones(len(keys), bool)
+    np.not_equal(ranked[1:], ranked[:-1], out=new[1:])
+    of = np.empty(len(keys), np.int32)
+    of[order] = np.cumsum(new, dtype=np.int32) - 1
+    return ranked[new], order[new], of
+
+
 _PART = "slice long, ids array<long>, n_tokens long, target binary, lens binary, tokens binary, words binary"
 
 
@@ -190,12 +202,14 @@ class _Slice:
     def __init__(self, row: dict):
         self.id, self.ids = row["slice"], row["ids"]
         self.lens, tokens = _decoded(row["lens"], np.int64), _decoded(row["tokens"], np.uint32)
-        second = _decoded(row["words"], np.uint64)[tokens]
+        hashes = _decoded(row["words"], np.uint64)
+        self.words, _, of = _distinct(hashes)
+        self.word_of = of[tokens]
+        second = hashes[tokens]
         first = np.concatenate([np.zeros(1, np.uint64), second[:-1]])     # a text's first token follows an end token
         target = np.repeat(_decoded(row["target"], np.uint8), self.lens)
         mixed = first * np.uint64(0x9E3779B185EBCA87) + second * np.uint64(0xC2B2AE3D27D4EB4F)
-        self.words, self.word_of = np.unique(second, return_inverse=True)
-        self.pairs, at, self.pair_of = np.unique(mixed, return_index=True, return_inverse=True)
+        self.pairs, at, self.pair_of = _distinct(mixed)
         self.first, self.second = np.searchsorted(self.words, first[at]), self.word_of[at]
         self.word_counts, self.pair_counts = (
             [np.bincount(of, w, len(keys)).astype(np.uint32) for w in (None, target)]
@@ -228,14 +242,15 @@ def _answered(table: pa.Table) -> pa.Table:
     table = table.sort_by("slice")
     asked = [np.cumsum(_decoded(k.as_py(), np.uint64), dtype=np.uint64) for k in table["keys"]]
     ends = np.cumsum([0] + [len(a) for a in asked])
-    keys, of = np.unique(np.concatenate(asked), return_inverse=True)
+    keys, _, of = _distinct(np.concatenate(asked))
+    del asked
     n_counts = len(table["counts"][0])
     totals, first, kinds, sums = [], np.zeros(len(of), np.uint8), [], []
     for i in range(n_counts):
         n = np.concatenate([_decoded(c[i].as_py(), np.uint32) for c in table["counts"]])
         total = np.bincount(of, n, len(keys)).astype(np.uint64)          # sums below 2**53 are exact
         has = np.flatnonzero(n)
-        _, at = np.unique(of[has], return_index=True)
+        _, at, _ = _distinct(of[has])
         first[has[at]] |= 1 << i
         totals.append(total[of])
         kinds.append(len(at))
@@ -244,7 +259,7 @@ def _answered(table: pa.Table) -> pa.Table:
     parts = [slice(a, z) for a, z in zip(ends, ends[1:])]
     once = lambda x: pa.array([x if r == 0 else [0] * n_counts for r in rows], pa.list_(pa.int64()))
     return pa.table([table["slice"], table["bucket"], pa.array([[_coded(t[p]) for t in totals] for p in parts], pa.list_(pa.binary())),
-                     pa.array([first[p].tobytes() for p in parts], pa.binary()), once(kinds), once(sums)],
+                     pa.array([_coded(first[p]) for p in parts], pa.binary()), once(kinds), once(sums)],
                     names=["slice", "bucket", "totals", "first", "kinds", "sums"])
 
 
@@ -257,7 +272,7 @@ def _joined_answers(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray]:
     rows = table.sort_by("bucket")
     n = len(rows["totals"][0])
     return ([np.concatenate([_decoded(t[i].as_py(), np.uint64) for t in rows["totals"]]) for i in range(n)],
-            np.frombuffer(b"".join(f.as_py() for f in rows["first"]), np.uint8))
+            np.concatenate([_decoded(f.as_py(), np.uint8) for f in rows["first"]]))
 
 
 _SCORED = "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
