@@ -85,24 +85,46 @@ def evidence(toxic: int, other: int) -> Column:
     return 2 * total
 
 
-def fit_logistic(rows: np.ndarray, cols: np.ndarray, x: np.ndarray, y: np.ndarray, n_cols: int,
+def _groups(lens: np.ndarray, most: int = 1 << 20) -> list[tuple[int, int, int, int]]:
+    """Runs of groups with at most ``most`` entries (one group at least): first and last group, first and last entry."""
+    ends, out, at = np.concatenate([[0], np.cumsum(lens)]), [], 0
+    while at < len(lens):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + most, side="right")) - 1)
+        out.append((at, to, int(ends[at]), int(ends[to])))
+        at = to
+    return out
+
+
+def _sums(value: np.ndarray, index: np.ndarray, lens: np.ndarray, parts: list) -> np.ndarray:
+    """The sum of ``value[index]`` over each group of ``lens`` consecutive entries."""
+    out = np.zeros(len(lens))
+    for a, z, first, last in parts:
+        some = np.flatnonzero(lens[a:z])
+        if len(some):
+            n = lens[a:z][some]
+            out[a + some] = np.add.reduceat(value[index[first:last]], np.cumsum(n) - n)
+    return out
+
+
+def fit_logistic(lens: np.ndarray, cols: np.ndarray, x: np.ndarray, y: np.ndarray, n_cols: int,
                  l2: float, steps: int) -> tuple[np.ndarray, float]:
-    """Weights and intercept of L2-penalised logistic regression on sparse rows, by accelerated
-    gradient steps of fixed length; ``x[col]`` is the value of a feature wherever it occurs."""
-    n = len(y)
-    parts = [slice(a, a + (1 << 20)) for a in range(0, len(rows), 1 << 20)]        # bounds what a step holds
+    """Weights and intercept of L2-penalised logistic regression on sparse rows (``lens`` entries of
+    ``cols`` each), by accelerated gradient steps of fixed length; ``x[col]`` is the value of a
+    feature wherever it occurs.  Entries are held by row and by column, so both sums are over runs."""
+    n, by_row = len(y), _groups(lens)
+    heights = np.bincount(cols, minlength=n_cols)
+    by_col, rows, at = _groups(heights), np.empty(len(cols), np.int32), np.cumsum(heights) - heights
+    for a, z, first, last in by_row:                      # a counting sort by column, part by part
+        order = np.argsort(cols[first:last], kind="stable")
+        here = np.bincount(cols[first:last], minlength=n_cols)
+        rows[np.repeat(at - (np.cumsum(here) - here), here) + np.arange(last - first)] = np.repeat(np.arange(a, z, dtype=np.int32), lens[a:z])[order]
+        at += here
 
     def forward(w: np.ndarray, b: float) -> np.ndarray:
-        value, z = x * w, np.full(n, float(b))
-        for p in parts:
-            z += np.bincount(rows[p], value[cols[p]], n)
-        return z
+        return b + _sums(x * w, cols, lens, by_row)
 
     def back(g: np.ndarray) -> tuple[np.ndarray, float]:
-        total = np.zeros(n_cols)
-        for p in parts:
-            total += np.bincount(cols[p], g[rows[p]], n_cols)
-        return x * total, float(g.sum())
+        return x * _sums(g, rows, heights, by_col), float(g.sum())
 
     vw, vb, size = np.full(n_cols, n_cols ** -0.5), 0.0, 1.0
     for _ in range(12):                                   # the largest curvature, by power iteration
@@ -169,9 +191,9 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     cols = [np.frombuffer(c, np.int32) for c in rows["cols"]]
     if len(kept) == 0:
         return Model(kept, np.empty(0, np.float32), float(np.log(toxic / other)))
-    y, flat, lens = rows["label"].to_numpy(float), np.concatenate(cols), [len(c) for c in cols]
+    y, flat, lens = rows["label"].to_numpy(float), np.concatenate(cols), np.array([len(c) for c in cols])
     del rows, cols
-    w, b = fit_logistic(np.repeat(np.arange(len(y), dtype=np.int32), lens), flat, ratio, y, len(kept), l2, steps)
+    w, b = fit_logistic(lens, flat, ratio, y, len(kept), l2, steps)
     return Model(kept, (w * ratio).astype(np.float32), b)
 
 
