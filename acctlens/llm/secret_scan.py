@@ -40,21 +40,58 @@ UUID = r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]
 _SPAN = "array<struct<start:int,kind:int,end:int>>"
 
 
+CHUNK = 256
+
+
+def _folded(items: Column, of: str, after, made) -> Column:
+    """Go over ``items`` with a running place: ``after(place, x)`` is the next place, ``made(place, x)``
+    the array of type ``of`` that x adds.  Arrays grow within chunks of ``CHUNK`` items only, so the
+    work grows with the items, not with their square."""
+    none = F.array().cast(of)
+
+    def run(all_items):
+        chunks = F.transform(F.sequence(F.lit(0), F.floor(F.size(all_items) / CHUNK).cast("int")),
+                             lambda c: F.slice(all_items, c * CHUNK + 1, F.lit(CHUNK)))
+        starts = F.aggregate(chunks, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), lambda acc, c: F.struct(
+            F.aggregate(c, acc["at"], after).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")), lambda acc: acc["out"])
+        return F.flatten(F.zip_with(chunks, starts, lambda c, p: F.aggregate(
+            c, F.struct(p.alias("at"), none.alias("out")),
+            lambda acc, x: F.struct(after(acc["at"], x).alias("at"), F.concat(acc["out"], made(acc["at"], x)).alias("out")), lambda acc: acc["out"])))
+
+    # the items are computed once, as the element of an outer array
+    return F.get(F.transform(F.array(items), run), F.lit(0))
+
+
 def _located(text: Column, pattern: str) -> Column:
     """array of (at, s): where each match of ``pattern`` starts, and the match."""
     pieces = F.split(text, pattern, -1)
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    both = F.zip_with(F.transform(pieces, F.char_length), matches, lambda n, s: F.struct(n.alias("n"), s.alias("s")))
-    empty = F.struct(F.lit(0).alias("pos"), F.array().cast("array<struct<at:int,s:string>>").alias("out"))
+    # the piece after the last match has no match behind it
+    both = F.zip_with(F.slice(F.transform(pieces, F.char_length), 1, F.size(matches)), matches, lambda n, s: F.struct(n.alias("n"), s.alias("s")))
+    kind = "array<struct<at:int,s:string>>"
+    found = _folded(both, kind, lambda at, x: at + x["n"] + F.char_length(x["s"]),
+                    lambda at, x: F.array(F.struct((at + x["n"]).alias("at"), x["s"].alias("s"))))
+    return F.when(F.regexp_like(text, F.lit(pattern)), found).otherwise(F.array().cast(kind))
 
-    def step(acc, x):
-        at = acc["pos"] + x["n"]
-        return F.struct((at + F.coalesce(F.char_length(x["s"]), F.lit(0))).alias("pos"),
-                        F.when(x["s"].isNull(), acc["out"]).otherwise(F.array_append(
-                            acc["out"], F.struct(at.alias("at"), x["s"].alias("s")))).alias("out"))
 
-    found = F.aggregate(both, empty, step, lambda acc: acc["out"])
-    return F.when(F.regexp_like(text, F.lit(pattern)), found).otherwise(F.array().cast("array<struct<at:int,s:string>>"))
+def _replaced(text: Column, spans: Column, mark) -> Column:
+    """``text`` with ``spans`` (sorted by start) replaced by ``mark(x)``; x has the ``start`` and ``end``
+    of what no earlier span covers and ``fresh``, whether the span begins behind all earlier ones."""
+    places = _folded(spans, "array<struct<from:int,start:int,end:int,fresh:boolean>>", lambda at, x: F.greatest(at, x["end"]), lambda at, x: F.array(
+        F.struct(at.alias("from"), F.greatest(at, x["start"]).alias("start"), F.greatest(at, x["end"]).alias("end"), (x["start"] >= at).alias("fresh"))))
+
+    def chunk(c):
+        # a chunk's characters are cut out of the text once, those before a span out of the chunk's
+        base = F.get(c, F.lit(0))["from"]
+        part = F.substring(text, base + 1, F.element_at(c, -1)["start"] - base)
+        return F.get(F.transform(F.array(part), lambda t: F.array_join(F.transform(c, lambda x: F.concat(
+            F.substring(t, x["from"] - base + 1, x["start"] - x["from"]), mark(x))), "")), F.lit(0))
+
+    def run(xs):
+        chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / CHUNK).cast("int")), lambda c: F.slice(xs, c * CHUNK + 1, F.lit(CHUNK)))
+        return F.concat(F.array_join(F.transform(chunks, chunk), ""), F.substring(text, F.element_at(xs, -1)["end"] + 1, F.char_length(text)))
+
+    return F.when(F.size(spans) > 0, F.get(F.transform(F.array(places), run), F.lit(0))).otherwise(text)
 
 
 def _spans(found: Column, kind: int) -> Column:
@@ -109,19 +146,6 @@ def _random_like(s: Column) -> Column:
             .when(one_case, max_window_entropy(s, above=_window_threshold) >= 0).otherwise(F.lit(False)))
 
 
-def _blanked(text: Column, spans: Column) -> Column:
-    """``text`` with the characters of ``spans`` (sorted by start) replaced by as many spaces."""
-    start = F.struct(F.lit(0).alias("pos"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc, x):
-        at, end = F.greatest(acc["pos"], x["start"]), F.greatest(acc["pos"], x["end"])
-        more = F.array(F.substring(text, acc["pos"] + 1, at - acc["pos"]), F.repeat(F.lit(" "), end - at))
-        return F.struct(end.alias("pos"), F.when(end > at, F.concat(acc["out"], more)).otherwise(acc["out"]).alias("out"))
-
-    done = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["pos"] + 1, F.char_length(text)))
-    return F.when(F.size(spans) > 0, F.aggregate(spans, start, step, done)).otherwise(text)
-
-
 def _pieces(m: Column) -> Column:
     """(at, s) of the pieces of a candidate between its placeholder words."""
     clean = m["s"]
@@ -140,7 +164,8 @@ def with_spans(df: DataFrame, text_col: str, base: str, every: str) -> DataFrame
     access = _spans(_located(text, ACCESS[:-1] + "{%d,}" % (ACCESS_CHARS - 4)), 1)
     hexes = _spans(_located(text, HEX[:-1] + "{%d,}" % HEX_CHARS), 2)
     df = df.withColumn(base, F.array_sort(F.concat(assign, access, hexes)))
-    runs = _located(_blanked(text, F.col(f"`{base}`")), CANDIDATE)
+    blanked = _replaced(text, F.col(f"`{base}`"), lambda x: F.repeat(F.lit(" "), x["end"] - x["start"]))
+    runs = _located(blanked, CANDIDATE)
     entropy = _spans(F.filter(F.flatten(F.transform(runs, _pieces)), lambda m: _random_like(m["s"])), 3)
     return df.withColumn(every, F.array_sort(F.concat(F.col(f"`{base}`"), entropy)).cast(_SPAN))
 
@@ -164,17 +189,8 @@ def redact(df: DataFrame, text_col: str = "text", mark: str = "[SECRET]", chars_
     names = _fresh(df.columns, 2)
     found = with_spans(df, text_col, *names)
     spans, text = F.col(names[1]), F.col(f"`{text_col}`")
-    start = F.struct(F.lit(0).alias("pos"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc, x):
-        kept = F.substring(text, acc["pos"] + 1, F.greatest(x["start"] - acc["pos"], F.lit(0)))
-        # a span that begins inside an earlier one only moves the place on
-        out = F.when(x["start"] >= acc["pos"], F.concat(acc["out"], F.array(kept, F.lit(mark)))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["pos"], x["end"]).alias("pos"), out.alias("out"))
-
-    clean = F.aggregate(spans, start, step, lambda acc: F.concat(
-        F.array_join(acc["out"], ""), F.substring(text, acc["pos"] + 1, F.char_length(text))))
-    out = found.withColumn(text_col, F.when(F.size(spans) > 0, clean).otherwise(text))
+    clean = _replaced(text, spans, lambda x: F.when(x["fresh"], F.lit(mark)).otherwise(F.lit("")))
+    out = found.withColumn(text_col, clean)
     if chars_col and chars_col in df.columns:
         out = out.withColumn(chars_col, F.when(F.size(spans) > 0, F.char_length(F.col(f"`{text_col}`")).cast(df.schema[chars_col].dataType))
                              .otherwise(F.col(f"`{chars_col}`")))

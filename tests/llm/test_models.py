@@ -3,6 +3,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -296,6 +297,24 @@ def test_redaction(spark):
         assert r["text"] == want and r["n_chars"] == len(want or "")
 
 
+def test_many_matches_in_one_text(spark):
+    """More matches than a chunk holds, overlapping kinds included; the time does not grow with their square."""
+    rnd = random.Random(8)
+    some = ["password=abcdef", "x " + "0123456789abcdef" * 2, "token: " + "fe" * 13, "AKIA" + "A" * 20, "q7Rt2Lx9Vb4Nz8Kp1Wm6Yd3", "plain \U0001F600 word"]
+    texts = [" ".join(rnd.choice(some) for _ in range(n)) for n in (255, 256, 257, 700)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in secret_scan.scan(df).collect():
+        n, base, every = plain_spans(texts[r["doc_id"]])
+        assert ([r["n_assign"], r["n_access"], r["n_hex"]], r["base_spans"], r["spans"]) == (n, base, every)
+    assert [r["text"] for r in secret_scan.redact(df).orderBy("doc_id").collect()] == [plain_redacted(t) for t in texts]
+    long = spark.createDataFrame([(1, "0123456789abcdef01234567 " * 40_000)], "doc_id long, text string")
+    began = time.time()
+    assert secret_scan.scan(long).first()["n_hex"] == 40_000
+    assert secret_scan.redact(long).first()["text"] == "[SECRET] " * 40_000
+    print(f"\n40,000 matches scanned and redacted in {time.time() - began:.1f} s")
+    assert time.time() - began < 60
+
+
 def test_window_entropy(spark):
     rnd = random.Random(6)
     rows = ["".join(rnd.choice(secret_scan.SYMBOLS) for _ in range(rnd.choice([5, 20, 21, 60]))) for _ in range(40)] + ["a" * 40, ""]
