@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from acctlens.functions.median import global_quantile
 from acctlens.functions.components import component_roots
-from acctlens.operators.neighbors import FEATS, IDX, OFFSETS, distinct_points, k_distance, pairs_within
+from acctlens.operators.neighbors import FEATS, IDX, OFFSETS, counts_within, distinct_points, k_distance, pairs_within
 from acctlens.session import cut_lineage
 
 DIRECT = 4096        # pairs of points that two open boxes may hold to be compared one by one
@@ -114,8 +114,8 @@ def dbscan(feat: DataFrame, k: int = 5, eps_percentile: float = 90, min_samples:
 def within_counts(res: DBSCANResult) -> DataFrame:
     """Account, n_within: the accounts within eps, itself included.  By definition this looks at
     every pair within eps; nothing else here does."""
-    pairs = pairs_within(res.points, res.points, res.eps)
-    return (res.flags.select("Account", "pid").join(pairs.groupBy("pid").agg(F.sum("qmult").cast("long").alias("n_within")), "pid")
+    n = counts_within(res.points, res.eps)
+    return (res.flags.select("Account", "pid").join(n.select("pid", F.col("n").cast("long").alias("n_within")), "pid")
             .select("Account", "n_within"))
 
 

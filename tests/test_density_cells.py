@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from acctlens.operators import density as DN
+from acctlens.operators import neighbors as NB
 
 FEATS = ["f0", "f1", "f2", "f3"]
 
@@ -75,3 +76,48 @@ def test_dense_blob_forms_no_quadratic_pairs(spark):
     # about 30 % of all points lie within 0.5 of a point in the middle: some 10**9 pairs in all
     assert links < 100 * n
     assert time.time() - t < 240
+
+
+@pytest.mark.parametrize("query, of", [("d3_dbscan_noise", "dbscan_of"), ("d3_dbscan_noise_customers", "customers_dbscan_of")])
+def test_noise_queries_count_every_pair_within_eps(spark, monkeypatch, query, of):
+    from acctlens.plans import queries as Q
+    pdf = frame(blobs())
+    n, _, label = plain(blobs(), 0.5, 5)
+    res = DN.dbscan(spark.createDataFrame(pdf), 5, 90, 5, 0.5)
+    monkeypatch.setattr(Q, of, lambda spark, d: res)
+    run, sql = Q.REGISTRY[query]
+    got = run(spark, "").toPandas().set_index("Account").loc[pdf.Account]
+    assert (got.n_within.to_numpy() == n).all() and (got.dbscan_outlier.to_numpy() == (label == len(n))).all()
+    assert "n_within" in sql[-350:]
+
+
+def near_copies(base, copies):
+    """Groups of points that differ by rounding noise only."""
+    rng = np.random.default_rng(9)
+    return np.repeat(rng.normal(0, 1, (base, 4)), copies, axis=0) + rng.integers(-3, 4, (base * copies, 4)) * 3e-14
+
+
+def sums(x, y):
+    d = [x[:, None, i] - y[None, :, i] for i in range(4)]
+    return np.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2] + d[3] * d[3])
+
+
+@pytest.mark.parametrize("size", [4, 50, 1024])
+@pytest.mark.parametrize("x", [near_copies(8, 40), blobs(), np.vstack([near_copies(3, 60), np.full((1, 4), 50.0)])])
+def test_blocks_equal_all_pairs(spark, monkeypatch, x, size):
+    """Exact k-distances and counts, also where points lie within rounding noise of one another."""
+    monkeypatch.setattr(NB, "BLOCK", size)
+    pdf = frame(x)
+    pts, mapping = NB.distinct_points(spark.createDataFrame(pdf))
+    d = np.sort(sums(x, x), axis=1)
+    got = mapping.join(NB.k_distance(pts, 5), "pid").toPandas().set_index("Account").loc[pdf.Account]
+    assert (got.kdist.to_numpy() == d[:, 4]).all()
+    for r in (1e-13, 0.7):
+        n = mapping.join(NB.counts_within(pts, r), "pid").toPandas().set_index("Account").loc[pdf.Account].n
+        assert (n.to_numpy() == (d <= r).sum(1)).all()
+
+
+def test_blocks_hold_few_points_however_close(spark):
+    x = near_copies(6, 500)
+    cut = NB.cut_into_blocks(NB.distinct_points(spark.createDataFrame(frame(x)))[0], 100)
+    assert cut.points.groupBy("block").count().agg({"count": "max"}).first()[0] < 200
