@@ -692,9 +692,10 @@ def q_d2(spark, d):
     return rounded(group_quantile(kd, "all", "kdist", 0.9, "eps").select("eps"))
 
 
-@register("d3_dbscan_noise", f"{_PAIRS_SQL} SELECT Account, is_core, dbscan_outlier FROM db")
+@register("d3_dbscan_noise", f"{_PAIRS_SQL} SELECT Account, n_within, is_core, dbscan_outlier FROM db")
 def q_d3(spark, d):
-    return dbscan_of(spark, d).flags.select("Account", "is_core", "dbscan_outlier")
+    db = dbscan_of(spark, d)
+    return db.flags.join(DN.within_counts(db), "Account").select("Account", "n_within", "is_core", "dbscan_outlier")
 
 
 @register("d3_within_counts", f"{_PAIRS_SQL} SELECT Account, n_within FROM db")
