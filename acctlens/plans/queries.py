@@ -891,12 +891,13 @@ def customers_dbscan_of(spark, d):
 
 
 @register("d3_dbscan_noise_customers", f"""{_PAIRS_C_SQL}
-SELECT f.Account, round(kd.kdist, 6) AS kdist,
+SELECT f.Account, round(kd.kdist, 6) AS kdist, CAST(nb.n_within AS BIGINT) AS n_within,
        CASE WHEN EXISTS (SELECT 1 FROM pr, eps WHERE pr.p = f.Account AND pr.d <= eps.e
                          AND pr.q IN (SELECT p FROM core)) THEN 0 ELSE 1 END AS dbscan_outlier
-FROM feat f JOIN kd ON kd.Account = f.Account""")
+FROM feat f JOIN nb ON nb.p = f.Account JOIN kd ON kd.Account = f.Account""")
 def q_d3c(spark, d):
-    return rounded(customers_dbscan_of(spark, d).flags.select("Account", "kdist", "dbscan_outlier"))
+    db = customers_dbscan_of(spark, d)
+    return rounded(db.flags.join(DN.within_counts(db), "Account").select("Account", "kdist", "n_within", "dbscan_outlier"))
 
 
 @register("d3_within_counts_customers", f"{_PAIRS_C_SQL} SELECT p AS Account, CAST(n_within AS BIGINT) AS n_within FROM nb")
