@@ -17,8 +17,9 @@ reference length, all at most.  The reference is the smallest at which the rows
 on average (``reference_length``, from counts by length), so uneven lengths at most double the rows,
 and a few very long vectors leave the others' share alone.
 
-Queries for which the buckets hold fewer than ``k`` ids (or than all others) are asked again against
-every row, by the same blocks.  Up to ``BLOCK`` distinct vectors are one block, searched whole.
+Queries that the buckets give fewer than ``k`` ids (or than all others), or fewer than ``ENOUGH * k``
+candidates over all tables, are asked again against every row, by the same blocks.  This is decided
+query by query from what its own buckets hold; no size of the table changes the method.
 
 Vectors that are null, zero, of another length than the most common one, or that hold null or
 non-finite components take no part.  Ties go to the smaller id; of repeated ids the first vector
@@ -39,6 +40,7 @@ from acctlens.llm.text import column
 from acctlens.session import cut_lineage
 
 BLOCK = 4096
+ENOUGH = 50             # candidates a query must be given for each of its k, counted in every table
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -184,11 +186,13 @@ def search(df: DataFrame, query_filter, id_col: str = "vec_id", vector_col: str
     wide = f"bucket int, key long, v array<{kind}>"
     spread = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
 
-    def best_of(here: DataFrame, there: DataFrame) -> DataFrame:
+    def sizes_of(there: DataFrame) -> DataFrame:
+        return cut_lineage(there.groupBy("bucket").agg(F.count("*").alias("n")))
+
+    def best_of(here: DataFrame, there: DataFrame, sizes: DataFrame) -> DataFrame:
         """key, s, c, ids: the k + 1 best distinct vectors that share a bucket with each query vector."""
         # blocks: at most 4 * axes * tables buckets, so the counts are a small, bounded table
-        counts = cut_lineage(there.groupBy("bucket").agg(F.count("*").alias("n")).join(
-            here.groupBy("bucket").agg(F.count("*").alias("q")), "bucket"))
+        counts = cut_lineage(sizes.join(here.groupBy("bucket").agg(F.count("*").alias("q")), "bucket"))
         counts = counts.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("tiles"), F.ceil(F.col("q") / BLOCK).cast("int").alias("groups"))
         there = (there.join(F.broadcast(counts), "bucket").withColumn("tile", F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int"))
                  .withColumn("grp", spread("groups")).select("bucket", "tile", "grp", "key", "v"))
@@ -205,16 +209,16 @@ def search(df: DataFrame, query_filter, id_col: str = "vec_id", vector_col: str
     def whole(some: DataFrame) -> DataFrame:
         return some.select(F.lit(0).alias("bucket"), "key", "v")
 
-    if sum(b["n"] for b in bands) <= BLOCK:
-        best = best_of(whole(asks), whole(distinct))
-    else:
-        best = best_of(asks.select("key", "v").mapInArrow(hashed(probes, False), wide),
-                       distinct.select("key", "v").mapInArrow(hashed(1, True), wide))
-        # one of the ids found may be the query itself
-        got = best.groupBy("key").agg(F.sum(F.size("ids")).alias("n"))
-        short = cut_lineage(asks.join(got, "key", "left").where(F.coalesce("n", F.lit(0)) - 1 < min(k, common["n"] - 1)).select("key", "v"))
-        if not short.isEmpty():
-            best = best.join(short.select("key"), "key", "left_anti").unionByName(best_of(whole(short), whole(distinct)))
+    here, there = asks.select("key", "v").mapInArrow(hashed(probes, False), wide), distinct.select("key", "v").mapInArrow(hashed(1, True), wide)
+    sizes = sizes_of(there)
+    best = best_of(here, there, sizes)
+    # one of the ids found may be the query itself
+    got = best.groupBy("key").agg(F.sum(F.size("ids")).alias("n"))
+    given = here.select("key", "bucket").join(F.broadcast(sizes), "bucket").groupBy("key").agg(F.sum("n").alias("given"))
+    few = (F.coalesce("n", F.lit(0)) - 1 < min(k, common["n"] - 1)) | (F.coalesce("given", F.lit(0)) < ENOUGH * k)
+    short = cut_lineage(asks.join(got, "key", "left").join(given, "key", "left").where(few).select("key", "v"))
+    if not short.isEmpty():
+        best = best.join(short.select("key"), "key", "left_anti").unionByName(best_of(whole(short), whole(distinct), sizes_of(whole(distinct))))
     best = best.groupBy("key").agg(F.collect_list(F.struct("s", "ids")).alias("best"))
     ranked = (keyed.join(best, "key")
               .select("query_id", F.explode(F.slice(F.array_sort(F.filter(F.flatten(F.transform("best", lambda b: F.transform(

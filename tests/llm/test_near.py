@@ -300,3 +300,14 @@ def test_ids_of_a_hot_vector(spark, capsys):
     got.explain()
     plan = capsys.readouterr().out                            # read from the end: ids are cut to 21 before they are collected
     assert "WindowGroupLimit" in plan and plan.index("collect_list") < plan.index("WindowGroupLimit")
+
+
+def test_nearest_neighbours_do_not_depend_on_the_size_of_blocks(spark, monkeypatch):
+    """The method is the same below and above one block: nothing is searched whole for the table's size."""
+    rnd = np.random.default_rng(8)
+    rows = [(i, v) for i, v in enumerate(rnd.normal(size=(2000, 32)).tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").where("vec_id % 20 > 0 or vec_id < 400")
+    got = found(df, tables=6, probes=8)
+    monkeypatch.setattr(cross_polytope, "BLOCK", 64)
+    assert got == found(df, tables=6, probes=8)
+    assert recall(got, plain_nearest([r for r in rows if r[0] % 20 or r[0] < 400], 20, lambda i: i % 20 == 0)) < 1
