@@ -3,6 +3,7 @@ from collections import defaultdict
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 
 from tests.hdbscan_reference import hdbscan_ref, hdbscan_topdown
 from acctlens.operators.hdbscan import hdbscan
@@ -69,3 +70,29 @@ def test_matches_the_definition_taken_top_down(spark, monkeypatch):
     assert np.array_equal(got.hdbscan_outlier.values == 1, ref == -1)
     assert _partition(list(got.hdbscan_cluster.values)) == _partition(list(ref))
     assert _partition(list(hdbscan_ref(X, 5, 3))) == _partition(list(ref))
+
+
+def test_tree_of_near_copies_by_blocks(spark, monkeypatch):
+    """Many blocks, points that differ by rounding noise only, and exact ties: the tree on (w, u, v), edge for edge;
+    no pairs of blocks beyond those that may hold an edge."""
+    import acctlens.operators.hdbscan as H
+    rng = np.random.default_rng(17)
+    X = np.repeat(rng.normal(0, 1, (12, 4)), 25, axis=0) + rng.integers(-3, 4, (300, 4)) * 3e-14
+    X = np.vstack([X, rng.integers(0, 3, (60, 4)) + 20.0, [[90.0] * 4]])
+    pdf, df = _frame(spark, X)
+    P, _, _ = H.core_distances(df, 3)
+    want = H._kruskal(pa.Table.from_pandas(_edges(P.toPandas())).to_batches())
+    want = pa.Table.from_batches(want).to_pandas().sort_values(["u", "v"], ignore_index=True)
+    for size in (20, 1024):
+        monkeypatch.setattr(H, "TREE_BLOCK", size)
+        got = H.spanning_tree(P).toPandas().sort_values(["u", "v"], ignore_index=True)
+        assert got[["u", "v", "w"]].equals(want[["u", "v", "w"]])
+
+
+def _edges(p):
+    p = p.sort_values("pid", ignore_index=True)
+    x, core, name = p[["f0", "f1", "f2", "f3"]].to_numpy(), p.core.to_numpy(), p.pid.to_numpy()
+    u, v = np.triu_indices(len(p), 1)
+    d = (x[u] - x[v]) ** 2
+    w = np.maximum(np.maximum(core[u], core[v]), np.sqrt(d[:, 0] + d[:, 1] + d[:, 2] + d[:, 3]))
+    return pd.DataFrame({"u": name[u], "v": name[v], "w": w, "cu": name[u], "cv": name[v]})
