@@ -116,7 +116,7 @@ def _missing(c: Column, kind: str) -> Column:
 
 def prepare(df: DataFrame, spec: ModelSpec, account: str, period: str,
             weight: str | None = None, absorb: str | None = "auto",
-            check: bool = True) -> tuple[DataFrame, Design]:
+            check: bool = True, written: bool = False) -> tuple[DataFrame, Design]:
     """Build the model frame and its design.
 
     With ``drop_na`` (default) rows missing the target or any predictor are dropped (R4);
@@ -125,7 +125,7 @@ def prepare(df: DataFrame, spec: ModelSpec, account: str, period: str,
 
     The source is read once: its few model columns are written as a narrow table, from which one
     aggregate gives the negative counts (R1) and the means that centre the moments, and one more
-    the levels of the small categoricals."""
+    the levels of the small categoricals.  ``written``: ``df`` is such a table already."""
     spec.check_columns(df)
     kinds = dict(df.dtypes)
     g = choose_absorbed(spec, account, absorb)
@@ -136,7 +136,7 @@ def prepare(df: DataFrame, spec: ModelSpec, account: str, period: str,
             number(spec.dependent_var).alias("raw_y"), (qcol(g) if g else F.lit("")).alias("g")]
     cols += [number(c).alias(f"raw_x{i}") for i, c in enumerate(spec.continuous_vars)]
     cols += [qcol(c).cast("string").alias(f"c{j}") for j, c in enumerate(small)]
-    narrow = cut_lineage(df.select(*cols))
+    narrow = df.select(*cols) if written else cut_lineage(df.select(*cols))
     xs = [f"raw_x{i}" for i in range(len(spec.continuous_vars))]
     y = F.col("raw_y")
     out = narrow.where(y.isNotNull()).select(

@@ -108,7 +108,7 @@ class FoldFit:
     coef: dict[tuple[int, int], np.ndarray]
     baseline: dict[tuple[int, int], object]
     coef_df: DataFrame          # slot_k, slot_f, b_0.., alpha0
-    alpha: DataFrame            # slot_k, slot_f, g, alpha
+    alpha: DataFrame            # slot_k, slot_f, g, alpha; en, esy, esx_0..: moments of the rows left out
     total_n: int = 0            # rows in the moment table
 
 
@@ -166,13 +166,14 @@ def fit_slots(T: DataFrame, design: Design, excl: DataFrame, test: DataFrame,
     tot = cut_lineage(T.groupBy("g").agg(F.sum("n").alias("n"), F.sum("sy").alias("sy"),
                                          *[F.sum(f"sx_{i}").alias(f"sx_{i}") for i in range(p)]))
     base = tot.agg(*_phi_aggs(p, pairs, F.col("n"), F.col("sy"), [F.col(f"sx_{i}") for i in range(p)], "c")).first()
-    exg = cut_lineage(T.join(F.broadcast(excl), "period")
-                      .groupBy(*SLOT, "g").agg(F.sum("n").alias("en"), F.sum("sy").alias("esy"),
-                                               *[F.sum(f"sx_{i}").alias(f"esx_{i}") for i in range(p)]))
+    exg = (T.join(F.broadcast(excl), "period")
+           .groupBy(*SLOT, "g").agg(F.sum("n").alias("en"), F.sum("sy").alias("esy"),
+                                    *[F.sum(f"sx_{i}").alias(f"esx_{i}") for i in range(p)]))
     t0_ = (F.col("n"), F.col("sy"), [F.col(f"sx_{i}") for i in range(p)])
     t1_ = (F.col("n") - F.col("en"), F.col("sy") - F.col("esy"),
           [F.col(f"sx_{i}") - F.col(f"esx_{i}") for i in range(p)])
-    joined = exg.join(tot, "g")
+    # left: a null g has no total, so it counts for nothing here and takes the baseline's level below
+    joined = cut_lineage(exg.join(tot, "g", "left"))
     delta = {(r["slot_k"], r["slot_f"]): r
              for r in joined.groupBy(*SLOT).agg(*_phi_delta_aggs(p, pairs, t0_, t1_, "c"),
                                                 F.count_if((F.col("n") - F.col("en")) == 0).alias("n_unseen"))
@@ -183,7 +184,7 @@ def fit_slots(T: DataFrame, design: Design, excl: DataFrame, test: DataFrame,
     baseline = _baselines(tot, joined, slots, delta)
     g0s = sorted({baseline[s] for s in slots}, key=str)
     tot0 = {r["g"]: r for r in tot.where(F.col("g").isin(g0s)).collect()}
-    ex0 = {(r["slot_k"], r["slot_f"], r["g"]): r for r in exg.where(F.col("g").isin(g0s)).collect()}
+    ex0 = {(r["slot_k"], r["slot_f"], r["g"]): r for r in joined.where(F.col("g").isin(g0s)).collect()}
     first: dict = {}
     for s in slots:
         t0, e0 = tot0[baseline[s]], ex0.get((s[0], s[1], baseline[s]))
@@ -231,18 +232,23 @@ def fit_slots(T: DataFrame, design: Design, excl: DataFrame, test: DataFrame,
         rows.append((int(s[0]), int(s[1]), *[float(v) for v in coef[s]], a0))
     coef_df = spark.createDataFrame(
         rows, ", ".join(["slot_k int", "slot_f int"] + [f"b_{i} double" for i in range(p)] + ["alpha0 double"]))
-    # per-(slot, g) intercepts for the groups to be predicted
-    need = (T.join(F.broadcast(test), "period").select(*SLOT, "g").distinct())
-    a = (need.join(exg, SLOT + ["g"], "left").join(tot, "g")
-         .select(*SLOT, "g", (F.col("n") - F.coalesce(F.col("en"), F.lit(0))).alias("tn"),
+    # per-(slot, g) intercepts for the groups to be predicted, with the moments of the held-out rows
+    if test is excl:
+        a = joined
+    else:
+        need = T.join(F.broadcast(test), "period").select(*SLOT, "g").distinct()
+        a = need.join(joined.drop("n", "sy", *[f"sx_{i}" for i in range(p)]), SLOT + ["g"], "left").join(tot, "g")
+    a = a.select(*SLOT, "g", "en", "esy", *[f"esx_{i}" for i in range(p)],
+                 (F.col("n") - F.coalesce(F.col("en"), F.lit(0))).alias("tn"),
                  (F.col("sy") - F.coalesce(F.col("esy"), F.lit(0.0))).alias("tsy"),
                  *[(F.col(f"sx_{i}") - F.coalesce(F.col(f"esx_{i}"), F.lit(0.0))).alias(f"tsx_{i}")
-                   for i in range(p)]))
+                   for i in range(p)])
     alpha_expr = (F.col("tsy") - sum((F.col(f"tsx_{i}") * F.col(f"b_{i}") for i in range(p)), F.lit(0.0))) / F.col("tn") \
         + F.lit(design.mean_y) - sum((F.lit(float(v)) * F.col(f"b_{i}") for i, v in enumerate(means)), F.lit(0.0))
     # read by the scoring pass and by the metrics: materialise once
     alpha = cut_lineage(a.join(F.broadcast(coef_df), SLOT)
-                        .select(*SLOT, "g", F.when(F.col("tn") > 0, alpha_expr).otherwise(F.col("alpha0")).alias("alpha")))
+                        .select(*SLOT, "g", F.when(F.col("tn") > 0, alpha_expr).otherwise(F.col("alpha0")).alias("alpha"),
+                                "en", "esy", *[f"esx_{i}" for i in range(p)]))
     return FoldFit(design, slots, coef, baseline, coef_df, alpha, int(sum(r["n"] for r in per.values())))
 
 
@@ -363,15 +369,15 @@ def predict_rows(m: DataFrame, fit: FoldFit, test: DataFrame) -> DataFrame:
     X = design_exprs(fit.design)
     lin = sum((X[i] * F.col(f"b_{i}") for i in range(p)), F.lit(0.0))
     scored = (m.join(F.broadcast(test), "period")
-              .join(sized_broadcast(fit.alpha), SLOT + ["g"], "left")
+              .join(sized_broadcast(fit.alpha.select(*SLOT, "g", "alpha")), SLOT + ["g"], "left")
               .join(F.broadcast(fit.coef_df), SLOT))
     pred = F.coalesce(F.col("alpha"), F.col("alpha0")) + lin
     return scored.select("*", pred.alias("predicted")).withColumn("residual", F.col("y") - F.col("predicted"))
 
 
 def slot_metrics(T: DataFrame, fit: FoldFit, test: DataFrame) -> DataFrame:
-    """Held-out error per slot from the moment table alone (no pass over rows):
-    SSE = Σ_cells [syy − 2b·sxy + bᵀ sxx b − 2α(sy − b·sx) + nα²]."""
+    """Held-out error per slot from the moment table alone (no pass over rows), ``test`` being what the fit left
+    out: SSE = Σ_cells [syy − 2b·sxy + bᵀ sxx b − 2α(sy − b·sx) + nα²]."""
     design = fit.design
     p = design.p
     kinds = {(i, j): k for i, j, k in _pairs(design)}
@@ -386,13 +392,18 @@ def slot_metrics(T: DataFrame, fit: FoldFit, test: DataFrame) -> DataFrame:
                 continue
             term = b[i] * b[j] * _xx(i, j, kinds)
             quad = quad + (term if i == j else term * 2.0)
-    a = F.coalesce(F.col("alpha"), F.col("alpha0")) - centre          # about the means, as the moments are
-    sse = F.col("syy") - 2.0 * bsxy + quad - 2.0 * a * (F.col("sy") - bsx) + F.col("n") * a * a
-    sres = F.col("sy") - bsx - F.col("n") * a
-    cells = (T.join(F.broadcast(test), "period").join(fit.alpha, SLOT + ["g"], "left")
-             .join(F.broadcast(fit.coef_df), SLOT))
-    g = cells.groupBy(*SLOT).agg(F.sum("n").alias("n_test"), F.sum(sse).alias("sse"), F.sum(sres).alias("sres"),
-                                 F.sum("sy").alias("sy"), F.sum("syy").alias("syy"))
+    # what the intercepts don't enter comes from the sums of the periods; an intercept is the same for all
+    # periods of its slot, so the groups' held-out moments serve for the rest
+    sums = ["n", "sy", "syy", *[f"s{x}_{i}" for x in ("x", "xy") for i in range(p)], *[f"sxx_{i}_{j}" for (i, j), k in kinds.items() if k == "sum"]]
+    periods = T.groupBy("period").agg(*[F.sum(c).alias(c) for c in sums])
+    whole = (periods.join(F.broadcast(test), "period").groupBy(*SLOT).agg(*[F.sum(c).alias(c) for c in sums])
+             .join(F.broadcast(fit.coef_df), SLOT)
+             .select(*SLOT, F.col("n").alias("n_test"), "sy", "syy", (F.col("syy") - 2.0 * bsxy + quad).alias("fixed"), (F.col("sy") - bsx).alias("rest")))
+    a = F.col("alpha") - centre                                       # about the means, as the moments are
+    held = F.col("esy") - sum((b[i] * F.col(f"esx_{i}") for i in range(p)), F.lit(0.0))
+    by_group = (fit.alpha.join(F.broadcast(fit.coef_df), SLOT).groupBy(*SLOT).agg(
+        F.sum(F.col("en") * a * a - 2.0 * a * held).alias("change"), F.sum(F.col("en") * a).alias("shift")))
+    g = whole.join(by_group, SLOT).withColumn("sse", F.col("fixed") + F.col("change")).withColumn("sres", F.col("rest") - F.col("shift"))
     n = F.col("n_test")
     sstot = F.col("syy") - F.col("sy") * F.col("sy") / n
     return g.select(*SLOT, "n_test", (F.col("sse") / n).alias("mse"),

@@ -292,8 +292,13 @@ def dated_sales(spark, d, account_key: str = "supplier", filters=None):
 
 
 def model_frame(spark, d, spec: ModelSpec = MODEL, account_key: str = "supplier", filters=None):
-    """The model frame over every row; ``filters`` for the saved run's own chain."""
-    return FE.prepare(dated_sales(spark, d, account_key, filters), spec, "Account", "Time_Period", WEIGHT)
+    """The model frame over every row; ``filters`` for the saved run's own chain.  Without them the model's
+    columns are written with their dates, so the tables are joined once for the anchor and the model."""
+    if filters is not None:
+        return FE.prepare(dated_sales(spark, d, account_key, filters), spec, "Account", "Time_Period", WEIGHT)
+    columns = list(dict.fromkeys(["Account", "Date", WEIGHT, *spec.columns]))
+    sv = cut_lineage(sales_view(spark, d, account_key).select(*columns))
+    return FE.prepare(PE.create_equal_periods(sv, "Date", WEEKS), spec, "Account", "Time_Period", WEIGHT, written=True)
 
 
 def _mf_sql(src: str = SV, where: str = "TRUE") -> str:

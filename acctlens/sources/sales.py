@@ -23,7 +23,8 @@ def sales_view(spark: SparkSession, sf_dir: str, account_key: str = "supplier")
     li = table(spark, sf_dir, "lineitem")
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
-    j = li.join(o, li.l_orderkey == o.o_orderkey).join(c, F.col("o_custkey") == c.c_custkey)
+    # orders meet the customers first, so the lineitems are shuffled once
+    j = li.join(o.join(c, F.col("o_custkey") == F.col("c_custkey")), li.l_orderkey == F.col("o_orderkey"))
     key = F.col("l_suppkey") if account_key == "supplier" else F.col("o_custkey")
     prefix = "S" if account_key == "supplier" else "C"
     unit_price = F.col("l_extendedprice") / F.col("l_quantity")

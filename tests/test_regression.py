@@ -152,3 +152,18 @@ def test_nan_counts_as_missing(spark):
     assert FE.dropped_rows(df, spec).first()["n_dropped"] == 3
     imputed = FE.prepare(df, ModelSpec("A", ("B",), ("Account",), drop_na=False), "Account", "Period")[0].orderBy("x0").collect()
     assert [r.x0 for r in imputed] == pytest.approx([0.0, math.log(4)])
+
+
+def test_slot_metrics_equal_scored_rows(spark):
+    """K8 from the moments equals the scored rows of every fold, levels unseen in training included."""
+    from acctlens.operators import crossval as CV
+    rng = np.random.default_rng(5)
+    rows = [("a9" if i % 66 == 0 else f"a{i % 7}", int(i % 6), 1.0, float(rng.uniform(1, 9)), float(rng.uniform(1, 9))) for i in range(240)]
+    df = spark.createDataFrame(rows, "Account string, Time_Period int, W double, Y double, X double")
+    spec = ModelSpec("Y", ("X",), ("Account",))
+    m, design = FE.prepare(df, spec, "Account", "Time_Period", "W")
+    got = {r.k: r for r in CV.find_optimal_k(m, design, range(2, 5)).collect()}
+    for k in (2, 3, 4):
+        want = CV.cv_scores(CV.fold_summary(CV.run_cv(m, design, k))).first()
+        for c in ("mean_mse", "std_mse", "mean_r2", "std_r2"):
+            assert got[k][c] == pytest.approx(want[c], abs=1e-9)
