@@ -11,29 +11,39 @@ The core distance needs every pair of a cluster, so the work is quadratic in clu
 definition; it is asked for explicitly (``DetectSpec.use_validity``).  Clusters are cut into tiles of
 at most ``TILE`` accounts, one task takes one pair of tiles with numpy, and passes on a row per account
 (sums, or the tile pair's own spanning forest, which holds every edge of the whole tree that lies in
-it), never pairs.
+it), never pairs.  The separation crosses clusters, so there the space is cut into blocks: an account's
+own block and the boxes of the others bound it, and only blocks that come as near are asked.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from acctlens.operators.hdbscan import spanning_forest
-from acctlens.operators.neighbors import FEATS
+from acctlens.operators.neighbors import FEATS, _chunks, _rows, cut_into_blocks, distances, least, most
 from acctlens.session import cut_lineage
 
 TILE = 1024
 
 
-def _tiles(rows: DataFrame, group: list, n: str) -> DataFrame:
-    """Each row once for every pair of tiles (a <= b) of its group that holds its own tile."""
-    tiles = F.ceil(F.col(n) / TILE).cast("int")
+def _spread(n: int) -> int:
+    """Partitions for ``n`` accounts to be compared: the work is large where the rows are few."""
+    return max(1, min(2000, math.ceil(4 * n / TILE)))
+
+
+def _tiles(rows: DataFrame) -> DataFrame:
+    """Each row once for every pair of tiles (a <= b) of its cluster that holds its own tile."""
+    tiles = F.ceil(F.col("size") / TILE).cast("int")
     mine = F.pmod(F.xxhash64("Account"), tiles).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), tiles - 1), lambda o: F.struct(F.least(F.col("tile"), o).alias("a"), F.greatest(F.col("tile"), o).alias("b")))
-    return rows.withColumn("tile", mine).withColumn("pair", F.explode(pairs)).select(*rows.columns, "tile", "pair.a", "pair.b")
+    return rows.withColumn("tile", mine).withColumn("pair", F.explode(pairs)).select(*rows.columns, "tile", "pair.a", "pair.b", (tiles == 1).alias("whole"))
 
 
 def _distances(g: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -73,32 +83,88 @@ def _forest(g: pd.DataFrame) -> pd.DataFrame:
             keep.append(i)
             if len(keep) == len(g) - 1:
                 break
-    return pd.DataFrame({"u": names[u[keep]], "v": names[v[keep]], "w": w[keep]})
-
-
-def _nearest_other(g: pd.DataFrame) -> pd.DataFrame:
-    """For each cluster of a tile pair, the least mutual reachability to another cluster."""
-    d, own = _distances(g)
-    core, cluster = g["core"].to_numpy(), g["cluster"].to_numpy()
-    other = own & (cluster[:, None] != cluster[None])
-    w = np.where(other, np.maximum(np.maximum(core[:, None], core[None]), d), np.inf).min(axis=1)
-    return pd.DataFrame({"cluster": cluster, "w": w})[np.isfinite(w)].groupby("cluster", as_index=False).min()
+    return pd.DataFrame({"u": names[u[keep]], "v": names[v[keep]], "w": w[keep], "whole": bool(g["whole"].iloc[0])})
+
+
+def _nearest_other(t: pa.Table, among: pa.Table) -> np.ndarray:
+    """For each row of ``t`` the least mutual reachability to another cluster's row of ``among`` (inf: none)."""
+    code, _ = pd.factorize(np.array(t.column("cluster").to_pylist() + among.column("cluster").to_pylist(), object))
+    x, y, mine, other = _rows(t), _rows(among), code[: t.num_rows], code[t.num_rows:]
+    core, there = t.column("core").to_numpy(), among.column("core").to_numpy()
+    w = np.full(len(x), np.inf)
+    for part in _chunks(len(x) if len(y) else 0):
+        d = np.maximum(np.maximum(core[part, None], there[None]), distances(x[part], y))
+        w[part] = np.where(mine[part, None] == other[None], np.inf, d).min(axis=1)
+    return w
+
+
+def separations(inside: DataFrame) -> DataFrame:
+    """cluster, separation: the least mutual reachability between accounts (Account, cluster, core, f0..f3) of the
+    cluster and of others.  No row for a cluster that is the only one."""
+    kind = inside.schema["cluster"].dataType.simpleString()
+    points = cut_lineage(inside.groupBy("cluster", *FEATS).agg(F.min("core").alias("core"), F.min("Account").alias("pid"), F.count("*").alias("mult")))
+    cut = cut_into_blocks(points, TILE)
+    names, lo, hi = cut.block, cut.lo, cut.hi
+    held = cut.points.groupBy("block").agg(F.min("core").alias("low"), F.max("core").alias("high"), F.min("cluster").alias("first"),
+                                           F.max("cluster").alias("last")).orderBy("block").collect()
+    low, high = np.array([r["low"] for r in held], float), np.array([r["high"] for r in held], float)
+    mixed = np.array([r["first"] != r["last"] for r in held], bool)
+    only = [r["first"] for r in held]
+
+    def foreign(clusters: list) -> np.ndarray:
+        """Rows by blocks: the block holds another cluster."""
+        code, values = pd.factorize(np.array(clusters, object))
+        return (mixed[None] | (pd.Index(values, dtype=object).get_indexer(pd.Index(only, dtype=object))[None] != np.arange(len(values))[:, None]))[code]
+
+    def own(t: pa.Table) -> pa.Table:
+        x, core, others = _rows(t), t.column("core").to_numpy(), foreign(t.column("cluster").to_pylist())
+        w = _nearest_other(t, t)
+        bound = w.copy()
+        for part in _chunks(len(x)):
+            farthest = np.maximum(np.maximum(core[part, None], high[None]), most(x[part], lo, hi))
+            bound[part] = np.minimum(w[part], np.where(others[part], farthest, np.inf).min(axis=1))
+        return t.select(["cluster", *FEATS, "core", "block"]).append_column("w", pa.array(w)).append_column("bound", pa.array(bound))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, core, bound = _rows(b), b.column("core").to_numpy(), b.column("bound").to_numpy()
+            others = foreign(b.column("cluster").to_pylist()) & (b.column("block").to_numpy()[:, None] != names[None])
+            for part in _chunks(len(x)):
+                nearest = np.maximum(np.maximum(core[part, None], low[None]), least(x[part], lo, hi))
+                row, at = np.nonzero(others[part] & (nearest <= bound[part, None]))
+                rows = b.select(["cluster", *FEATS, "core"]).take(pa.array(row + part.start))
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(names[at].astype(np.int32))], names=[*rows.schema.names, "block"])
+
+    def other(here: pa.Table, there: pa.Table) -> pa.Table:
+        return pa.table({"cluster": here.column("cluster"), "w": pa.array(_nearest_other(here, there), pa.float64())})
+
+    floats = ", ".join(f"{c} double" for c in [*FEATS, "core"])
+    parts = _spread(len(names) * TILE)
+    blocks = cut.points.repartition(parts, "block").groupBy("block")
+    first = cut_lineage(blocks.applyInArrow(own, f"cluster {kind}, {floats}, block int, w double, bound double"))
+    bounds = first.groupBy("cluster").agg(F.min("bound").alias("bound")).where(F.col("bound") < float("inf"))
+    asked = first.drop("w", "bound").join(bounds, "cluster").select("cluster", *FEATS, "core", "block", "bound")
+    asked = asked.mapInArrow(ask, f"cluster {kind}, {floats}, block int").repartition(parts, "block").groupBy("block")
+    more = asked.cogroup(blocks).applyInArrow(other, f"cluster {kind}, w double")
+    return first.select("cluster", "w").unionByName(more).where(F.col("w") < float("inf")).groupBy("cluster").agg(F.min("w").alias("separation"))
 
 
 def cluster_validity(feat: DataFrame, labels: DataFrame) -> DataFrame:
     """cluster, size, sparseness, separation, validity of each cluster; ``labels``: Account, cluster
     (NULL: noise).  A single cluster has a NULL separation; one of a single account sparseness 0."""
-    kind = labels.schema["cluster"].dataType.simpleString()
     rows = feat.join(labels.where(F.col("cluster").isNotNull()).select("Account", "cluster"), "Account")
     sizes = rows.groupBy("cluster").agg(F.count("*").alias("size"))
     rows = cut_lineage(rows.join(sizes, "cluster").select("Account", "cluster", "size", *FEATS))
-    sums = (_tiles(rows, ["cluster"], "size").groupBy("cluster", "a", "b").applyInPandas(_power_sums, "Account string, s double")
+    parts = _spread(rows.count())
+    sums = (_tiles(rows).repartition(parts, "cluster", "a", "b").groupBy("cluster", "a", "b").applyInPandas(_power_sums, "Account string, s double")
             .groupBy("Account").agg(F.sum("s").alias("s")))
     mean = F.col("s") / (F.col("size") - 1)
     core = F.when(F.col("size") > 1, F.when(mean == float("inf"), 0.0).otherwise(mean ** (-1.0 / len(FEATS)))).otherwise(F.lit(0.0))
     rows = cut_lineage(rows.join(sums, "Account").withColumn("core", core).drop("s"))
-    edges = _tiles(rows, ["cluster"], "size").groupBy("cluster", "a", "b").applyInPandas(_forest, "u string, v string, w double")
-    tree = spanning_forest(edges.select("u", "v", "w", F.col("u").alias("cu"), F.col("v").alias("cv")))
+    edges = cut_lineage(_tiles(rows).repartition(parts, "cluster", "a", "b").groupBy("cluster", "a", "b").applyInPandas(
+        _forest, "u string, v string, w double, whole boolean"))
+    tree = edges.where("whole").select("u", "v", "w").unionByName(                 # the tree of a cluster of one tile is done
+        spanning_forest(edges.where("not whole").select("u", "v", "w", F.col("u").alias("cu"), F.col("v").alias("cv"))))
     ends = tree.select(F.col("u").alias("Account")).union(tree.select(F.col("v").alias("Account")))
     inner = cut_lineage(ends.groupBy("Account").agg(F.count("*").alias("degree")).where(F.col("degree") > 1).select("Account"))
     named = rows.select("Account", "cluster")
@@ -111,8 +177,7 @@ def cluster_validity(feat: DataFrame, labels: DataFrame) -> DataFrame:
     inside = rows.join(inner.withColumn("i", F.lit(1)), "Account", "left")
     inside = inside.join(inside.groupBy("cluster").agg(F.count("i").alias("inners")), "cluster").where(F.col("i").isNotNull() | (F.col("inners") == 0))
     inside = cut_lineage(inside.select("Account", "cluster", "core", *FEATS))
-    apart = (_tiles(inside.withColumn("all", F.lit(inside.count())), [], "all").groupBy("a", "b")
-             .applyInPandas(_nearest_other, f"cluster {kind}, w double").groupBy("cluster").agg(F.min("w").alias("separation")))
+    apart = separations(inside)
     out = sizes.join(sparse, "cluster", "left").join(apart, "cluster", "left").withColumn("sparseness", F.coalesce("sparseness", F.lit(0.0)))
     larger = F.greatest("separation", "sparseness")
     return out.select("cluster", "size", "sparseness", "separation", F.when(

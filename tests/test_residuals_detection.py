@@ -153,6 +153,23 @@ def test_cluster_validity(spark, monkeypatch, tile):
     assert VA.validity(feat, lab.withColumn("cluster", F.when(F.col("cluster") == "c0", "c0"))) is None
 
 
+def test_separation_asks_near_blocks_only(spark, monkeypatch):
+    """Many clusters, some of copies, some larger than a block: equal to all pairs, and few rows are asked."""
+    from acctlens.operators import validity as VA
+    monkeypatch.setattr(VA, "TILE", 16)
+    rng = np.random.default_rng(9)
+    centres, size = rng.uniform(-50, 50, (30, 4)), rng.integers(3, 60, 30)
+    X = np.vstack([np.repeat(c[None], n, 0) + (rng.normal(0, 0.5, (n, 4)) if i % 3 else 0) for i, (c, n) in enumerate(zip(centres, size))])
+    of, core = np.repeat(np.arange(30), size), rng.uniform(0, 30, len(X))
+    rows = [(f"a{i}", f"c{c}", float(r), *map(float, x)) for i, (x, c, r) in enumerate(zip(X, of, core))]
+    df = spark.createDataFrame(rows, "Account string, cluster string, core double, f0 double, f1 double, f2 double, f3 double")
+    D = np.maximum(np.maximum(core[:, None], core[None]), np.sqrt(((X[:, None] - X[None]) ** 2).sum(axis=2)))
+    D[of[:, None] == of[None]] = np.inf
+    got = {r.cluster: r.separation for r in VA.separations(df).collect()}
+    assert got == {f"c{c}": D[of == c].min() for c in range(30)}
+    assert VA.separations(df.where("cluster = 'c1'")).collect() == []
+
+
 def test_outlier_counts_of_no_accounts(spark):
     from acctlens.operators import results as RE
     none = spark.createDataFrame([], "Account string, outlier_flag int")
