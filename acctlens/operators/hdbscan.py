@@ -464,7 +464,9 @@ def spanning_tree(P: DataFrame, n_points: int | None = None, max_rounds: int = 1
         pairs = P.sparkSession.createDataFrame(
             [(int(names[first[i]]), int(names[second[i]]), int(x)) for i in np.flatnonzero(take) for x in (names[first[i]], names[second[i]])],
             "a int, b int, block int")
-        trees.append(cut_lineage(rows.join(F.broadcast(pairs), "block").groupBy("a", "b").applyInArrow(_block_tree, schema)))
+        # few rows, much work: the planner would put many pairs into one task
+        parts = max(1, min(2000, int(take.sum())))
+        trees.append(cut_lineage(rows.join(F.broadcast(pairs), "block").repartition(parts, "a", "b").groupBy("a", "b").applyInArrow(_block_tree, schema)))
         for r in trees[-1].groupBy("a", "b").agg(F.min("w").alias("w")).collect():
             a, b = place[r["a"]], place[r["b"]]
             known.append((max(r["w"], within[a], within[b]), a, b))
