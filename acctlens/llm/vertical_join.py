@@ -55,13 +55,14 @@ def _digest(ngrams: np.ndarray) -> bytes:
 
 
 _SENT = {"part": pa.int32(), "doc_id": pa.int64(), "n": pa.int64(), "class": pa.binary(), "sent": pa.int64(), "classes": pa.binary(), "sizes": pa.binary(), "grams": pa.binary()}
-_COUNTED = {"doc_id": pa.int64(), "n": pa.int64(), "class": pa.binary(), "sent": pa.int64(), "short": pa.int64(), "lost": pa.int64()}
+_COUNTED = {"doc_id": pa.int64(), "n": pa.int64(), "class": pa.binary(), "sent": pa.int64(), "short": pa.int64(), "part": pa.int32(), "shorts": pa.binary(), "losses": pa.binary()}
 
 
 def class_sketches(rows: DataFrame, k: int, parts: int) -> DataFrame:
     """doc_id, n, class, sent, short, lost.  One row per document with ``lost`` null and ``sent``, the number of its
-    n-grams that no other class of its batch holds.  One row per class and range with ``lost``, how many of the
-    n-grams that its senders sent there other classes hold, if any (doc_id, n, class and sent null).  So a class alone
+    n-grams that no other class of its batch holds.  One row per class with ``lost``, how many of the n-grams that
+    its senders sent other classes hold, if any (doc_id, n, class and sent null).  A range passes these on in one
+    row per range of classes, where they are added up, so rows grow with the classes alone.  So a class alone
     holds the most that one sender sent less all that are lost, or more.  ``short`` is the class by its first 8 bytes;
     ``lost`` of classes that agree in them is of no use."""
 
@@ -124,10 +125,27 @@ def class_sketches(rows: DataFrame, k: int, parts: int) -> DataFrame:
         new = np.append(True, np.diff(every >> np.uint64(32)) > 0)
         others = every[~(new & np.append(new[1:], True))] & np.uint64(0xFFFFFFFF)
         lost = np.bincount(others.astype(np.int64), minlength=len(shorts) + 1)[1:]
-        yield _batch(_COUNTED, short=shorts[lost > 0], lost=lost[lost > 0])
+        shorts, lost = shorts[lost > 0], lost[lost > 0]
+        to = shorts.astype(np.int64) % parts
+        held = [(part, to == part) for part in np.unique(to).tolist()]
+        yield _batch(_COUNTED, part=[part for part, _ in held], shorts=[shorts[at].tobytes() for _, at in held],
+                     losses=[lost[at].astype("<i8").tobytes() for _, at in held])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [row for b in batches for row in zip(*(column(b, c).to_pylist() for c in ("shorts", "losses")))]
+        if held:
+            shorts, losses = (np.concatenate([np.frombuffer(x, "<i8") for x in side]) for side in zip(*held))
+            shorts, of = np.unique(shorts, return_inverse=True)
+            total = np.zeros(len(shorts), np.int64)
+            np.add.at(total, of, losses)
+            yield pa.RecordBatch.from_arrays([pa.array(shorts), pa.array(total)], names=["short", "lost"])
 
     sent = rows.mapInArrow(send, "part int, doc_id long, n long, class binary, sent long, classes binary, sizes binary, grams binary")
-    return sent.repartitionById(parts, F.col("part")).mapInArrow(count, "doc_id long, n long, class binary, sent long, short long, lost long")
+    counted = cut_lineage(sent.repartitionById(parts, F.col("part")).mapInArrow(
+        count, "doc_id long, n long, class binary, sent long, short long, part int, shorts binary, losses binary"))
+    docs = counted.where("shorts is null").select("doc_id", "n", "class", "sent", "short", F.lit(None).cast("long").alias("lost"))
+    losses = counted.where("shorts is not null").select("part", "shorts", "losses").repartitionById(parts, F.col("part")).mapInArrow(add, "short long, lost long")
+    return docs.unionByName(losses, allowMissingColumns=True)
 
 
 def _short(digest: bytes) -> int:
@@ -156,7 +174,7 @@ def link_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """doc_id, n_shingles, component_id of every row of ``df``."""
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    sketched = cut_lineage(class_sketches(rows, k, -(-size // RANGE_BYTES) or 1))
+    sketched = class_sketches(rows, k, -(-size // RANGE_BYTES) or 1)
     docs = sketched.where("lost is null").select("doc_id", "n", "class", "short", "sent")
     classes = docs.where("n > 0").groupBy("class", "short").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.max("sent").alias("sent"))
     alike = classes.groupBy("short").agg(F.count("*").alias("alike")).where("alike > 1")        # hardly ever any

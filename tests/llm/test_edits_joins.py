@@ -243,3 +243,13 @@ def test_class_sketches_count_own_ngrams(spark):
         assert bound <= own                                 # never more, and right for a class of one batch
         exact += bound == own
     assert exact > 0.9 * len(sets)
+
+
+def test_class_sketches_rows_grow_with_the_classes(spark):
+    """However many ranges: one row per document, and at most one per class for what it loses."""
+    df = spark.createDataFrame(planted(), "doc_id long, text string").repartition(7)
+    for ranges in (3, 97):
+        got = vertical_join.class_sketches(df, 5, ranges)
+        lost = [r["short"] for r in got.where("lost is not null").collect()]
+        assert lost and len(lost) == len(set(lost))
+        assert got.where("lost is null").count() == df.count()
