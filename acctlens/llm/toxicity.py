@@ -7,7 +7,8 @@ Features enter a logistic regression scaled by their ratios; all buckets do that
 and that tell the two kinds apart surely (likelihood-ratio statistic of ``min_evidence`` or more).
 
 The fit uses at most ``max_rows`` labelled texts, those with the smallest id hash (the documented
-bound of the training sample); scoring covers every row and whole texts.
+bound of the training sample); scoring covers every row and whole texts.  Their features stay
+with the executors: each step of the fit is a job that adds up its gradient.
 
 Null and empty texts have no features and score the intercept.  A repeated id takes the larger of
 its labels and, to learn from, the first of its texts in order; labels other than 0 and 1, null among
@@ -18,11 +19,12 @@ ignored, and ``drop_toxic`` passes all of them on unread.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -85,58 +87,36 @@ def evidence(toxic: int, other: int) -> Column:
     return 2 * total
 
 
-def _groups(lens: np.ndarray, most: int = 1 << 20) -> list[tuple[int, int, int, int]]:
-    """Runs of groups with at most ``most`` entries (one group at least): first and last group, first and last entry."""
-    ends, out, at = np.concatenate([[0], np.cumsum(lens)]), [], 0
-    while at < len(lens):
-        to = max(at + 1, int(np.searchsorted(ends, ends[at] + most, side="right")) - 1)
-        out.append((at, to, int(ends[at]), int(ends[to])))
-        at = to
-    return out
+def pulled(lens: np.ndarray, cols: np.ndarray, w: np.ndarray, b: float, y: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """Rows of ``lens`` entries of ``cols`` each, z = b plus a row's ``w``.  By column the sum of z over the rows
+    that hold it, and the sum over all rows; with labels ``y``, of the logistic loss's slope instead of z."""
+    z, some = np.full(len(lens), float(b)), np.flatnonzero(lens)
+    if len(some):
+        z[some] += np.add.reduceat(w[cols], (np.cumsum(lens) - lens)[some])
+    g = z if y is None else 1 / (1 + np.exp(-z)) - y
+    return np.bincount(cols, np.repeat(g, lens), len(w)), float(g.sum())
 
 
-def _sums(value: np.ndarray, index: np.ndarray, lens: np.ndarray, parts: list) -> np.ndarray:
-    """The sum of ``value[index]`` over each group of ``lens`` consecutive entries."""
-    out = np.zeros(len(lens))
-    for a, z, first, last in parts:
-        some = np.flatnonzero(lens[a:z])
-        if len(some):
-            n = lens[a:z][some]
-            out[a + some] = np.add.reduceat(value[index[first:last]], np.cumsum(n) - n)
-    return out
+def descend(pull: Callable[[np.ndarray, float, bool], tuple[np.ndarray, float]], x: np.ndarray, n: int, share: float,
+            l2: float, steps: int) -> tuple[np.ndarray, float]:
+    """Weights and intercept of L2-penalised logistic regression on ``n`` rows, a ``share`` of them labelled 1, by
+    accelerated gradient steps of fixed length; ``x[col]`` is the value of a feature wherever it occurs.
+    ``pull(w, b, sloped)``: what ``pulled`` returns over all rows, with their labels if ``sloped``."""
+    def back(w: np.ndarray, b: float, sloped: bool) -> tuple[np.ndarray, float]:
+        g, total = pull(x * w, b, sloped)
+        return x * g, total
 
-
-def fit_logistic(lens: np.ndarray, cols: np.ndarray, x: np.ndarray, y: np.ndarray, n_cols: int,
-                 l2: float, steps: int) -> tuple[np.ndarray, float]:
-    """Weights and intercept of L2-penalised logistic regression on sparse rows (``lens`` entries of
-    ``cols`` each), by accelerated gradient steps of fixed length; ``x[col]`` is the value of a
-    feature wherever it occurs.  Entries are held by row and by column, so both sums are over runs."""
-    n, by_row = len(y), _groups(lens)
-    heights = np.bincount(cols, minlength=n_cols)
-    by_col, rows, at = _groups(heights), np.empty(len(cols), np.int32), np.cumsum(heights) - heights
-    for a, z, first, last in by_row:                      # a counting sort by column, part by part
-        order = np.argsort(cols[first:last], kind="stable")
-        here = np.bincount(cols[first:last], minlength=n_cols)
-        rows[np.repeat(at - (np.cumsum(here) - here), here) + np.arange(last - first)] = np.repeat(np.arange(a, z, dtype=np.int32), lens[a:z])[order]
-        at += here
-
-    def forward(w: np.ndarray, b: float) -> np.ndarray:
-        return b + _sums(x * w, cols, lens, by_row)
-
-    def back(g: np.ndarray) -> tuple[np.ndarray, float]:
-        return x * _sums(g, rows, heights, by_col), float(g.sum())
-
-    vw, vb, size = np.full(n_cols, n_cols ** -0.5), 0.0, 1.0
+    vw, vb, size = np.full(len(x), len(x) ** -0.5), 0.0, 1.0
     for _ in range(12):                                   # the largest curvature, by power iteration
-        gw, gb = back(forward(vw, vb))
+        gw, gb = back(vw, vb, False)
         size = float(np.sqrt(gw @ gw + gb * gb))
         vw, vb = gw / size, gb / size
     rate = 1 / (0.25 * 1.1 * size / n + l2)
-    w, b = np.zeros(n_cols), float(np.log((y.mean() + 1e-9) / (1 - y.mean() + 1e-9)))
+    w, b = np.zeros(len(x)), float(np.log((share + 1e-9) / (1 - share + 1e-9)))
     vw, vb, t = w, b, 1.0
     for _ in range(steps):
-        gw, gb = back((1 / (1 + np.exp(-forward(vw, vb))) - y) / n)
-        nw, nb = vw - rate * (gw + l2 * vw), vb - rate * gb
+        gw, gb = back(vw, vb, True)
+        nw, nb = vw - rate * (gw / n + l2 * vw), vb - rate * (gb / n)
         if (vw - nw) @ (nw - w) > 0:                       # the momentum points uphill
             t = 1.0
         t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
@@ -145,6 +125,41 @@ def fit_logistic(lens: np.ndarray, cols: np.ndarray, x: np.ndarray, y: np.ndarra
     return w, b
 
 
+def fit_logistic(lens: np.ndarray, cols: np.ndarray, x: np.ndarray, y: np.ndarray, n_cols: int,
+                 l2: float, steps: int) -> tuple[np.ndarray, float]:
+    """``descend`` on rows held in memory, ``lens`` entries of ``cols`` each."""
+    return descend(lambda w, b, sloped: pulled(lens, cols, w, b, y if sloped else None), x[:n_cols], len(y), float(y.mean()), l2, steps)
+
+
+def fit_rows(rows: DataFrame, x: np.ndarray, n: int, share: float, l2: float, steps: int) -> tuple[np.ndarray, float]:
+    """``descend`` on the table ``rows`` (some texts each: labels, lens and cols, int32 as bytes), which the
+    executors hold: a step is one job, and the driver gets one vector of the features a task."""
+    def arrays(r) -> tuple[np.ndarray, ...]:
+        return tuple(np.frombuffer(r[c], np.int32) for c in ("labels", "lens", "cols"))
+
+    held = rows.rdd.map(arrays).persist(StorageLevel.MEMORY_AND_DISK)
+
+    def pull(w: np.ndarray, b: float, sloped: bool) -> tuple[np.ndarray, float]:
+        def run(parts: Iterator[tuple[np.ndarray, ...]]) -> Iterator[tuple[np.ndarray, float]]:
+            by_col, total = np.zeros(len(w)), 0.0
+            for y, lens, cols in parts:
+                got, here = pulled(lens, cols, w, b, y if sloped else None)
+                by_col += got
+                total += here
+            yield by_col, total
+
+        by_col, total = np.zeros(len(w)), 0.0
+        for got, here in held.mapPartitions(run).collect():
+            by_col += got
+            total += here
+        return by_col, total
+
+    try:
+        return descend(pull, x, n, share, l2, steps)
+    finally:
+        held.unpersist()
+
+
 def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
         max_rows: int = 20_000, prior: float = 2.0, min_texts: int = 4, min_evidence: float = 10.0,
         l2: float = 1e-6, steps: int = 150) -> Model:
@@ -182,18 +197,16 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
         scratch = np.empty(1 << BITS, np.int32)
         col = np.full(1 << BITS, -1, np.int32)
         col[kept] = np.arange(len(kept))
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", 1 << 20):
             got = [col[buckets(t, scratch)] for t in texts_of(b, "text")]
-            yield pa.RecordBatch.from_arrays([column(b, "label"), pa.array([np.sort(g[g >= 0]).tobytes() for g in got], pa.binary())],
-                                             names=["label", "cols"])
+            got = [np.sort(g[g >= 0]) for g in got]
+            parts = column(b, "label").to_numpy().astype(np.int32), np.array([len(g) for g in got], np.int32), np.concatenate(got)
+            yield pa.RecordBatch.from_arrays([pa.array([part.tobytes()], pa.binary()) for part in parts], names=["labels", "lens", "cols"])
 
-    rows = sample.select("id", "label", "text").orderBy("id").mapInArrow(project, "label int, cols binary").toPandas()
-    cols = [np.frombuffer(c, np.int32) for c in rows["cols"]]
     if len(kept) == 0:
         return Model(kept, np.empty(0, np.float32), float(np.log(toxic / other)))
-    y, flat, lens = rows["label"].to_numpy(float), np.concatenate(cols), np.array([len(c) for c in cols])
-    del rows, cols
-    w, b = fit_logistic(lens, flat, ratio, y, len(kept), l2, steps)
+    rows = cut_lineage(sample.select("label", "text").mapInArrow(project, "labels binary, lens binary, cols binary"))
+    w, b = fit_rows(rows, ratio, toxic + other, toxic / (toxic + other), l2, steps)
     return Model(kept, (w * ratio).astype(np.float32), b)
 
 

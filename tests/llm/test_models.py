@@ -193,6 +193,26 @@ def test_logistic_fit_finds_the_optimum():
     assert np.abs((x * scale).T @ (p - y) / 300 + 1e-2 * w).max() < 1e-4 and abs((p - y).mean()) < 1e-4
 
 
+def test_logistic_fit_of_a_table_leaves_its_rows_there(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    cols = [np.flatnonzero(rng.random(40) < 0.2).astype(np.int32) for _ in range(500)]
+    cols[3] = cols[-1] = np.empty(0, np.int32)            # rows without features
+    y, x = (rng.random(500) < 0.3).astype(int), rng.normal(size=40)
+    lens, flat = np.array([len(c) for c in cols], np.int32), np.concatenate(cols)
+    ends = np.concatenate([[0], np.cumsum(lens)])
+    parts = [(y[i: i + 9].astype(np.int32), lens[i: i + 9], flat[ends[i]: ends[min(i + 9, 500)]]) for i in range(0, 500, 9)]
+    rows = spark.createDataFrame([tuple(v.tobytes() for v in p) for p in parts], "labels binary, lens binary, cols binary").repartition(7)
+    w, b = toxicity.fit_rows(rows, x, 500, float(y.mean()), 1e-3, 25)
+    want, shift = toxicity.fit_logistic(lens, flat, x, y.astype(float), 40, 1e-3, 25)
+    assert np.abs(w - want).max() < 1e-9 and abs(b - shift) < 1e-9
+
+    read, to_pandas = [], type(rows).toPandas
+    monkeypatch.setattr(type(rows), "toPandas", lambda df: read.append(df.columns) or to_pandas(df))
+    texts = spark.createDataFrame([(i, ("you fool " if i % 3 else "good day ") * 3 + str(i)) for i in range(60)], "doc_id long, text string")
+    model = toxicity.fit(texts, texts.select("doc_id", (F.col("doc_id") % 3 != 0).cast("int").alias("toxic")), steps=5)
+    assert len(model.kept) and not [c for c in read if "cols" in c or "text" in c]
+
+
 def test_toxicity_of_odd_rows(spark):
     df = odd_documents(spark)
     labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (None, 1), (3, None), (4, 0)], "doc_id long, toxic int")
