@@ -48,6 +48,20 @@ def group_quantile(df: DataFrame, key: str, value: str, q: float, out: str = "qu
     return small_part.unionByName(_big_group_quantile(v, big, key, value, q, out, cap))
 
 
+def small_group_mad(df: DataFrame, key: str, value: str, out: str = "mad") -> DataFrame:
+    """(key, out): median(|v − median(v)|) of every key with a non-NULL value, where no group is above the cap:
+    a group's values are gathered and sorted once, so the rows are read and shuffled once for both medians."""
+    def middle(a: Column) -> Column:
+        n = F.size(a)
+        return 0.5 * F.get(a, F.floor((n - 1) / 2).cast("int")) + 0.5 * F.get(a, F.floor(n / 2).cast("int"))
+
+    held = (df.select(key, F.col(value).cast("double").alias("__v")).where(F.col("__v").isNotNull())
+            .groupBy(key).agg(F.sort_array(F.collect_list("__v")).alias("__v")))
+    held = held.select(key, "__v", F.coalesce(middle(F.col("__v")), F.lit(0.0)).alias("__m"))      # never NULL
+    return held.select(key, F.sort_array(F.transform("__v", lambda x: F.abs(x - F.col("__m")))).alias("__d")).select(
+        key, middle(F.col("__d")).alias(out))
+
+
 def global_quantile(df: DataFrame, value: str, q: float, cap: int = DEFAULT_CAP,
                     n_rows: int | None = None) -> float | None:
     """One exact quantile over the whole frame (same skew-safe path, one constant key).

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from acctlens.functions.median import DEFAULT_CAP, group_median
+from acctlens.functions.median import DEFAULT_CAP, group_median, small_group_mad
 from acctlens.session import cut_lineage, sized_broadcast
 
 FEATURES = ["w_mean_residual", "z_mean_residual", "w_std_residual", "w_skew_residual"]
@@ -58,6 +58,8 @@ def account_stats(res: DataFrame, account: str = "account", residual: str = "res
 def account_mad(r: DataFrame, cap: int | None = None, max_n: int | None = None,
                 n_accounts: int | None = None) -> DataFrame:
     """A5: median(|r − median(r)|) per account, unweighted, unscaled."""
+    if max_n is not None and max_n <= (cap or DEFAULT_CAP):
+        return small_group_mad(r, "Account", "r", "mad_residual")
     kw = {"cap": cap or DEFAULT_CAP, "max_group_size": max_n}
     med = cut_lineage(group_median(r, "Account", "r", "__med", **kw))
     dev = r.join(sized_broadcast(med, n_rows=n_accounts), "Account").select("Account", F.abs(F.col("r") - F.col("__med")).alias("__ad"))

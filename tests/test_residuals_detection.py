@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -194,3 +196,19 @@ def test_scratch_tables_are_deleted(spark):
         path = t.inputFiles()[0].removeprefix("file:")
         assert os.path.exists(path) and t.count() == 5
     assert not os.path.exists(os.path.dirname(path))
+
+
+def test_mad_of_small_groups_reads_the_rows_once(spark):
+    rng = np.random.default_rng(7)
+    groups = {f"S{i}": [float(v) for v in np.round(rng.normal(size=n), 2)] for i, n in enumerate([1, 2, 3, 10, 301, 600])}
+    groups["C"], groups["I"] = [2.5] * 4, [1.0, float("inf"), -3.0, 4.0]
+    rows = [(a, v) for a, vs in groups.items() for v in vs] + [("N", None), ("S1", None), ("M", float("nan")), (None, 1.0), (None, 4.0)]
+    df = spark.createDataFrame(rows, "Account string, r double").repartition(5)
+    got = RS.account_mad(df, max_n=600)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "percentile" not in plan
+    have = {r["Account"]: r["mad_residual"] for r in got.collect()}
+    assert {*have} == {*groups, "M", None} and math.isnan(have.pop("M")) and have.pop(None) == 1.5
+    assert have == {a: float(np.median(np.abs(np.array(vs) - np.median(vs)))) for a, vs in groups.items()}
+    general = {r["Account"]: r["mad_residual"] for r in RS.account_mad(df).collect()}
+    assert math.isnan(general.pop("M")) and general.pop(None, 1.5) == 1.5 and general == have
