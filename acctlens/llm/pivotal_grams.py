@@ -167,7 +167,8 @@ def near_words(words: DataFrame) -> DataFrame:
     words = words.select("word", "n").repartition(parts, "word")                # a word makes dozens of rows
     side = lambda probe: words.mapInArrow(lambda bs: rows(bs, probe), "key long, w string, wn long, last int")
     a, b = side(True).alias("a"), side(False).alias("b")
-    found = (a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.last") <= F.col("b.last")) & (F.col("a.w") != F.col("b.w")))
+    # the planner sizes both sides by the words, dozens of rows a word too small for a broadcast; files are compressed too
+    found = (a.join(b.hint("merge"), (F.col("a.key") == F.col("b.key")) & (F.col("a.last") <= F.col("b.last")) & (F.col("a.w") != F.col("b.w")))
              .where(F.levenshtein("a.w", "b.w", 1) == 1))
     one, two = F.struct(F.col("a.w").alias("word"), F.col("a.wn").alias("n")), F.struct(F.col("b.w").alias("word"), F.col("b.wn").alias("n"))
     pairs = found.select(F.least(one, two).alias("x"), F.greatest(one, two).alias("y")).distinct()
@@ -185,11 +186,11 @@ def variant_forms(words: DataFrame, times: float = 2) -> DataFrame:
     best = F.min(F.struct((-F.col("near_n")).alias("m"), F.col("near").alias("w")))
     near = near_words(words).groupBy("word").agg(F.count("*").alias("n_near"), best.alias("best"))
     fits = -F.col("best.m") >= F.col("n") * times
-    named = cut_lineage(words.join(near, "word", "left").select(
+    named = cut_lineage(words.join(near.hint("merge"), "word", "left").select(
         "word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
         F.when(fits, F.col("best.w")).alias("form"), F.when(fits, -F.col("best.m")).alias("form_n")))
     roots = roots_of(named.where(F.col("form").isNotNull()).select("word", F.col("form").alias("root")))
-    return named.join(roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return named.join(roots.hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
 def roots_of(steps: DataFrame) -> DataFrame:
@@ -198,8 +199,8 @@ def roots_of(steps: DataFrame) -> DataFrame:
     steps = cut_lineage(steps)
     while True:
         ahead = steps.select(F.col("word").alias("root"), F.col("root").alias("__next"))
-        moved = cut_lineage(steps.join(ahead, "root", "left").select("word", F.coalesce("__next", "root").alias("root"),
-                                                                     F.col("__next").isNotNull().alias("moved")))
+        moved = cut_lineage(steps.join(ahead.hint("merge"), "root", "left").select(
+            "word", F.coalesce("__next", "root").alias("root"), F.col("__next").isNotNull().alias("moved")))
         steps = moved.select("word", "root")
         if moved.where("moved").isEmpty():
             return steps

@@ -117,6 +117,16 @@ def test_variants_of_the_test_tables(spark):
     assert sum(1 for w in want if w[1]) > 5
 
 
+def test_variants_broadcast_no_table(spark):
+    """A table of words is small in its file, but not the keys made of it nor its rows on the driver."""
+    words = spark.createDataFrame([(f"spelling{c}{d}", 1 + 5 * (c == d)) for c in "abcdef" for d in "abcdef"], "word string, n long")
+    found = pivotal_grams.near_words(words), pivotal_grams.variant_forms(words)
+    for df in found:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert Counter(map(tuple, found[1].collect())) == plain_forms({r["word"]: r["n"] for r in words.collect()})
+
+
 def test_variants_of_odd_rows(spark):
     df = odd_documents(spark)
     got = pivotal_grams.variant_forms(pivotal_grams.words_of(df))
