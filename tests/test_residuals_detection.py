@@ -155,6 +155,70 @@ def test_cluster_validity(spark, monkeypatch, tile):
     assert VA.validity(feat, lab.withColumn("cluster", F.when(F.col("cluster") == "c0", "c0"))) is None
 
 
+@pytest.mark.parametrize("low", [4, 0])
+def test_cluster_validity_of_large_clusters(spark, monkeypatch, low):
+    """Clusters of many panels and blocks, copies among them, beside small ones: equal to the full matrix, few rows asked."""
+    from acctlens.operators import validity as VA
+    monkeypatch.setattr(VA, "TILE", 8)
+    monkeypatch.setattr(VA, "WHOLE", 1)
+    monkeypatch.setattr(VA, "LOW", low)
+    rng = np.random.default_rng(12)
+    sizes = [90, 60, 40, 5, 2, 1]
+    X = np.vstack([rng.normal(rng.uniform(-4, 4, 4), 1, (n, 4)) for n in sizes])
+    labels = np.repeat(range(len(sizes)), sizes)
+    X[7:12], X[95:97] = X[6], X[94]
+    names = [f"a{i:03d}" for i in rng.permutation(len(X))]
+    order = np.argsort(names)                                   # the full matrix breaks ties by place
+    X, labels, names = X[order], labels[order], [names[i] for i in order]
+    feat = spark.createDataFrame(pd.DataFrame(X, columns=["f0", "f1", "f2", "f3"]).assign(Account=names))
+    lab = spark.createDataFrame([(a, f"c{c}") for a, c in zip(names, labels)], "Account string, cluster string")
+    got = {r.cluster: r for r in VA.cluster_validity(feat, lab).collect()}
+    assert {c: r["size"] for c, r in got.items()} == {f"c{c}": n for c, n in enumerate(sizes)}
+    want = _validity_parts(X, labels)
+    for c, (sparse, sep) in want.items():
+        assert (got[f"c{c}"].sparseness, got[f"c{c}"].separation) == (pytest.approx(sparse, abs=1e-12), pytest.approx(sep, abs=1e-12))
+
+
+def _validity_parts(X, labels):
+    """(sparseness, separation) of each cluster from a full distance matrix, by Kruskal over (w, place, place)."""
+    D = np.sqrt(((X[:, None] - X[None]) ** 2).sum(-1))
+    inner, sparse, core = {}, {}, np.zeros(len(X))
+    for c in set(labels.tolist()):
+        i = np.flatnonzero(labels == c)
+        for p in i if len(i) > 1 else []:
+            with np.errstate(divide="ignore"):
+                s = ((1 / D[p, i[i != p]]) ** X.shape[1]).mean()
+            core[p] = 0.0 if np.isinf(s) else s ** (-1 / X.shape[1])
+        M = np.maximum(np.maximum(core[i][:, None], core[i][None]), D[np.ix_(i, i)])
+        part, edges = list(range(len(i))), []
+        for w, a, b in sorted((M[a, b], a, b) for b in range(len(i)) for a in range(b)):
+            if part[a] != part[b]:
+                edges.append((w, a, b))
+                part = [part[a] if x == part[b] else x for x in part]
+        degree = np.bincount([x for e in edges for x in e[1:]], minlength=len(i)) if edges else np.zeros(len(i))
+        sparse[c] = max([w for w, a, b in edges if degree[a] > 1 and degree[b] > 1] or [e[0] for e in edges] or [0.0])
+        inner[c] = i[degree > 1] if (degree > 1).any() else i
+    def away(c):
+        return min(max(core[p], core[q], D[p, q]) for e in inner if e != c for p in inner[c] for q in inner[e])
+    return {c: (sparse[c], away(c)) for c in inner}
+
+
+def test_validity_work_and_rows_are_bounded(spark, monkeypatch):
+    """A large cluster's rows go to each panel of it, not to each tile; its first edges are found among few blocks."""
+    from acctlens.operators import validity as VA
+    monkeypatch.setattr(VA, "TILE", 4)
+    monkeypatch.setattr(VA, "WHOLE", 1)
+    assert [spark.range(1).select(VA._panels(F.lit(n))).first()[0] for n in (4, 20, 64, 1000, 4000)] == [1, 5, 16, 16, 63]
+    rng = np.random.default_rng(3)
+    x, mult = rng.normal(0, 1, (600, 4)), np.ones(600)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    np.fill_diagonal(d, np.inf)
+    want = (d ** -4).sum(axis=1)
+    assert np.allclose(VA._inverse_sums(x, x, mult, mult, True)[0], want, rtol=1e-12)
+    a, b = VA._inverse_sums(x[:250], x[250:], mult[:250], 2 * mult[250:], False)
+    assert np.allclose(a, 2 * (d[:250, 250:] ** -4).sum(axis=1), rtol=1e-12) and np.allclose(b, (d[250:, :250] ** -4).sum(axis=1), rtol=1e-12)
+
+
 def test_separation_asks_near_blocks_only(spark, monkeypatch):
     """Many clusters, some of copies, some larger than a block: equal to all pairs, and few rows are asked."""
     from acctlens.operators import validity as VA
