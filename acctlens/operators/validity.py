@@ -15,7 +15,7 @@ are dealt into panels, one group takes one pair of panels chunk by chunk with nu
 per point, never pairs.  The tree of such clusters grows in Borůvka rounds over blocks of the space: a
 component's own blocks and the boxes of the others bound its least edge, and only blocks that come as near
 are asked.  Most first edges weigh a point's own core distance and tie; the least name wins, so
-``LOW`` times ``TILE`` least names of a cluster are compared with every point first.  The separation crosses
+about ``LOW`` times ``TILE`` least names of a cluster are compared with every point first.  The separation crosses
 clusters and goes by blocks in the same way.
 """
 
@@ -39,7 +39,7 @@ from acctlens.session import cut_lineage
 TILE = 1024
 WHOLE = 16          # times TILE points of a cluster that one task takes whole
 PANELS = 16         # panels of a larger cluster, of TILE to PANELS * TILE points; more beyond
-LOW = 4             # times TILE least names of a larger cluster
+LOW = 4             # times TILE least names of a larger cluster, about
 
 
 def _spread(n: int) -> int:
@@ -65,7 +65,7 @@ def _inverse_sums(x: np.ndarray, y: np.ndarray, mx: np.ndarray, my: np.ndarray,
                 np.multiply(t, t, out=t)
                 np.add(s, t, out=s)
             with np.errstate(divide="ignore", over="ignore"):
-                np.divide(1.0, np.power(s, len(FEATS) // 2, out=t) if len(FEATS) != 4 else np.multiply(s, s, out=t), out=s)
+                np.divide(1.0, s ** (len(FEATS) // 2), out=s)
             if same and i.start == j.start:
                 np.fill_diagonal(s, 0.0)
                 sx[i] += s @ my[j]
@@ -147,6 +147,17 @@ def _least_edges(here: pa.Table, there: pa.Table) -> tuple[np.ndarray, np.ndarra
     return w, at
 
 
+def least_names(rows: DataFrame) -> DataFrame:
+    """The rows (pid, cluster, ...) of about ``LOW * TILE`` least names of each cluster.  How many they are comes from
+    64 * ``TILE`` names drawn by hash, which matters for the work alone: none below the last is left out."""
+    share = F.least(F.lit(1.0), F.lit(64.0 * TILE) / F.col("held"))
+    sizes = rows.groupBy("cluster").agg(F.count("*").alias("held"))
+    drawn = rows.select("cluster", "pid").join(sizes, "cluster").where(F.pmod(F.xxhash64("pid"), F.lit(1 << 30)) < share * F.lit(1 << 30))
+    place = F.row_number().over(Window.partitionBy("cluster").orderBy("pid"))
+    last = drawn.withColumn("place", place).where(F.col("place") <= F.ceil(share * F.lit(LOW * TILE))).groupBy("cluster").agg(F.max("pid").alias("last"))
+    return rows.join(last, "cluster").where(F.col("pid") <= F.col("last")).drop("last")
+
+
 def cluster_trees(points: DataFrame, max_rounds: int = 64) -> DataFrame:
     """cluster, u, v, w: the minimum spanning tree of mutual reachability of each cluster over its distinct
     ``points`` (pid, cluster, mult, core, f0..f3), ties broken on (w, u, v)."""
@@ -158,9 +169,7 @@ def cluster_trees(points: DataFrame, max_rounds: int = 64) -> DataFrame:
     edge = f"cluster {kind}, comp {pid}, mate {pid}, w double, u {pid}, v {pid}"
     rows = cut_lineage(cut_into_blocks(points, TILE).points.drop("mult").withColumn("comp", F.col("pid")))
     # blocks by cluster, so a block holds one cluster alone
-    names = F.row_number().over(Window.partitionBy("cluster").orderBy("pid"))
-    low = cut_lineage(rows.withColumn("r", names).where(F.col("r") <= LOW * TILE).drop("r", "block"))
-    low = cut_lineage(rows.select("cluster", "block").distinct().join(low, "cluster"))
+    low = cut_lineage(rows.select("cluster", "block").distinct().join(least_names(rows).drop("block"), "cluster"))
     active, found = rows.withColumn("active", F.lit(True)), None
     for turn in range(max_rounds):
         held = rows.groupBy("cluster", "block").agg(
@@ -330,7 +339,7 @@ def cluster_validity(feat: DataFrame, labels: DataFrame) -> DataFrame:
     points = cut_lineage(points.join(sizes, "cluster"))
     kind = ", ".join(f"{c} {points.schema[c].dataType.simpleString()}" for c in ("pid", "cluster"))
     few = points.where(F.col("held") <= WHOLE * TILE)
-    parts = max(1, min(2000, math.ceil(few.count() / (WHOLE * TILE))))
+    parts = max(1, min(2000, math.ceil(few.count() / (2 * TILE))))
     whole = cut_lineage(few.repartition(parts, "cluster").groupBy("cluster").applyInArrow(
         _whole, kind + ", " + ", ".join(f"{c} double" for c in [*FEATS, "core", "sparseness"])))
     many = points.where(F.col("held") > WHOLE * TILE)

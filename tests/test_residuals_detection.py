@@ -215,6 +215,10 @@ def test_validity_work_and_rows_are_bounded(spark, monkeypatch):
     np.fill_diagonal(d, np.inf)
     want = (d ** -4).sum(axis=1)
     assert np.allclose(VA._inverse_sums(x, x, mult, mult, True)[0], want, rtol=1e-12)
+    rows = spark.range(5000).select(F.format_string("a%04d", "id").alias("pid"), F.when(F.col("id") % 10 == 0, "few").otherwise("many").alias("cluster"))
+    for c in ("few", "many"):                                   # none below the last is left out
+        names = sorted(r.pid for r in VA.least_names(rows).where(F.col("cluster") == c).collect())
+        assert 4 <= len(names) <= 80 and names == sorted(r.pid for r in rows.where(F.col("cluster") == c).collect())[: len(names)]
     a, b = VA._inverse_sums(x[:250], x[250:], mult[:250], 2 * mult[250:], False)
     assert np.allclose(a, 2 * (d[:250, 250:] ** -4).sum(axis=1), rtol=1e-12) and np.allclose(b, (d[250:, :250] ** -4).sum(axis=1), rtol=1e-12)
 
